@@ -282,3 +282,310 @@ FROM part
 def q_decode(spark, d):
     p = T(spark, d, "part").select("p_partkey", "p_brand")
     return cond.decode(p, "p_brand", BRAND_NAMES, "brand_name", default="Other").drop("p_brand")
+
+
+# ====================================================================== joins
+
+@register("join_star", """
+SELECT l.l_orderkey, l.l_linenumber, o.o_orderdate, p.p_name
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey
+""")
+def q_join_star(spark, d):
+    tables = {"lineitem": T(spark, d, "lineitem"), "orders": T(spark, d, "orders"), "part": T(spark, d, "part")}
+    conds = [joins.JoinCondition("lineitem", "orders", "l_orderkey", "o_orderkey", "INNER"),
+             joins.JoinCondition("part", "lineitem", "p_partkey", "l_partkey", "LEFT")]
+    j = joins.join_tables_spec(tables, conds)
+    return joins.select_qualified(j, ["lineitem.l_orderkey", "lineitem.l_linenumber", "orders.o_orderdate",
+                                      "part.p_name"])
+
+
+@register("join_three", """
+SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, m.nation, m.region
+FROM lineitem l LEFT JOIN (
+  SELECT s.s_suppkey AS k, min(n.n_name) AS nation, min(r.r_name) AS region
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1) m ON m.k = l.l_suppkey
+""")
+def q_join_three(spark, d):
+    target = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return joins.join_lookup(target, "l_suppkey", T(spark, d, "supplier"), T(spark, d, "nation"),
+                             T(spark, d, "region"), ("s_nationkey", "n_nationkey"), ("n_regionkey", "r_regionkey"),
+                             "s_suppkey", {"nation": "t2.n_name", "region": "t3.r_name"})
+
+
+@register("semi_exists", """
+SELECT c_custkey AS cust_id FROM customer
+WHERE c_mktsegment = 'BUILDING'
+  AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
+""")
+def q_semi(spark, d):
+    target = empty(spark, "cust_id long")
+    return joins.insert_where_exists(target, T(spark, d, "customer"), T(spark, d, "orders"),
+                                     ("c_custkey", "o_custkey"), {"cust_id": "c_custkey"},
+                                     conds={"c_mktsegment": "BUILDING"}, other_conds={"o_orderstatus": "F"})
+
+
+@register("anti_exists", """
+SELECT c_custkey FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+""")
+def q_anti(spark, d):
+    return joins.anti_exists(T(spark, d, "customer"), T(spark, d, "orders"), ("c_custkey", "o_custkey"),
+                             other_conds={"o_orderpriority": "1-URGENT"}).select("c_custkey")
+
+
+@register("cross_segment", """
+SELECT c.c_custkey, c.c_name, a.c_acctbal, o.n_orders
+FROM customer c
+LEFT JOIN (SELECT c_custkey, min(c_acctbal) AS c_acctbal FROM customer GROUP BY 1) a ON a.c_custkey = c.c_custkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey
+""")
+def q_cross_segment(spark, d):
+    c = T(spark, d, "customer")
+    main = c.select("c_custkey", "c_name")
+    seg_bal = c.select("c_custkey", "c_acctbal")
+    seg_orders = T(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")) \
+        .agg(F.count(F.lit(1)).alias("n_orders"))
+    return joins.cross_segment(main, {"balances": seg_bal, "order_counts": seg_orders})
+
+
+@register("copy_from_previous", """
+SELECT t2.c_name AS name FROM customer t1 JOIN customer t2 ON t1.c_custkey = t2.c_custkey
+WHERE t1.c_mktsegment = 'AUTOMOBILE'
+""")
+def q_copy_prev(spark, d):
+    c = T(spark, d, "customer")
+    previous = c.where(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
+    return joins.copy_from_previous(empty(spark, "name string"), previous, c, "c_custkey", "c_name", "name")
+
+
+@register("join_insert", """
+SELECT o.o_orderkey AS okey, c.c_name AS cust_name
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE c.c_mktsegment IN ('BUILDING', 'FURNITURE')
+""")
+def q_join_insert(spark, d):
+    tables = {"orders": T(spark, d, "orders"), "customer": T(spark, d, "customer")}
+    conds = [joins.JoinCondition("orders", "customer", "o_custkey", "c_custkey")]
+    return joins.join_insert(empty(spark, "okey long, cust_name string"), tables, conds,
+                             {"okey": "orders.o_orderkey", "cust_name": "customer.c_name"},
+                             conds={"customer.c_mktsegment": ["BUILDING", "FURNITURE"]})
+
+
+@register("join_update", """
+SELECT c_custkey, CASE WHEN m.k IS NOT NULL THEN m.v ELSE c_acctbal END AS c_acctbal
+FROM customer LEFT JOIN (
+  SELECT o_custkey AS k, min(l_extendedprice) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  WHERE l_returnflag = 'R' GROUP BY 1) m ON m.k = c_custkey
+""")
+def q_join_update(spark, d):
+    target = T(spark, d, "customer").select("c_custkey", "c_acctbal")
+    tables = {"orders": T(spark, d, "orders"), "lineitem": T(spark, d, "lineitem")}
+    conds = [joins.JoinCondition("orders", "lineitem", "o_orderkey", "l_orderkey")]
+    return joins.join_update(target, tables, conds, ("c_custkey", "orders.o_custkey"),
+                             {"c_acctbal": "lineitem.l_extendedprice"}, conds={"lineitem.l_returnflag": "R"})
+
+
+@register("add_fields", """
+SELECT o.o_orderkey, o.o_custkey, c.c_name, c.c_mktsegment
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+""")
+def q_add_fields(spark, d):
+    o = T(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return joins.add_fields(o, T(spark, d, "customer"), "o_custkey", "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@register("join_on_mapping", """
+SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+""")
+def q_join_mapping(spark, d):
+    o, c = T(spark, d, "orders"), T(spark, d, "customer")
+    return joins.join_on_mapping(o, c, [{"target_col": "o_custkey", "source_col": "c_custkey"}]) \
+        .select("o_orderkey", "c_name")
+
+
+# ====================================================================== aggregation
+
+@register("agg_group", """
+SELECT l_returnflag, sum(l_quantity) AS sum_l_quantity, count(l_orderkey) AS count_l_orderkey,
+       avg(l_discount) AS avg_l_discount, min(l_shipdate) AS min_l_shipdate, max(l_tax) AS max_l_tax
+FROM lineitem GROUP BY l_returnflag
+""")
+def q_agg_group(spark, d):
+    return aggs.aggregate(T(spark, d, "lineitem"), ["l_returnflag"],
+                          [("SUM", "l_quantity"), ("COUNT", "l_orderkey"), ("AVG", "l_discount"),
+                           ("MIN", "l_shipdate"), ("MAX", "l_tax")])
+
+
+@register("agg_global", """
+SELECT sum(l_extendedprice) AS revenue, count(*) AS count_all FROM lineitem WHERE l_linestatus = 'O'
+""")
+def q_agg_global(spark, d):
+    return aggs.aggregate(T(spark, d, "lineitem"), [], [("SUM", "l_extendedprice", "revenue"), ("COUNT", "*")],
+                          conds={"l_linestatus": "O"})
+
+
+@register("agg_passthrough", """
+SELECT l_linestatus, stddev_samp(l_quantity) AS stddev_samp_l_quantity,
+       count(DISTINCT l_partkey) AS count_distinct_l_partkey
+FROM lineitem GROUP BY l_linestatus
+""")
+def q_agg_pass(spark, d):
+    return aggs.aggregate(T(spark, d, "lineitem"), ["l_linestatus"],
+                          [("stddev_samp", "l_quantity"), ("count_distinct", "l_partkey")])
+
+
+@register("duplicate_groups", """
+SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1
+""")
+def q_dup_groups(spark, d):
+    return aggs.duplicate_groups(T(spark, d, "orders"), ["o_custkey"])
+
+
+@register("latest_per_group", """
+SELECT o.* FROM orders o JOIN (SELECT o_custkey AS k, max(o_orderdate) AS d FROM orders GROUP BY 1) m
+  ON m.k = o.o_custkey AND m.d = o.o_orderdate
+""")
+def q_latest(spark, d):
+    return aggs.latest_per(T(spark, d, "orders"), ["o_custkey"], "o_orderdate")
+
+
+@register("table_summary", """
+SELECT count(*) AS rows,
+       (count(o_orderkey) > 0)::INT + (count(o_custkey) > 0)::INT + (count(o_orderstatus) > 0)::INT
+       + (count(o_totalprice) > 0)::INT + (count(o_orderdate) > 0)::INT + (count(o_orderpriority) > 0)::INT
+       + (count(CASE WHEN o_orderstatus = 'X' THEN 1 END) > 0)::INT AS populated
+FROM orders
+""")
+def q_summary(spark, d):
+    o = T(spark, d, "orders").withColumn("never", F.when(F.col("o_orderstatus") == "X", F.lit(1)))
+    return aggs.summary(o).select("rows", "populated")
+
+
+# ====================================================================== key checks, validation
+
+@register("key_check", """
+WITH v AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey END AS k, count(*) AS n
+           FROM orders GROUP BY 1)
+SELECT 'k' AS key, sum(n) AS rows, coalesce(sum(CASE WHEN k IS NULL THEN n END), 0) AS null_count,
+       count(CASE WHEN k IS NOT NULL AND n > 1 THEN 1 END) AS duplicate_groups FROM v
+""")
+def q_key_check(spark, d):
+    o = T(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(F.col("o_custkey")).alias("k"))
+    return quality.key_check(o, "k")
+
+
+@register("validate_rules", """
+SELECT CASE WHEN l_returnflag IS NULL THEN 'Invalid: Null value' ELSE 'Valid' END AS validation_result_1,
+       CASE WHEN l_orderkey IS NULL THEN 'Invalid: Null value'
+            WHEN l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL
+                                GROUP BY 1 HAVING count(*) > 1) THEN 'Invalid: Duplicate value'
+            ELSE 'Valid' END AS validation_result_2,
+       CASE WHEN l_quantity < 5 OR l_quantity > 45 THEN 'Invalid: Out of range' ELSE 'Valid' END
+         AS validation_result_3,
+       CASE WHEN coalesce(regexp_matches(l_returnflag, '^[AR]$'), false) THEN 'Valid'
+            ELSE 'Invalid: Pattern mismatch' END AS validation_result_4,
+       CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) THEN 'Valid'
+            ELSE 'Invalid: Reference not found' END AS validation_result_5,
+       'Unknown validation rule: checksum' AS validation_result_6,
+       l_orderkey, l_linenumber, l_partkey, l_quantity
+FROM lineitem
+""")
+def q_validate(spark, d):
+    part = T(spark, d, "part").where(F.col("p_size") < 25)
+    rules = [quality.Rule("l_returnflag", "not_null"), quality.Rule("l_orderkey", "unique"),
+             quality.Rule("l_quantity", "range", {"min": 5, "max": 45}),
+             quality.Rule("l_returnflag", "regex", {"pattern": "^[AR]$"}),
+             quality.Rule("l_partkey", "exists_in", {"reference_table": part, "reference_field": "p_partkey"}),
+             quality.Rule("l_tax", "checksum")]
+    return quality.validate(T(spark, d, "lineitem"), rules, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+
+
+@register("find_relationships", """
+SELECT * FROM (
+  SELECT 'lineitem' AS child_table, 'l_orderkey' AS child_column, 'orders' AS parent_table,
+         'o_orderkey' AS parent_column, count(*) AS child_distinct,
+         count(*) FILTER (WHERE v IN (SELECT o_orderkey FROM orders)) AS covered
+  FROM (SELECT DISTINCT l_orderkey AS v FROM lineitem WHERE l_orderkey IS NOT NULL)
+  UNION ALL
+  SELECT 'orders', 'o_custkey', 'customer', 'c_custkey', count(*),
+         count(*) FILTER (WHERE v IN (SELECT c_custkey FROM customer))
+  FROM (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL)
+  UNION ALL
+  SELECT 'customer', 'c_custkey', 'orders', 'o_custkey', count(*),
+         count(*) FILTER (WHERE v IN (SELECT o_custkey FROM orders))
+  FROM (SELECT DISTINCT c_custkey AS v FROM customer WHERE c_custkey IS NOT NULL)
+) t(child_table, child_column, parent_table, parent_column, child_distinct, covered)
+  , LATERAL (SELECT CASE WHEN child_distinct > 0 THEN covered / child_distinct ELSE 0.0 END AS cover)
+WHERE cover >= 0.5
+""")
+def q_relationships(spark, d):
+    tables = {"lineitem": T(spark, d, "lineitem"), "orders": T(spark, d, "orders"),
+              "customer": T(spark, d, "customer")}
+    pairs = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+             ("customer", "c_custkey", "orders", "o_custkey")]
+    return quality.find_relationships(tables, 0.5, pairs)
+
+
+@register("profile_orders")
+def q_profile(spark, d):
+    return quality.profile(T(spark, d, "orders"))
+
+
+# ====================================================================== diffs
+
+_DIFF_B = """(SELECT o_orderkey, o_custkey, o_orderstatus,
+         CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+         o_orderdate, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW')"""
+
+
+def _diff_b(o: DataFrame) -> DataFrame:
+    return o.where(F.col("o_orderpriority") != "5-LOW").withColumn(
+        "o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1)
+        .otherwise(F.col("o_totalprice")))
+
+
+@register("diff_rows", f"""
+SELECT b.*, 'new' AS status FROM {_DIFF_B} b
+WHERE NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_orderkey IS NOT DISTINCT FROM b.o_orderkey
+  AND a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus
+  AND a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice AND a.o_orderdate IS NOT DISTINCT FROM b.o_orderdate
+  AND a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority)
+UNION ALL
+SELECT a.*, 'removed' AS status FROM orders a
+WHERE NOT EXISTS (SELECT 1 FROM {_DIFF_B} b WHERE a.o_orderkey IS NOT DISTINCT FROM b.o_orderkey
+  AND a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus
+  AND a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice AND a.o_orderdate IS NOT DISTINCT FROM b.o_orderdate
+  AND a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority)
+""")
+def q_diff_rows(spark, d):
+    o = T(spark, d, "orders")
+    return diff.diff_rows_tagged(o, _diff_b(o))
+
+
+@register("keyed_diff", """
+WITH a AS (SELECT * FROM orders),
+     b AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+                  o_orderdate, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'
+           UNION ALL
+           SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+           FROM orders WHERE o_orderpriority = '2-HIGH')
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+       CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL
+   OR a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+   OR a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderdate IS DISTINCT FROM b.o_orderdate
+   OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority
+""")
+def q_keyed_diff(spark, d):
+    o = T(spark, d, "orders")
+    b = o.where(F.col("o_orderstatus") != "P").withColumn(
+        "o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1)
+        .otherwise(F.col("o_totalprice")))
+    b = b.unionByName(o.where(F.col("o_orderpriority") == "2-HIGH")
+                      .withColumn("o_orderkey", F.col("o_orderkey") + 1000000000))
+    return diff.diff_keyed(o, b, ["o_orderkey"])
