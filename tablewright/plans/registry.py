@@ -589,3 +589,212 @@ def q_keyed_diff(spark, d):
     b = b.unionByName(o.where(F.col("o_orderpriority") == "2-HIGH")
                       .withColumn("o_orderkey", F.col("o_orderkey") + 1000000000))
     return diff.diff_keyed(o, b, ["o_orderkey"])
+
+
+# ====================================================================== scalar functions
+
+@register("regex_funcs", r"""
+SELECT p_partkey,
+       regexp_replace(p_name, '(\w+) (\w+)', '\2_\1', 'g') AS r1,
+       regexp_matches(p_name, '^s') AS r2,
+       CASE WHEN regexp_matches(p_name, '(\w+)$') THEN regexp_extract(p_name, '(\w+)$', 1) END AS r3,
+       CASE WHEN regexp_matches(p_name, '^(x+)') THEN regexp_extract(p_name, '^(x+)', 1) END AS r4,
+       regexp_replace(p_name, 'RING', 'R', 'gi') AS r5
+FROM part
+""")
+def q_regex(spark, d):
+    p = T(spark, d, "part")
+    return p.select("p_partkey",
+                    fn.regexp_replace("p_name", r"(\w+) (\w+)", r"\2_\1").alias("r1"),
+                    fn.regexp_match(r"^s", "p_name").alias("r2"),
+                    fn.regexp_extract(r"(\w+)$", "p_name", 1).alias("r3"),
+                    fn.regexp_extract(r"^(x+)", "p_name", 1).alias("r4"),
+                    fn.regexp_replace("p_name", "RING", "R", "i").alias("r5"))
+
+
+@register("string_funcs", r"""
+SELECT p_partkey,
+       split_part(p_name, ' ', 2) AS s1, '' AS s2, '' AS s3, p_name AS s4,
+       reverse(p_name) AS s5,
+       array_to_string(list_transform(regexp_extract_all(p_name || '''s 3rd o''neil-x', '(\p{L}+|[^\p{L}]+)'),
+                                      lambda t: upper(t[1]) || lower(t[2:])), '') AS s6,
+       CASE WHEN length(p_brand) >= 10 THEN p_brand ELSE lpad(p_brand, 10, '*') END AS s7,
+       CASE WHEN length(p_type) >= 6 THEN p_type ELSE rpad(p_type, 6, '.') END AS s8
+FROM part
+""")
+def q_strings(spark, d):
+    p = T(spark, d, "part")
+    return p.select("p_partkey",
+                    fn.split_string("p_name", " ", 1).alias("s1"),
+                    fn.split_string("p_name", " ", 5).alias("s2"),
+                    fn.split_string("p_name", " ", -1).alias("s3"),
+                    fn.split_string("p_name", " ").alias("s4"),
+                    fn.reverse_string("p_name").alias("s5"),
+                    fn.proper_case(F.concat("p_name", F.lit("'s 3rd o'neil-x"))).alias("s6"),
+                    fn.left_pad("p_brand", 10, "*").alias("s7"),
+                    fn.right_pad("p_type", 6, ".").alias("s8"))
+
+
+_NUM_TEXT_SQL = """CASE l_linenumber WHEN 1 THEN 500.0 WHEN 2 THEN 6.0 WHEN 3 THEN 'nan'::DOUBLE
+                     WHEN 4 THEN 0.0 WHEN 5 THEN 50000.0 ELSE l_quantity / 2 END"""
+
+
+@register("number_funcs", f"""
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_discount = 0 THEN 0.0 ELSE l_extendedprice / l_discount END AS n1,
+       CASE WHEN l_tax = 0 THEN 0.0 ELSE round(l_discount / l_tax * 100, 2) END AS n2,
+       CASE WHEN isnan(pow(l_discount - 0.05, 0.5)) THEN 0.0 ELSE pow(l_discount - 0.05, 0.5) END AS n3,
+       {_NUM_TEXT_SQL} AS n4,
+       l_linenumber <> 4 AS n5
+FROM lineitem
+""")
+def q_numbers(spark, d):
+    li = T(spark, d, "lineitem")
+    txt = (F.when(F.col("l_linenumber") == 1, "1_000").when(F.col("l_linenumber") == 2, " 12 ")
+           .when(F.col("l_linenumber") == 3, "nan").when(F.col("l_linenumber") == 4, "1d")
+           .when(F.col("l_linenumber") == 5, "1e5").otherwise(F.col("l_quantity").cast("string")))
+    return li.select("l_orderkey", "l_linenumber",
+                     fn.safe_divide("l_extendedprice", "l_discount").alias("n1"),
+                     fn.percentage("l_discount", "l_tax").alias("n2"),
+                     fn.power_of(F.col("l_discount") - 0.05, 0.5).alias("n3"),
+                     fn.safe_divide(txt, 2).alias("n4"),
+                     fn.is_numeric(txt).alias("n5"))
+
+
+def _dirty_date(bad: str):
+    return F.when(F.col("o_orderpriority") == "5-LOW", F.lit(bad)).otherwise(fn.date_text("o_orderdate"))
+
+
+@register("date_funcs", """
+SELECT o_orderkey,
+       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230'
+            ELSE strftime(o_orderdate + INTERVAL 30 DAY, '%Y%m%d') END AS f1,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE date_diff('day', o_orderdate, DATE '2000-01-01') END AS f2,
+       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS f3,
+       CASE WHEN o_orderpriority = '5-LOW' THEN '2023-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS f4,
+       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS f5,
+       CASE WHEN length(o_orderkey::VARCHAR) >= 10 THEN o_orderkey::VARCHAR
+            ELSE lpad(o_orderkey::VARCHAR, 10, '0') END AS f6,
+       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%d %B %Y') END AS f7
+FROM orders
+""")
+def q_dates(spark, d):
+    o = T(spark, d, "orders").withColumn("dt", _dirty_date("20230230"))
+    return o.select("o_orderkey",
+                    fn.date_add_days("dt", 30, "%Y%m%d").alias("f1"),
+                    fn.date_diff_days("dt", F.lit("20000101"), "%Y%m%d").alias("f2"),
+                    fn.format_date("dt").alias("f3"),
+                    fn.yyyymmdd_to_iso("dt").alias("f4"),
+                    fn.convert_sap_date("dt", "DD.MM.YYYY").alias("f5"),
+                    fn.leading_zeros("o_orderkey", 10).alias("f6"),
+                    fn.format_date("dt", "%Y%m%d", "%d %B %Y").alias("f7"))
+
+
+@register("json_funcs", """
+SELECT event_id,
+       CASE WHEN event_type IN ('error', 'view') THEN '' ELSE coalesce(json_extract_string(props, '$.k'), '') END AS j1,
+       '' AS j2,
+       event_type <> 'error' AS j3
+FROM events
+""")
+def q_json(spark, d):
+    e = T(spark, d, "events")
+    j = (F.when(F.col("event_type") == "error", F.lit("{bad"))
+         .when(F.col("event_type") == "view", F.lit("[1, 2]")).otherwise(F.col("props")))
+    return e.select("event_id", fn.json_extract_value(j, "k").alias("j1"),
+                    fn.json_extract_value(j, "missing").alias("j2"), fn.is_valid_json(j).alias("j3"))
+
+
+_NUMERIC_RE2 = (r"^[+-]?(?:(?:\d+(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.(?:\d+(?:_\d+)*))"
+                r"(?:[eE][+-]?\d+(?:_\d+)*)?$")
+
+
+@register("text_checks", rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS tok FROM documents)
+SELECT doc_id,
+       sum(CASE WHEN regexp_matches(tok, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}$') THEN 1 ELSE 0 END)::BIGINT
+         AS emails,
+       sum(CASE WHEN length(regexp_replace(tok, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN 1 ELSE 0 END)::BIGINT
+         AS phones,
+       sum(CASE WHEN regexp_matches(tok, '{_NUMERIC_RE2}')
+                  OR regexp_matches(tok, '(?i)^[+-]?(?:inf|infinity|nan)$') THEN 1 ELSE 0 END)::BIGINT AS numerics
+FROM t GROUP BY doc_id
+""")
+def q_text_checks(spark, d):
+    docs = T(spark, d, "documents")
+    toks = docs.select("doc_id", F.explode(F.split("text", r"[ \t\n\r]+")).alias("tok"))
+    as_int = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return toks.groupBy("doc_id").agg(as_int(fn.is_email("tok")).alias("emails"),
+                                      as_int(fn.is_phone("tok")).alias("phones"),
+                                      as_int(fn.is_numeric("tok")).alias("numerics"))
+
+
+@register("sqlite_builtins", r"""
+SELECT p_partkey, log10(p_retailprice) AS b1,
+       coalesce(TRY_CAST(regexp_extract(trim(substr(p_brand, 7)), '^[+-]?\d+', 0) AS BIGINT), 0) AS b2,
+       0::BIGINT AS b3, p_name || '-' || p_type AS b4, p_size // 3 AS b5
+FROM part
+""")
+def q_builtins(spark, d):
+    p = T(spark, d, "part")
+    return p.select("p_partkey", fn.sqlite_log("p_retailprice").alias("b1"),
+                    fn.sqlite_int(F.substring("p_brand", 7, 100)).alias("b2"),
+                    fn.sqlite_int("p_name").alias("b3"),
+                    fn.concat_op(F.col("p_name"), "-", F.col("p_type")).alias("b4"),
+                    fn.sqlite_div("p_size", F.lit(3)).alias("b5"))
+
+
+# ====================================================================== column patterns
+
+@register("clean_special_chars", """
+SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g') AS cleaned FROM documents
+""")
+def q_clean(spark, d):
+    return T(spark, d, "documents").select("doc_id", fn.clean_special_characters("text").alias("cleaned"))
+
+
+@register("string_patterns", """
+SELECT p_partkey,
+       CASE WHEN length(p_name) - length(replace(p_name, ' ', '')) = 0 THEN p_name
+            ELSE substr(substr(p_name, instr(p_name, ' ') + 1), 1, 3) END AS short_name,
+       length(p_name) AS name_len,
+       CASE WHEN length(p_name) > 9 THEN 'LONG' ELSE 'SHORT' END AS name_class
+FROM part
+""")
+def q_string_patterns(spark, d):
+    p = T(spark, d, "part")
+    n, flag = fn.length_flag("p_name", 9, "LONG", "SHORT")
+    return p.select("p_partkey", fn.after_first_word("p_name", 3).alias("short_name"),
+                    n.alias("name_len"), flag.alias("name_class"))
+
+
+@register("date_patterns", """
+WITH o AS (SELECT *, o_orderpriority = '5-LOW' AS bad,
+                  CASE WHEN o_orderpriority = '5-LOW' THEN '20231301' ELSE strftime(o_orderdate, '%Y%m%d') END AS dt
+           FROM orders)
+SELECT o_orderkey,
+       substr(dt, 5, 2) AS part_5_2, substr(dt, 7, 2) AS day, substr(dt, 5, 2) AS month, substr(dt, 1, 4) AS year,
+       CASE WHEN TRY_CAST(substr(dt, 5, 2) AS INTEGER) BETWEEN 1 AND 3 THEN 'Q1'
+            WHEN TRY_CAST(substr(dt, 5, 2) AS INTEGER) BETWEEN 4 AND 6 THEN 'Q2'
+            WHEN TRY_CAST(substr(dt, 5, 2) AS INTEGER) BETWEEN 7 AND 9 THEN 'Q3' ELSE 'Q4' END AS quarter,
+       CASE WHEN bad THEN NULL ELSE dayname(o_orderdate) END AS day_name,
+       CASE WHEN bad THEN NULL ELSE strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') END
+         AS prev_month_end,
+       '2024-01-31' AS run_date,
+       CASE WHEN bad THEN NULL ELSE dayofweek(o_orderdate)::VARCHAR END AS weekday_num,
+       CASE WHEN bad THEN NULL ELSE strftime(o_orderdate, '%B %d, %Y') END AS readable
+FROM o
+""")
+def q_date_patterns(spark, d):
+    o = T(spark, d, "orders").withColumn("dt", _dirty_date("20231301"))
+    return o.select("o_orderkey",
+                    fn.date_part_by_position("dt", 5, 2).alias("part_5_2"),
+                    fn.date_component("dt", "day").alias("day"),
+                    fn.date_component("dt", "month").alias("month"),
+                    fn.date_component("dt", "year").alias("year"),
+                    fn.date_component("dt", "quarter").alias("quarter"),
+                    fn.date_component("dt", "day_name").alias("day_name"),
+                    fn.prev_month_end("dt").alias("prev_month_end"),
+                    fn.system_date("2024-01-31").alias("run_date"),
+                    fn.weekday_number("dt").alias("weekday_num"),
+                    fn.readable_date("dt").alias("readable"))
