@@ -798,3 +798,37 @@ def q_date_patterns(spark, d):
                     fn.system_date("2024-01-31").alias("run_date"),
                     fn.weekday_number("dt").alias("weekday_num"),
                     fn.readable_date("dt").alias("readable"))
+
+
+# ====================================================================== fuzzy resolution (rows-only)
+
+def part_name_typos(spark, d) -> DataFrame:
+    """Part names with made-up typos, derived in Spark from the part table:
+    key % 4 = 0 unchanged, 1 one character dropped, 2 one character replaced
+    by 'x', 3 an extra 'q' inserted."""
+    p = T(spark, d, "part").select("p_partkey", "p_name")
+    n = F.length("p_name")
+    pos = (F.col("p_partkey") % F.greatest(n, F.lit(1))).cast("int") + 1
+    k = F.col("p_partkey") % 4
+    drop = F.concat(F.substring("p_name", 1, pos - 1), F.expr("substring(p_name, " "cast(p_partkey % greatest(length(p_name), 1) as int) + 2)"))
+    repl = F.concat(F.substring("p_name", 1, pos - 1), F.lit("x"),
+                    F.expr("substring(p_name, cast(p_partkey % greatest(length(p_name), 1) as int) + 2)"))
+    ins = F.concat(F.substring("p_name", 1, 3), F.lit("q"), F.expr("substring(p_name, 4)"))
+    typo = F.when(k == 0, F.col("p_name")).when(k == 1, drop).when(k == 2, repl).otherwise(ins)
+    return p.select("p_partkey", typo.alias("typo_name"))
+
+
+@register("fuzzy_part_names")
+def q_fuzzy(spark, d):
+    from tablewright.operators import fuzzy
+    typos = part_name_typos(spark, d)
+    names = T(spark, d, "part").select("p_name", "p_partkey")
+    return fuzzy.fuzzy_best(typos, "typo_name", names, "p_name", 0.6, "p_partkey")
+
+
+@register("resolve_part_names")
+def q_resolve(spark, d):
+    from tablewright.operators import fuzzy
+    typos = part_name_typos(spark, d)
+    names = T(spark, d, "part").select("p_name", "p_partkey")
+    return fuzzy.resolve_names(typos, "typo_name", names, "p_name", 0.4, "p_partkey")
