@@ -832,3 +832,131 @@ def q_resolve(spark, d):
     typos = part_name_typos(spark, d)
     names = T(spark, d, "part").select("p_name", "p_partkey")
     return fuzzy.resolve_names(typos, "typo_name", names, "p_name", 0.4, "p_partkey")
+
+
+# ====================================================================== request / statement classifiers
+
+def _contains_any_sql(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+def _classify_sql() -> str:
+    from tablewright.plans import requests as rq
+    low = "lower(coalesce(text, ''))"
+    n_tables = " + ".join(f"contains({low}, '{t}')::INT" for t in rq.KNOWN_TABLES)
+    return f"""
+SELECT conv_id, turn,
+       CASE WHEN ({n_tables}) > 1 OR {_contains_any_sql(low, rq.JOIN_KEYWORDS)} THEN 'JOIN_OPERATION'
+            WHEN {_contains_any_sql(low, rq.SEGMENT_KEYWORDS)} THEN 'CROSS_SEGMENT'
+            WHEN {_contains_any_sql(low, rq.VALIDATION_KEYWORDS)} THEN 'VALIDATION_OPERATION'
+            WHEN {_contains_any_sql(low, rq.AGGREGATION_KEYWORDS)} THEN 'AGGREGATION_OPERATION'
+            ELSE 'SIMPLE_TRANSFORMATION' END AS query_type
+FROM conversations"""
+
+
+@register("classify_requests", _classify_sql())
+def q_classify(spark, d):
+    from tablewright.plans import requests as rq
+    c = T(spark, d, "conversations")
+    return rq.classify_requests(c, "text").select("conv_id", "turn", "query_type")
+
+
+def _sql_escape(p: str) -> str:
+    return p.replace("'", "''")
+
+
+def _transform_type_sql() -> str:
+    from tablewright.plans import requests as rq
+    whens = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{_sql_escape(p)}', 'i') THEN '{k}'"
+                     for p, k in rq.TRANSFORM_TYPE_RULES)
+    return f"SELECT conv_id, turn, CASE {whens} ELSE 'none' END AS transformation_type FROM conversations"
+
+
+@register("sql_transform_type", _transform_type_sql())
+def q_transform_type(spark, d):
+    from tablewright.plans import requests as rq
+    return rq.sql_transform_type(T(spark, d, "conversations"), "text").select("conv_id", "turn", "transformation_type")
+
+
+@register("sql_kind_target", r"""
+WITH c AS (SELECT conv_id, turn, upper(coalesce(text, '')) AS u, coalesce(text, '') AS s FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN contains(u, 'INSERT') AND contains(u, 'SELECT') THEN 'INSERT-SELECT'
+            WHEN contains(u, 'INSERT') THEN 'INSERT'
+            WHEN contains(u, 'UPDATE') AND contains(u, 'FROM') THEN 'UPDATE-FROM'
+            WHEN contains(u, 'UPDATE') THEN 'UPDATE'
+            WHEN contains(u, 'ALTER TABLE') AND contains(u, 'ADD COLUMN') THEN 'ALTER-ADD'
+            WHEN contains(u, 'ALTER TABLE') AND contains(u, 'DROP COLUMN') THEN 'ALTER-DROP'
+            WHEN contains(u, 'DELETE') THEN 'DELETE' ELSE 'OTHER' END AS statement_kind,
+       CASE WHEN regexp_matches(s, '(?i)INSERT\s+INTO\s+([^\s(]+)')
+              THEN regexp_replace(regexp_extract(s, '(?i)INSERT\s+INTO\s+([^\s(]+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
+            WHEN regexp_matches(s, '(?i)UPDATE\s+(\S+)')
+              THEN regexp_replace(regexp_extract(s, '(?i)UPDATE\s+(\S+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
+            WHEN regexp_matches(s, '(?i)ALTER\s+TABLE\s+(\S+)')
+              THEN regexp_replace(regexp_extract(s, '(?i)ALTER\s+TABLE\s+(\S+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
+       END AS target_table
+FROM c
+""")
+def q_kind(spark, d):
+    from tablewright.plans import requests as rq
+    c = T(spark, d, "conversations")
+    return rq.sql_target(rq.sql_kind(c, "text"), "text").select("conv_id", "turn", "statement_kind", "target_table")
+
+
+@register("clean_table_names", r"""
+SELECT p_partkey, regexp_replace(p_type || CASE WHEN p_size % 2 = 0 THEN ' Table' ELSE '_table' END,
+                                 '[ _](Table|table|TABLE)$', '') AS clean
+FROM part
+""")
+def q_clean_names(spark, d):
+    from tablewright.plans.requests import clean_name
+    p = T(spark, d, "part")
+    raw = F.concat("p_type", F.when(F.col("p_size") % 2 == 0, F.lit(" Table")).otherwise(F.lit("_table")))
+    return p.select("p_partkey", clean_name(raw).alias("clean"))
+
+
+# ====================================================================== reports
+
+@register("pre_post_report", """
+SELECT t.c_custkey AS primary_key, s.c_name AS c_name_source, t.c_name AS c_name_target,
+       t.c_acctbal AS c_acctbal_source, t.c_acctbal AS c_acctbal_target,
+       NULL AS src_source, t.src AS src_target
+FROM (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal, 'ERP' AS src FROM customer) t
+LEFT JOIN customer s ON s.c_custkey = t.c_custkey
+ORDER BY 1
+""")
+def q_report(spark, d):
+    from tablewright.plans.lineage import pre_post_report
+    from tablewright.plans.steps import ColumnLineage
+    c = T(spark, d, "customer")
+    target = c.select("c_custkey", F.upper("c_name").alias("c_name"), "c_acctbal", F.lit("ERP").alias("src"))
+    cols = [ColumnLineage("c_name", "customer", "c_name", "string_manipulation"),
+            ColumnLineage("c_acctbal", "customer", "c_acctbal"),
+            ColumnLineage("src")]
+    return pre_post_report(target, {"customer": c}, cols, "c_custkey")
+
+
+@register("sync_check", """
+SELECT (SELECT count(*) FROM customer) AS target_row_count,
+       (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS source_row_count,
+       (SELECT count(*) FROM customer) = (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING')
+         AS row_counts_match,
+       true AS schemas_match,
+       (SELECT count(*) FROM customer) = (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING')
+         AS in_sync
+""")
+def q_sync(spark, d):
+    from tablewright.plans.lineage import sync_check
+    c = T(spark, d, "customer")
+    return sync_check(c, c.where(F.col("c_mktsegment") != "BUILDING"))
+
+
+@register("selection_load", """
+SELECT c_custkey AS cust_id, c_name AS cust_name FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+""")
+def q_selection_load(spark, d):
+    from tablewright.plans.runs import selection_load
+    target = empty(spark, "cust_id long, cust_name string")
+    new_target, _ = selection_load(target, T(spark, d, "customer"), {"cust_id": "c_custkey", "cust_name": "c_name"},
+                                   {"c_mktsegment": "HOUSEHOLD"})
+    return new_target
