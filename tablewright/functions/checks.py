@@ -28,11 +28,18 @@ def is_numeric(s: Any) -> Column:
 
 def py_float(s: Any) -> Column:
     """Python ``float(x)`` as a Column: numbers pass through, text parses with
-    Python's syntax (``1_000``, `` 12 ``, ``nan``), anything else -> NULL."""
+    Python's syntax (``1_000``, `` 12 ``, ``nan``), anything else -> NULL.
+
+    The input type is tested with ``typeof``, which Catalyst folds to a
+    constant, so numeric columns compile to a plain cast and only text columns
+    carry the parsing.  Text fast path: Spark's own cast, unless the text holds
+    ``d``/``f``/``x`` (Java also accepts ``1d``, ``1f`` and hex floats, Python
+    does not) or ``_``; only those rows pay for the full pattern check."""
     c = col(s) if not isinstance(s, (int, float)) else F.lit(float(s))
-    t = py_strip(c.cast("string"))
-    parsed = F.regexp_replace(t, "_", "").try_cast("double")
-    return F.when(is_numeric(c), parsed)
+    t = c.cast("string")
+    fast = F.when(~t.rlike(r"(?i)[dfx_]"), t.try_cast("double"))
+    slow = F.when(is_numeric(t), F.regexp_replace(py_strip(t), "_", "").try_cast("double"))
+    return F.when(F.typeof(c).isin("string", "void"), F.coalesce(fast, slow)).otherwise(c.try_cast("double"))
 
 
 def is_email(s: Any) -> Column:
