@@ -29,8 +29,8 @@ _FUNCTIONS = {
                   "ELSE rpad(coalesce(s, ''), n, CASE WHEN coalesce(c, '') = '' THEN ' ' ELSE left(c, 1) END) END"),
     "safe_divide": ("a DOUBLE, b DOUBLE, d DOUBLE DEFAULT 0.0", "DOUBLE",
                     "CASE WHEN coalesce(b, 0.0) = 0.0 THEN coalesce(d, 0.0) ELSE coalesce(a, 0.0) / b END"),
-    "percentage": ("a DOUBLE, b DOUBLE, dec INT DEFAULT 2", "DOUBLE",
-                   "CASE WHEN coalesce(b, 0.0) = 0.0 THEN 0.0 ELSE round(coalesce(a, 0.0) / b * 100, dec) END"),
+    "percentage": ("a DOUBLE, b DOUBLE", "DOUBLE",
+                   "CASE WHEN coalesce(b, 0.0) = 0.0 THEN 0.0 ELSE round(coalesce(a, 0.0) / b * 100, 2) END"),
     "is_email": ("s STRING", "BOOLEAN",
                  f"coalesce(regexp_replace(s, {_STRIP}, '') RLIKE {_sql_str(EMAIL_PATTERN)}, false)"),
     "is_numeric": ("s STRING", "BOOLEAN",

@@ -21,10 +21,10 @@ from tablewright.functions._util import col, lit, text
 # ---------------------------------------------------------------- regex dialect
 
 def _inline_flags(flags: str | None) -> str:
-    if not flags:
-        return ""
-    f = "".join(ch for ch in "ims" if ch in str(flags).lower())
-    return f"(?{f})" if f else ""
+    """Python flags as Java inline flags; ``U`` always, because Python's
+    ``\\w``, ``\\d``, ``\\s`` and ``\\b`` are Unicode-aware on text."""
+    f = "".join(ch for ch in "ims" if flags and ch in str(flags).lower())
+    return f"(?U{f})"
 
 
 def java_pattern(pattern: str) -> str:
@@ -86,7 +86,8 @@ def regexp_replace(s: Any, pattern: str | None, replacement: str | None = "",
     if pattern is None or pattern == "" or _compiles(pattern) is None:
         return base
     rep = "" if replacement is None else java_replacement(str(replacement))
-    return F.regexp_replace(base, F.lit(_inline_flags(flags) + java_pattern(pattern)), F.lit(rep))
+    replaced = F.regexp_replace(text(s), F.lit(_inline_flags(flags) + java_pattern(pattern)), F.lit(rep))
+    return F.coalesce(replaced, F.lit(""))
 
 
 def regexp_match(pattern: str | None, s: Any, flags: str | None = None) -> Column:

@@ -234,7 +234,7 @@ def _score_block(threshold: float):
         qs = pdf[pdf["__side"] == 0]
         ws = pdf[pdf["__side"] == 1]
         if qs.empty or ws.empty:
-            return pd.DataFrame({c.name: [] for c in _MATCH_SCHEMA.fields})
+            return _result([], [], [], [])
         q_raw = qs["__text"].tolist()
         w_raw = ws["__text"].tolist()
         w_ord = ws["__order"].tolist()
@@ -261,10 +261,15 @@ def _score_block(threshold: float):
                     out_w.append(w)
                     out_o.append(int(w_ord[j]))
                     out_s.append(float(sc))
-        return pd.DataFrame({"__q": out_q, "match": out_w, "match_order": out_o, "score": out_s})
+        return _result(out_q, out_w, out_o, out_s)
     return run
 
 
+def _result(q: list, w: list, o: list, sc: list) -> pd.DataFrame:
+    return pd.DataFrame({"__q": pd.Series(q, dtype=object), "match": pd.Series(w, dtype=object),
+                         "match_order": pd.Series(o, dtype="int64"), "score": pd.Series(sc, dtype="float64")})
+
+
 def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str,
                   threshold: float = 0.6, right_order: str | None = None,
                   dict_chunk: int = 500, pair_budget: int = 100_000) -> DataFrame:
@@ -295,15 +300,23 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
     q_slices = max(math.ceil(n_query * max(n_dict, 1) / pair_budget), left.sparkSession.sparkContext.defaultParallelism)
     q_slices = max(1, min(q_slices, math.ceil(n_query / 50)))
     rho = min_length_ratio(threshold)
+    # Dictionary band range: one tiny aggregate row (bands are log-lengths, < 100).
+    lims = per_band.agg(F.min("__band").alias("lo"), F.max("__band").alias("hi")).first()
+    if lims["lo"] is None:
+        return left.where(F.lit(False)).select(*left.columns, F.lit(None).cast("string").alias("match"),
+                    F.lit(None).cast("long").alias("match_order"), F.lit(None).cast("double").alias("score"))
+    b_lo, b_hi = int(lims["lo"]), int(lims["hi"])
     qlen = F.length(F.regexp_replace(F.trim(F.lower("__text")), r"\s+", " "))
-    lo = band_of(F.floor(qlen * F.lit(rho)).cast("int")) if rho > 0 else F.lit(-1)
-    hi = band_of(F.ceil(qlen / F.lit(rho)).cast("int")) if rho > 0 else F.lit(10_000)
-    q = q.withColumn("__slice", F.pmod(F.xxhash64("__text"), F.lit(q_slices)).cast("int")) \
-        .withColumn("__lo", lo).withColumn("__hi", hi)
-    # Bands present in the dictionary with their chunk counts (one row per band).
+    lo = band_of(F.floor(qlen * F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_lo)
+    hi = band_of(F.ceil(qlen / F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_hi)
+    lo, hi = F.greatest(lo, F.lit(b_lo)), F.least(hi, F.lit(b_hi))
+    q = q.withColumn("__slice", F.pmod(F.xxhash64("__text"), F.lit(q_slices)).cast("int"))
+    # Band join as an equi-join: each query lists the (at most ~60) compatible
+    # length bands, then joins the per-band chunk counts on the band id.
+    q = q.withColumn("__band", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
     bands = per_band.select("__band", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(dict_chunk))).cast("int")
                             .alias("__nchunks"))
-    q_side = (q.join(bands, (F.col("__band") >= F.col("__lo")) & (F.col("__band") <= F.col("__hi")))
+    q_side = (q.join(bands, "__band")
               .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__nchunks") - 1)))
               .select("__band", "__chunk", "__slice", "__text", F.lit(None).cast("long").alias("__order"),
                       F.lit(0).alias("__side")))

@@ -42,8 +42,9 @@ def clean_mapping(df: DataFrame, order_col: str = "field_id") -> DataFrame:
     out = df.withColumn("source_table", _blank_to_null("source_table")) \
         .withColumn("source_field_name", _blank_to_null("source_field_name")) \
         .withColumn("target_sap_field", _blank_to_null("target_sap_field"))
+    # One value (the first non-blank source table) is read back to the driver:
+    # a single scalar from a global aggregate, bounded whatever the table size.
     first = out.where(F.col("source_table").isNotNull()) \
-        .agg(F.min_by("source_table", order_col).alias("__first_src"))
-    out = out.withColumn("__one", F.lit(1)).join(first.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
-    out = out.withColumn("source_table", F.coalesce("source_table", "__first_src")).drop("__first_src")
+        .agg(F.min_by("source_table", order_col).alias("s")).first()["s"]
+    out = out.withColumn("source_table", F.coalesce(F.col("source_table"), F.lit(first).cast("string")))
     return out.withColumn("source_field_name", F.coalesce("source_field_name", "target_sap_field"))

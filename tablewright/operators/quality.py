@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tablewright.functions.text import java_pattern, _compiles
-from tablewright.operators._keys import MATCH, keyed_left_join, one_row_join
+from tablewright.operators._keys import MATCH, keyed_left_join
 from tablewright.operators.aggs import summary
 
 
@@ -148,16 +148,22 @@ def validate(df: DataFrame, rules: Sequence[Rule | Mapping[str, Any]],
 
 def check_result(target: DataFrame, result: DataFrame, expected_columns: Sequence[str]) -> DataFrame:
     """V8: one row: target rows >= result rows, and the result's populated
-    columns are exactly the expected ones."""
-    t = target.agg(F.count(F.lit(1)).alias("target_rows"))
-    s = summary(result).select(F.col("rows").alias("result_rows"), "non_null")
+    columns are exactly the expected ones.  Both tables feed one aggregate
+    (tagged union), so there is no join at all."""
+    cols = result.columns
+    tagged = target.select(F.lit(1).alias("__t"), *[F.lit(None).cast(result.schema[c].dataType).alias(c) for c in cols]) \
+        .unionByName(result.select(F.lit(0).alias("__t"), *[F.col(f"`{c}`") for c in cols]))
+    row = tagged.agg(F.sum("__t").alias("target_rows"), F.sum(1 - F.col("__t")).alias("result_rows"),
+                     *[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
+    pop = F.filter(F.array(*[F.when(F.col(f"`{c}`") > 0, F.lit(c)) for c in cols]), lambda x: x.isNotNull()) \
+        if cols else F.array().cast("array<string>")
+    pop = F.array_sort(pop)
     exp = sorted(expected_columns)
-    pop = F.array_sort(F.map_keys(F.map_filter("non_null", lambda k, v: v > 0)))
-    return one_row_join(t, s).select(
-        "target_rows", "result_rows",
-        (F.col("target_rows") >= F.col("result_rows")).alias("rows_ok"),
+    return row.select(
+        F.coalesce("target_rows", F.lit(0)).alias("target_rows"), F.coalesce("result_rows", F.lit(0)).alias("result_rows"),
+        (F.coalesce("target_rows", F.lit(0)) >= F.coalesce("result_rows", F.lit(0))).alias("rows_ok"),
         pop.alias("populated_columns"),
-        (pop == F.array(*[F.lit(c) for c in exp])).alias("columns_ok"))
+        (pop == F.array(*[F.lit(c) for c in exp]).cast("array<string>")).alias("columns_ok"))
 
 
 def missing_mandatory(target: DataFrame, meta: DataFrame) -> DataFrame:
@@ -212,13 +218,15 @@ def find_relationships(tables: Mapping[str, DataFrame], min_cover: float = 1.0,
     parts = []
     for a, ac, b, bc in pairs:
         child = tables[a].select(F.col(ac).alias("v")).where(F.col("v").isNotNull()).distinct()
-        parent = tables[b].select(F.col(bc).alias("p")).where(F.col("p").isNotNull()).distinct()
-        covered = child.join(parent, F.col("v") == F.col("p"), "left_semi")
-        parts.append(one_row_join(child.agg(F.count(F.lit(1)).alias("child_distinct")),
-                                  covered.agg(F.count(F.lit(1)).alias("covered")))
-                     .select(F.lit(a).alias("child_table"), F.lit(ac).alias("child_column"),
-                             F.lit(b).alias("parent_table"), F.lit(bc).alias("parent_column"),
-                             "child_distinct", "covered"))
+        parent = (tables[b].select(F.col(bc).alias("p")).where(F.col("p").isNotNull()).distinct()
+                  .withColumn("__hit", F.lit(1)))
+        # distinct child values left-joined to distinct parent values: one
+        # equi-join and one aggregate give both counts.
+        cov = child.join(parent, F.col("v") == F.col("p"), "left").agg(
+            F.count(F.lit(1)).alias("child_distinct"), F.count("__hit").alias("covered"))
+        parts.append(cov.select(F.lit(a).alias("child_table"), F.lit(ac).alias("child_column"),
+                                F.lit(b).alias("parent_table"), F.lit(bc).alias("parent_column"),
+                                "child_distinct", "covered"))
     if not parts:
         return spark.createDataFrame([], "child_table string, child_column string, parent_table string, "
                                          "parent_column string, child_distinct long, covered long, cover double")

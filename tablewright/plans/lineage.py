@@ -7,7 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators._keys import dedupe_by_key, one_row_join
+from tablewright.operators._keys import dedupe_by_key
 from tablewright.plans.steps import ColumnLineage, Step
 
 LINEAGE_SCHEMA = ("session_id string, step string, step_index int, target_table string, target_column string, "
@@ -62,12 +62,14 @@ def pre_post_report(target: DataFrame, sources: Mapping[str, DataFrame], columns
 
 
 def sync_check(target: DataFrame, src: DataFrame) -> DataFrame:
-    """One row: row counts, schema equality and ``in_sync``."""
+    """One row: row counts, schema equality and ``in_sync``.  Both counts
+    come from one aggregate over a tagged union of the key-less rows."""
     same_schema = [(f.name, f.dataType.simpleString()) for f in target.schema.fields] == \
                   [(f.name, f.dataType.simpleString()) for f in src.schema.fields]
-    t = target.agg(F.count(F.lit(1)).alias("target_row_count"))
-    s = src.agg(F.count(F.lit(1)).alias("source_row_count"))
-    return one_row_join(t, s).select(
+    tagged = target.select(F.lit(1).alias("__t")).unionByName(src.select(F.lit(0).alias("__t")))
+    row = tagged.agg(F.coalesce(F.sum("__t"), F.lit(0)).cast("long").alias("target_row_count"),
+                     F.coalesce(F.sum(1 - F.col("__t")), F.lit(0)).cast("long").alias("source_row_count"))
+    return row.select(
         "target_row_count", "source_row_count",
         (F.col("target_row_count") == F.col("source_row_count")).alias("row_counts_match"),
         F.lit(same_schema).alias("schemas_match"),

@@ -12,12 +12,16 @@ from tablewright.session import checkpoint_root
 
 
 def read_table_stream(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream the parquet files of ``<directory>/<name>.parquet`` (schema taken
-    from the existing files, so no inference pass at start-up)."""
+    """Stream the parquet data of table ``name``: a ``<name>.parquet`` folder,
+    or a single ``<name>.parquet`` file in ``directory`` (the file source then
+    watches the folder with a glob filter).  The schema is taken from the
+    existing data, so there is no inference pass at start-up."""
     path = os.path.join(directory, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(path if os.path.isdir(path) else os.path.dirname(path) + "/" + f"{name}.parquet"))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if os.path.isdir(path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
 def map_stream(df: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
