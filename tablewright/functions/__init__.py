@@ -2,7 +2,7 @@
 
 from tablewright.functions.text import (
     regexp_replace, regexp_match, regexp_extract, split_string, reverse_string, proper_case,
-    left_pad, right_pad, leading_zeros, clean_special_characters, after_first_word, length_flag,
+    left_pad, right_pad, leading_zeros, handle_sap_leading_zeros, clean_special_characters, after_first_word, length_flag,
     java_pattern, java_replacement,
 )
 from tablewright.functions.numbers import (

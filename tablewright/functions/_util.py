@@ -25,7 +25,16 @@ def text(c: Any) -> Column:
 
 # Python's str.strip() removes all Unicode whitespace; Spark's trim() only spaces.
 _STRIP_RE = r"(?U)^\s+|\s+$"
+# The ASCII characters Python's str.isspace() accepts.
+ASCII_SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def is_ascii(c: Column) -> Column:
+    """Cheap exact test: UTF-8 byte length equals character length."""
+    return F.octet_length(c) == F.length(c)
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP_RE, "")
+    """``str.strip()``: ASCII text with a character trim, other text with the
+    Unicode whitespace pattern."""
+    return F.when(is_ascii(c), F.btrim(c, F.lit(ASCII_SPACES))).otherwise(F.regexp_replace(c, _STRIP_RE, ""))

@@ -61,9 +61,22 @@ def _has_separators(fmt: str) -> bool:
     return not re.search(r"%[A-Za-z]%[A-Za-z]", fmt)
 
 
+def _compact_to_date(t: Column) -> Column:
+    """``YYYYMMDD`` text -> DATE via an ISO string and ``try_cast`` (invalid
+    dates such as 20230230 give NULL).  Much cheaper than a pattern parser
+    that fails by exception on every bad row."""
+    iso = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 7, 2))
+    return F.when(t.rlike(r"^[0-9]{8}$"), iso.try_cast("date"))
+
+
 def parse_text_ts(s: Any, fmt: str) -> Column:
-    """Text -> timestamp by a strftime format; unparsable -> NULL."""
+    """Text -> timestamp by a strftime format; unparsable -> NULL.  The two
+    common date layouts use the cast path, others Spark's pattern parser."""
     t = text(s)
+    if fmt == "%Y%m%d":
+        return _compact_to_date(t).cast("timestamp")
+    if fmt == "%Y-%m-%d":
+        return F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date")).cast("timestamp")
     strict = F.try_to_timestamp(t, F.lit(strftime_to_spark(fmt)))
     if _has_separators(fmt):
         return F.coalesce(strict, F.try_to_timestamp(t, F.lit(strftime_to_spark(fmt, loose=True))))
@@ -120,7 +133,7 @@ def date_text(ts: Any) -> Column:
 
 def _iso_date(s: Any) -> Column:
     """``YYYYMMDD`` text -> DATE (NULL when it is no real date)."""
-    return F.try_to_date(text(s), "yyyyMMdd")
+    return _compact_to_date(text(s))
 
 
 def date_part_by_position(s: Any, start: int, length: int) -> Column:
@@ -167,7 +180,7 @@ def date_component(s: Any, date_type: str) -> Column:
 
 def prev_month_end(s: Any) -> Column:
     """P10: last day of the previous month as ISO text (first of month minus 1 day)."""
-    first = F.try_to_date(F.concat(F.substring(text(s), 1, 6), F.lit("01")), "yyyyMMdd")
+    first = _compact_to_date(F.concat(F.substring(text(s), 1, 6), F.lit("01")))
     return F.date_format(F.date_sub(first, 1), "yyyy-MM-dd")
 
 
@@ -181,9 +194,9 @@ def system_date(run_date: str | None = None) -> Column:
 
 def weekday_number(s: Any) -> Column:
     """Weekday with 0 = Sunday (SQLite ``%w``); bad date -> NULL."""
-    return (F.dayofweek(yyyymmdd_to_iso(s).try_cast("date")) - 1).cast("string")
+    return (F.dayofweek(_iso_date(s)) - 1).cast("string")
 
 
 def readable_date(s: Any) -> Column:
     """``December 08, 2023``; bad date -> NULL."""
-    return F.date_format(yyyymmdd_to_iso(s).try_cast("date"), "MMMM dd, yyyy")
+    return F.date_format(_iso_date(s), "MMMM dd, yyyy")

@@ -13,7 +13,8 @@ from tablewright.functions.checks import py_float
 
 def _num(x: Any) -> Column:
     """Argument as double the way the reference reads it: NULL -> 0.0,
-    unparsable -> NULL (the caller maps that to its error value)."""
+    unparsable -> NULL (which the callers turn into their error value).
+    Each operand is parsed once."""
     if x is None:
         return F.lit(0.0)
     if isinstance(x, (int, float)):
@@ -22,42 +23,31 @@ def _num(x: Any) -> Column:
     return F.when(c.isNull(), F.lit(0.0)).otherwise(py_float(c))
 
 
-def _is_bad(x: Any) -> Column:
-    if x is None or isinstance(x, (int, float)):
-        return F.lit(False)
-    c = col(x)
-    return c.isNotNull() & py_float(c).isNull()
-
-
 def safe_divide(a: Any, b: Any, default: float = 0.0) -> Column:
-    """A / b; NULL a -> 0; NULL or zero b -> default; non-numeric -> default."""
+    """A / b; NULL a -> 0; NULL or zero b -> default; non-numeric -> default.
+    (A bad operand parses to NULL, the division is NULL, and the final
+    ``coalesce`` gives the default -- as the reference's exception path.)"""
     num, den = _num(a), _num(b)
     d = F.lit(float(default if default is not None else 0.0))
-    return (F.when(_is_bad(a) | _is_bad(b), d)
-            .when(den == 0, d)
-            .otherwise(num / den))
+    return F.coalesce(F.when(den == 0, d).otherwise(num / den), d)
 
 
 def percentage(part: Any, whole: Any, decimals: int = 2) -> Column:
     """round(part / whole * 100, decimals); zero/NULL whole or bad input -> 0.0.
     (Spark rounds half-up on the decimal value; Python rounds the binary double.)"""
     p, w = _num(part), _num(whole)
-    return (F.when(_is_bad(part) | _is_bad(whole), F.lit(0.0))
-            .when(w == 0, F.lit(0.0))
-            .otherwise(F.round(p / w * 100, int(decimals))))
-
-
-def _finite(c: Column) -> Column:
-    return ~(F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.coalesce(F.when(w == 0, F.lit(0.0)).otherwise(F.round(p / w * 100, int(decimals))), F.lit(0.0))
 
 
 def power_of(a: Any, b: Any) -> Column:
-    """A ** b with NULL operands as 0.0; a domain error or overflow from
-    finite inputs (NaN / infinite result) -> 0.0, as ``math.pow`` raising."""
+    """A ** b with NULL operands as 0.0; where ``math.pow`` raises -- a
+    negative base with a fractional exponent, zero to a negative power, or an
+    overflow from finite inputs -- 0.0; bad text -> 0.0."""
     x, y = _num(a), _num(b)
     r = F.pow(x, y)
-    err = _finite(x) & _finite(y) & ~_finite(r)
-    return F.when(_is_bad(a) | _is_bad(b), F.lit(0.0)).when(err, F.lit(0.0)).otherwise(r)
+    domain = ((x < 0) & (y != F.floor(y))) | ((x == 0) & (y < 0))
+    overflow = (F.abs(r) == float("inf")) & (F.abs(x) != float("inf")) & (F.abs(y) != float("inf"))
+    return F.coalesce(F.when(domain | overflow, F.lit(0.0)).otherwise(r), F.lit(0.0))
 
 
 # ---------------------------------------------------------------- E21 SQLite built-ins

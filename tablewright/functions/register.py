@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tablewright.functions.checks import EMAIL_PATTERN, FLOAT_PATTERN, SPECIAL_FLOAT_PATTERN
+from tablewright.functions.checks import EMAIL_PATTERN, NUMERIC_TEXT_PATTERN
 
 
 def _sql_str(s: str) -> str:
@@ -32,10 +32,9 @@ _FUNCTIONS = {
     "percentage": ("a DOUBLE, b DOUBLE", "DOUBLE",
                    "CASE WHEN coalesce(b, 0.0) = 0.0 THEN 0.0 ELSE round(coalesce(a, 0.0) / b * 100, 2) END"),
     "is_email": ("s STRING", "BOOLEAN",
-                 f"coalesce(regexp_replace(s, {_STRIP}, '') RLIKE {_sql_str(EMAIL_PATTERN)}, false)"),
+                 f"coalesce(s RLIKE {_sql_str(EMAIL_PATTERN)}, false)"),
     "is_numeric": ("s STRING", "BOOLEAN",
-                   f"coalesce(regexp_replace(s, {_STRIP}, '') RLIKE {_sql_str(FLOAT_PATTERN)} OR "
-                   f"regexp_replace(s, {_STRIP}, '') RLIKE {_sql_str(SPECIAL_FLOAT_PATTERN)}, false)"),
+                   f"coalesce(s RLIKE {_sql_str(NUMERIC_TEXT_PATTERN)}, false)"),
     "is_phone": ("s STRING", "BOOLEAN",
                  "coalesce(length(regexp_replace(s, '(?U)[^\\\\d]', '')) BETWEEN 7 AND 15, false)"),
     "is_valid_json": ("s STRING", "BOOLEAN", "coalesce(try_parse_json(s) IS NOT NULL, false)"),

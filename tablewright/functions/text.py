@@ -187,3 +187,7 @@ def length_flag(s: Any, threshold: int, above: Any, otherwise: Any) -> tuple[Col
     ``otherwise`` (NULL length -> ``otherwise``)."""
     n = F.length(text(s))
     return n, F.when(n > F.lit(threshold), lit(above)).otherwise(lit(otherwise))
+
+
+# The documented helper name.
+handle_sap_leading_zeros = leading_zeros

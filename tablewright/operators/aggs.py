@@ -80,3 +80,7 @@ def summary(df: DataFrame) -> DataFrame:
     populated = sum((F.when(F.col(f"`{c}`") > 0, 1).otherwise(0) for c in df.columns), F.lit(0))
     return row.select(F.col("__tw_rows").alias("rows"), populated.alias("populated"),
                       F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`"))]).alias("non_null"))
+
+
+# The documented helper name.
+aggregate_data = aggregate

@@ -174,3 +174,7 @@ def ifnull(c: Any, alt: Any) -> Column:
 
 def iif(cond: Column, a: Any, b: Any) -> Column:
     return F.when(cond, _v(a)).otherwise(_v(b))
+
+
+# Names used by the reference's documented helpers.
+conditional_mapping = case_map

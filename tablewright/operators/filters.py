@@ -113,3 +113,7 @@ def distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``SELECT DISTINCT cols`` (hash aggregate; duplicates are combined
     map-side before the shuffle, so a hot value costs one row per task)."""
     return (df.select(*cols) if cols else df).distinct()
+
+
+# Names used by the reference's documented helpers.
+filter_dataframe = filter_rows

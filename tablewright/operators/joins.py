@@ -205,3 +205,7 @@ def join_on_mapping(a: DataFrame, b: DataFrame, key_mapping: Sequence[Mapping[st
     else:
         pairs = [(m["target_col"], m["source_col"]) for m in key_mapping]
     return a.join(b, all_of([a[t] == b[s] for t, s in pairs]), how)
+
+
+# The documented helper name.
+join_tables = add_fields

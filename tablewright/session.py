@@ -68,3 +68,25 @@ def is_local(spark: SparkSession) -> bool:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a large run, from the input size: shuffle partitions so a
+    partition holds ~256 MB before AQE coalesces them, scan splits of 256 MB,
+    broadcast only under 64 MB (AQE measures the real size at runtime), skew
+    splitting of partitions 5x the median and above 512 MB.  Pass the result
+    as ``get_session(extra=...)`` or to spark-submit."""
+    slots = executors * cores_per_executor
+    partitions = max(slots * 2, input_bytes // (256 * 1024 * 1024))
+    return {
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }

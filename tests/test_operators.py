@@ -250,3 +250,26 @@ def test_find_relationships(spark):
     out = quality.find_relationships({"c": child, "p": parent}, 1.0)
     got = {(r.child_table, r.child_column, r.parent_table, r.parent_column) for r in out.collect()}
     assert ("c", "fk", "p", "pk") in got and ("p", "pk", "c", "fk") not in got
+
+
+def test_check_result_and_summary(spark, target):
+    result = target.select("k", "name", F.lit(None).cast("string").alias("empty"))
+    r = quality.check_result(target, result, ["k", "name"]).first()
+    assert (r.target_rows, r.result_rows, r.rows_ok, r.columns_ok) == (5, 5, True, True)
+    assert list(r.populated_columns) == ["k", "name"]
+    s = aggs.summary(result).first()
+    assert (s.rows, s.populated) == (5, 2)
+
+
+def test_sample_and_view(spark, target):
+    from tablewright.sources import as_view, sample
+    assert [r.k for r in sample(target, 2, ["k"]).collect()] == [None, 1]
+    as_view(target, "tw_target_view")
+    assert spark.sql("SELECT count(*) FROM tw_target_view").first()[0] == 5
+
+
+def test_reference_helper_names():
+    from tablewright import functions as fn
+    assert filters.filter_dataframe is filters.filter_rows and aggs.aggregate_data is aggs.aggregate
+    assert joins.join_tables is joins.add_fields and cond.conditional_mapping is cond.case_map
+    assert fn.handle_sap_leading_zeros is fn.leading_zeros
