@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
+from tablewright.session import checkpoint_root
+
 _WS = re.compile(r"\s+")
 
 # The per-block scorer runs in Python workers: ship this module's code with
@@ -293,15 +295,18 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
     w = w.join(per_band, "__band").withColumn(
         "__nchunks", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(dict_chunk))).cast("int"))
     w = w.withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.col("__nchunks")).cast("int"))
+    # Sizes for the grid, from two small aggregates: distinct queries, and the
+    # dictionary's text count and band range (bands are log-lengths, < 100).
+    n_query = q.count()
+    wstats = per_band.agg(F.sum("__n").alias("n"), F.min("__band").alias("lo"), F.max("__band").alias("hi")).first()
+    n_dict = min(wstats["n"] or 0, dict_chunk)
+    parallelism = left.sparkSession.sparkContext.defaultParallelism
     # Query slices: enough that one task scores about ``pair_budget`` pairs,
     # at least one per core, never slices of fewer than ~50 texts.
-    n_query = q.count()
-    n_dict = min(w.count(), dict_chunk)
-    q_slices = max(math.ceil(n_query * max(n_dict, 1) / pair_budget), left.sparkSession.sparkContext.defaultParallelism)
+    q_slices = max(math.ceil(n_query * max(n_dict, 1) / pair_budget), parallelism)
     q_slices = max(1, min(q_slices, math.ceil(n_query / 50)))
     rho = min_length_ratio(threshold)
-    # Dictionary band range: one tiny aggregate row (bands are log-lengths, < 100).
-    lims = per_band.agg(F.min("__band").alias("lo"), F.max("__band").alias("hi")).first()
+    lims = wstats
     if lims["lo"] is None:
         return left.where(F.lit(False)).select(*left.columns, F.lit(None).cast("string").alias("match"),
                     F.lit(None).cast("long").alias("match_order"), F.lit(None).cast("double").alias("score"))
@@ -322,7 +327,9 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
                       F.lit(0).alias("__side")))
     w_side = (w.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))))
               .select("__band", "__chunk", "__slice", "__text", "__order", F.lit(1).alias("__side")))
-    grid = q_side.unionByName(w_side)
+    # An explicit partition count: the grid is tiny in bytes but heavy in CPU,
+    # so AQE must not coalesce its blocks into a few tasks.
+    grid = q_side.unionByName(w_side).repartition(max(parallelism, q_slices * 2), "__band", "__chunk", "__slice")
     scored = grid.groupBy("__band", "__chunk", "__slice").applyInPandas(_score_block(threshold), _MATCH_SCHEMA)
     return left.join(scored, left[left_text] == scored["__q"], "inner").drop("__q")
 
@@ -354,6 +361,10 @@ def resolve_names(mentions: DataFrame, text_col: str, dictionary: DataFrame, dic
     confidence 0.0.  Output: mention columns + ``resolved``, ``confidence``."""
     m = fuzzy_matches(mentions.select(text_col).distinct(), text_col, dictionary, dict_col,
                       threshold, dict_order, **kw)
+    # The matches feed two aggregates (best, then best of the rest): write them
+    # once to the shared checkpoint folder instead of scoring twice.
+    checkpoint_root(m.sparkSession)
+    m = m.checkpoint(eager=True)
     key = F.struct("score", -F.col("match_order"))
     best = m.groupBy(text_col).agg(
         F.max_by(F.struct("match", "score", "match_order"), key).alias("__b"),

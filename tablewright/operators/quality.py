@@ -177,30 +177,38 @@ def missing_mandatory(target: DataFrame, meta: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """One row per column: type, rows, nulls, distinct, min, max and (for
-    numbers) mean/stddev -- all columns in a single aggregation pass (distinct
-    counts exact, or HyperLogLog++ with ``exact_distinct=False``)."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(df.schema.fields):
+    numbers) mean/stddev.  Two single-pass aggregates -- plain statistics and
+    distinct counts (exact, or HyperLogLog++ with ``exact_distinct=False``) --
+    kept apart because mixing distinct and plain aggregates makes Spark expand
+    every row once per distinct column *with* all the plain inputs; their
+    one-row results are reshaped to per-column rows and merged by a tiny
+    aggregate (no join)."""
+    fields = df.schema.fields
+    plain = [F.count(F.lit(1)).alias("__rows")]
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"__nn{i}"),
-                 (F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)).alias(f"__d{i}")]
-        comparable = not f.dataType.typeName() in ("array", "map", "struct", "variant", "binary")
-        aggs += [(F.min(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"__mn{i}"),
-                 (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"__mx{i}")]
-        if isinstance(f.dataType, NumericType):
-            aggs += [F.avg(c).alias(f"__avg{i}"), F.stddev_samp(c).alias(f"__sd{i}")]
-        else:
-            aggs += [F.lit(None).cast("double").alias(f"__avg{i}"), F.lit(None).cast("double").alias(f"__sd{i}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-                        F.lit(f.dataType.simpleString()).alias("type"),
-                        F.col("__rows").alias("rows"),
-                        (F.col("__rows") - F.col(f"__nn{i}")).alias("nulls"),
-                        F.col(f"__d{i}").alias("distinct"),
-                        F.col(f"__mn{i}").alias("min"), F.col(f"__mx{i}").alias("max"),
-                        F.col(f"__avg{i}").alias("mean"), F.col(f"__sd{i}").alias("stddev"))
-               for i, f in enumerate(df.schema.fields)]
-    return row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+        comparable = f.dataType.typeName() not in ("array", "map", "struct", "variant", "binary")
+        numeric = isinstance(f.dataType, NumericType)
+        plain += [F.count(c).alias(f"__nn{i}"),
+                  (F.min(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"__mn{i}"),
+                  (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"__mx{i}"),
+                  (F.avg(c) if numeric else F.lit(None).cast("double")).alias(f"__avg{i}"),
+                  (F.stddev_samp(c) if numeric else F.lit(None).cast("double")).alias(f"__sd{i}")]
+    stats = df.agg(*plain).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                 F.lit(f.dataType.simpleString()).alias("type"), F.col("__rows").alias("rows"),
+                 (F.col("__rows") - F.col(f"__nn{i}")).alias("nulls"), F.lit(None).cast("long").alias("distinct"),
+                 F.col(f"__mn{i}").alias("min"), F.col(f"__mx{i}").alias("max"),
+                 F.col(f"__avg{i}").alias("mean"), F.col(f"__sd{i}").alias("stddev"))
+        for i, f in enumerate(fields)])).alias("p")).select("p.*")
+    dist_fn = F.count_distinct if exact_distinct else F.approx_count_distinct
+    dist = df.agg(*[dist_fn(F.col(f"`{f.name}`")).alias(f"__d{i}") for i, f in enumerate(fields)])
+    dist = dist.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(f"__d{i}").cast("long").alias("distinct"))
+        for i in range(len(fields))])).alias("p")).select("p.*")
+    merged = stats.unionByName(dist, allowMissingColumns=True)
+    keep = ["column", "type", "rows", "nulls", "distinct", "min", "max", "mean", "stddev"]
+    return merged.groupBy("position").agg(*[F.max(k).alias(k) for k in keep])
 
 
 def find_relationships(tables: Mapping[str, DataFrame], min_cover: float = 1.0,
