@@ -406,8 +406,7 @@ def match_two_pass(mentions: DataFrame, text_col: str, columns: DataFrame, table
     dict_rows = columns.select(F.col(table_col).alias("__tab"), F.col(table_order).alias("__tord"),
                                F.col(column_col).alias("__col"), F.col(column_order).alias("__cord"))
     # Score against the distinct column names once; the table is joined back.
-    m = fuzzy_matches(todo, text_col, dict_rows.select(F.col("__col").alias("__text"),
-                                                   (F.col("__tord") * F.lit(1_000_000) + F.col("__cord")).alias("__o")),
+    m = fuzzy_matches(todo, text_col, dict_rows.select(F.col("__col").alias("__text"), F.col("__cord").alias("__o")),
                       "__text", threshold=0.5, right_order="__o", **kw)
     # A column text may belong to several tables: expand to (table, column) again.
     m = m.join(dict_rows, m["match"] == dict_rows["__col"], "inner")

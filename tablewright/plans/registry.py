@@ -966,3 +966,56 @@ def q_selection_load(spark, d):
     new_target, _ = selection_load(target, T(spark, d, "customer"), {"cust_id": "c_custkey", "cust_name": "c_name"},
                                    {"c_mktsegment": "HOUSEHOLD"})
     return new_target
+
+
+@register("check_result", """
+SELECT (SELECT count(*) FROM customer) AS target_rows, count(*) AS result_rows,
+       (SELECT count(*) FROM customer) >= count(*) AS rows_ok,
+       'c_custkey,c_name' AS populated_columns, true AS columns_ok
+FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+def q_check_result(spark, d):
+    c = T(spark, d, "customer")
+    result = c.where(F.col("c_mktsegment") == "BUILDING").select(
+        "c_custkey", "c_name", F.when(F.col("c_mktsegment") == "X", F.lit(1)).alias("never"))
+    out = quality.check_result(c, result, ["c_custkey", "c_name"])
+    return out.withColumn("populated_columns", F.array_join("populated_columns", ","))
+
+
+# ---------------------------------------------------------------- M6-M8 over dictionaries derived from the tables
+
+@register("glossary_part_brands")
+def q_glossary(spark, d):
+    """M7: glossary description = part name, field = brand; mentions = the
+    part names with typos; database columns = the supplier names."""
+    from tablewright.operators import fuzzy
+    glossary = T(spark, d, "part").select(F.col("p_partkey").alias("field_id"), F.col("p_name").alias("description"),
+                                          F.col("p_brand").alias("target_sap_field"))
+    mentions = part_name_typos(spark, d).select("typo_name").distinct()
+    db_cols = T(spark, d, "supplier").select(F.col("s_name").alias("column_name"))
+    return fuzzy.glossary_match(mentions, "typo_name", glossary, db_cols)
+
+
+@register("two_pass_part_columns")
+def q_two_pass(spark, d):
+    """M6: "tables" = part types, their "columns" = part names (ordered by key);
+    mentions = part names with typos."""
+    from tablewright.operators import fuzzy
+    cols = T(spark, d, "part").groupBy(F.col("p_type").alias("table_name"), F.col("p_name").alias("column_name")) \
+        .agg(F.min("p_partkey").alias("column_order"))
+    cols = cols.withColumn("table_order", F.xxhash64("table_name"))
+    mentions = part_name_typos(spark, d).select("typo_name").distinct()
+    return fuzzy.match_two_pass(mentions, "typo_name", cols)
+
+
+@register("segment_match_nations")
+def q_segments(spark, d):
+    """M8: segments = nations (name -> per-region target tables); mentions =
+    the customers' nation written as free text."""
+    from tablewright.operators import fuzzy
+    n = T(spark, d, "nation")
+    segs = n.select(F.col("n_nationkey").alias("segment_id"), F.col("n_name").alias("segement_name"),
+                    F.concat(F.lit("t_"), F.col("n_regionkey"), F.lit("_"), F.lower("n_name")).alias("table_name"))
+    mentions = T(spark, d, "customer").select(
+        F.concat(F.lit("nation "), F.col("c_nationkey")).alias("mention")).distinct()
+    return fuzzy.segment_match(mentions, "mention", segs, current_prefix="t_1")

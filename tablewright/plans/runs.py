@@ -33,7 +33,7 @@ LOG_SCHEMA = ("session_id string, transformation_id string, seq int, timestamp s
 
 
 def _now() -> str:
-    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+    return datetime.now(timezone.utc).isoformat(timespec="microseconds")
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -139,8 +139,10 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
     state = _state(spark, run_dir)
     start, attempt, current = 0, None, target
     if state is not None:
-        last = (state.where(F.col("run_id") == run_id).orderBy(F.col("ts").desc(), F.col("step_index").desc())
-                .limit(1).collect())
+        # latest state row; on equal time a "complete" row wins over a "done" one
+        rank = F.when(F.col("status") == "complete", 2).when(F.col("status") == "failed", 1).otherwise(0)
+        last = (state.where(F.col("run_id") == run_id)
+                .orderBy(F.col("ts").desc(), F.col("step_index").desc(), rank.desc()).limit(1).collect())
         if last and last[0]["n_steps"] == len(steps) and last[0]["status"] != "complete":
             attempt = last[0]["attempt"]
             done = (state.where((F.col("attempt") == attempt) & (F.col("status") == "done"))
