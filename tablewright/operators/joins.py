@@ -129,22 +129,30 @@ def join_lookup(target: DataFrame, key, t1: DataFrame, t2: DataFrame, t3: DataFr
 
 def cross_segment(main: DataFrame, segments: Mapping[str, DataFrame], key: str | None = None,
                   fields: Mapping[str, Sequence[str]] | None = None, allow_cross: bool = False,
-                  key_priority: Sequence[str] = DEFAULT_KEY_PRIORITY) -> DataFrame:
+                  key_priority: Sequence[str] = DEFAULT_KEY_PRIORITY,
+                  key_mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Enrich the main target with columns of earlier segment targets by LEFT
-    JOIN on the common key (J2).  Each segment is first reduced to one row per
-    key (smallest tuple) so the main table's row count never changes."""
+    JOIN on the common key (J2), or on ``key_mapping`` (J13: main column ->
+    segment column, e.g. ``{"PRODUCT": "MATNR"}``).  Each segment is first
+    reduced to one row per key (smallest tuple) so the main table's row count
+    never changes."""
     out = main
     for name, seg in segments.items():
-        k = key or common_key(main.columns, seg.columns, key_priority)
-        cols = list((fields or {}).get(name) or [c for c in seg.columns if c != k and c not in out.columns])
-        if k is None:
+        mk = sk = None
+        if key_mapping:
+            mk, sk = next(((m, s_) for m, s_ in key_mapping.items() if m in main.columns and s_ in seg.columns),
+                          (None, None))
+        if mk is None:
+            mk = sk = key or common_key(main.columns, seg.columns, key_priority)
+        cols = list((fields or {}).get(name) or [c for c in seg.columns if c != sk and c not in out.columns])
+        if mk is None:
             if not allow_cross:
                 raise CrossJoinRefused(f"no common key with segment {name}")
             out = out.crossJoin(seg.select(*cols))
             continue
-        reduced = dedupe_by_key(seg.select(k, *cols), [k], cols)
-        out = keyed_left_join(out, reduced.select(k, *[F.col(c).alias(f"{name}_{c}") if c in out.columns else F.col(c) for c in cols]),
-                              [(k, k)], flag=None)
+        reduced = dedupe_by_key(seg.select(sk, *cols), [sk], cols)
+        reduced = reduced.select(sk, *[F.col(c).alias(f"{name}_{c}") if c in out.columns else F.col(c) for c in cols])
+        out = keyed_left_join(out, reduced, [(mk, sk)], flag=None)
     return out
 
 

@@ -273,3 +273,10 @@ def test_reference_helper_names():
     assert filters.filter_dataframe is filters.filter_rows and aggs.aggregate_data is aggs.aggregate
     assert joins.join_tables is joins.add_fields and cond.conditional_mapping is cond.case_map
     assert fn.handle_sap_leading_zeros is fn.leading_zeros
+
+
+def test_cross_segment_key_mapping(spark):
+    main = spark.createDataFrame([("P1", "x"), ("P2", "y")], "PRODUCT string, n string")
+    seg = spark.createDataFrame([("P1", "ROH"), ("P1", "FERT"), ("P3", "HALB")], "MATNR string, MTART string")
+    out = joins.cross_segment(main, {"basic": seg}, key_mapping={"PRODUCT": "MATNR"})
+    assert sorted((r.PRODUCT, r.MTART) for r in out.collect()) == [("P1", "FERT"), ("P2", None)]
