@@ -145,25 +145,65 @@ def _char_counts(texts: Sequence[str]) -> np.ndarray:
     return out
 
 
+def _overlap(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    out = np.zeros((ca.shape[0], cb.shape[0]), dtype=np.float64)
+    for b in range(_NBUCKETS):
+        out += np.minimum(ca[:, b][:, None], cb[:, b][None, :])
+    return out
+
+
+_WORD_BOUND_CELLS = 4_000_000
+
+
+def _word_bounds(q_words: list[list[str]], w_words: list[list[str]]) -> np.ndarray | None:
+    """Upper bound of the word component per pair: every query word's best
+    ratio is bounded by 2 * overlap / (|x| + |y|) over the candidate's words
+    (overlap from bucketed character counts, >= the true one), summed over the
+    query words and divided by the larger word count.  None when the
+    vocabulary matrix would be too large (the caller then uses 1)."""
+    vq = sorted({x for ws in q_words for x in ws})
+    vw = sorted({y for ws in w_words for y in ws})
+    if not vq or not vw or len(vq) * len(vw) > _WORD_BOUND_CELLS:
+        return None
+    iq = {x: i for i, x in enumerate(vq)}
+    iw = {y: i for i, y in enumerate(vw)}
+    lx = np.array([len(x) for x in vq], dtype=np.float64)[:, None]
+    ly = np.array([len(y) for y in vw], dtype=np.float64)[None, :]
+    u = np.minimum(1.0, 2 * _overlap(_char_counts(vq), _char_counts(vw)) / np.maximum(lx + ly, 1))
+    qmat = np.zeros((len(q_words), len(vq)), dtype=np.float64)
+    for i, ws in enumerate(q_words):
+        for x in ws:
+            qmat[i, iq[x]] += 1
+    num = np.zeros((len(q_words), len(w_words)), dtype=np.float64)
+    for j, ws in enumerate(w_words):
+        if ws:
+            num[:, j] = qmat @ u[:, [iw[y] for y in ws]].max(axis=1)
+    nq = np.array([len(ws) for ws in q_words], dtype=np.float64)[:, None]
+    nw = np.array([len(ws) for ws in w_words], dtype=np.float64)[None, :]
+    return num / np.maximum(np.maximum(nq, nw), 1)
+
+
 def _upper_bounds(q_clean: list[str], w_clean: list[str]) -> np.ndarray:
     """Matrix of score upper bounds (bonus excluded).  Bucketed character counts
     over-estimate the multiset overlap O, and difflib's matched characters,
-    the containment length and the common prefix are all <= O."""
+    the containment length and the common prefix are all <= O; the word
+    component is bounded per word pair the same way."""
     lq = np.array([len(x) for x in q_clean], dtype=np.float64)[:, None]
     lw = np.array([len(x) for x in w_clean], dtype=np.float64)[None, :]
-    nq = np.array([len(x.split()) for x in q_clean], dtype=np.float64)[:, None]
-    nw = np.array([len(x.split()) for x in w_clean], dtype=np.float64)[None, :]
-    cq, cw = _char_counts(q_clean), _char_counts(w_clean)
-    overlap = np.zeros((len(q_clean), len(w_clean)), dtype=np.float64)
-    for b in range(_NBUCKETS):
-        overlap += np.minimum(cq[:, b][:, None], cw[:, b][None, :])
+    q_words = [x.split() for x in q_clean]
+    w_words = [x.split() for x in w_clean]
+    nq = np.array([len(x) for x in q_words], dtype=np.float64)[:, None]
+    nw = np.array([len(x) for x in w_words], dtype=np.float64)[None, :]
+    overlap = _overlap(_char_counts(q_clean), _char_counts(w_clean))
     short, long_ = np.minimum(lq, lw), np.maximum(lq, lw)
     long_ = np.where(long_ == 0, 1, long_)
     ratio = np.where(lq + lw > 0, 2 * overlap / np.maximum(lq + lw, 1), 0)
     sub = np.where(overlap >= short, short / long_, 0)
     pre = np.where(np.minimum(overlap, short) >= 3, np.minimum(overlap, short) / long_, 0)
     single = (nq == 1) & (nw == 1)
-    words = np.minimum(1.0, nq / np.maximum(np.maximum(nq, nw), 1))
+    words = _word_bounds(q_words, w_words)
+    if words is None:
+        words = np.minimum(1.0, nq / np.maximum(np.maximum(nq, nw), 1))
     ub_single = 0.7 * ratio + 0.2 * sub + 0.1 * pre
     ub_multi = 0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * pre
     return np.where(single, ub_single, ub_multi)
