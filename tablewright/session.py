@@ -51,11 +51,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and step outputs.
 
     Read ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset -- local tests -- a scratch folder is
-    created and recorded in the session so later calls agree.
+    folder there).  Only in a local session where it is unset (tests) a scratch
+    folder is created and recorded in the session so later calls agree; on a
+    cluster an unset value is an error, never a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         root = tempfile.mkdtemp(prefix="tablewright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
