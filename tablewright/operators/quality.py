@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tablewright.functions.text import java_pattern, _compiles
+from tablewright.functions.text import regexp_match
 from tablewright.operators._keys import MATCH, keyed_left_join
 from tablewright.operators.aggs import summary
 
@@ -109,7 +109,7 @@ def _rule_expr(df: DataFrame, rule: Rule, idx: int) -> tuple[DataFrame, Column]:
         pat = p.get("pattern")
         if not pat:
             return df, F.lit(VALID)
-        ok = F.lit(False) if _compiles(pat) is None else F.coalesce(c.cast("string").rlike(java_pattern(pat)), F.lit(False))
+        ok = regexp_match(pat, c)   # Python dialect, search anywhere, NULL / bad pattern -> False
         return df, F.when(~ok, F.lit("Invalid: Pattern mismatch")).otherwise(F.lit(VALID))
     if t == "exists_in":
         ref, ref_field = p.get("reference_table"), p.get("reference_field")

@@ -39,4 +39,8 @@ def test_only_fuzzy_uses_python(spark):
     for name in NAMES:
         p = plan_of(E.queries()[name](spark, SF_SMALL))
         if "ArrowEvalPython" in p or "FlatMapGroupsInPandas" in p:
-            assert name in ("fuzzy_part_names", "resolve_part_names"), name
+            assert name in FUZZY, name
+
+
+FUZZY = ("fuzzy_part_names", "resolve_part_names", "glossary_part_brands", "two_pass_part_columns",
+         "segment_match_nations")
