@@ -66,3 +66,12 @@ def diff_keyed(a: DataFrame, b: DataFrame, keys: Sequence[str], null_equal: bool
     out = j.select(*[F.coalesce(F.col(f"__tw_ak{i}"), F.col(f"__tw_bk{i}")).alias(k) for i, k in enumerate(keys)],
                    status.alias("status"))
     return out.where(F.col("status").isNotNull())
+
+
+def diff(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, null_equal: bool = True) -> DataFrame:
+    """L3/L4 in one call: without keys the whole-row diff (rows tagged
+    ``new`` / ``removed``), with keys the keyed diff (``new`` / ``removed`` /
+    ``changed`` per key)."""
+    if keys:
+        return diff_keyed(a, b, keys, null_equal=null_equal)
+    return diff_rows_tagged(a, b)

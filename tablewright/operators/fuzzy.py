@@ -522,3 +522,12 @@ def segment_match(mentions: DataFrame, text_col: str, segments: DataFrame, curre
             .drop("__n", "__hits")
     return j.select(text_col, F.coalesce("matched_segment", F.col(text_col)).alias("matched_segment"),
                     F.when(F.col("matched_segment").isNotNull(), F.col("table_name")).alias("table_name"))
+
+
+def fuzzy_join(left: DataFrame, left_text: str, right: DataFrame, right_text: str, threshold: float = 0.6,
+               right_order: str | None = None, all_matches: bool = False, **kw) -> DataFrame:
+    """M4: the best match per left row (ties -> first in dictionary order), or
+    with ``all_matches`` one row per match >= threshold."""
+    if all_matches:
+        return fuzzy_matches(left, left_text, right, right_text, threshold, right_order, **kw)
+    return fuzzy_best(left, left_text, right, right_text, threshold, right_order, **kw)

@@ -280,3 +280,10 @@ def test_cross_segment_key_mapping(spark):
     seg = spark.createDataFrame([("P1", "ROH"), ("P1", "FERT"), ("P3", "HALB")], "MATNR string, MTART string")
     out = joins.cross_segment(main, {"basic": seg}, key_mapping={"PRODUCT": "MATNR"})
     assert sorted((r.PRODUCT, r.MTART) for r in out.collect()) == [("P1", "FERT"), ("P2", None)]
+
+
+def test_diff_dispatch(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "z")], "k int, v string")
+    assert {(r.k, r.status) for r in diff.diff(a, b, ["k"]).collect()} == {(2, "changed")}
+    assert {(r.k, r.v, r.status) for r in diff.diff(a, b).collect()} == {(2, "z", "new"), (2, "y", "removed")}
