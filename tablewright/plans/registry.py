@@ -529,7 +529,19 @@ def q_relationships(spark, d):
     return quality.find_relationships(tables, 0.5, pairs)
 
 
-@register("profile_orders")
+@register("profile_orders", """
+SELECT 0 AS "position", 'o_orderkey' AS "column", 'bigint' AS "type", count(*) AS "rows", count(*) - count(o_orderkey) AS "nulls", count(DISTINCT o_orderkey) AS "distinct", CAST(min(o_orderkey) AS VARCHAR) AS "min", CAST(max(o_orderkey) AS VARCHAR) AS "max", avg(o_orderkey) AS "mean", stddev_samp(o_orderkey) AS "stddev" FROM orders
+UNION ALL
+SELECT 1 AS "position", 'o_custkey' AS "column", 'bigint' AS "type", count(*) AS "rows", count(*) - count(o_custkey) AS "nulls", count(DISTINCT o_custkey) AS "distinct", CAST(min(o_custkey) AS VARCHAR) AS "min", CAST(max(o_custkey) AS VARCHAR) AS "max", avg(o_custkey) AS "mean", stddev_samp(o_custkey) AS "stddev" FROM orders
+UNION ALL
+SELECT 2 AS "position", 'o_orderstatus' AS "column", 'string' AS "type", count(*) AS "rows", count(*) - count(o_orderstatus) AS "nulls", count(DISTINCT o_orderstatus) AS "distinct", CAST(min(o_orderstatus) AS VARCHAR) AS "min", CAST(max(o_orderstatus) AS VARCHAR) AS "max", CAST(NULL AS DOUBLE) AS "mean", CAST(NULL AS DOUBLE) AS "stddev" FROM orders
+UNION ALL
+SELECT 3 AS "position", 'o_totalprice' AS "column", 'double' AS "type", count(*) AS "rows", count(*) - count(o_totalprice) AS "nulls", count(DISTINCT o_totalprice) AS "distinct", CAST(min(o_totalprice) AS VARCHAR) AS "min", CAST(max(o_totalprice) AS VARCHAR) AS "max", avg(o_totalprice) AS "mean", stddev_samp(o_totalprice) AS "stddev" FROM orders
+UNION ALL
+SELECT 4 AS "position", 'o_orderdate' AS "column", 'timestamp_ntz' AS "type", count(*) AS "rows", count(*) - count(o_orderdate) AS "nulls", count(DISTINCT o_orderdate) AS "distinct", CAST(min(o_orderdate) AS VARCHAR) AS "min", CAST(max(o_orderdate) AS VARCHAR) AS "max", CAST(NULL AS DOUBLE) AS "mean", CAST(NULL AS DOUBLE) AS "stddev" FROM orders
+UNION ALL
+SELECT 5 AS "position", 'o_orderpriority' AS "column", 'string' AS "type", count(*) AS "rows", count(*) - count(o_orderpriority) AS "nulls", count(DISTINCT o_orderpriority) AS "distinct", CAST(min(o_orderpriority) AS VARCHAR) AS "min", CAST(max(o_orderpriority) AS VARCHAR) AS "max", CAST(NULL AS DOUBLE) AS "mean", CAST(NULL AS DOUBLE) AS "stddev" FROM orders
+""")
 def q_profile(spark, d):
     return quality.profile(T(spark, d, "orders"))
 
