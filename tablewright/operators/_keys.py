@@ -30,7 +30,7 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                   order: str | Column | None = None, pick: str = "min") -> DataFrame:
     """One row per key, never an arbitrary one.
 
-    Without ``order`` the smallest (``pick="min"``) or largest value tuple is
+    Without ``order`` the smallest (``pick="min"``) or largest value (tuple) is
     kept; with ``order`` the row with the smallest/largest order value.  This is
     a hash aggregate with map-side partial aggregation, so a key holding a
     third of all rows is combined inside each task before the shuffle.
@@ -41,6 +41,17 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                   _all([F.col(k).isNotNull() for k in keys]))
     if not values:
         return df.select(*keys).distinct()
+    if len(values) == 1:
+        # One value: aggregate the column itself, so fixed-width values keep a
+        # hash aggregate (a struct buffer would force a sort aggregate).  As SQL
+        # ``min``/``max``, NULLs are skipped unless a key has only NULLs.
+        v = F.col(values[0])
+        if order is None:
+            agg = F.min(v) if pick == "min" else F.max(v)
+        else:
+            o = order if isinstance(order, Column) else F.col(order)
+            agg = F.min_by(v, o) if pick == "min" else F.max_by(v, o)
+        return df.groupBy(*keys).agg(agg.alias(values[0]))
     packed = F.struct(*[F.col(v) for v in values])
     if order is None:
         agg = F.min(packed) if pick == "min" else F.max(packed)
