@@ -165,3 +165,11 @@ def test_sources_round_trip(spark, base, scratch):
         overwrite(b, os.path.join(scratch, "bk"))
     assert overwrite(b, os.path.join(scratch, "bk2")).count() == 3
     assert truncate(base).count() == 0 and truncate(base).columns == base.columns
+
+
+def test_cluster_conf_sizes_partitions():
+    from tablewright.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert int(cluster_conf(10 ** 9)["spark.sql.shuffle.partitions"]) == 8000
+    assert c["spark.sql.autoBroadcastJoinThreshold"] == str(64 * 1024 ** 2)
