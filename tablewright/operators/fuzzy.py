@@ -287,10 +287,15 @@ def _score_block(threshold: float):
         ub = _upper_bounds(q_clean, w_clean)
         scorer = _BlockScorer()
         out_q, out_w, out_o, out_s = [], [], [], []
+        by_strip: dict[str, list[int]] = {}
+        by_clean: dict[str, list[int]] = {}
+        for i, (qs_, qc) in enumerate(zip(q_strip, q_clean)):
+            by_strip.setdefault(qs_, []).append(i)
+            by_clean.setdefault(qc, []).append(i)
         for j, w in enumerate(w_raw):
             cand = set(np.nonzero(ub[:, j] >= threshold - 1e-12)[0].tolist())
-            ws_ = w.strip()
-            cand.update(i for i, qs_ in enumerate(q_strip) if qs_ == ws_)  # case-bonus pairs
+            cand.update(by_strip.get(w.strip(), ()))     # raw-equal pairs (case bonus)
+            cand.update(by_clean.get(w_clean[j], ()))    # cleaned-equal pairs score 1
             if not cand:
                 continue
             matcher = SequenceMatcher(None)
@@ -345,13 +350,17 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
     # at least one per core, never slices of fewer than ~50 texts.
     q_slices = max(math.ceil(n_query * max(n_dict, 1) / pair_budget), parallelism)
     q_slices = max(1, min(q_slices, math.ceil(n_query / 50)))
-    rho = min_length_ratio(threshold)
+    # Band from threshold - 0.1: the +0.1 case bonus must not lift a pair that
+    # the length band would not route to the same block.
+    rho = min_length_ratio(threshold - 0.1)
     lims = wstats
     if lims["lo"] is None:
         return left.where(F.lit(False)).select(*left.columns, F.lit(None).cast("string").alias("match"),
                     F.lit(None).cast("long").alias("match_order"), F.lit(None).cast("double").alias("score"))
     b_lo, b_hi = int(lims["lo"]), int(lims["hi"])
-    qlen = F.length(F.regexp_replace(F.trim(F.lower("__text")), r"\s+", " "))
+    # the query's cleaned length exactly as the score sees it (Python strip of
+    # all Unicode whitespace, runs collapsed to one space)
+    qlen = F.length(F.regexp_replace(F.regexp_replace(F.lower("__text"), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
     lo = band_of(F.floor(qlen * F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_lo)
     hi = band_of(F.ceil(qlen / F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_hi)
     lo, hi = F.greatest(lo, F.lit(b_lo)), F.least(hi, F.lit(b_hi))

@@ -91,3 +91,46 @@ def test_no_cartesian_in_plan(spark):
     right = spark.createDataFrame([(0, "MARA")], "o int, w string")
     plan = fuzzy.fuzzy_matches(left, "q", right, "w", 0.6, "o")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_block_bounds_are_sound_on_random_texts():
+    """The vectorised upper bounds may only skip pairs that cannot reach the
+    threshold: random texts (small alphabet so they overlap, repeated and
+    padded spaces, case changes, non-ASCII) scored by the block equal brute
+    force at several thresholds."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(11)
+    alphabet = "abcde fgAB  éß"
+
+    def text():
+        n = rnd.randint(0, 14)
+        return "".join(rnd.choice(alphabet) for _ in range(n))
+    qs = list(dict.fromkeys(text() for _ in range(160)))
+    ws = list(dict.fromkeys(text() for _ in range(90)))
+    qs = [q for q in qs if q] + ["   ", " AB ", "ab  c"]
+    ws = ws + ["", "ab c", "AB"]
+    pdf = pd.DataFrame({"__side": [0] * len(qs) + [1] * len(ws), "__text": qs + ws,
+                        "__order": [0] * len(qs) + list(range(len(ws)))})
+    for threshold in (0.3, 0.5, 0.7, 0.9):
+        out = fuzzy._score_block(threshold)(pdf)
+        got = {(a, b): s for a, b, s in zip(out["__q"], out["match"], out["score"])}
+        exp = {(q, w): fuzzy.fuzzy_score(q, w) for q in qs for w in ws if fuzzy.fuzzy_score(q, w) >= threshold}
+        assert got.keys() == exp.keys(), threshold
+        assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
+
+
+def test_band_routing_edge_cases(spark):
+    """Tabs around a query, a case-bonus pair far apart in cleaned length, and
+    a whitespace-only query against an empty entry: distributed result equals
+    brute force at a high threshold."""
+    qs = ["\tabc\t", "ABC", "   ", "abc def", "MARA"]
+    ws = ["abc", "ABC      ", "", "abc  def", "MARA "]
+    left = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "id int, q string")
+    right = spark.createDataFrame([(o, w) for o, w in enumerate(ws)], "o int, w string")
+    for threshold in (0.5, 0.9):
+        got = {(r.q, r.match): r.score for r in fuzzy.fuzzy_matches(left, "q", right, "w", threshold, "o").collect()}
+        exp = {(q, w): fuzzy.fuzzy_score(q, w) for q in qs for w in ws if fuzzy.fuzzy_score(q, w) >= threshold}
+        assert got == exp, threshold
