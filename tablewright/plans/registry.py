@@ -1031,3 +1031,44 @@ def q_segments(spark, d):
     mentions = T(spark, d, "customer").select(
         F.concat(F.lit("nation "), F.col("c_nationkey")).alias("mention")).distinct()
     return fuzzy.segment_match(mentions, "mention", segs, current_prefix="t_1")
+
+
+# ---------------------------------------------------------------- keys named in the survey's oracle sketch
+
+@register("quarter_of", """
+SELECT o_orderkey,
+       CASE WHEN month(o_orderdate) BETWEEN 1 AND 3 THEN 'Q1' WHEN month(o_orderdate) BETWEEN 4 AND 6 THEN 'Q2'
+            WHEN month(o_orderdate) BETWEEN 7 AND 9 THEN 'Q3' ELSE 'Q4' END AS quarter
+FROM orders
+""")
+def q_quarter_of(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", fn.quarter_of(fn.date_text("o_orderdate")).alias("quarter"))
+
+
+@register("weekday_num", """
+SELECT o_orderkey, dayofweek(o_orderdate)::VARCHAR AS weekday_num FROM orders
+""")
+def q_weekday_num(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", fn.weekday_number(fn.date_text("o_orderdate")).alias("weekday_num"))
+
+
+@register("prev_month_end", """
+SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d') AS prev_month_end
+FROM orders
+""")
+def q_prev_month_end(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", fn.prev_month_end(fn.date_text("o_orderdate")).alias("prev_month_end"))
+
+
+@register("readable_date", """
+SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS readable_date FROM orders
+""")
+def q_readable_date(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", fn.readable_date(fn.date_text("o_orderdate")).alias("readable_date"))
+
+
+@register("json_value", """
+SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events
+""")
+def q_json_value(spark, d):
+    return T(spark, d, "events").select("event_id", fn.json_extract_value("props", "k").alias("k"))
