@@ -127,14 +127,43 @@ def _write_state(spark: SparkSession, run_dir: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, STATE_SCHEMA).write.mode("append").parquet(os.path.join(run_dir, "_state"))
 
 
+def _table_name(run_id: str, attempt: str, index: int) -> str:
+    return re.sub(r"\W", "_", f"tw_{run_id}_{attempt}_step_{index:03d}").lower()
+
+
+def _write_step(df: DataFrame, path: str, table: str, bucket_by: Sequence[str], buckets: int) -> DataFrame:
+    """Write one step's output.  With ``bucket_by`` the files are bucketed by
+    the target key and registered as a catalog table, so the next keyed step
+    reads the target already hash-partitioned by key: its join shuffles only
+    the (smaller) source side."""
+    spark = df.sparkSession
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def _read_step(spark: SparkSession, path: str, table: str) -> DataFrame:
+    if spark.catalog.tableExists(table):
+        return spark.table(table)
+    return spark.read.parquet(path)
+
+
 def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: DataFrame,
-              sources: Mapping[str, DataFrame], run_dir: str | None = None, retries: int = 1) -> RunResult:
+              sources: Mapping[str, DataFrame], run_dir: str | None = None, retries: int = 1,
+              bucket_by: str | Sequence[str] | None = None, buckets: int | None = None) -> RunResult:
     """Run steps in order; each finished step's output is written to
     ``<run_dir>/<attempt>/step_<i>`` and recorded in ``<run_dir>/_state``.
     A failure stops the run (state kept, ``StepFailed`` raised); calling again
     resumes after the last finished step of the latest attempt, unless the
     number of steps changed, which starts a new attempt.  Retryable errors
-    (R12) are retried ``retries`` times first."""
+    (R12) are retried ``retries`` times first.  ``bucket_by`` (the target key)
+    writes every version bucketed by that key (``buckets``, default the
+    shuffle partition count) so keyed steps do not re-shuffle the target."""
+    keys = [bucket_by] if isinstance(bucket_by, str) else list(bucket_by or [])
+    n_buckets = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
     run_dir = run_dir or os.path.join(checkpoint_root(spark), "runs", run_id)
     state = _state(spark, run_dir)
     start, attempt, current = 0, None, target
@@ -149,7 +178,8 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
                     .agg(F.max("step_index").alias("m")).first()["m"])
             if done is not None:
                 start = done
-                current = spark.read.parquet(os.path.join(run_dir, attempt, f"step_{done:03d}"))
+                current = _read_step(spark, os.path.join(run_dir, attempt, f"step_{done:03d}"),
+                                     _table_name(run_id, attempt, done))
     attempt = attempt or uuid.uuid4().hex[:12]
     resumed_from = start
     for i in range(start, len(steps)):
@@ -158,7 +188,8 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
         tries = 0
         while True:
             try:
-                st.apply(current, sources).write.mode("overwrite").parquet(out_path)
+                written = _write_step(st.apply(current, sources), out_path, _table_name(run_id, attempt, i + 1),
+                                      keys, n_buckets)
                 break
             except Exception as exc:  # noqa: BLE001
                 tries += 1
@@ -167,7 +198,7 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
                 _write_state(spark, run_dir, [(run_id, attempt, i + 1, st.name, "failed", len(steps), None,
                                               str(exc)[:2000], None, _now())])
                 raise StepFailed(i + 1, st.name, exc) from exc
-        current = spark.read.parquet(out_path)
+        current = written
         _write_state(spark, run_dir, [(run_id, attempt, i + 1, st.name, "done", len(steps), None, None,
                                       out_path, _now())])
     _write_state(spark, run_dir, [(run_id, attempt, len(steps), "", "complete", len(steps), None, None, None,

@@ -173,3 +173,23 @@ def test_cluster_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert int(cluster_conf(10 ** 9)["spark.sql.shuffle.partitions"]) == 8000
     assert c["spark.sql.autoBroadcastJoinThreshold"] == str(64 * 1024 ** 2)
+
+
+def test_bucketed_run_avoids_target_shuffle(spark, scratch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        target = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
+        src = spark.range(0, 2000, 3).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("nv"))
+        steps = [Step("up1", lambda t, s: mutate.update_from(t, s["src"], "k", {"v": "nv"})),
+                 Step("up2", lambda t, s: mutate.update_from(t, s["src"], "k", {"v": F.col("nv") - 1}))]
+        plain = runs.run_steps(spark, "plain", steps, target, {"src": src}, run_dir=os.path.join(scratch, "p"))
+        bucketed = runs.run_steps(spark, "bk", steps, target, {"src": src}, run_dir=os.path.join(scratch, "b"),
+                                  bucket_by="k", buckets=8)
+        assert sorted(map(tuple, plain.target.collect())) == sorted(map(tuple, bucketed.target.collect()))
+        plan = mutate.update_from(bucketed.target, src, "k", {"v": "nv"})._jdf.queryExecution() \
+            .executedPlan().toString()
+        scan_line = next(line for line in plan.splitlines() if "Bucketed: true" in line)
+        assert "Exchange" not in scan_line
+        assert plan.count("Exchange hashpartitioning") == 1      # only the source side moves
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
