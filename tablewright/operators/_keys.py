@@ -27,18 +27,24 @@ def key_pairs(key) -> list[tuple[str, str]]:
 
 
 def dedupe_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str],
-                  order: str | Column | None = None, pick: str = "min") -> DataFrame:
+                  order: str | Column | None = None, pick: str = "min",
+                  assume_unique: bool = False) -> DataFrame:
     """One row per key, never an arbitrary one.
 
     Without ``order`` the smallest (``pick="min"``) or largest value (tuple) is
     kept; with ``order`` the row with the smallest/largest order value.  This is
     a hash aggregate with map-side partial aggregation, so a key holding a
     third of all rows is combined inside each task before the shuffle.
-    NULL keys are dropped: they never match an equi-join.
+    NULL keys are dropped: they never match an equi-join.  ``assume_unique``
+    skips the aggregate when the caller guarantees unique keys (a duplicate
+    would then multiply target rows).
     """
     keys, values = list(keys), list(values)
     df = df.where(F.lit(True) if not keys else
                   _all([F.col(k).isNotNull() for k in keys]))
+    if assume_unique:
+        # The caller guarantees one row per key (a primary key): no aggregate.
+        return df.select(*keys, *values)
     if not values:
         return df.select(*keys).distinct()
     if len(values) == 1:

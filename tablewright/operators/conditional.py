@@ -66,15 +66,17 @@ def map_in_lists(df: DataFrame, column: str, branches: Sequence[tuple[Sequence[A
     return out.drop("__tw_key", "__tw_res")
 
 
-def _tier_source(tdf: DataFrame, spec: Sequence, default_key: str, name: str) -> tuple[DataFrame, str]:
+def _tier_source(tdf: DataFrame, spec: Sequence, default_key: str, name: str,
+                 assume_unique: bool = False) -> tuple[DataFrame, str]:
     """Tier spec ``(df, value_col)`` (keyed by the target's key name) or
     ``(df, key_col, value_col)`` -> deduplicated ``(key, value)`` frame."""
     key_col, value_col = (default_key, spec[0]) if len(spec) == 1 else (spec[0], spec[1])
     src = tdf.select(F.col(key_col).alias(f"{name}_k"), F.col(value_col).alias(name))
-    return dedupe_by_key(src, [f"{name}_k"], [name]), f"{name}_k"
+    return dedupe_by_key(src, [f"{name}_k"], [name], assume_unique=assume_unique), f"{name}_k"
 
 
-def tiered_lookup(target: DataFrame, key: str, tiers: Sequence[tuple], dst: str) -> DataFrame:
+def tiered_lookup(target: DataFrame, key: str, tiers: Sequence[tuple], dst: str,
+                  assume_unique: bool = False) -> DataFrame:
     """Value from the first tier whose table *has the key* (an existing NULL
     wins), else the next tier, else the last tier's value (NULL if absent).
 
@@ -84,7 +86,7 @@ def tiered_lookup(target: DataFrame, key: str, tiers: Sequence[tuple], dst: str)
     out = target
     flags, vals = [], []
     for i, (tdf, *spec) in enumerate(tiers):
-        src, k = _tier_source(tdf, spec, key, f"__tw_t{i}")
+        src, k = _tier_source(tdf, spec, key, f"__tw_t{i}", assume_unique)
         out = keyed_left_join(out, src, [(key, k)], flag=f"__tw_m{i}")
         flags.append(F.col(f"__tw_m{i}").isNotNull())
         vals.append(F.col(f"__tw_t{i}"))
@@ -120,12 +122,12 @@ def region_map(df: DataFrame, column: str, europe_value: Any, asia_value: Any, o
 
 
 def fill_null(target: DataFrame, key, column: str, other: DataFrame, other_col: str | None = None,
-              default: Any = None) -> DataFrame:
+              default: Any = None, assume_unique: bool = False) -> DataFrame:
     """Keep a non-NULL value; else the value from ``other`` by key; else
     ``default``."""
     pairs = key_pairs(key)
     src = other.select(*[F.col(sk) for _, sk in pairs], F.col(other_col or column).alias("__tw_f"))
-    src = dedupe_by_key(src, [sk for _, sk in pairs], ["__tw_f"])
+    src = dedupe_by_key(src, [sk for _, sk in pairs], ["__tw_f"], assume_unique=assume_unique)
     joined = keyed_left_join(target, src, pairs, flag=None)
     dtype = target.schema[column].dataType
     filled = F.coalesce(F.col(column), F.col("__tw_f").cast(dtype), _v(default).cast(dtype))

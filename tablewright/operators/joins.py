@@ -197,10 +197,10 @@ def insert_where_exists(target: DataFrame, source: DataFrame, other: DataFrame,
 
 
 def add_fields(main: DataFrame, other: DataFrame, main_key: str, other_key: str,
-               fields: Sequence[str]) -> DataFrame:
+               fields: Sequence[str], assume_unique: bool = False) -> DataFrame:
     """Left join bringing only the chosen fields (``other`` reduced to one
     row per key so ``main`` keeps its row count)."""
-    reduced = dedupe_by_key(other.select(other_key, *fields), [other_key], list(fields))
+    reduced = dedupe_by_key(other.select(other_key, *fields), [other_key], list(fields), assume_unique=assume_unique)
     return keyed_left_join(main, reduced, [(main_key, other_key)], flag=None)
 
 

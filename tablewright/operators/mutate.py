@@ -50,7 +50,8 @@ def insert_select(target: DataFrame, source: DataFrame, mapping: Mapping[str, st
 
 def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str, str | Column],
                 conds: Mapping[str, Any] | Column | None = None, order: str | Column | None = None,
-                pick: str = "min", broadcast_max_rows: int | None = None) -> DataFrame:
+                pick: str = "min", broadcast_max_rows: int | None = None,
+                assume_unique: bool = False) -> DataFrame:
     """``UPDATE target SET c = q.v FROM (SELECT ... WHERE conds) q WHERE key``.
 
     Unmatched target rows keep their value; a matched NULL overwrites (S2).
@@ -65,7 +66,7 @@ def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str,
                      *([order.alias("__tw_o")] if isinstance(order, Column) else
                        [F.col(order).alias("__tw_o")] if isinstance(order, str) else []))
     src = dedupe_by_key(src, [sk for _, sk in pairs], list(vals),
-                        order="__tw_o" if order is not None else None, pick=pick)
+                        order="__tw_o" if order is not None else None, pick=pick, assume_unique=assume_unique)
     src = maybe_broadcast(src, broadcast_max_rows)
     joined = keyed_left_join(target, src, pairs)
     matched = F.col(MATCH).isNotNull()
@@ -87,13 +88,13 @@ def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str,
 
 def lookup(target: DataFrame, source: DataFrame, key, src_col: str | Column, dst_col: str,
            conds: Mapping[str, Any] | Column | None = None, pick: str = "min",
-           broadcast_max_rows: int | None = None) -> DataFrame:
+           broadcast_max_rows: int | None = None, assume_unique: bool = False) -> DataFrame:
     """``UPDATE t SET dst = (SELECT src_col FROM s WHERE s.k = t.k)``:
     every row is rewritten, unmatched rows become NULL (S1); several matches ->
     smallest value (S3)."""
     pairs = key_pairs(key)
     src = where(source, conds).select(*[F.col(sk) for _, sk in pairs], _expr(src_col).alias("__tw_val"))
-    src = dedupe_by_key(src, [sk for _, sk in pairs], ["__tw_val"], pick=pick)
+    src = dedupe_by_key(src, [sk for _, sk in pairs], ["__tw_val"], pick=pick, assume_unique=assume_unique)
     src = maybe_broadcast(src, broadcast_max_rows)
     joined = keyed_left_join(target, src, pairs, flag=None)
     cols = [F.col("__tw_val").alias(dst_col) if c == dst_col else F.col(c) for c in target.columns]

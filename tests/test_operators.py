@@ -287,3 +287,12 @@ def test_diff_dispatch(spark):
     b = spark.createDataFrame([(1, "x"), (2, "z")], "k int, v string")
     assert {(r.k, r.status) for r in diff.diff(a, b, ["k"]).collect()} == {(2, "changed")}
     assert {(r.k, r.v, r.status) for r in diff.diff(a, b).collect()} == {(2, "z", "new"), (2, "y", "removed")}
+
+
+def test_assume_unique_skips_aggregate(spark, target):
+    src = spark.createDataFrame([(1, "u1"), (2, "u2")], "lk int, v string")
+    fast = mutate.lookup(target, src, ("k", "lk"), "v", "name", assume_unique=True)
+    safe = mutate.lookup(target, src, ("k", "lk"), "v", "name")
+    assert sorted(map(str, fast.collect())) == sorted(map(str, safe.collect()))
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
