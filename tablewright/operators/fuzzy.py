@@ -63,43 +63,14 @@ def _ratio(a: str, b: str) -> float:
 
 
 def fuzzy_score(query: str, candidate: str) -> float:
-    """M3: similarity of a query text and a candidate text in [0, 1]."""
+    """M3: similarity of a query text and a candidate text in [0, 1]
+    (one pair; the distributed join scores blocks with ``_BlockScorer``)."""
     if not query:
         return 0.0
     q, w = _clean_query(query), candidate.lower()
-    if q == w:
-        return 1.0
-    ratio = _ratio(q, w)
-    if q in w:
-        sub = len(q) / len(w)
-    elif w in q:
-        sub = len(w) / len(q)
-    else:
-        sub = 0.0
-    qw, ww = q.split(), w.split()
-    single = len(qw) == 1 and len(ww) == 1
-    if single:
-        words = ratio
-    else:
-        total = 0.0
-        for x in qw:
-            total += 1.0 if x in ww else max((_ratio(x, y) for y in ww), default=0.0)
-        denom = max(len(qw), len(ww))
-        words = total / denom if denom else 0.0
-    shorter = min(len(q), len(w))
-    prefix = 0.0
-    if shorter >= 3:
-        n = 0
-        while n < shorter and q[n] == w[n]:
-            n += 1
-        if n >= 3:
-            prefix = n / max(len(q), len(w))
-    bonus = 0.1 if query.strip() == candidate.strip() else 0.0
-    if single:
-        score = 0.7 * ratio + 0.2 * sub + 0.1 * prefix + bonus
-    else:
-        score = 0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * prefix + bonus
-    return min(score, 1.0)
+    matcher = SequenceMatcher(None)
+    matcher.set_seq2(w)
+    return _BlockScorer().score(query, q, q.split(), candidate, w, w.split(), matcher)
 
 
 # ---------------------------------------------------------------- bounds

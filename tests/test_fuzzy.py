@@ -134,3 +134,43 @@ def test_band_routing_edge_cases(spark):
         got = {(r.q, r.match): r.score for r in fuzzy.fuzzy_matches(left, "q", right, "w", threshold, "o").collect()}
         exp = {(q, w): fuzzy.fuzzy_score(q, w) for q in qs for w in ws if fuzzy.fuzzy_score(q, w) >= threshold}
         assert got == exp, threshold
+
+
+def _formula(query, candidate):
+    """M3 written out from its description (independent of the library)."""
+    import re
+    from difflib import SequenceMatcher
+    if not query:
+        return 0.0
+    q = re.sub(r"\s+", " ", query.strip().lower())
+    w = candidate.lower()
+    if q == w:
+        return 1.0
+    ratio = SequenceMatcher(None, q, w).ratio()
+    sub = len(q) / len(w) if q in w else (len(w) / len(q) if w in q else 0.0)
+    qw, ww = q.split(), w.split()
+    single = len(qw) == 1 and len(ww) == 1
+    if single:
+        words = ratio
+    else:
+        best = [1.0 if x in ww else max([SequenceMatcher(None, x, y).ratio() for y in ww] or [0.0]) for x in qw]
+        words = sum(best) / max(len(qw), len(ww)) if max(len(qw), len(ww)) else 0.0
+    n = 0
+    while n < min(len(q), len(w)) and q[n] == w[n]:
+        n += 1
+    prefix = n / max(len(q), len(w)) if min(len(q), len(w)) >= 3 and n >= 3 else 0.0
+    bonus = 0.1 if query.strip() == candidate.strip() and q != w else 0.0
+    mix = (0.7 * ratio + 0.2 * sub + 0.1 * prefix) if single else \
+        (0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * prefix)
+    return min(mix + bonus, 1.0)
+
+
+def test_score_equals_written_out_formula():
+    import random
+    rnd = random.Random(5)
+    alphabet = "abcd efAB  x"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(120)]
+    texts += ["MARA", "mara ", "MARA  ", "material type", "Material  Type"]
+    for q in texts:
+        for w in texts[:60] + texts[-5:]:
+            assert abs(fuzzy.fuzzy_score(q, w) - _formula(q, w)) < 1e-12, (q, w)
