@@ -313,8 +313,14 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
     w = w.withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.col("__nchunks")).cast("int"))
     # Sizes for the grid, from two small aggregates: distinct queries, and the
     # dictionary's text count and band range (bands are log-lengths, < 100).
-    n_query = q.count()
-    wstats = per_band.agg(F.sum("__n").alias("n"), F.min("__band").alias("lo"), F.max("__band").alias("hi")).first()
+    sizes = (q.select(F.lit(0).alias("__side"), F.lit(None).cast("int").alias("__band"), F.lit(1).alias("__n"))
+             .unionByName(per_band.select(F.lit(1).alias("__side"), "__band", "__n"))
+             .groupBy("__side").agg(F.sum("__n").alias("n"), F.min("__band").alias("lo"),
+                                    F.max("__band").alias("hi"))
+             .collect())                                   # one job, at most two rows
+    by_side = {r["__side"]: r for r in sizes}
+    n_query = int(by_side[0]["n"]) if 0 in by_side else 0
+    wstats = by_side.get(1) or {"n": 0, "lo": None, "hi": None}
     n_dict = min(wstats["n"] or 0, dict_chunk)
     parallelism = left.sparkSession.sparkContext.defaultParallelism
     # Query slices: enough that one task scores about ``pair_budget`` pairs,
