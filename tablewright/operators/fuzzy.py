@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
+from tablewright.functions._util import py_strip
 from tablewright.session import checkpoint_root
 
 _WS = re.compile(r"\s+")
@@ -425,10 +426,12 @@ def match_two_pass(mentions: DataFrame, text_col: str, columns: DataFrame, table
     higher; the final best is accepted when >= 0.7 (``fuzzy``), else
     ``missing``.  Per-table bests are folded with ``aggregate`` over an array
     that holds one entry per table (bounded by the catalogue, not the data)."""
-    names = mentions.select(text_col).distinct()
-    exact = names.join(columns.select(F.col(column_col).alias("__c")).distinct(),
-                       F.col(text_col) == F.col("__c"), "left_semi")
-    todo = names.join(exact, text_col, "left_anti")
+    # one left join marks the names that are a column somewhere (pass 1)
+    known = columns.select(F.col(column_col).alias("__c")).distinct().withColumn("__exact", F.lit(True))
+    flagged = (mentions.select(text_col).distinct()
+               .join(known, F.col(text_col) == F.col("__c"), "left").drop("__c")
+               .withColumn("__exact", F.coalesce("__exact", F.lit(False))))
+    todo = flagged.where(~F.col("__exact")).select(text_col)
     dict_rows = columns.select(F.col(table_col).alias("__tab"), F.col(table_order).alias("__tord"),
                                F.col(column_col).alias("__col"), F.col(column_order).alias("__cord"))
     # Score against the distinct column names once; the table is joined back.
@@ -447,8 +450,7 @@ def match_two_pass(mentions: DataFrame, text_col: str, columns: DataFrame, table
         .otherwise(acc)).alias("__best"))
     fuzzy = folded.select(text_col, F.col("__best.m").alias("matched_column"), F.col("__best.s").alias("confidence"))
     fuzzy = fuzzy.withColumn("match_type", F.when(F.col("confidence") >= 0.7, F.lit("fuzzy")))
-    res = (names.join(exact.withColumn("__exact", F.lit(True)), text_col, "left")
-           .join(fuzzy, text_col, "left"))
+    res = flagged.join(fuzzy, text_col, "left")
     res = res.select(
         text_col,
         F.when(F.col("__exact"), F.col(text_col)).when(F.col("match_type") == "fuzzy", F.col("matched_column"))
@@ -470,13 +472,13 @@ def glossary_match(mentions: DataFrame, text_col: str, glossary: DataFrame, db_c
     ``direct_glossary`` (1.0); else best fuzzy description >= 0.4 ->
     ``fuzzy_glossary`` with its score.  For a description listed twice the
     later row (largest ``order_col``) wins."""
-    g = (glossary.select(F.lower(F.trim(F.col(description_col).cast("string"))).alias("__d"),
-                         F.trim(F.col(field_col).cast("string")).alias("__f"), F.col(order_col).alias("__o"))
+    g = (glossary.select(F.lower(py_strip(F.col(description_col).cast("string"))).alias("__d"),
+                         py_strip(F.col(field_col).cast("string")).alias("__f"), F.col(order_col).alias("__o"))
          .where((F.col("__d") != "") & (F.col("__f") != "") & F.col("__d").isNotNull() & F.col("__f").isNotNull()))
     g = g.groupBy("__d").agg(F.max_by("__f", "__o").alias("__f"), F.min("__o").alias("__o"))
     names = mentions.select(text_col).distinct().join(
         db_columns.select(F.col(column_col).alias("__c")).distinct(), F.col(text_col) == F.col("__c"), "left_anti")
-    names = names.withColumn("__low", F.lower(F.trim(F.col(text_col))))
+    names = names.withColumn("__low", py_strip(F.lower(F.col(text_col))))
     direct = names.join(g, F.col("__low") == F.col("__d"), "inner").select(
         text_col, F.col("__f").alias("actual_column"), F.lit(None).cast("string").alias("matched_glossary_term"),
         F.lit("direct_glossary").alias("match_type"), F.lit(1.0).alias("confidence"))
