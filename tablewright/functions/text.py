@@ -133,7 +133,9 @@ def reverse_string(s: Any) -> Column:
 
 def proper_case(s: Any) -> Column:
     """Python ``str.title()``: upper-case the first letter of every letter
-    run, lower-case the rest ("o'neil 3rd a-b" -> "O'Neil 3Rd A-B"); NULL -> ""."""
+    run, lower-case the rest ("o'neil 3rd a-b" -> "O'Neil 3Rd A-B"); NULL -> "".
+    (Characters whose title case differs from their upper case, such as
+    "ß" -> "Ss" or the "ǆ" digraphs, take the upper case here.)"""
     runs = F.regexp_extract_all(F.coalesce(text(s), F.lit("")), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
     return F.array_join(
         F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 30)))),
