@@ -296,3 +296,12 @@ def test_assume_unique_skips_aggregate(spark, target):
     assert sorted(map(str, fast.collect())) == sorted(map(str, safe.collect()))
     plan = fast._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_blank_and_null_string_keys(spark):
+    t = spark.createDataFrame([("",), (None,), ("A",)], "k string")
+    src = spark.createDataFrame([("", "blank"), (None, "null"), ("A", "a")], "k string, v string")
+    got = {r.k: r.v for r in mutate.lookup(t, src, "k", "v", "v").collect()}
+    assert got == {"": "blank", None: None, "A": "a"}
+    upd = {r.k: r.v for r in mutate.update_from(t.withColumn("v", F.lit("old")), src, "k", {"v": "v"}).collect()}
+    assert upd == {"": "blank", None: "old", "A": "a"}

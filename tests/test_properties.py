@@ -57,3 +57,47 @@ def test_text_functions_match_python(spark, values, width):
         assert rev == v[::-1], v
         parts = v.split(" ")
         assert part == (parts[1] if len(parts) > 1 else ""), v
+
+
+def _py_format(s, fin, fout):
+    from datetime import datetime
+    if s is None:
+        return ""
+    try:
+        return datetime.strptime(s, fin).strftime(fout)
+    except ValueError:
+        return s
+
+
+def _py_add(s, n, fmt):
+    from datetime import datetime, timedelta
+    if s is None:
+        return ""
+    try:
+        return (datetime.strptime(s, fmt) + timedelta(days=n)).strftime(fmt)
+    except ValueError:
+        return s
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1900, 2100), st.integers(0, 13), st.integers(0, 32)), min_size=40,
+                max_size=60),
+       st.integers(-400, 400))
+def test_dates_match_python_strptime(spark, ymd, days):
+    compact = [f"{y:04d}{m:02d}{d:02d}" for y, m, d in ymd]
+    dashed = [f"{y}-{m}-{d}" for y, m, d in ymd]
+    got = run(spark, compact, fn.format_date("v"), fn.format_date("v", "%Y%m%d", "%d %B %Y"),
+              fn.date_add_days("v", days, "%Y%m%d"))
+    for v, (iso, long_, added) in zip(compact, got):
+        assert iso == _py_format(v, "%Y%m%d", "%Y-%m-%d"), v
+        assert long_ == _py_format(v, "%Y%m%d", "%d %B %Y"), v
+        assert added == _py_add(v, days, "%Y%m%d"), v
+    got = run(spark, dashed, fn.date_add_days("v", days), fn.date_diff_days("v", F.lit("2000-01-01")))
+    for v, (added, diff) in zip(dashed, got):
+        assert added == _py_add(v, days, "%Y-%m-%d"), v
+        try:
+            from datetime import datetime
+            exp = (datetime(2000, 1, 1) - datetime.strptime(v, "%Y-%m-%d")).days
+        except ValueError:
+            exp = 0
+        assert diff == exp, v
