@@ -39,6 +39,23 @@ _FUNCTIONS = {
                  "coalesce(length(regexp_replace(s, '(?U)[^\\\\d]', '')) BETWEEN 7 AND 15, false)"),
     "is_valid_json": ("s STRING", "BOOLEAN", "coalesce(try_parse_json(s) IS NOT NULL, false)"),
     "yyyymmdd_to_iso": ("s STRING", "STRING", "concat(substr(s, 1, 4), '-', substr(s, 5, 2), '-', substr(s, 7, 2))"),
+    "split_string": ("s STRING, d STRING, i INT", "STRING",
+                     "CASE WHEN s IS NULL THEN '' WHEN coalesce(d, ',') = '' OR i IS NULL THEN s "
+                     "WHEN i < 0 THEN '' ELSE split_part(s, coalesce(d, ','), i + 1) END"),
+    "json_extract_value": ("j STRING, k STRING", "STRING",
+                           "coalesce(CASE get_json_object(j, concat('$[\\'', k, '\\']')) WHEN 'true' THEN 'True' "
+                           "WHEN 'false' THEN 'False' ELSE get_json_object(j, concat('$[\\'', k, '\\']')) END, '')"),
+    "format_date": ("s STRING", "STRING",
+                    "CASE WHEN s IS NULL THEN '' WHEN s RLIKE '^[0-9]{8}$' THEN coalesce(date_format(try_cast(concat("
+                    "substr(s, 1, 4), '-', substr(s, 5, 2), '-', substr(s, 7, 2)) AS DATE), 'yyyy-MM-dd'), s) ELSE s END"),
+    "date_add_days": ("s STRING, n INT", "STRING",
+                      "CASE WHEN s IS NULL THEN '' WHEN s RLIKE '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$' THEN coalesce("
+                      "date_format(date_add(try_cast(s AS DATE), coalesce(n, 0)), 'yyyy-MM-dd'), s) ELSE s END"),
+    "power_of": ("a DOUBLE, b DOUBLE", "DOUBLE",
+                 "CASE WHEN (coalesce(a, 0.0) < 0 AND coalesce(b, 0.0) != floor(coalesce(b, 0.0))) "
+                 "OR (coalesce(a, 0.0) = 0 AND coalesce(b, 0.0) < 0) "
+                 "OR abs(pow(coalesce(a, 0.0), coalesce(b, 0.0))) = double('Infinity') THEN 0.0 "
+                 "ELSE pow(coalesce(a, 0.0), coalesce(b, 0.0)) END"),
 }
 
 

@@ -246,3 +246,13 @@ def test_register_sql_functions(spark):
     row = spark.sql("SELECT proper_case(\"o'neil 3rd\") a, left_pad('7', 3, '0') b, is_email('a@b.de') c, "
                     "safe_divide(1, 0) d, yyyymmdd_to_iso('20240131') e").first()
     assert tuple(row) == ("O'Neil 3Rd", "007", True, 0.0, "2024-01-31")
+
+
+def test_register_more_sql_functions(spark):
+    fn.register_sql_functions(spark)
+    row = spark.sql("""SELECT split_string('a,b,c', ',', 1) a, split_string('a,b', ',', 5) b,
+                              split_string(NULL, ',', 0) c, json_extract_value('{"k": true}', 'k') d,
+                              json_extract_value('{bad', 'k') e, format_date('20240131') f, format_date('20230230') g,
+                              date_add_days('2024-01-31', 1) h, date_add_days('bad', 1) i, power_of(-8, 0.5) j,
+                              power_of(2, 10) k""").first()
+    assert tuple(row) == ("b", "", "", "True", "", "2024-01-31", "20230230", "2024-02-01", "bad", 0.0, 1024.0)
