@@ -1072,3 +1072,24 @@ SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM event
 """)
 def q_json_value(spark, d):
     return T(spark, d, "events").select("event_id", fn.json_extract_value("props", "k").alias("k"))
+
+
+@register("sql_surface", """
+SELECT c_custkey, reverse(c_name) AS rev,
+       CASE WHEN length(CAST(c_nationkey AS VARCHAR)) >= 3 THEN CAST(c_nationkey AS VARCHAR)
+            ELSE lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END AS nk,
+       CASE WHEN c_nationkey = 0 THEN 0.0 ELSE c_acctbal / c_nationkey END AS per_nation,
+       split_part(c_name, '#', 2) AS num,
+       CASE WHEN c_acctbal < 0 THEN 0.0 ELSE pow(c_acctbal, 0.5) END AS root
+FROM customer
+""")
+def q_sql_surface(spark, d):
+    """The reference's SQL function names used from ``spark.sql`` (SQL-bodied
+    functions, inlined into the plan) over the whole customer table."""
+    fn.register_sql_functions(spark)
+    T(spark, d, "customer").createOrReplaceTempView("tw_customer")
+    return spark.sql("""
+        SELECT c_custkey, reverse_string(c_name) AS rev, left_pad(CAST(c_nationkey AS STRING), 3, '0') AS nk,
+               safe_divide(c_acctbal, c_nationkey) AS per_nation, split_string(c_name, '#', 1) AS num,
+               power_of(c_acctbal, 0.5) AS root
+        FROM tw_customer""")
