@@ -193,3 +193,13 @@ def test_bucketed_run_avoids_target_shuffle(spark, scratch):
         assert plan.count("Exchange hashpartitioning") == 1      # only the source side moves
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_load_tables_and_read_json(spark, scratch):
+    from tablewright.sources import load_tables, read_json, write_json
+    from conftest import SF_SMALL
+    t = load_tables(spark, SF_SMALL, ["nation", "region"], register=True)
+    assert spark.sql("SELECT count(*) FROM nation").first()[0] == t["nation"].count() == 25
+    p = write_json(t["region"], os.path.join(scratch, "region_json"))
+    back = read_json(spark, p, t["region"].schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, t["region"].collect()))
