@@ -479,10 +479,12 @@ def glossary_match(mentions: DataFrame, text_col: str, glossary: DataFrame, db_c
     names = mentions.select(text_col).distinct().join(
         db_columns.select(F.col(column_col).alias("__c")).distinct(), F.col(text_col) == F.col("__c"), "left_anti")
     names = names.withColumn("__low", py_strip(F.lower(F.col(text_col))))
-    direct = names.join(g, F.col("__low") == F.col("__d"), "inner").select(
+    # one left join splits direct glossary hits from the rest
+    joined = names.join(g.withColumn("__hit", F.lit(True)), F.col("__low") == F.col("__d"), "left")
+    direct = joined.where(F.col("__hit")).select(
         text_col, F.col("__f").alias("actual_column"), F.lit(None).cast("string").alias("matched_glossary_term"),
         F.lit("direct_glossary").alias("match_type"), F.lit(1.0).alias("confidence"))
-    rest = names.join(g, F.col("__low") == F.col("__d"), "left_anti")
+    rest = joined.where(F.col("__hit").isNull()).select(text_col, "__low")
     best = fuzzy_best(rest, "__low", g.select("__d", "__o"), "__d", 0.4, "__o", **kw).where(F.col("match").isNotNull())
     best = best.join(g.select(F.col("__d").alias("__gd"), F.col("__f")), F.col("match") == F.col("__gd"))
     fuzzy = best.select(text_col, F.col("__f").alias("actual_column"), F.col("match").alias("matched_glossary_term"),
