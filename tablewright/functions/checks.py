@@ -69,7 +69,7 @@ def is_phone(s: Any) -> Column:
     Unicode digit class (Python's ``\\d``)."""
     t = text(s)
     ascii_digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
-    unicode_digits = F.length(F.regexp_replace(t, r"(?U)[^\d]", ""))
+    unicode_digits = F.length(F.regexp_replace(t, r"(?U)[^\d]+", ""))
     n = F.when(is_ascii(t), ascii_digits).otherwise(unicode_digits)
     # fewer than 7 characters cannot hold 7 digits: skip the counting
     return F.coalesce(F.when(F.length(t) >= 7, n.between(7, 15)), F.lit(False))

@@ -173,7 +173,7 @@ def leading_zeros(s: Any, length: int = 10) -> Column:
 
 def clean_special_characters(s: Any) -> Column:
     """Keep only ASCII letters, digits and spaces (NULL stays NULL)."""
-    return F.regexp_replace(text(s), r"[^a-zA-Z0-9 ]", "")
+    return F.regexp_replace(text(s), r"[^a-zA-Z0-9 ]+", "")   # runs at once: same result, fewer steps
 
 
 def after_first_word(s: Any, length: int) -> Column:
