@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions._util import col, lit, text
+from tablewright.functions._util import lit, text
 
 
 # ---------------------------------------------------------------- regex dialect

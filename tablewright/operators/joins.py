@@ -4,13 +4,12 @@ sort-merge, AQE re-plans at runtime and splits skewed partitions."""
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any, Mapping, Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators._keys import (MATCH, all_of, dedupe_by_key, key_pairs,
-                                         keyed_left_join)
+from tablewright.operators._keys import all_of, dedupe_by_key, key_pairs, keyed_left_join
 from tablewright.operators.filters import where
 
 # Fall-back join keys in priority order (business key names).

@@ -6,7 +6,7 @@ DataFrame (a new logical plan) and ``plans.runs`` materialises versions.
 
 from __future__ import annotations
 
-from typing import Any, Mapping, Sequence
+from typing import Any, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tablewright.functions.text import regexp_match
-from tablewright.operators._keys import MATCH, keyed_left_join
+from tablewright.operators._keys import keyed_left_join
 from tablewright.operators.aggs import summary
 
 
