@@ -186,7 +186,6 @@ def meta_add(meta: DataFrame, field: str, description: str = "", *, obj_id: int,
              source_table: str | None = None, sap_structure: str | None = None) -> DataFrame:
     """Register a new target column in ``connection_fields`` with
     ``field_id = max(field_id) + 1`` (booleans are the strings "True"/"False")."""
-    spark = meta.sparkSession
     next_id = meta.agg((F.coalesce(F.max("field_id"), F.lit(0)) + 1).alias("field_id"))
     row = next_id.select(
         F.col("field_id").cast("long").alias("field_id"),
@@ -197,7 +196,6 @@ def meta_add(meta: DataFrame, field: str, description: str = "", *, obj_id: int,
         F.lit(obj_id).cast("long").alias("obj_id_id"),
         F.lit(segment_id).cast("long").alias("segement_id_id"),
         F.lit(project_id).cast("long").alias("project_id_id"))
-    del spark
     return meta.unionByName(align_to(row, meta))
 
 

@@ -13,7 +13,6 @@ from conftest import SF_SMALL
 
 def test_stream_mapping(spark, scratch):
     orders = read_table_stream(spark, SF_SMALL, "orders")
-    nation = spark.read.parquet(os.path.join(SF_SMALL, "nation.parquet"))
     customer = spark.read.parquet(os.path.join(SF_SMALL, "customer.parquet"))
 
     def transform(df):
@@ -29,4 +28,3 @@ def test_stream_mapping(spark, scratch):
     assert got.count() == spark.read.parquet(os.path.join(SF_SMALL, "orders.parquet")).count()
     assert set(got.columns) >= {"band", "quarter", "segment"}
     assert got.where(F.col("segment").isNull()).count() == 0
-    del nation
