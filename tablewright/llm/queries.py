@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rendezvous, stream_dedup
+from . import mixing, piece_bpe, rendezvous, stream_dedup, token_transducer
 from ._io import table
 
+#: The vocabulary of the token queries; a parameter of the operators.
+MODEL = "piece_bpe_32k.model"
+CONTEXT_TOKENS = 4096
+
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -26,7 +31,16 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op8_stream_dedup, op9_rendezvous_shards)}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
+QUERIES = {f.__name__: f for f in (op3_source_mix, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
 
 ORACLE = {
     "op8_stream_dedup": """
