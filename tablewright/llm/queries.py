@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, piece_bpe, rendezvous, stream_dedup, token_transducer
+from . import mixing, ordinal_quality, piece_bpe, rendezvous, stream_dedup, token_transducer, toxicity
 from ._io import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
@@ -14,6 +14,21 @@ MODEL = "piece_bpe_32k.model"
 CONTEXT_TOKENS = 4096
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def rating() -> Column:
+    """Graded rating of a labelled document: 0 junk, 1 toxic, 2 neither."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal_quality.train(docs, table(spark, sf_dir, "labels"), rating(), grades=3)
+    return ordinal_quality.grade(docs, model, select_grade=1, threshold=0.5)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
 
 ORACLE = {
     "op8_stream_dedup": """
