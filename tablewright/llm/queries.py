@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ordinal_quality, piece_bpe, rendezvous, stream_dedup, token_transducer, toxicity
+from . import group_join, mixing, ordinal_quality, piece_bpe, rendezvous, stream_dedup, token_transducer, toxicity
 from ._io import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
@@ -46,6 +46,10 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
@@ -55,7 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op4_group_join, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
 
 ORACLE = {
     "op8_stream_dedup": """
