@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import group_join, mixing, ordinal_quality, piece_bpe, pivot_permutation, rendezvous, stream_dedup, token_transducer, toxicity
+from . import group_join, mixing, ordinal_quality, piece_bpe, pivot_permutation, rendezvous, stream_dedup, surrogates, token_transducer, toxicity
 from ._io import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
@@ -50,6 +50,10 @@ def op4_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_permutation.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -63,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op4_group_join, op6_pivot_permutation, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op4_group_join, op5_surrogates, op6_pivot_permutation, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
 
 ORACLE = {
     "op8_stream_dedup": """
