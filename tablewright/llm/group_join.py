@@ -203,3 +203,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     smallest = stage(reps.join(smallest, "component").select("digest", "component_id"), "join-ids")
     return (features.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(smallest, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose identifier is the smallest of its component,
+    with all their columns."""
+    found = near_duplicates(docs, words, num, den, key, text)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col(key).eqNullSafe(F.col("__id")), "left_semi")

@@ -121,3 +121,12 @@ def deduplicate(docs: DataFrame, stream: DataFrame | None = None, digest: Callab
     again = apart.join(groups, ["digest", "body"]).select(
         "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
     return out.join(clash, "digest", "left_anti").unionByName(again)
+
+
+def survivors(docs: DataFrame, stream: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows with equal
+    texts and equal identifiers one stays."""
+    marks = deduplicate(docs, stream, key=key, text=text).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumn("__of", sha256(text_or_empty(text)))
+    same = (F.col("__of") == F.col("__digest")) & F.col(key).eqNullSafe(F.col("__id"))
+    return rows.join(marks, same, "left_semi").dropDuplicates([key, "__of"]).drop("__of")
