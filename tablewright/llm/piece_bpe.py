@@ -11,8 +11,10 @@ a cut that no merge crosses, and the parts between cuts are encoded alone.  A
 blank after another character is such a cut in vocabularies that mark word
 starts; parts that return are looked up in a memo of bounded size.
 
-Each Arrow batch is encoded by the sentencepiece library too, and a difference
-stops the job; ``check=False`` leaves that out.
+In each Arrow batch the words that are new to the memo are encoded by the
+sentencepiece library too, and a difference stops the job; as no merge crosses a
+cut, a text's ids are its words' ids.  ``check="texts"`` compares all whole texts
+instead, ``check=None`` nothing.
 
 Defined results: null counts as the empty text, which has no ids and decodes to
 the empty text; repeated rows are encoded each; an empty table gives no rows;
@@ -22,9 +24,9 @@ replaced.  Texts of any length are taken whole.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 BLANK = "▁"
-MEMO_PARTS = 300_000
+MEMO_PARTS = 1_000_000
+SHORT = 64
+_NEVER = 1 << 60
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -54,41 +58,76 @@ class Vocabulary:
                 or model.trainer_spec.treat_whitespace_as_suffix or kinds - {_NORMAL, _UNKNOWN, _CONTROL, _BYTE}):
             raise ValueError("a merge-type model with byte pieces, word starts marked and no character map is needed")
         self.pieces = [p.piece for p in model.pieces]
-        self.rank: dict[str, float] = {p.piece: -p.score for p in model.pieces if p.type == _NORMAL}
+        scores = sorted({p.score for p in model.pieces if p.type == _NORMAL}, reverse=True)
+        place = {x: i for i, x in enumerate(scores)}
+        self.rank = {p.piece: place[p.score] for p in model.pieces if p.type == _NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == _NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.control = {i for i, p in enumerate(model.pieces) if p.type == _CONTROL}
+        #: What an id shows alone: a byte that may be part of a character shows nothing alone.
+        self.shown: list[str | None] = [p.replace(BLANK, " ") for p in self.pieces]
+        for i in range(len(self.pieces)):
+            if i in self.control:
+                self.shown[i] = ""
+            elif i in self.bytes_of:
+                self.shown[i] = chr(self.bytes_of[i][0]) if self.bytes_of[i][0] < 128 else None
+        for i, p in enumerate(model.pieces):
+            if p.type == _UNKNOWN:
+                self.shown[i] = " ⁇ "
         self.joined = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}
         #: Whether a blank after another character is a cut; else words are not split.
         self.words_apart = not any(a != BLANK and b == BLANK for a, b in self.joined)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.unchecked: list[str] = []
 
     def merge(self, text: str) -> list[str]:
         """The symbols that stay after all merges of the agenda."""
+        return self._merge_short(text) if len(text) <= SHORT else self._merge_long(text)
+
+    def _merge_short(self, text: str) -> list[str]:
+        """The agenda as a list: the rank of each symbol joined with the next."""
+        symbols, rank = list(text), self.rank
+        agenda = [rank.get(text[i:i + 2], _NEVER) for i in range(len(text) - 1)]
+        while agenda and (best := min(agenda)) != _NEVER:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(symbols[i] + symbols[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], _NEVER)
+        return symbols
+
+    def _merge_long(self, text: str) -> list[str]:
+        """The agenda as a heap.  An entry is one number: the rank of the joined
+        piece, the place and the joined length."""
         symbols = list(text)
         n, rank = len(symbols), self.rank
-        if n == 1:
-            return symbols
+        place = n.bit_length()
+        mask, low = (1 << place) - 1, 2 * place
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(r, i, 2) for i in range(n - 1) if (r := rank.get(text[i:i + 2])) is not None]
-        heapq.heapify(agenda)
+        agenda = [r << low | i << place | 2 for i in range(n - 1) if (r := rank.get(text[i:i + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, i, size = heapq.heappop(agenda)
-            left = symbols[i]
-            j = after[i]
-            if not left or j >= n or len(left) + len(symbols[j]) != size:
+            entry = heappop(agenda)
+            i = entry >> place & mask
+            left, j = symbols[i], after[i]
+            if not left or j >= n or len(left) + len(symbols[j]) != entry & mask:
                 continue  # one of the two was merged meanwhile
             joined = symbols[i] = left + symbols[j]
             symbols[j] = ""
             k = after[i] = after[j]
             if k < n:
                 prior[k] = i
-                if (r := rank.get(joined + symbols[k])) is not None:
-                    heapq.heappush(agenda, (r, i, size + len(symbols[k])))
+                right = joined + symbols[k]
+                if (r := rank.get(right)) is not None:
+                    heappush(agenda, r << low | i << place | len(right))
             h = prior[i]
-            if h >= 0 and (r := rank.get(symbols[h] + joined)) is not None:
-                heapq.heappush(agenda, (r, h, size + len(symbols[h])))
+            if h >= 0:
+                right = symbols[h] + joined
+                if (r := rank.get(right)) is not None:
+                    heappush(agenda, r << low | h << place | len(right))
         return [s for s in symbols if s]
 
     def parts(self, text: str) -> list[str]:
@@ -98,7 +137,7 @@ class Vocabulary:
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
         out: list[int] = []
-        for part in self.parts(word):
+        for part in [word] if len(word) <= SHORT else self.parts(word):
             for s in self.merge(part):
                 i = self.ids.get(s)
                 if i is not None:
@@ -110,16 +149,29 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        memo, out = self.memo, []
-        if len(memo) > MEMO_PARTS:
+        memo = self.memo
+        if len(memo) > MEMO_PARTS and not self.unchecked:
             memo.clear()
-        for word in self.words(text):
-            ids = memo.get(word)
-            if ids is None:
-                ids = memo[word] = self._encode_word(word)
-            out.append(ids)
+        words = self.words(text)
+        out = [memo.get(w) for w in words]
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    word = words[i]
+                    out[i] = memo.get(word)
+                    if out[i] is None:
+                        out[i] = memo[word] = self._encode_word(word)
+                        self.unchecked.append(word)
         return list(chain.from_iterable(out))
 
+    def check_words(self) -> None:
+        """Compare the words encoded since the last call with the library, which
+        puts a blank in front of each itself."""
+        new, self.unchecked = self.unchecked, []
+        for word, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1), strict=True):
+            if tuple(ids) != self.memo.get(word, tuple(ids)):
+                raise ValueError(f"ids differ from the library's: {word[:200]!r}")
+
     def words(self, text: str) -> list[str]:
         """The normalised text, split before blanks that follow another character."""
         return self.words_of(" " + text)
@@ -140,23 +192,27 @@ class Vocabulary:
         return [*out, BLANK * blanks] if blanks else out
 
     def decode(self, ids: list[int]) -> str:
+        shown = self.shown
+        out = [shown[i] for i in ids]
+        if None in out:
+            out = self._with_bytes(ids)
+        text = "".join(out)
+        first = next((i for i in ids if i not in self.control), 0)
+        return text[1:] if self.pieces[first][:1] == BLANK else text
+
+    def _with_bytes(self, ids: list[int]) -> list[str]:
+        """What each id shows, where neighbouring byte pieces form characters."""
         out: list[str] = []
         run = b""
         for i in ids:
-            byte = self.bytes_of.get(i)
-            if byte is not None:
-                run += byte
+            if self.shown[i] is None:
+                run += self.bytes_of[i]
                 continue
             if run:
                 out.append(_utf8(run))
                 run = b""
-            if i not in self.control:
-                out.append(self.pieces[i] if i != 0 else " ⁇ ")
-        if run:
-            out.append(_utf8(run))
-        text = "".join(out).replace(BLANK, " ")
-        first = next((i for i in ids if i not in self.control), 0)
-        return text[1:] if self.pieces[first][:1] == BLANK else text
+            out.append(self.shown[i])
+        return [*out, _utf8(run)] if run else out
 
 
 def _utf8(run: bytes) -> str:
@@ -193,18 +249,21 @@ def _texts(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
         yield [t or "" for t in column.slice(at, rows).to_pylist()]
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: bool = True) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: str | None = "words") -> DataFrame:
     """``df`` with the column ``ids``: the piece ids of each whole text."""
     schema = _with(df, ids, ArrayType(IntegerType(), False))
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
+        vocab.unchecked.clear()
         for batch in batches:
             column, at = batch.column(text), 0
             for texts in _texts(column):
                 got = [vocab.encode(t) for t in texts]
-                if check and got != (said := vocab.library.encode(texts, num_threads=1)):
+                if check == "words":
+                    vocab.check_words()
+                elif check == "texts" and got != (said := vocab.library.encode(texts, num_threads=1)):
                     bad = next(t for t, a, b in zip(texts, got, said, strict=True) if a != b)
                     raise ValueError(f"ids differ from the library's: {bad[:200]!r}")
                 part = batch.slice(at, len(texts))
@@ -226,7 +285,9 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
                 part = batch.slice(at, 256)
                 rows = [x or [] for x in part.column(ids).to_pylist()]
                 got = [vocab.decode(x) for x in rows]
-                if check and got != (said := vocab.library.decode(rows)):
+                if check == "words":
+                    vocab.check_words()
+                elif check == "texts" and got != (said := vocab.library.decode(rows)):
                     bad = next(x for x, a, b in zip(rows, got, said, strict=True) if a != b)
                     raise ValueError(f"the text differs from the library's for the ids {bad[:50]}")
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.string())], names=[*kept, text])

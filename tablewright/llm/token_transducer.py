@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import stage, text_or_empty
-from .piece_bpe import BLANK, MEMO_PARTS, Vocabulary, vocabulary
+from .piece_bpe import Vocabulary, vocabulary
 
 CHUNK_CHARS = 65_536
 MAX_STATES = 200_000
+MEMO_WORDS = 500_000
 
 
 class Transducer:
@@ -107,7 +108,7 @@ class Transducer:
         """The tokens of a word between two cuts."""
         n = self.memo.get(word)
         if n is None:
-            if len(self.memo) > MEMO_PARTS or len(self.states) > MAX_STATES:
+            if len(self.memo) > MEMO_WORDS or len(self.states) > MAX_STATES:
                 self.reset()
             n = self.memo[word] = self.run(0, word)[1]
         return n
