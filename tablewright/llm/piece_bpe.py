@@ -79,7 +79,7 @@ class Vocabulary:
         #: Whether a blank after another character is a cut; else words are not split.
         self.words_apart = not any(a != BLANK and b == BLANK for a, b in self.joined)
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.unchecked: list[str] = []
+        self.unchecked: list[tuple[str, tuple[int, ...]]] = []
 
     def merge(self, text: str) -> list[str]:
         """The symbols that stay after all merges of the agenda."""
@@ -150,7 +150,7 @@ class Vocabulary:
         if not text:
             return []
         memo = self.memo
-        if len(memo) > MEMO_PARTS and not self.unchecked:
+        if len(memo) > MEMO_PARTS:
             memo.clear()
         words = self.words(text)
         out = [memo.get(w) for w in words]
@@ -161,15 +161,15 @@ class Vocabulary:
                     out[i] = memo.get(word)
                     if out[i] is None:
                         out[i] = memo[word] = self._encode_word(word)
-                        self.unchecked.append(word)
+                        self.unchecked.append((word, out[i]))
         return list(chain.from_iterable(out))
 
     def check_words(self) -> None:
         """Compare the words encoded since the last call with the library, which
         puts a blank in front of each itself."""
         new, self.unchecked = self.unchecked, []
-        for word, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1), strict=True):
-            if tuple(ids) != self.memo.get(word, tuple(ids)):
+        for (word, ids), said in zip(new, self.library.encode([w[1:] for w, _ in new], num_threads=1), strict=True):
+            if ids != tuple(said):
                 raise ValueError(f"ids differ from the library's: {word[:200]!r}")
 
     def words(self, text: str) -> list[str]:
@@ -266,6 +266,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                 elif check == "texts" and got != (said := vocab.library.encode(texts, num_threads=1)):
                     bad = next(t for t, a, b in zip(texts, got, said, strict=True) if a != b)
                     raise ValueError(f"ids differ from the library's: {bad[:200]!r}")
+                vocab.unchecked.clear()
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.list_(pa.int32()))], names=[*kept, ids])
