@@ -7,6 +7,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, IntegralType, StringType, TimestampType
 
 MATCH = "__tw_matched"
 
@@ -31,41 +32,38 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                   assume_unique: bool = False) -> DataFrame:
     """One row per key, never an arbitrary one.
 
-    Without ``order`` the smallest (``pick="min"``) or largest value (tuple) is
-    kept; with ``order`` the row with the smallest/largest order value.  This is
-    a hash aggregate with map-side partial aggregation, so a key holding a
-    third of all rows is combined inside each task before the shuffle.
-    NULL keys are dropped: they never match an equi-join.  ``assume_unique``
-    skips the aggregate when the caller guarantees unique keys (a duplicate
-    would then multiply target rows).
+    One rule for any number of values: NULLs come after all values, column by
+    column, and the smallest (``pick="min"``) or largest value (tuple) is kept.
+    With ``order`` the row with the smallest/largest order value is kept; a NULL
+    order comes after all others, ties go by the values.  This is an aggregate
+    with map-side partial aggregation, so a key holding a third of all rows is
+    combined inside each task before the shuffle.  NULL keys are dropped: they
+    never match an equi-join.  ``assume_unique`` skips the aggregate when the
+    caller guarantees unique keys (a duplicate would then multiply target rows).
     """
     keys, values = list(keys), list(values)
-    df = df.where(F.lit(True) if not keys else
-                  _all([F.col(k).isNotNull() for k in keys]))
+    df = df.where(all_of([F.col(k).isNotNull() for k in keys]))
     if assume_unique:
         # The caller guarantees one row per key (a primary key): no aggregate.
         return df.select(*keys, *values)
     if not values:
         return df.select(*keys).distinct()
-    if len(values) == 1:
-        # One value: aggregate the column itself, so fixed-width values keep a
-        # hash aggregate (a struct buffer would force a sort aggregate).  As SQL
-        # ``min``/``max``, NULLs are skipped unless a key has only NULLs.
-        v = F.col(values[0])
-        if order is None:
-            agg = F.min(v) if pick == "min" else F.max(v)
-        else:
-            o = order if isinstance(order, Column) else F.col(order)
-            agg = F.min_by(v, o) if pick == "min" else F.max_by(v, o)
-        return df.groupBy(*keys).agg(agg.alias(values[0]))
-    packed = F.struct(*[F.col(v) for v in values])
-    if order is None:
-        agg = F.min(packed) if pick == "min" else F.max(packed)
-    else:
-        o = order if isinstance(order, Column) else F.col(order)
-        agg = F.min_by(packed, o) if pick == "min" else F.max_by(packed, o)
-    out = df.groupBy(*keys).agg(agg.alias("__tw_v"))
-    return out.select(*keys, *[F.col("__tw_v")[v].alias(v) for v in values])
+    best = F.min if pick == "min" else F.max
+
+    def last_if_null(c: Column) -> list[Column]:
+        return [c.isNull() if pick == "min" else c.isNotNull(), c]
+
+    if order is None and len(values) == 1:
+        # min/max skip NULLs unless a key has only NULLs: the same rule, and
+        # fixed-width values keep a hash aggregate.
+        return df.groupBy(*keys).agg(best(values[0]).alias(values[0]))
+    ranked = [] if order is None else last_if_null(order if isinstance(order, Column) else F.col(order))
+    for v in values:
+        ranked += last_if_null(F.col(v))
+    packed = F.struct(*[c.alias(f"__tw_r{i}") for i, c in enumerate(ranked)])
+    first = 1 if order is None else 3
+    out = df.groupBy(*keys).agg(best(packed).alias("__tw_v"))
+    return out.select(*keys, *[F.col("__tw_v")[f"__tw_r{first + 2 * i}"].alias(v) for i, v in enumerate(values)])
 
 
 def _all(preds: Iterable[Column]) -> Column:
@@ -96,26 +94,36 @@ def maybe_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+# Types whose equal values have equal hashes.
+_HASHABLE = (StringType, BooleanType, IntegralType, DateType, TimestampType)
+
+
 def keyed_left_join(target: DataFrame, lookup: DataFrame, pairs: list[tuple[str, str]],
-                    flag: str | None = MATCH) -> DataFrame:
+                    flag: str | None = MATCH, split_hot: bool = True) -> DataFrame:
     """Left join ``target`` to a lookup that is unique on its key columns.
 
     The lookup's key columns are renamed away so the target's key columns
     survive untouched; ``flag`` is TRUE on matched rows (distinguishes "matched
-    with a NULL value" from "no match", SURVEY S2)."""
+    with a NULL value" from "no match", SURVEY S2).
+
+    A lookup that was reduced to one row per key is already partitioned by the
+    key, and Spark splits a hot partition of a join only where both sides come
+    straight from a shuffle.  ``split_hot`` therefore joins on a hash of the key
+    besides the key: the (reduced) lookup is shuffled once more, and a key with
+    a third of the target's rows spreads over several tasks.  A target that is
+    bucketed by the key keeps its layout only without it."""
     renamed = lookup
     conds = []
+    alike = True
     for i, (tk, sk) in enumerate(pairs):
         alias = f"__tw_k{i}"
+        alike &= target.schema[tk].dataType == lookup.schema[sk].dataType and isinstance(target.schema[tk].dataType, _HASHABLE)
         renamed = renamed.withColumnRenamed(sk, alias)
         conds.append(target[tk] == renamed[alias])
     if flag:
         renamed = renamed.withColumn(flag, F.lit(True))
+    if split_hot and alike and pairs:
+        renamed = renamed.withColumn("__tw_h", F.xxhash64(*[f"__tw_k{i}" for i in range(len(pairs))]))
+        conds.append(F.xxhash64(*[target[tk] for tk, _ in pairs]) == renamed["__tw_h"])
     joined = target.join(renamed, all_of(conds), "left")
-    return joined.drop(*[f"__tw_k{i}" for i in range(len(pairs))])
-
-
-def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two single-row aggregates side by side with an equi-join on a constant
-    key (1 x 1 rows; no cartesian product operator in the plan)."""
-    return a.withColumn("__tw_one", F.lit(1)).join(b.withColumn("__tw_one", F.lit(1)), "__tw_one").drop("__tw_one")
+    return joined.drop("__tw_h", *[f"__tw_k{i}" for i in range(len(pairs))])

@@ -16,11 +16,6 @@ EUROPE_CODES = ("DE", "FR", "IT", "ES", "NL", "BE", "AT", "CH", "SE", "NO", "DK"
                 "LU", "MT", "CY")
 ASIA_CODES = ("CN", "JP", "KR", "IN", "TH", "SG", "MY", "ID", "PH", "VN", "TW", "HK", "MO")
 
-# Above this many listed values a branch list becomes a (broadcast) mapping table
-# instead of a chain of IN tests.
-_INLINE_VALUES = 1000
-
-
 def _v(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -47,23 +42,10 @@ def map_in_lists(df: DataFrame, column: str, branches: Sequence[tuple[Sequence[A
                  default: Any, dst: str) -> DataFrame:
     """``CASE WHEN col IN (A) THEN r1 WHEN col IN (B) THEN r2 ... ELSE default``.
 
-    NULL falls to the default.  Long value lists become a mapping table whose
-    size is known on the driver (so the broadcast is bounded by the spec, not by
-    the data); the first branch listing a value wins, as in CASE."""
-    total = sum(len(v) for v, _ in branches)
-    if total <= _INLINE_VALUES:
-        return df.withColumn(dst, in_lists_expr(column, branches, default))
-    seen: dict[Any, tuple[int, Any]] = {}
-    for i, (vals, res) in enumerate(branches):
-        for v in vals:
-            seen.setdefault(v, (i, res))
-    spark = df.sparkSession
-    ctype = df.schema[column].dataType
-    mapping = spark.createDataFrame([(v, r) for v, (_, r) in seen.items()],
-                                    f"__tw_key {ctype.simpleString()}, __tw_res string")
-    joined = df.join(F.broadcast(mapping), F.col(column) == F.col("__tw_key"), "left")
-    out = joined.withColumn(dst, F.coalesce(F.col("__tw_res"), _v(default).cast("string")))
-    return out.drop("__tw_key", "__tw_res")
+    NULL falls to the default; the first branch listing a value wins.  One
+    semantics for lists of any length: Spark tests a long list against a hash
+    set, and a branch keeps the type of its result, a NULL result included."""
+    return df.withColumn(dst, in_lists_expr(column, branches, default))
 
 
 def _tier_source(tdf: DataFrame, spec: Sequence, default_key: str, name: str,

@@ -7,15 +7,22 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators._keys import all_of, dedupe_by_key
 
+_NA, _NB = "__tw_na", "__tw_nb"
 
-def _null_safe_anti(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
-    # b is reduced to its distinct rows first (an aggregate that is combined
-    # map-side), so a row repeated a million times is one build row.
-    bd = b.select(*[F.col(f"`{c}`").alias(f"__tw_b{i}") for i, c in enumerate(cols)]).distinct()
-    cond = all_of([a[f"`{c}`"].eqNullSafe(F.col(f"__tw_b{i}")) for i, c in enumerate(cols)])
-    return a.join(bd, cond, "left_anti")
+
+def _counted(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each distinct row of either side with its count in a and in b.  One tagged
+    union and one aggregate: NULL equals NULL in a grouping, and a row repeated a
+    million times is combined inside each task before the shuffle."""
+    def side(df: DataFrame, in_a: int) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`") for c in cols], F.lit(in_a).alias(_NA), F.lit(1 - in_a).alias(_NB))
+
+    return side(a, 1).unionByName(side(b, 0)).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.sum(_NA).alias(_NA), F.sum(_NB).alias(_NB))
+
+
+def _repeated(rows: DataFrame, times: str, cols: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.sequence(F.lit(1), F.col(times))).alias("__tw_i")).drop("__tw_i")
 
 
 def diff_rows(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,49 +30,41 @@ def diff_rows(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``(new, removed)`` = rows of b absent from a, rows of a absent from b.
     Repeats of a row are kept as they are (not a multiset difference)."""
     cols = [c for c in a.columns if c in set(b.columns)]
-    new = _null_safe_anti(b.select(*cols), a.select(*cols), cols)
-    removed = _null_safe_anti(a.select(*cols), b.select(*cols), cols)
-    return new, removed
+    counted = _counted(a, b, cols)
+    return (_repeated(counted.where(F.col(_NA) == 0), _NB, cols), _repeated(counted.where(F.col(_NB) == 0), _NA, cols))
 
 
 def diff_rows_tagged(a: DataFrame, b: DataFrame) -> DataFrame:
-    new, removed = diff_rows(a, b)
-    return new.withColumn("status", F.lit("new")).unionByName(removed.withColumn("status", F.lit("removed")))
+    cols = [c for c in a.columns if c in set(b.columns)]
+    apart = _counted(a, b, cols).where((F.col(_NA) == 0) | (F.col(_NB) == 0))
+    status = F.when(F.col(_NA) == 0, F.lit("new")).otherwise(F.lit("removed"))
+    tagged = apart.withColumn("status", status).withColumn("__tw_n", F.col(_NA) + F.col(_NB))
+    return _repeated(tagged, "__tw_n", [*cols, "status"])
 
 
 def diff_keyed(a: DataFrame, b: DataFrame, keys: Sequence[str], null_equal: bool = True,
                value_cols: Sequence[str] | None = None) -> DataFrame:
     """L4: keyed diff -> ``keys + status`` for keys that are ``new`` (only in b),
-    ``removed`` (only in a) or ``changed`` (some shared value column differs).
+    ``removed`` (only in a) or ``changed`` (the shared value columns differ).
 
-    Each side is first reduced to one row per key (smallest value tuple), so the
-    full outer join is one-to-one and a hot key cannot multiply rows.  With
-    ``null_equal`` NULL equals NULL; with ``False`` a NULL on either side counts
-    as a change (the reference's keyed behaviour)."""
+    A NULL key is a key like any other, and all rows of a repeated key are
+    compared: a key is unchanged when both sides hold the same rows for it, each
+    as often.  With ``null_equal`` NULL equals NULL; with ``False`` a key with a
+    NULL value on either side is changed (the reference's keyed behaviour).  Two
+    aggregates with map-side combining; no join, so a hot key multiplies nothing."""
     keys = list(keys)
     vals = list(value_cols) if value_cols is not None else \
         [c for c in a.columns if c in set(b.columns) and c not in keys]
-    ra = dedupe_by_key(a, keys, vals)
-    rb = dedupe_by_key(b, keys, vals)
-    ra = ra.select(*[F.col(k).alias(f"__tw_ak{i}") for i, k in enumerate(keys)],
-                   *[F.col(v).alias(f"__tw_av{j}") for j, v in enumerate(vals)], F.lit(True).alias("__tw_a"))
-    rb = rb.select(*[F.col(k).alias(f"__tw_bk{i}") for i, k in enumerate(keys)],
-                   *[F.col(v).alias(f"__tw_bv{j}") for j, v in enumerate(vals)], F.lit(True).alias("__tw_b"))
-    cond = all_of([F.col(f"__tw_ak{i}") == F.col(f"__tw_bk{i}") for i in range(len(keys))])
-    j = ra.join(rb, cond, "full_outer")
-    if null_equal:
-        diffs = [~F.col(f"__tw_av{i}").eqNullSafe(F.col(f"__tw_bv{i}")) for i in range(len(vals))]
-    else:
-        diffs = [F.coalesce(F.col(f"__tw_av{i}") != F.col(f"__tw_bv{i}"), F.lit(True)) for i in range(len(vals))]
-    changed = F.lit(False)
-    for d in diffs:
-        changed = changed | d
-    status = (F.when(F.col("__tw_a").isNull(), F.lit("new"))
-              .when(F.col("__tw_b").isNull(), F.lit("removed"))
-              .when(changed, F.lit("changed")))
-    out = j.select(*[F.coalesce(F.col(f"__tw_ak{i}"), F.col(f"__tw_bk{i}")).alias(k) for i, k in enumerate(keys)],
-                   status.alias("status"))
-    return out.where(F.col("status").isNotNull())
+    counted = _counted(a, b, [*keys, *vals])
+    differs = F.col(_NA) != F.col(_NB)
+    if not null_equal:
+        for v in vals:
+            differs = differs | F.col(f"`{v}`").isNull()
+    per_key = counted.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.sum(_NA).alias(_NA), F.sum(_NB).alias(_NB), F.max(differs).alias("__tw_differs"))
+    status = (F.when(F.col(_NA) == 0, F.lit("new")).when(F.col(_NB) == 0, F.lit("removed"))
+              .when(F.col("__tw_differs"), F.lit("changed")))
+    return per_key.select(*[F.col(f"`{k}`") for k in keys], status.alias("status")).where(F.col("status").isNotNull())
 
 
 def diff(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, null_equal: bool = True) -> DataFrame:

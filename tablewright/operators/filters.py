@@ -6,14 +6,27 @@ from typing import Any, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from tablewright.operators._keys import all_of
 
 
-def condition(conds: Mapping[str, Any] | Column | None) -> Column:
+def literal_like(value: Any, dtype: DataType | None) -> Column:
+    """A literal in the type of the column it is compared with (S17); NULL, so no
+    match, if it has no value of that type.  Spark folds this to a constant, so
+    filters are still pushed down."""
+    if isinstance(value, Column) or dtype is None:
+        return value if isinstance(value, Column) else F.lit(value)
+    if isinstance(dtype, IntegralType) and isinstance(value, float) and not value.is_integer():
+        return F.lit(value)  # no integer equals it
+    return F.lit(value).try_cast(dtype)
+
+
+def condition(conds: Mapping[str, Any] | Column | None, df: DataFrame | None = None) -> Column:
     """B1: ``{field: value}`` -> ``field = value``; ``{field: [v, ...]}`` ->
     ``field IN (...)``; joined by AND.  Fields whose condition is ``None`` are
-    skipped; an empty map is no filter.  A Column passes through."""
+    skipped; an empty map is no filter.  A Column passes through.  Literals take
+    the type of their column in ``df``."""
     if conds is None:
         return F.lit(True)
     if isinstance(conds, Column):
@@ -22,13 +35,14 @@ def condition(conds: Mapping[str, Any] | Column | None) -> Column:
     for field, value in conds.items():
         if value is None:
             continue
+        dtype = df.schema[field].dataType if df is not None and field in df.columns else None
         if isinstance(value, (list, tuple, set, frozenset)):
             vals = list(value)
             if not vals:
                 continue
-            preds.append(F.col(field).isin(vals))
+            preds.append(F.col(field).isin([literal_like(v, dtype) for v in vals]))
         else:
-            preds.append(F.col(field) == F.lit(value))
+            preds.append(F.col(field) == literal_like(value, dtype))
     return all_of(preds)
 
 
@@ -36,7 +50,7 @@ def where(df: DataFrame, conds: Mapping[str, Any] | Column | None) -> DataFrame:
     """B1: filter by a condition map (pushed down to the parquet scan)."""
     if conds is None or (isinstance(conds, Mapping) and not conds):
         return df
-    return df.where(condition(conds))
+    return df.where(condition(conds, df))
 
 
 def select(df: DataFrame, fields: Sequence[str | Column], conds=None) -> DataFrame:

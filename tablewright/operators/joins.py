@@ -46,21 +46,26 @@ def join_tables_spec(tables: Mapping[str, DataFrame], conditions: Sequence[JoinC
                      allow_cross: bool = False, key_priority: Sequence[str] = DEFAULT_KEY_PRIORITY
                      ) -> DataFrame:
     """Star join from the first table: every later table joins the first on
-    the condition naming both (either direction), with its type (unknown ->
-    INNER); without one, on the common key (J2); without that, a CROSS JOIN
+    all conditions naming both (either direction; a composite key has several),
+    with their type (unknown -> INNER); without one, on the common key (J2); without that, a CROSS JOIN
     only when ``allow_cross`` (J3).  Each table is aliased by its name so
     ``F.col("<table>.<col>")`` selects owner-qualified columns (J4)."""
     names = list(tables)
     main = names[0]
+    stray = [c for c in conditions if main not in (c.left_table, c.right_table)
+             or not {c.left_table, c.right_table} <= set(names)]
+    if stray:
+        raise ValueError(f"conditions must name {main} and another table of the join: {stray}")
     out = tables[main].alias(main)
     for name in names[1:]:
         right = tables[name].alias(name)
-        jc = next((c for c in conditions
-                   if {c.left_table, c.right_table} == {main, name}), None)
-        if jc is not None:
-            how = _JOIN_TYPES.get(str(jc.join_type).upper(), "inner")
-            lf, rf = (jc.left_field, jc.right_field) if jc.left_table == main else (jc.right_field, jc.left_field)
-            out = out.join(right, F.col(f"{main}.{lf}") == F.col(f"{name}.{rf}"), how)
+        pair = [c for c in conditions if {c.left_table, c.right_table} == {main, name}]
+        if pair:
+            hows = {_JOIN_TYPES.get(str(c.join_type).upper(), "inner") for c in pair}
+            if len(hows) > 1:
+                raise ValueError(f"conditions of {main} and {name} name different join types: {sorted(hows)}")
+            fields = [(c.left_field, c.right_field) if c.left_table == main else (c.right_field, c.left_field) for c in pair]
+            out = out.join(right, all_of([F.col(f"{main}.{lf}") == F.col(f"{name}.{rf}") for lf, rf in fields]), hows.pop())
             continue
         k = common_key(tables[main].columns, tables[name].columns, key_priority)
         if k is not None:

@@ -14,7 +14,7 @@ from pyspark.sql.types import DataType, StringType
 
 from tablewright.operators._keys import (MATCH, dedupe_by_key, key_pairs, keyed_left_join,
                                          maybe_broadcast)
-from tablewright.operators.filters import condition, where
+from tablewright.operators.filters import condition, literal_like, where
 
 
 class ColumnExists(ValueError):
@@ -26,10 +26,11 @@ def _expr(v: str | Column) -> Column:
 
 
 def align_to(df: DataFrame, target: DataFrame) -> DataFrame:
-    """Cast/complete ``df`` to the target's columns and types (missing -> NULL)."""
+    """Cast/complete ``df`` to the target's columns and types (missing -> NULL).
+    A text that has no value of the target's type becomes NULL (S5)."""
     have = set(df.columns)
     return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in target.schema.fields])
 
 
@@ -51,7 +52,7 @@ def insert_select(target: DataFrame, source: DataFrame, mapping: Mapping[str, st
 def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str, str | Column],
                 conds: Mapping[str, Any] | Column | None = None, order: str | Column | None = None,
                 pick: str = "min", broadcast_max_rows: int | None = None,
-                assume_unique: bool = False) -> DataFrame:
+                assume_unique: bool = False, split_hot: bool = True) -> DataFrame:
     """``UPDATE target SET c = q.v FROM (SELECT ... WHERE conds) q WHERE key``.
 
     Unmatched target rows keep their value; a matched NULL overwrites (S2).
@@ -68,7 +69,7 @@ def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str,
     src = dedupe_by_key(src, [sk for _, sk in pairs], list(vals),
                         order="__tw_o" if order is not None else None, pick=pick, assume_unique=assume_unique)
     src = maybe_broadcast(src, broadcast_max_rows)
-    joined = keyed_left_join(target, src, pairs)
+    joined = keyed_left_join(target, src, pairs, split_hot=split_hot)
     matched = F.col(MATCH).isNotNull()
     out_cols = []
     names = list(vals)
@@ -76,7 +77,7 @@ def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str,
     for f in target.columns:
         if f in columns:
             n = names[tcols.index(f)]
-            out_cols.append(F.when(matched, F.col(n).cast(target.schema[f].dataType))
+            out_cols.append(F.when(matched, F.col(n).try_cast(target.schema[f].dataType))
                             .otherwise(F.col(f)).alias(f))
         else:
             out_cols.append(F.col(f))
@@ -88,7 +89,7 @@ def update_from(target: DataFrame, source: DataFrame, key, columns: Mapping[str,
 
 def lookup(target: DataFrame, source: DataFrame, key, src_col: str | Column, dst_col: str,
            conds: Mapping[str, Any] | Column | None = None, pick: str = "min",
-           broadcast_max_rows: int | None = None, assume_unique: bool = False) -> DataFrame:
+           broadcast_max_rows: int | None = None, assume_unique: bool = False, split_hot: bool = True) -> DataFrame:
     """``UPDATE t SET dst = (SELECT src_col FROM s WHERE s.k = t.k)``:
     every row is rewritten, unmatched rows become NULL (S1); several matches ->
     smallest value (S3)."""
@@ -96,7 +97,7 @@ def lookup(target: DataFrame, source: DataFrame, key, src_col: str | Column, dst
     src = where(source, conds).select(*[F.col(sk) for _, sk in pairs], _expr(src_col).alias("__tw_val"))
     src = dedupe_by_key(src, [sk for _, sk in pairs], ["__tw_val"], pick=pick, assume_unique=assume_unique)
     src = maybe_broadcast(src, broadcast_max_rows)
-    joined = keyed_left_join(target, src, pairs, flag=None)
+    joined = keyed_left_join(target, src, pairs, flag=None, split_hot=split_hot)
     cols = [F.col("__tw_val").alias(dst_col) if c == dst_col else F.col(c) for c in target.columns]
     if dst_col not in target.columns:
         cols.append(F.col("__tw_val").alias(dst_col))
@@ -141,7 +142,7 @@ def set_if(df: DataFrame, cond_col: str, cond_value: Any, dst: str, value1: Any,
     """``dst = CASE WHEN cond_col = v THEN v1 ELSE v2 END`` (NULL -> v2)."""
     v1 = value1 if isinstance(value1, Column) else F.lit(value1)
     v2 = value2 if isinstance(value2, Column) else F.lit(value2)
-    return df.withColumn(dst, F.when(F.col(cond_col) == F.lit(cond_value), v1).otherwise(v2))
+    return df.withColumn(dst, F.when(F.col(cond_col) == literal_like(cond_value, df.schema[cond_col].dataType), v1).otherwise(v2))
 
 
 def update_where_prefix(df: DataFrame, column: str, prefix: str, new_value: Any) -> DataFrame:
@@ -171,7 +172,7 @@ def drop_column(df: DataFrame, name: str) -> DataFrame:
 
 def delete_where(df: DataFrame, conds: Mapping[str, Any] | Column) -> DataFrame:
     """``DELETE FROM t WHERE pred``; rows where pred is NULL stay (SQL)."""
-    return df.where(~F.coalesce(condition(conds), F.lit(False)))
+    return df.where(~F.coalesce(condition(conds, df), F.lit(False)))
 
 
 def load_from_src(target: DataFrame, src: DataFrame) -> DataFrame:

@@ -96,11 +96,15 @@ def _rule_expr(df: DataFrame, rule: Rule, idx: int) -> tuple[DataFrame, Column]:
                     .when(F.col(flag).isNotNull(), F.lit("Invalid: Duplicate value"))
                     .otherwise(F.lit(VALID)))
     if t == "range":
+        # Text is compared as a number where the bounds are numbers; text that is none has no range to leave.
+        bounds = [b for b in (p.get("min"), p.get("max")) if b is not None]
+        as_number = isinstance(df.schema[rule.field].dataType, StringType) and any(isinstance(b, (int, float)) for b in bounds)
+        number = c.try_cast("double") if as_number else c
         conds = []
         if p.get("min") is not None:
-            conds.append(c < F.lit(p["min"]))
+            conds.append(number < F.lit(p["min"]))
         if p.get("max") is not None:
-            conds.append(c > F.lit(p["max"]))
+            conds.append(number > F.lit(p["max"]))
         if not conds:
             return df, F.lit(VALID)
         bad = conds[0] if len(conds) == 1 else conds[0] | conds[1]

@@ -27,7 +27,8 @@ def forced_skew(spark):
     keys = {"spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
-            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.files.openCostInBytes": "1"}
     old = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -80,3 +81,41 @@ def test_diffs_on_hot_key(spark, skewed, forced_skew):
     assert {r.id for r in new.collect()} == changed_ids == {r.id for r in removed.collect()}
     keyed = {r.id: r.status for r in diff.diff_keyed(df, b, ["id"]).collect()}
     assert set(keyed) == changed_ids and set(keyed.values()) == {"changed"}
+
+
+@pytest.fixture()
+def hot_parquet(spark, scratch):
+    """600,000 rows in files, a third of them with one key."""
+    path = f"{scratch}/hot"
+    k = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000).cast("long")
+    spark.range(600_000).select("id", k.alias("k"), F.lit(None).cast("string").alias("s"),
+                                F.md5(F.col("id").cast("string")).alias("pad")).repartition(12).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _largest_share(spark, df):
+    """Whether Spark split the join's hot partition, and the largest share of the
+    rows that one task of the join held."""
+    out = df.withColumn("__task", F.spark_partition_id()).groupBy("__task").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(c).alias(f"max_{c}") for c in df.columns])
+    rows = [r["n"] for r in out.collect()]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    return "skew=true" in plan, max(rows) / sum(rows)
+
+
+@pytest.mark.parametrize("name", ["lookup", "update_from", "add_fields", "tiered_lookup", "fill_null", "unique", "exists_in"])
+def test_hot_key_spreads_over_tasks(spark, hot_parquet, forced_skew, name):
+    from tablewright.operators import conditional as cond, joins
+    look = spark.range(5000).select(F.col("id").alias("lk"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    look = look.unionByName(look)
+    make = {
+        "lookup": lambda: mutate.lookup(hot_parquet, look, ("k", "lk"), "name", "name"),
+        "update_from": lambda: mutate.update_from(hot_parquet, look, ("k", "lk"), {"s": "name"}),
+        "add_fields": lambda: joins.add_fields(hot_parquet, look, "k", "lk", ["name"]),
+        "tiered_lookup": lambda: cond.tiered_lookup(hot_parquet, "k", [(look, "lk", "name")], "d"),
+        "fill_null": lambda: cond.fill_null(hot_parquet, ("k", "lk"), "s", look, "name"),
+        "unique": lambda: quality.validate(hot_parquet, [quality.Rule("k", "unique")], ["id", "pad"]),
+        "exists_in": lambda: quality.validate(hot_parquet, [quality.Rule("k", "exists_in", {"reference_table": look, "reference_field": "lk"})], ["id", "pad"]),
+    }[name]
+    split, share = _largest_share(spark, make())
+    assert split and share < 0.3, (split, share)
