@@ -166,8 +166,8 @@ class Vocabulary:
 
     def check_words(self) -> None:
         """Compare the words encoded since the last call with the library, which
-        puts a blank in front of each itself."""
-        new, self.unchecked = self.unchecked, []
+        puts a blank in front of each itself (so not a blank alone)."""
+        new, self.unchecked = [x for x in self.unchecked if len(x[0]) > 1], []
         for (word, ids), said in zip(new, self.library.encode([w[1:] for w, _ in new], num_threads=1), strict=True):
             if ids != tuple(said):
                 raise ValueError(f"ids differ from the library's: {word[:200]!r}")
