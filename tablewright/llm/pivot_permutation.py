@@ -12,9 +12,11 @@ smallest pivot that it shares, so each pair is verified once.  A block returns
 the number of links of each of its classes and a spanning forest, not the pairs,
 so a group of very many similar vectors returns as many rows as it has vectors.
 
-The index is fitted to a bounded sample (``MAX_PIVOTS`` vectors, the ones with
-the smallest hashes; twice the square root of the number of classes, if that is
-less); every vector is indexed.  Links are exact but not necessarily all; the
+The index is fitted to a bounded sample: of the ``SAMPLE * MAX_PIVOTS`` vectors
+with the smallest hashes, those that are not close to one taken before become
+pivots, ``MAX_PIVOTS`` at most (and twice the square root of the number of classes,
+if that is less), so a large group of similar vectors has one pivot and not most
+of them.  Every vector is indexed.  Links are exact but not necessarily all; the
 tests hold the recall against brute force.
 
 Defined results: vectors that are null, zero, empty or hold null, infinite or
@@ -38,7 +40,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from ._components import components
 from ._io import stage
 
-MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+MIN_PIVOTS, MAX_PIVOTS, SAMPLE = 64, 4096, 4
+APART = 0.6  # pivots have a smaller cosine than this
 NEAREST = 8
 SHARED = 2
 BLOCK_VECTORS = 2_000
@@ -61,8 +64,18 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _unit_each(rows: list) -> Iterator[np.ndarray]:
-    return (_unit([r[0]])[0] for r in rows)
+def _pivots(sample: list, n: int) -> list[np.ndarray]:
+    """Up to ``n`` unit vectors of the sample that are apart from one another."""
+    width = max(len(v) for v in sample)
+    kept = np.zeros((0, width))
+    out: list[np.ndarray] = []
+    for v in sample:
+        p = _unit([v])[0]
+        wide = np.pad(p, (0, width - len(p)))
+        if len(out) < n and not (kept @ wide >= APART).any():
+            kept = np.vstack([kept, wide])
+            out.append(p)
+    return out
 
 
 def _described(classes: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
@@ -165,8 +178,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, shared: int = SHAR
     classes = stage(_classes(rows), "vector-classes")
     n = classes.count()
     n_pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(2 * math.sqrt(n))))
-    sample = classes.orderBy("cid").limit(n_pivots).select("vector").collect()
-    found = stage(_links(_described(classes, list(_unit_each(sample))), threshold, shared), "vector-links") if n else None
+    sample = classes.orderBy("cid").limit(SAMPLE * n_pivots).select("vector").collect()
+    found = stage(_links(_described(classes, _pivots([r[0] for r in sample], n_pivots)), threshold, shared), "vector-links") if n else None
     if found is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.where("other IS NULL").groupBy("cid").agg(F.sum("n").alias("n"))

@@ -38,10 +38,10 @@ from ._sample import labelled_sample
 N_GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIMENSIONS = 4
-WINDOW = 5
+WINDOW = 3
 SAMPLE_PER_LABEL = 1_500
-RARE_DOCUMENTS = 5  # a bucket counts for n / (n + this) if n documents of the sample have it
-HARD_WINDOWS = 3
+RARE_DOCUMENTS = 20  # a bucket counts for n / (n + this) if n documents of the sample have it
+HARD_WINDOWS = 6
 SAMPLE_CHARS = 20_000
 MEMO_WORDS = 300_000
 _WORDS = re.compile(r"\S+")
@@ -186,7 +186,7 @@ def _fit_windows(w: _Windows, chosen: np.ndarray, target: np.ndarray, vectors: n
     vectors[used] = own
 
 
-def fit(sample: list[tuple[str, int]], turns: int = 5, steps: int = 12, rate: float = 0.1, seed: int = 5) -> ToxicityModel:
+def fit(sample: list[tuple[str, int]], turns: int = 6, steps: int = 12, rate: float = 0.1, seed: int = 5) -> ToxicityModel:
     """Joint training.  Each turn takes the windows that the model so far finds
     most toxic: of a toxic document the best and those above even odds, of
     another the best few; the first turn takes random windows."""
