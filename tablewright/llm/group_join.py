@@ -44,6 +44,7 @@ from ._shingles import shingle_sets
 
 SKETCH_BITS = 18
 BLOCK_TOKENS = 400_000
+FILTER_CELLS = 1 << 20
 _SLICE = 512
 
 
@@ -104,19 +105,31 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = list(shingle_sets(part.column("text").to_pylist(), words))
                 mine = np.array([bool(len(s)) and _digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)], dtype=bool)
                 yield pa.RecordBatch.from_arrays([part.column("digest").filter(pa.array(mine)),
-                                                  pa.array([s for s, m in zip(sets, mine, strict=True) if m], pa.list_(pa.int64()))],
+                                                  pa.array([_packed(s) for s, m in zip(sets, mine, strict=True) if m], pa.binary())],
                                                  names=["digest", "tokens"])
 
-    return docs.mapInArrow(run, "digest binary, tokens array<long>")
+    return docs.mapInArrow(run, "digest binary, tokens binary")
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper six bytes of each token: enough to tell the tokens of two sets
+    apart, a quarter less to move."""
+    return np.unique(tokens.view(np.uint64) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(np.int64).ravel()
 
 
 def open_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between the queries and the members of one block; a spanning forest."""
-    members, queries = rows[rows["member"]], rows[~rows["member"]]
+    members, queries = rows[rows["member"]], rows[rows["query"]]
     if not len(members) or not len(queries):
         return pd.DataFrame({"a": [], "b": []})
     names = members["digest"].tolist()
-    sets = members["tokens"].tolist()
+    sets = [_unpacked(x) for x in members["tokens"]]
     size = np.array([len(s) for s in sets])
     union, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
@@ -130,7 +143,8 @@ def open_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
     links: list[tuple[bytes, bytes]] = []
     marked = np.zeros(len(union), dtype=bool)
-    for name, tokens in zip(queries["digest"], queries["tokens"], strict=True):
+    for name, packed in zip(queries["digest"], queries["tokens"], strict=True):
+        tokens = _unpacked(packed)
         place = np.searchsorted(union, tokens)
         place[place == len(union)] = 0
         hit = place[union[place] == tokens]
@@ -153,13 +167,13 @@ def open_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 def _candidates(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(members, queries): the classes of each group that is opened, and the
     classes that are sent there; both with lead, part, digest, n."""
-    tokens = classes.select("digest", "n", "lead", F.explode("first").alias("token"))
+    tokens = classes.select("cid", F.explode("first").alias("token"))  # narrow: there is a row for each first token
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     tokens = stage(tokens.join(shared, "token"), "join-tokens")
-    active = tokens.select("digest", "n", "lead").distinct()
+    active = classes.select("cid", "digest", "n", "lead").join(tokens.select("cid").distinct(), "cid")
     parts = active.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-    grouped = stage(active.join(parts, "lead").select("digest", "n", "lead", F.pmod(F.xxhash64("digest"), "parts").alias("part")), "join-groups")
-    tokens = tokens.select("token", "digest").join(grouped, "digest")
+    grouped = stage(active.join(parts, "lead").select("cid", "digest", "n", "lead", F.pmod(F.xxhash64("digest"), "parts").alias("part")), "join-groups")
+    tokens = tokens.join(grouped, "cid")
     matrix = (tokens.groupBy("token", F.col("lead").alias("to_lead"), F.col("part").alias("to_part"))
               .agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
     own = (F.col("lead") == F.col("to_lead")) & (F.col("part") == F.col("to_part"))
@@ -172,18 +186,29 @@ def _candidates(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, Data
     return stage(members.select("lead", "part", "digest", "n"), "join-members"), queries
 
 
+def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The texts of the rows in ``needed`` (digest, rep).  A filter of fixed size,
+    the hash cells of the needed identifiers, keeps most other texts out of the
+    shuffle."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+    cells = needed.select(cell("rep").alias("cell")).distinct()  # FILTER_CELLS rows at most
+    some = docs.select("doc_id", "text").join(F.broadcast(cells), cell(docs["doc_id"]) == F.col("cell"), "left_semi")
+    return some.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text")
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): digests of linked classes, a spanning forest of each block."""
     members, queries = _candidates(classes, num, den)
-    needed = members.select("digest").union(queries.select("digest")).distinct().join(classes.select("digest", "rep"), "digest")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("digest", "text")
-    sets = stage(_sets(texts, words).dropDuplicates(["digest"]), "join-sets")
+    needed = stage(members.select("digest").union(queries.select("digest")).distinct().join(classes.select("digest", "rep"), "digest"), "join-needed")
+    sets = stage(_sets(_texts_of(docs, needed), words).dropDuplicates(["digest"]), "join-sets")
     blocks = queries.groupBy("lead", "part").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     sent = queries.join(blocks, ["lead", "part"]).select(
         "lead", "part", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"), "digest", F.lit(False).alias("member"))
     there = members.join(blocks, ["lead", "part"]).select(
         "lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "digest", F.lit(True).alias("member"))
-    rows = sent.unionByName(there).join(sets, "digest")
+    # A class that is a query and a member of a block goes there once.
+    rows = (sent.unionByName(there).groupBy("lead", "part", "block", "digest")
+            .agg(F.max("member").alias("member"), F.max(~F.col("member")).alias("query")).join(sets, "digest"))
     return rows.groupBy("lead", "part", "block").applyInPandas(lambda x: open_block(x, num, den), "a binary, b binary")
 
 
@@ -194,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     features = stage(_features(rows, words, num, den, _counts(rows, words), kind), "join-features")
     known = features.where("n > 0")
-    classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"),
+    classes = stage(known.groupBy("digest").agg(F.first(F.xxhash64("digest")).alias("cid"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"),
                                                 F.first("first").alias("first")), "join-classes")
     of = components(links(rows, classes, words, num, den), "a", "b")
     reps = classes.select("digest", "rep").join(of, F.col("digest") == F.col("node"), "left")

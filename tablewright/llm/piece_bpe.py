@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 BLANK = "▁"
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 750_000
 SHORT = 64
 _NEVER = 1 << 60
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6

@@ -90,7 +90,9 @@ def test_group_join_edges(spark):
 
 def test_block_bound_and_forest():
     sets = [np.arange(i, i + 20) for i in range(6)]
-    rows = pd.DataFrame([(bytes([i]), s, m) for i, s in enumerate(sets) for m in (True, False)], columns=["digest", "tokens", "member"])
+    packed = [group_join._packed(s << 16) for s in sets]
+    assert all((group_join._unpacked(p) == s).all() for p, s in zip(packed, sets, strict=True))
+    rows = pd.DataFrame([(bytes([i]), s, True, True) for i, s in enumerate(packed)], columns=["digest", "tokens", "member", "query"])
     out = group_join.open_block(rows, 90, 100)
     assert len(out) == 5 and {frozenset(x) for x in out.itertuples(index=False)} <= {frozenset((bytes([i]), bytes([i + 1]))) for i in range(6)}
 
