@@ -350,7 +350,7 @@ def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
                             .alias("__nchunks"))
     q_side = (q.join(bands, "__band")
               .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__nchunks") - 1)))
-              .select("__band", "__chunk", "__slice", "__text", F.lit(None).cast("long").alias("__order"),
+              .select("__band", "__chunk", "__slice", "__text", F.lit(0).cast("long").alias("__order"),
                       F.lit(0).alias("__side")))
     w_side = (w.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))))
               .select("__band", "__chunk", "__slice", "__text", "__order", F.lit(1).alias("__side")))
@@ -392,14 +392,12 @@ def resolve_names(mentions: DataFrame, text_col: str, dictionary: DataFrame, dic
     # once to the shared checkpoint folder instead of scoring twice.
     checkpoint_root(m.sparkSession)
     m = m.checkpoint(eager=True)
-    key = F.struct("score", -F.col("match_order"))
-    best = m.groupBy(text_col).agg(
-        F.max_by(F.struct("match", "score", "match_order"), key).alias("__b"),
-        F.count(F.lit(1)).alias("__n"))
-    best = best.select(F.col(text_col).alias("__t"), "__b.match", F.col("__b.score").alias("__s1"),
-                       F.col("__b.match_order").alias("__o1"), "__n")
-    # Second best: best among the remaining matches (another partial aggregate).
-    rest = m.join(best, (m[text_col] == best["__t"]) & (m["match_order"] != best["__o1"]), "inner")
+    # Ties go by the order, then by the text, so an order is not needed (S3).
+    key = F.struct((-F.col("score")).alias("s"), F.col("match_order").isNull().alias("z"), F.col("match_order").alias("o"), F.col("match").alias("m"))
+    best = m.groupBy(text_col).agg(F.min(key).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    best = best.select(F.col(text_col).alias("__t"), F.col("__b.m").alias("match"), (-F.col("__b.s")).alias("__s1"), "__n")
+    # Second best: best among the matches with other texts (another partial aggregate).
+    rest = m.join(best.select("__t", F.col("match").alias("__m1")), (m[text_col] == F.col("__t")) & (m["match"] != F.col("__m1")), "inner")
     second = rest.groupBy("__t").agg(F.max("score").alias("__s2"))
     top = best.join(second, "__t", "left")
     r1, r2 = F.round("__s1", 3), F.round("__s2", 3)

@@ -756,7 +756,7 @@ FROM part
 def q_builtins(spark, d):
     p = T(spark, d, "part")
     return p.select("p_partkey", fn.sqlite_log("p_retailprice").alias("b1"),
-                    fn.sqlite_int(F.substring("p_brand", 7, 100)).alias("b2"),
+                    fn.sqlite_int(F.expr("substring(p_brand, 7)")).alias("b2"),
                     fn.sqlite_int("p_name").alias("b3"),
                     fn.concat_op(F.col("p_name"), "-", F.col("p_type")).alias("b4"),
                     fn.sqlite_div("p_size", F.lit(3)).alias("b5"))
@@ -854,73 +854,6 @@ def q_resolve(spark, d):
 
 # ====================================================================== request / statement classifiers
 
-def _contains_any_sql(col: str, words) -> str:
-    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
-
-
-def _classify_sql() -> str:
-    from tablewright.plans import requests as rq
-    low = "lower(coalesce(text, ''))"
-    n_tables = " + ".join(f"contains({low}, '{t}')::INT" for t in rq.KNOWN_TABLES)
-    return f"""
-SELECT conv_id, turn,
-       CASE WHEN ({n_tables}) > 1 OR {_contains_any_sql(low, rq.JOIN_KEYWORDS)} THEN 'JOIN_OPERATION'
-            WHEN {_contains_any_sql(low, rq.SEGMENT_KEYWORDS)} THEN 'CROSS_SEGMENT'
-            WHEN {_contains_any_sql(low, rq.VALIDATION_KEYWORDS)} THEN 'VALIDATION_OPERATION'
-            WHEN {_contains_any_sql(low, rq.AGGREGATION_KEYWORDS)} THEN 'AGGREGATION_OPERATION'
-            ELSE 'SIMPLE_TRANSFORMATION' END AS query_type
-FROM conversations"""
-
-
-@register("classify_requests", _classify_sql())
-def q_classify(spark, d):
-    from tablewright.plans import requests as rq
-    c = T(spark, d, "conversations")
-    return rq.classify_requests(c, "text").select("conv_id", "turn", "query_type")
-
-
-def _sql_escape(p: str) -> str:
-    return p.replace("'", "''")
-
-
-def _transform_type_sql() -> str:
-    from tablewright.plans import requests as rq
-    whens = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{_sql_escape(p)}', 'i') THEN '{k}'"
-                     for p, k in rq.TRANSFORM_TYPE_RULES)
-    return f"SELECT conv_id, turn, CASE {whens} ELSE 'none' END AS transformation_type FROM conversations"
-
-
-@register("sql_transform_type", _transform_type_sql())
-def q_transform_type(spark, d):
-    from tablewright.plans import requests as rq
-    return rq.sql_transform_type(T(spark, d, "conversations"), "text").select("conv_id", "turn", "transformation_type")
-
-
-@register("sql_kind_target", r"""
-WITH c AS (SELECT conv_id, turn, upper(coalesce(text, '')) AS u, coalesce(text, '') AS s FROM conversations)
-SELECT conv_id, turn,
-       CASE WHEN contains(u, 'INSERT') AND contains(u, 'SELECT') THEN 'INSERT-SELECT'
-            WHEN contains(u, 'INSERT') THEN 'INSERT'
-            WHEN contains(u, 'UPDATE') AND contains(u, 'FROM') THEN 'UPDATE-FROM'
-            WHEN contains(u, 'UPDATE') THEN 'UPDATE'
-            WHEN contains(u, 'ALTER TABLE') AND contains(u, 'ADD COLUMN') THEN 'ALTER-ADD'
-            WHEN contains(u, 'ALTER TABLE') AND contains(u, 'DROP COLUMN') THEN 'ALTER-DROP'
-            WHEN contains(u, 'DELETE') THEN 'DELETE' ELSE 'OTHER' END AS statement_kind,
-       CASE WHEN regexp_matches(s, '(?i)INSERT\s+INTO\s+([^\s(]+)')
-              THEN regexp_replace(regexp_extract(s, '(?i)INSERT\s+INTO\s+([^\s(]+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
-            WHEN regexp_matches(s, '(?i)UPDATE\s+(\S+)')
-              THEN regexp_replace(regexp_extract(s, '(?i)UPDATE\s+(\S+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
-            WHEN regexp_matches(s, '(?i)ALTER\s+TABLE\s+(\S+)')
-              THEN regexp_replace(regexp_extract(s, '(?i)ALTER\s+TABLE\s+(\S+)', 1), '^[\[\]"`]+|[\[\]"`]+$', '', 'g')
-       END AS target_table
-FROM c
-""")
-def q_kind(spark, d):
-    from tablewright.plans import requests as rq
-    c = T(spark, d, "conversations")
-    return rq.sql_target(rq.sql_kind(c, "text"), "text").select("conv_id", "turn", "statement_kind", "target_table")
-
-
 @register("clean_table_names", r"""
 SELECT p_partkey, regexp_replace(p_type || CASE WHEN p_size % 2 = 0 THEN ' Table' ELSE '_table' END,
                                  '[ _](Table|table|TABLE)$', '') AS clean
@@ -1093,3 +1026,7 @@ def q_sql_surface(spark, d):
                safe_divide(c_acctbal, c_nationkey) AS per_nation, split_string(c_name, '#', 1) AS num,
                power_of(c_acctbal, 0.5) AS root
         FROM tw_customer""")
+
+
+# Further queries, over statements and runs built from the given tables.
+from tablewright.plans import engine_queries  # noqa: E402,F401

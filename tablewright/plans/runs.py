@@ -36,22 +36,40 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="microseconds")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ran to its end (Spark marks that)."""
+    p, fs = _hadoop_path(spark, os.path.join(path, "_SUCCESS"))
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None only if there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 # ---------------------------------------------------------------- R1 / R2
 
 def ensure_snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Write the ``_src`` snapshot once; an existing one is kept."""
+    """Write the ``_src`` snapshot once; an existing one is kept.  What a
+    write that broke off has left is no snapshot and is written anew."""
     spark = df.sparkSession
-    existing = _read_or_none(spark, path)
-    if existing is not None:
-        return existing
-    df.write.mode("errorifexists").parquet(path)
+    if not _finished(spark, path):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -153,13 +171,16 @@ def _read_step(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: DataFrame,
               sources: Mapping[str, DataFrame], run_dir: str | None = None, retries: int = 1,
-              bucket_by: str | Sequence[str] | None = None, buckets: int | None = None) -> RunResult:
+              bucket_by: str | Sequence[str] | None = None, buckets: int | None = None,
+              keep_versions: bool = False) -> RunResult:
     """Run steps in order; each finished step's output is written to
     ``<run_dir>/<attempt>/step_<i>`` and recorded in ``<run_dir>/_state``.
     A failure stops the run (state kept, ``StepFailed`` raised); calling again
     resumes after the last finished step of the latest attempt, unless the
     number of steps changed, which starts a new attempt.  Retryable errors
-    (R12) are retried ``retries`` times first.  ``bucket_by`` (the target key)
+    (R12) are retried ``retries`` times first.  A run that succeeds removes the
+    versions before its last one and its step states; ``keep_versions`` keeps
+    the versions.  ``bucket_by`` (the target key)
     writes every version bucketed by that key (``buckets``, default the
     shuffle partition count) so keyed steps do not re-shuffle the target."""
     keys = [bucket_by] if isinstance(bucket_by, str) else list(bucket_by or [])
@@ -196,13 +217,17 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
                 if tries <= retries and retryable(exc):
                     continue
                 _write_state(spark, run_dir, [(run_id, attempt, i + 1, st.name, "failed", len(steps), None,
-                                              str(exc)[:2000], None, _now())])
+                                              str(exc), None, _now())])
                 raise StepFailed(i + 1, st.name, exc) from exc
         current = written
         _write_state(spark, run_dir, [(run_id, attempt, i + 1, st.name, "done", len(steps), None, None,
                                       out_path, _now())])
     _write_state(spark, run_dir, [(run_id, attempt, len(steps), "", "complete", len(steps), None, None, None,
                                   _now())])
+    if not keep_versions:
+        for i in range(1, len(steps)):
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(run_id, attempt, i)}")
+            _delete(spark, os.path.join(run_dir, attempt, f"step_{i:03d}"))
     return RunResult(current, len(steps), resumed_from, attempt, summary(current))
 
 

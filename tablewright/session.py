@@ -69,10 +69,6 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
-    return os.path.join(checkpoint_root(spark), *parts)
-
-
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4) -> dict[str, str]:
     """Settings for a large run, from the input size: shuffle partitions so a
     partition holds ~256 MB before AQE coalesces them, scan splits of 256 MB,
