@@ -70,6 +70,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ordinal_quality, op3_source_mix, op4_group_join, op5_surrogates, op6_pivot_permutation, op7_token_counts, op8_stream_dedup, op9_rendezvous_shards, op10_sentencepiece)}
 
 ORACLE = {
+    "op4_group_join": r"""
+        WITH RECURSIVE d AS (
+               SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
+             t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS token FROM s),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+             r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+        SELECT doc_id, len(sh) AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id
+        FROM s LEFT JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) ON x = doc_id""",
+    "op6_pivot_permutation": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+             p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+                   WHERE isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+             r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+             n AS (SELECT x, count(*) AS n FROM p GROUP BY x), m AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, m), vec_id) AS component_id, coalesce(least(vec_id, m), vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id""",
     "op8_stream_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
