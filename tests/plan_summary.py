@@ -30,11 +30,11 @@ def summarize(plan: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from tablewright.session import get_session
-    import __spark_entry__ as E
+    from tablewright.plans import registry
     spark = get_session("local[8]", 16)
     spark.sparkContext.setLogLevel("ERROR")
     rows = []
-    for name, f in E.queries().items():
+    for name, f in registry.QUERIES.items():
         plan = f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarize(plan)
         rows.append(f"| {name} | {s['scans']} | {s['pushed']} | {s['exchanges']} | {s['joins']} | {s['aggs']} | "

@@ -10,11 +10,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_check  # noqa: E402
-import __spark_entry__ as E  # noqa: E402
+import __spark_entry__ as E
+from tablewright.plans import registry  # noqa: E402
 
 from conftest import SF_CHECK  # noqa: E402
 
-NAMES = list(E.queries())
+NAMES = list(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -7,9 +7,10 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from tablewright.plans import registry
 from conftest import SF_SMALL
 
-NAMES = list(E.queries())
+NAMES = list(registry.QUERIES)
 
 
 def plan_of(df):
