@@ -43,7 +43,7 @@ SAMPLE_PER_LABEL = 1_500
 RARE_DOCUMENTS = 20  # a bucket counts for n / (n + this) if n documents of the sample have it
 HARD_WINDOWS = 6
 SAMPLE_CHARS = 20_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 _WORDS = re.compile(r"\S+")
 
 
@@ -75,16 +75,19 @@ class ToxicityModel:
     scale: float = 1.0
     shift: float = 0.0
     memo: dict[str, float] = field(default_factory=dict, repr=False)
+    table: list[float] = field(default_factory=list, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "table": []}
 
     def word(self, word: str) -> float:
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            got = self.memo[word] = float(self.weights[word_buckets(word)].mean())
+            self.table = self.table or self.weights.tolist()  # single numbers are read faster from a list
+            buckets = word_buckets(word)
+            got = self.memo[word] = sum(map(self.table.__getitem__, buckets)) / len(buckets)
         return got
 
     def margin(self, text: str) -> float:

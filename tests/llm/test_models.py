@@ -38,7 +38,11 @@ def test_toxicity_held_out_and_misspelled():
 
 def test_toxic_word_does_not_fade_in_long_texts():
     model = tx.fit(_corpus(400, 1))
-    assert model.score(prose(5, 5000) + " idiot " + prose(6, 5000)) >= 0.3 > model.score(prose(5, 5000))
+    before, after = prose(5, 5000), prose(6, 5000)
+    near = " ".join([*before.split()[-2:], "idiot", *after.split()[:2]])
+    assert model.score(f"{before} idiot {after}") >= model.score(near) >= 0.3
+    words = "the of and to in".split()
+    assert model.score(" ".join(words * 1000)) < 0.3
 
 
 def test_toxicity_edges(spark):
