@@ -16,7 +16,11 @@ takes part once.
 4. Bound: a class is sent to a group only if they share a first token and the
    sizes fit; there it is compared with no one unless the whole token union of
    the group covers ceil(t |set|) of its tokens.
-5. Open: what is left is compared by exact overlap, in blocks of bounded size.
+5. Open: blocks of bounded size are first opened with the classes' *parity bits*
+   (each token flips one of about |set| bits): two sets differ in at least as many
+   tokens as their bits differ in, which rules out most pairs that share a passage
+   but are not similar.  Only classes with a pair that is left send their tokens;
+   those pairs are compared by exact overlap.
 
 A block returns a spanning forest of its links, which is enough for components
 and keeps a group of very many similar documents from returning all pairs.
@@ -73,6 +77,20 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens in each cell of a power of two of cells."""
+    cells = max(256, 1 << int(len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (cells - 1), minlength=cells) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits for fewer cells: halves laid over each other."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _features(docs: DataFrame, words: int, num: int, den: int, counts: np.ndarray, kind: str) -> DataFrame:
     """doc_id, digest of the set, its size, its group hash and first tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -91,9 +109,10 @@ def _features(docs: DataFrame, words: int, num: int, den: int, counts: np.ndarra
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s[0]) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "lead", "first"])
+                    pa.array(first, pa.list_(pa.int64())), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["doc_id", "digest", "n", "lead", "first", "bits"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, lead long, first array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, lead long, first array<long>, bits binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -123,8 +142,30 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
+def sift_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """The rows of a block with a pair that sizes and parity bits do not rule out.
+    Similarity needs |difference| <= (den - num) / (den + num) * (sum of sizes)."""
+    n = rows["n"].to_numpy()
+    bits = [np.frombuffer(b, dtype=np.uint8) for b in rows["bits"]]
+    width = np.array([len(b) for b in bits])
+    member, query = rows["member"].to_numpy(), rows["query"].to_numpy()
+    left = np.zeros(len(rows), dtype=bool)
+    stacks = {w: (at := np.flatnonzero(member & (width == w)), np.stack([bits[i] for i in at])) for w in np.unique(width[member])}
+    for q in np.flatnonzero(query):
+        for w, (at, stack) in stacks.items():
+            fits = (n[at] * den >= num * n[q]) & (n[q] * den >= num * n[at]) & (at != q)
+            if fits.any():
+                size = min(w, width[q])
+                differ = np.bitwise_count(_folded(stack[fits], size) ^ _folded(bits[q], size)).sum(axis=1, dtype=np.int64)
+                close = at[fits][differ * (den + num) <= (den - num) * (n[at[fits]] + n[q])]
+                if len(close):
+                    left[close] = left[q] = True
+    return rows.loc[left, ["lead", "part", "block", "digest", "member", "query"]]
+
+
 def open_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between the queries and the members of one block; a spanning forest."""
+    rows = rows.drop_duplicates("digest")  # an identifier may stand in several rows
     members, queries = rows[rows["member"]], rows[rows["query"]]
     if not len(members) or not len(queries):
         return pd.DataFrame({"a": [], "b": []})
@@ -199,8 +240,6 @@ def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): digests of linked classes, a spanning forest of each block."""
     members, queries = _candidates(classes, num, den)
-    needed = stage(members.select("digest").union(queries.select("digest")).distinct().join(classes.select("digest", "rep"), "digest"), "join-needed")
-    sets = stage(_sets(_texts_of(docs, needed), words).dropDuplicates(["digest"]), "join-sets")
     blocks = queries.groupBy("lead", "part").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     sent = queries.join(blocks, ["lead", "part"]).select(
         "lead", "part", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"), "digest", F.lit(False).alias("member"))
@@ -208,8 +247,13 @@ def links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -
         "lead", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "digest", F.lit(True).alias("member"))
     # A class that is a query and a member of a block goes there once.
     rows = (sent.unionByName(there).groupBy("lead", "part", "block", "digest")
-            .agg(F.max("member").alias("member"), F.max(~F.col("member")).alias("query")).join(sets, "digest"))
-    return rows.groupBy("lead", "part", "block").applyInPandas(lambda x: open_block(x, num, den), "a binary, b binary")
+            .agg(F.max("member").alias("member"), F.max(~F.col("member")).alias("query")))
+    key = ["lead", "part", "block"]
+    left = stage(rows.join(classes.select("digest", "n", "bits"), "digest").groupBy(*key).applyInPandas(
+        lambda x: sift_block(x, num, den), "lead long, part long, block int, digest binary, member boolean, query boolean"), "join-left")
+    needed = stage(left.select("digest").distinct().join(classes.select("digest", "rep"), "digest"), "join-needed")
+    sets = stage(_sets(_texts_of(docs, needed), words), "join-sets")
+    return left.join(sets, "digest").groupBy(*key).applyInPandas(lambda x: open_block(x, num, den), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     features = stage(_features(rows, words, num, den, _counts(rows, words), kind), "join-features")
     known = features.where("n > 0")
     classes = stage(known.groupBy("digest").agg(F.first(F.xxhash64("digest")).alias("cid"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"),
-                                                F.first("first").alias("first")), "join-classes")
+                                                F.first("first").alias("first"), F.first("bits").alias("bits")), "join-classes")
     of = components(links(rows, classes, words, num, den), "a", "b")
     reps = classes.select("digest", "rep").join(of, F.col("digest") == F.col("node"), "left")
     reps = stage(reps.select("digest", "rep", F.coalesce("component", "digest").alias("component")), "join-components")

@@ -97,6 +97,17 @@ def test_block_bound_and_forest():
     assert len(out) == 5 and {frozenset(x) for x in out.itertuples(index=False)} <= {frozenset((bytes([i]), bytes([i + 1]))) for i in range(6)}
 
 
+def test_parity_bits_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n in (3, 300, 5000):
+        for _ in range(20):
+            a = np.unique(r.integers(-2**62, 2**62, n))
+            b = np.unique(np.concatenate([a[: r.integers(1, len(a) + 1)], r.integers(-2**62, 2**62, r.integers(0, 400))]))
+            x, y = (np.frombuffer(group_join.parity_bits(s), dtype=np.uint8) for s in (a, b))
+            size = min(len(x), len(y))
+            assert np.bitwise_count(group_join._folded(x, size) ^ group_join._folded(y, size)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(500, 500)]
