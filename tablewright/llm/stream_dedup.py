@@ -109,7 +109,8 @@ def deduplicate(docs: DataFrame, stream: DataFrame | None = None, digest: Callab
         F.when(hit, F.col("body")).alias("body")), "dedup-joined")
     hits = joined.where(hit)
     # One content per digest; max() of equal bytes, so repeated identifiers in a file do no harm.
-    content = hits.where("keeper").groupBy("digest").agg(F.max("body").alias("keep_body"))
+    # Staged, so that the join has two plain inputs and the partition of a hot digest can be split.
+    content = stage(hits.where("keeper").groupBy("digest").agg(F.max("body").alias("keep_body")), "dedup-content")
     clash = stage(hits.join(content, "digest", "left").where(~F.col("body").eqNullSafe(F.col("keep_body"))).select("digest").distinct(),
                   "dedup-clash")
     out = joined.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
