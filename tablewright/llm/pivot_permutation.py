@@ -16,7 +16,12 @@ The index is fitted to a bounded sample: of the ``SAMPLE * MAX_PIVOTS`` vectors
 with the smallest hashes, those that are not close to one taken before become
 pivots, ``MAX_PIVOTS`` at most (and twice the square root of the number of classes,
 if that is less), so a large group of similar vectors has one pivot and not most
-of them.  Every vector is indexed.  Links are exact but not necessarily all; the
+of them.  Where fewer than ``MIN_PIVOTS`` are apart (one cluster, a large shared
+mean) the sampled vectors least similar to the pivots fill them up.  Every vector
+is indexed.  The number of nearest pivots and how many of them a pair must share
+are tried on the sample, against its links and against pairs made to lie just at
+the threshold: the first setting that finds ``RECALL`` of both is taken, and if
+none does, all pairs are verified.  Links are exact but not necessarily all; the
 tests hold the recall against brute force.
 
 Defined results: vectors that are null, zero, empty or hold null, infinite or
@@ -44,6 +49,7 @@ MIN_PIVOTS, MAX_PIVOTS, SAMPLE = 64, 4096, 4
 APART = 0.6  # pivots have a smaller cosine than this
 NEAREST = 8
 SHARED = 2
+RECALL, TRIAL = 0.99, 2_000  # share of the links of so many sampled vectors that a setting must find
 BLOCK_VECTORS = 2_000
 _TILE = 500
 
@@ -64,8 +70,14 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _wide(vectors: list, width: int) -> np.ndarray:
+    """Unit vectors, filled up with zeros."""
+    return np.stack([np.pad(_unit([v])[0], (0, width - len(v))) for v in vectors])
+
+
 def _pivots(sample: list, n: int) -> list[np.ndarray]:
-    """Up to ``n`` unit vectors of the sample that are apart from one another."""
+    """Up to ``n`` unit vectors of the sample that are apart from one another, and
+    while fewer than ``MIN_PIVOTS`` are, the least similar of the others."""
     width = max(len(v) for v in sample)
     kept = np.zeros((0, width))
     out: list[np.ndarray] = []
@@ -75,10 +87,59 @@ def _pivots(sample: list, n: int) -> list[np.ndarray]:
         if len(out) < n and not (kept @ wide >= APART).any():
             kept = np.vstack([kept, wide])
             out.append(p)
+    rest = sample[:TRIAL]
+    if len(out) < min(n, MIN_PIVOTS):
+        wide = _wide(rest, width)
+        closest = (wide @ kept.T).max(axis=1)
+        while len(out) < min(n, MIN_PIVOTS) and closest.min() < 1 - 1e-9:
+            i = int(closest.argmin())
+            out.append(_unit([rest[i]])[0])
+            closest = np.maximum(closest, wide @ wide[i])
     return out
 
 
-def _described(classes: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
+def _nearest(x: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    return np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :k]
+
+
+def _setting(sample: list, pivots: list[np.ndarray], threshold: float, shared: int) -> tuple[list[np.ndarray], int, int]:
+    """Pivots, how many of them describe a vector, and how many a pair must share."""
+    trial = sample[:TRIAL]
+    pairs = []  # points, x, y, found links of x and y
+    for d in {len(v) for v in trial}:
+        x = _unit([v for v in trial if len(v) == d])
+        if len(x) < 2:
+            continue
+        points = np.stack([np.pad(p[:d], (0, max(d - len(p), 0))) for p in pivots])
+        close = x @ x.T
+        links = np.triu(close >= threshold, 1)
+        z = np.roll(x, -1, axis=0)
+        cosine = (x * z).sum(axis=1, keepdims=True)
+        far = cosine[:, 0] < min(threshold, 1 - 1e-9)
+        aside = (z - cosine * x)[far]
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        edge = threshold * x[far] + math.sqrt(max(1 - threshold * threshold, 0)) * aside
+        pairs.append((points, x, links, far, edge))
+
+    def has(x: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros((len(x), len(points)), dtype=np.float32)
+        np.put_along_axis(out, _nearest(x, points, k), 1, axis=1)
+        return out
+
+    for k, need in ((NEAREST, shared), (NEAREST, 1), (2 * NEAREST, 1), (4 * NEAREST, 1)):
+        k = min(k, len(pivots))
+        need = min(need, k)
+        found, of = np.zeros(2), np.zeros(2)
+        for points, x, links, far, edge in pairs:
+            near = has(x, points, k)
+            found += ((near @ near.T >= need)[links].sum(), ((near[far] * has(edge, points, k)).sum(axis=1) >= need).sum())
+            of += links.sum(), len(edge)
+        if (found >= RECALL * of).all():
+            return pivots, k, need
+    return pivots[:1], 1, 1  # one list of all vectors
+
+
+def _described(classes: DataFrame, pivots: list[np.ndarray], k: int) -> DataFrame:
     """``classes`` with ``near``: the numbers of the nearest pivots, nearest first."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)  # MAX_PIVOTS vectors at most
     names = classes.columns
@@ -95,9 +156,7 @@ def _described(classes: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
                 if d not in by_length:  # other lengths: cut or filled up with zeros
                     by_length[d] = np.stack([np.pad(p[:d], (0, max(d - len(p), 0))) for p in points])
                 at = np.flatnonzero(lengths == d)
-                closeness = _unit([vectors[i] for i in at]) @ by_length[d].T
-                k = min(NEAREST, len(points))
-                top = np.argsort(-closeness, axis=1, kind="stable")[:, :k]
+                top = _nearest(_unit([vectors[i] for i in at]), by_length[d], k)
                 for i, row in zip(at, top, strict=True):
                     near[i] = row.astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near, pa.list_(pa.int32()))], names=[*names, "near"])
@@ -178,10 +237,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, shared: int = SHAR
     classes = stage(_classes(rows), "vector-classes")
     n = classes.count()
     n_pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(2 * math.sqrt(n))))
-    sample = classes.orderBy("cid").limit(SAMPLE * n_pivots).select("vector").collect()
-    found = stage(_links(_described(classes, _pivots([r[0] for r in sample], n_pivots)), threshold, shared), "vector-links") if n else None
-    if found is None:
+    sample = [r[0] for r in classes.orderBy("cid").limit(SAMPLE * n_pivots).select("vector").collect()]
+    if not n:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    pivots, k, need = _setting(sample, _pivots(sample, n_pivots), threshold, shared)
+    found = stage(_links(_described(classes, pivots, k), threshold, need), "vector-links")
     counts = found.where("other IS NULL").groupBy("cid").agg(F.sum("n").alias("n"))
     of = components(found.where("other IS NOT NULL"), "cid", "other")
     known = stage(classes.select("cid", "label", "vector", "rep", "size").join(counts, "cid", "left")

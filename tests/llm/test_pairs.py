@@ -149,6 +149,21 @@ def test_vector_links_and_recall(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("n,mean", [(2, 1.0), (300, 0.3), (300, 1.0), (900, 0.5)])
+def test_vector_recall_in_one_cluster(spark, n, mean):
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 32)) * 0.2 + mean  # a large shared mean: cosines of 0.6 and more
+    for i in range(0, n - 1, 2):
+        x[i + 1] = x[i] + r.normal(size=32) * 0.03
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u @ u.T).min() > (0.3 if mean < 0.5 else 0.6)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    rows = [(i, [float(v) for v in x[i]], 1) for i in range(n)]
+    got = {r.vec_id: r.n_links for r in pp.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] <= link[i].sum() for i in range(n)) and sum(got.values()) >= 0.98 * link.sum() > 0
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1),
