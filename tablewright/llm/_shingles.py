@@ -61,7 +61,7 @@ def shingle_sets(texts: list[str | None], words: int, batch_bytes: int = 1 << 20
         of = np.searchsorted(starts, first)
         whole = np.zeros(max(len(h) - words + 1, 0), dtype=np.uint64)
         for k in range(words):
-            whole += h[k:len(h) - words + 1 + k] * _PLACE[k]
+            whole += h[k:k + len(whole)] * _PLACE[k]
         whole = mix(whole)
         for a, b in zip(of, of[1:], strict=False):
             n = b - a

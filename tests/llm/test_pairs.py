@@ -61,6 +61,13 @@ def test_shingles_match_python():
             assert len(np.intersect1d(x, y)) == len(shingles(a, k) & shingles(b, k))
 
 
+def test_shingles_of_each_text_alone():
+    for text in [t for _, t, *_ in edge_rows()] + ["a", "a b", "a b c", "a b c d", "a b c d e"]:
+        for k in (1, 3, 5, 7):
+            (got,) = _shingles.shingle_sets([text], k)
+            assert len(got) == len(shingles(text, k))
+
+
 @pytest.mark.parametrize("words,num,block", [(3, 90, None), (5, 80, 300)])
 def test_group_join_matches_brute_force(spark, monkeypatch, words, num, block):
     if block:
