@@ -7,12 +7,14 @@ rewritten with the surrogate in the mention's own format (case, separators,
 country code).  So equal entities stay equal and different ones different, in
 all documents, and without the key the originals can't be told.
 
-Kinds: e-mail address (top level kept), telephone number (country code kept,
-area and exchange begin with 2-9), IPv4 address (valid octets), payment card
-(first digit kept, a valid check digit stays valid and a wrong one wrong), social
-security number, access key (prefix kept), secret after ``password=`` and the
-like, 40-digit hexadecimal token, and given names, which get a name of the same
-gender and script.
+Kinds: e-mail address (top level kept), telephone number (separated, with country
+code or of ten digits; country code kept, area and exchange begin with 2-9), IPv4
+address (valid octets), payment card (first digit kept, a valid check digit stays
+valid and a wrong one wrong), social security number, access key (prefix kept),
+secret after ``password=``, ``Token: "`` and the like, 40-digit hexadecimal token,
+given names of a list, capitalised or in capitals, which get a name of the same
+gender and script, and other names (``surname``) by context: after a title, after a
+greeting, or after a listed given name.  What is not found is listed in the README.
 
 Collisions: a surrogate must differ from the other surrogates of its kind and
 from every canonical form in the data; where it does not, the entity with the
@@ -42,35 +44,50 @@ NAMES = {
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Екатерина Татьяна Ирина".split(),
     ("cyrillic", "m"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай".split(),
 }
+_LISTED = [n for names in NAMES.values() for n in names]
+_GIVEN = "|".join([*_LISTED, *(n.upper() for n in _LISTED)])
+_SECRET_BEFORE = r"(?i:\b(?:password|passwd|secret|token)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)"
+#: Separated groups of 3-3-4 digits; a country code and seven digits or more; ten or eleven digits without separators.
+_PHONE = (r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+          r"|\+[1-9](?:[ .-]?\(?\d\)?){7,14}|1?[2-9]\d{2}[2-9]\d{6}")
+_COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+_TITLES = r"Mr|Mrs|Ms|Dr|Prof|Miss|Herr|Frau|MR|MRS|MS|DR|PROF"
+_GREETINGS = "Dear|Hi|Hello|Hey"
+#: Capitalised words after a greeting or a given name that are no names.
+_NO_NAMES = ("Sir|Sirs|Madam|All|Team|World|There|Everyone|Everybody|Friend|Friends|Reader|Readers|Customer|Customers|Colleague|Colleagues|"
+             "The|This|That|These|Those|And|Or|But|Of|In|On|At|To|For|From|By|With|As|If|It|Is|Was|He|She|They|We|You|His|Her|My|Our|Mr|Mrs|Ms|Dr|Prof|Miss")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind and pattern, in the order in which they are tried.  Each begins with a
 #: test of one character, as most places of a text begin no entity.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
     "access_key": r"(?=A)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<=[=:])(?<=\b(?:password|passwd|secret|token)[=:])[^\s\"'&,;]{6,}",
-    "hex_token": r"(?=[0-9a-f])\b[0-9a-f]{40}\b",
-    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "secret": rf"(?<=[=:\s\"'])(?<=[=:][ \t]{{0,4}}[\"']?)(?<={_SECRET_BEFORE})[^\s\"'&,;]{{6,}}",
+    "hex_token": r"(?=[0-9a-fA-F])\b[0-9a-fA-F]{40}\b",
+    "phone": rf"(?=[+(\d])(?<![\w+])(?:{_PHONE})(?!\w)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?=[3-6])(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\w-])",
     "ipv4": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "name": r"(?=[A-ZА-Я])(?<![\p{L}\p{N}_])(?:" + "|".join(n for names in NAMES.values() for n in names) + r")(?![\p{L}\p{N}_])",
+    "name": rf"(?=[A-ZА-Я])(?<![\p{{L}}\p{{N}}_])(?:{_GIVEN})(?![\p{{L}}\p{{N}}_])",
+    "surname": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLES})\.?|{_GREETINGS}|{_GIVEN}) )(?!(?i:{_NO_NAMES})(?![\p{{L}}\p{{N}}_]))"
+               r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*(?![\p{L}\p{N}_])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _MAX_DRAWS = 64
+_BEFORE = 24  # characters of the text before a mention that tell a secret from a name
 
 
-def _kind(mention: Column) -> Column:
+def _kind(mention: Column, before: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
         test = {"email": mention.contains("@") & mention.rlike(f"^(?:{PATTERNS['email']})$"), "access_key": mention.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"),
-                "hex_token": mention.rlike(r"^[0-9a-f]{40}$"), "phone": mention.rlike(r"^(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}$"),
+                "hex_token": mention.rlike(r"^[0-9a-fA-F]{40}$"), "phone": mention.rlike(f"^(?:{_PHONE})$"),
                 "ssn": mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "card": mention.rlike(r"^[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}$"),
                 "ipv4": mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$")}.get(kind)
         if test is not None:
             out = F.when(test, kind).otherwise(out)
-    listed = mention.isin([n for names in NAMES.values() for n in names])
-    return F.when((out == "name") & ~listed, "secret").otherwise(out)
+    listed = mention.isin([*_LISTED, *(n.upper() for n in _LISTED)])
+    return F.when((out == "name") & ~listed, F.when(before.rlike(f"{_SECRET_BEFORE}$"), "secret").otherwise("surname")).otherwise(out)
 
 
 def _digits(x: Column) -> Column:
@@ -78,7 +95,10 @@ def _digits(x: Column) -> Column:
 
 
 def _canonical(kind: Column, mention: Column) -> Column:
-    return (F.when(kind == "email", F.lower(mention)).when(kind == "phone", F.right(_digits(mention), F.lit(10)))
+    abroad = (kind == "phone") & mention.startswith("+") & ~_digits(mention).startswith("1")
+    return (F.when(abroad, F.concat(F.lit("+"), _digits(mention)))
+            .when(kind.isin("email", "hex_token"), F.lower(mention)).when(kind == "phone", F.right(_digits(mention), F.lit(10)))
+            .when(kind.isin("name", "surname"), F.concat(F.left(mention, F.lit(1)), F.lower(F.substring(mention, 2, 1 << 20))))
             .when(kind.isin("ssn", "card"), _digits(mention)).otherwise(mention))
 
 
@@ -126,7 +146,10 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     c, kind = F.col("canonical"), F.col("kind")
     any_class = F.array_join(F.transform(_chars(c), _by_class), "")
     tail = F.length(F.substring_index(c, ".", -1)) + 1
-    email = F.concat(F.array_join(F.transform(_chars(F.left(c, F.length(c) - tail)), _by_class), ""), F.right(c, tail))
+    address = F.array_join(F.transform(_chars(F.left(c, F.length(c) - tail)), _by_class), "")
+    email = F.concat(F.substring_index(address, "@", 1), F.lit("@"), F.substring_index(address, "@", -1), F.right(c, tail))
+    code = F.length(F.regexp_extract(c, rf"^\+(?:{_COUNTRY})", 0))
+    abroad = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i < code, x).when((i == code) & (x != "0"), F.chr(49 + _number(i) % 9)).otherwise(_by_class(x, i))), "")
     phone = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i.isin(0, 3), F.chr(50 + _number(i) % 8)).otherwise(_by_class(x, i))), "")
     ssn = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i == 0, F.chr(49 + _number(i) % 8)).otherwise(_by_class(x, i))), "")
     ipv4 = F.array_join(F.transform(F.split(c, r"\."), lambda x, i: (1 + _number(i) % 254).cast("string")), ".")
@@ -135,9 +158,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     check = F.pmod(_luhn(c) - _luhn(F.concat(middle, F.lit("0"))), F.lit(10)).cast("string")
     access = F.concat(F.left(c, F.lit(4)), F.array_join(F.transform(_chars(F.substring(c, 5, 64)), _by_class), ""))
     return (entities.withColumn("__stream", _stream(key, F.length(c)))
-            .withColumn("surrogate", F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ipv4", ipv4)
+            .withColumn("surrogate", F.when(kind == "email", email).when((kind == "phone") & c.startswith("+"), abroad).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ipv4", ipv4)
                         .when(kind == "card", F.concat(middle, check)).when(kind == "access_key", access)
-                        .when((kind == "hex_token") | c.rlike("^[0-9a-f]+$"), hexa).when(kind == "name", _permuted_name(key)).otherwise(any_class))
+                        .when((kind == "hex_token") | ((kind == "secret") & c.rlike("^[0-9a-f]+$")), hexa).when(kind == "name", _permuted_name(key)).otherwise(any_class))
             .drop("__stream"))
 
 
@@ -161,16 +184,19 @@ def assign(entities: DataFrame, key: str, draw=draw_surrogates) -> DataFrame:
 
 def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention."""
-    # The digits of the surrogate go to the last digits of the mention, in their order.
-    skip = F.length(_digits(mention)) - F.length(surrogate)
+    # The digits of the surrogate go to the last digits of the mention, in their order; those added follow.
+    number = _digits(F.substring_index(surrogate, "x", 1))
+    skip = F.length(_digits(mention)) - F.length(number)
     filled = F.aggregate(
         _chars(mention), F.struct(F.lit("").alias("text"), F.lit(0).alias("seen")),
         lambda a, c: F.when(c.between("0", "9"), F.struct(
-            F.concat(a["text"], F.when(a["seen"] < skip, c).otherwise(F.substring(surrogate, a["seen"] - skip + 1, F.lit(1)))).alias("text"),
+            F.concat(a["text"], F.when(a["seen"] < skip, c).otherwise(F.substring(number, a["seen"] - skip + 1, F.lit(1)))).alias("text"),
             (a["seen"] + 1).alias("seen"))).otherwise(F.struct(F.concat(a["text"], c).alias("text"), a["seen"].alias("seen"))),
-        lambda a: a["text"])
+        lambda a: F.concat(a["text"], F.regexp_extract(surrogate, "x.*$", 0)))
     cased = F.array_join(F.zip_with(_chars(mention), _chars(surrogate), lambda m, s: F.when(m.between("A", "Z"), F.upper(s)).otherwise(s)), "")
-    return F.when(kind.isin("phone", "ssn", "card"), filled).when(kind == "email", cased).otherwise(surrogate)
+    capitals = (F.upper(mention) == mention) & (F.lower(mention) != mention)
+    return (F.when(kind.isin("phone", "ssn", "card"), filled).when(kind.isin("hex_token", "name", "surname") & capitals, F.upper(surrogate))
+            .when(kind.isin("email", "hex_token"), cased).otherwise(surrogate))
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +207,9 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str =
     clean = found.where(F.size("mentions") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     hit = stage(found.where(F.size("mentions") > 0).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mentions",
                                                           F.split(F.col("text"), ANY, -1).alias("pieces")), "pii-documents")
-    mentions = hit.select("rid", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", _kind(F.col("mention")))
+    found = F.zip_with("mentions", F.slice("pieces", F.lit(1), F.size("mentions")), lambda m, p: F.struct(m.alias("mention"), F.right(p, F.lit(_BEFORE)).alias("before")))
+    mentions = hit.select("rid", F.posexplode(found).alias("pos", "m")).select("rid", "pos", "m.*")
+    mentions = mentions.withColumn("kind", _kind(F.col("mention"), F.col("before"))).drop("before")
     mentions = mentions.withColumn("canonical", _canonical(F.col("kind"), F.col("mention")))
     table = assign(stage(mentions.select("kind", "canonical").distinct(), "pii-entities"), key)
     written = (mentions.join(table, ["kind", "canonical"])

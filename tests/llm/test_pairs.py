@@ -223,6 +223,36 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert other != out and sg.replace_entities(docs).where("doc_id = 1").first().text == out
 
 
+HEX = "9233A8ECF7C5B09FE5949719B6B82B0123456789"
+
+
+SPELLINGS = [
+    (f'TOKEN = "{HEX}"', HEX, "hex_token"), (f"x {HEX.lower()} y", HEX.lower(), "hex_token"), ("password: hunter22", "hunter22", "secret"),
+    ("Password=Hunter22", "Hunter22", "secret"), ('secret = "hunter22"', "hunter22", "secret"), ('{"passwd": "hunter22"}', "hunter22", "secret"),
+    ("ring +44 20 7946 0958 now", "20 7946 0958", "phone"), ("+49 30 123456", "30 123456", "phone"), ("6125554887", "6125554887", "phone"),
+    ("+44 2079460958", "2079460958", "phone"), ("by MARY", "MARY", "name"), ("by Mary Whittaker, here", "Whittaker", "surname"),
+    ("Dear Whittaker, yes", "Whittaker", "surname"), ("Dr. Whittaker came", "Whittaker", "surname"), ("MARY WHITTAKER", "WHITTAKER", "surname")]
+
+
+def test_surrogates_of_other_spellings(spark):
+    docs = spark.createDataFrame([(i, x[0]) for i, x in enumerate(SPELLINGS)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in sg.replace_entities(docs).collect()}
+    for i, (text, original, kind) in enumerate(SPELLINGS):
+        row = got[i]
+        assert original not in row.text and kind in row.kinds and (len(row.text) == len(text) or "name" in row.kinds), text
+        assert [c for c in row.text if c in ' +="{}:'] == [c for c in text if c in ' +="{}:']
+        assert row.text.startswith(text.split(original)[0]) or kind == "surname", text
+
+
+def test_surrogates_keep_spellings_together(spark):
+    texts = [f"a {HEX} b {HEX.lower()} c", "Dr. Whittaker MARY WHITTAKER Mary", "+44 20 7946 0958 and +442079460958", "Hello World, Dear Sir, the Dr. The Mary And"]
+    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0].split()[1] == got[0].split()[3].upper() and got[0].split()[3].islower()
+    assert got[1].split()[1].upper() == got[1].split()[3] and got[1].split()[2] == got[1].split()[4].upper()
+    assert re.sub(r"\D", "", got[2].split(" and ")[0]) == re.sub(r"\D", "", got[2].split(" and ")[1]) and got[2].startswith("+44 ")
+    assert got[3].startswith("Hello World, Dear Sir, the Dr. The ") and got[3].endswith(" And")
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     entities = spark.createDataFrame([("ssn", str(i)) for i in range(40)], "kind string, canonical string")
 
