@@ -19,7 +19,9 @@ greeting, or after a listed given name.  What is not found is listed in the READ
 Collisions: a surrogate must differ from the other surrogates of its kind and
 from every canonical form in the data; where it does not, the entity with the
 smallest canonical form keeps it and the others draw again.  Names are permuted
-inside their list, which needs no check.
+inside their list, which needs no check.  A format that is used up grows: letters
+of other scripts become letters at once, in secrets punctuation does from the third
+draw on, and keyed digits are added, one more for each further draw.
 
 Native: DataFrame operations only.  Only documents with entities, and the table
 of distinct entities, are shuffled; an entity in very many documents is one row
@@ -121,6 +123,25 @@ def _by_class(c: Column, i: Column) -> Column:
             .otherwise(c))
 
 
+def _other_class(c: Column, i: Column) -> Column:
+    """As ``_by_class``, but no letter stays: those of other scripts become letters,
+    and from the third draw on other characters too."""
+    n, small = _number(i), "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    letter = c.rlike(r"[\p{L}\p{N}\p{M}]") | (F.col("draw") >= 2)
+    return (F.when(c.between("А", "Я"), F.substring(F.lit(small.upper()), n % 32 + 1, F.lit(1)))
+            .when(c.rlike("[0-9a-zA-Zа-я]"), _by_class(c, i)).when(letter & c.rlike(r"\p{Lu}"), F.chr(65 + n % 26))
+            .when(letter, F.chr(97 + n % 26)).otherwise(c))
+
+
+def _added(key: str) -> Column:
+    """Keyed digits, one more for each failed draw: a format that is used up grows.
+    Kinds of a fixed length get them later and after an ``x``."""
+    free = F.col("kind").isin("secret", "surname", "email")
+    digits = F.translate(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("added"), "kind", "canonical", F.col("draw").cast("string")).cast("binary"), 256), "abcdef", "012345")
+    n = F.greatest(F.col("draw") - F.when(free, 2).otherwise(7), F.lit(0))
+    return F.when(n > 0, F.concat(F.when(free, "").otherwise("x"), F.substring(digits, F.lit(1), n))).otherwise("")
+
+
 def _chars(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
@@ -144,10 +165,11 @@ def _permuted_name(key: str) -> Column:
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Add ``surrogate`` to (kind, canonical, draw)."""
     c, kind = F.col("canonical"), F.col("kind")
-    any_class = F.array_join(F.transform(_chars(c), _by_class), "")
+    any_class = F.array_join(F.transform(_chars(c), _other_class), "")
     tail = F.length(F.substring_index(c, ".", -1)) + 1
     address = F.array_join(F.transform(_chars(F.left(c, F.length(c) - tail)), _by_class), "")
-    email = F.concat(F.substring_index(address, "@", 1), F.lit("@"), F.substring_index(address, "@", -1), F.right(c, tail))
+    added = _added(key)
+    email = F.concat(F.substring_index(address, "@", 1), added, F.lit("@"), F.substring_index(address, "@", -1), F.right(c, tail))
     code = F.length(F.regexp_extract(c, rf"^\+(?:{_COUNTRY})", 0))
     abroad = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i < code, x).when((i == code) & (x != "0"), F.chr(49 + _number(i) % 9)).otherwise(_by_class(x, i))), "")
     phone = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i.isin(0, 3), F.chr(50 + _number(i) % 8)).otherwise(_by_class(x, i))), "")
@@ -161,6 +183,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
             .withColumn("surrogate", F.when(kind == "email", email).when((kind == "phone") & c.startswith("+"), abroad).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ipv4", ipv4)
                         .when(kind == "card", F.concat(middle, check)).when(kind == "access_key", access)
                         .when((kind == "hex_token") | ((kind == "secret") & c.rlike("^[0-9a-f]+$")), hexa).when(kind == "name", _permuted_name(key)).otherwise(any_class))
+            .withColumn("surrogate", F.when(kind.isin("email", "name"), F.col("surrogate")).otherwise(F.concat("surrogate", added)))
             .drop("__stream"))
 
 

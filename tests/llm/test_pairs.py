@@ -253,6 +253,22 @@ def test_surrogates_keep_spellings_together(spark):
     assert got[3].startswith("Hello World, Dear Sir, the Dr. The ") and got[3].endswith(" And")
 
 
+def test_surrogates_where_the_format_is_used_up(spark):
+    secrets = ["********", "密码密码密码", "ÀÉÎÕÜà", "ПАРОЛЬ", "!!??!!??"]
+    docs = spark.createDataFrame([(i, f"password={x}") for i, x in enumerate(secrets)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sg.replace_entities(docs).collect()}
+    for i, x in enumerate(secrets):
+        assert got[i].n_entities == 1 and got[i].text.startswith("password=") and not set(got[i].text[9:]) & set(x) - set("ПАРОЛЬ")
+    assert len({r.text for r in got.values()}) == len(secrets)
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    entities = spark.createDataFrame([("email", m) for m in mails] + [("phone", "6125554887")], "kind string, canonical string").coalesce(1)
+    got = {r.canonical: r.surrogate for r in sg.assign(entities, "k").collect()}
+    assert set(got) == {*mails, "6125554887"} and len(set(got.values())) == len(got) and not set(got.values()) & set(got)
+    late = sg.draw_surrogates(entities.where("kind = 'phone'").withColumn("draw", F.lit(9)), "k")
+    text = late.select(sg._render(F.lit("phone"), F.lit("+1 (612) 555-4887"), F.col("surrogate"))).first()[0]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}x\d\d", text)
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     entities = spark.createDataFrame([("ssn", str(i)) for i in range(40)], "kind string, canonical string")
 
