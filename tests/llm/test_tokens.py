@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,6 +82,18 @@ def test_encode_decode_edges(spark):
     assert piece_bpe.digests(empty_docs(spark), PATH).count() == 0
 
 
+def test_decoded_texts_are_checked(spark, monkeypatch):
+    ids = spark.createDataFrame([([300, 400],), ([],), (None,)], "ids array<int>")
+    run = {}
+    # The function that the tasks run, here in this process.
+    monkeypatch.setattr(type(ids), "mapInArrow", lambda df, f, schema: run.setdefault("f", f))
+    monkeypatch.setattr(piece_bpe.Vocabulary, "decode", lambda self, x: "wrong")
+    batch = pa.RecordBatch.from_arrays([pa.array([[300, 400], [], None], pa.list_(pa.int32()))], names=["ids"])
+    piece_bpe.decode(ids, PATH)
+    with pytest.raises(ValueError):
+        list(run["f"]([batch]))
+
+
 def test_other_vocabularies_are_refused(tmp_path):
     with pytest.raises(Exception):
         piece_bpe.Vocabulary(str(tmp_path / "none.model"))
