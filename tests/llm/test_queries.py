@@ -15,7 +15,7 @@ from tests.oracle_check import digest, duck
 def test_all_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and set(queries.QUERIES) < set(names)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
