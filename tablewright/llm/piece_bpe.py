@@ -9,13 +9,15 @@ that end up in no piece become byte pieces.
 No piece holds two neighbouring characters that occur in none, so such a place is
 a cut that no merge crosses, and the parts between cuts are encoded alone.  A
 blank after another character is such a cut in vocabularies that mark word
-starts; parts that return are looked up in a memo of bounded size.
+starts.  Words of at most ``SHORT`` characters that return are looked up in a memo,
+which is emptied when its estimated size reaches ``MEMO_BYTES``.
 
 In each Arrow batch the words that are new to the memo are encoded by the
 sentencepiece library too, and a difference stops the job; as no merge crosses a
 cut, a text's ids are its words' ids.  ``check="texts"`` compares all whole texts
 instead, ``check=None`` nothing.  Decoding compares every decoded text with the
-library's, unless ``check=False``.
+library's, unless ``check=False``.  ``digests`` does all of this in one pass, so
+a task has one Python worker with one memo, and no ids cross to the JVM and back.
 
 Defined results: null counts as the empty text, which has no ids and decodes to
 the empty text; repeated rows are encoded each; an empty table gives no rows;
@@ -27,17 +29,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 BLANK = "▁"
-MEMO_PARTS = 750_000
 SHORT = 64
+MEMO_BYTES = 240_000_000
+#: Bytes of a memo entry besides its characters and ids: key, tuple and slot.
+_ENTRY = 250
 _NEVER = 1 << 60
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -80,6 +86,7 @@ class Vocabulary:
         #: Whether a blank after another character is a cut; else words are not split.
         self.words_apart = not any(a != BLANK and b == BLANK for a, b in self.joined)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo_bytes = 0
         self.unchecked: list[tuple[str, tuple[int, ...]]] = []
 
     def merge(self, text: str) -> list[str]:
@@ -133,7 +140,10 @@ class Vocabulary:
 
     def parts(self, text: str) -> list[str]:
         """The text split at all cuts."""
-        cuts = [0, *(i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.joined), len(text)]
+        joined = self.joined.__contains__
+        if all(map(joined, map(add, text, text[1:]))):
+            return [text]
+        cuts = [0, *(i for i, x in enumerate(map(joined, map(add, text, text[1:])), 1) if not x), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
@@ -145,23 +155,29 @@ class Vocabulary:
                     out.append(i)
                 else:
                     out.extend(self.byte_ids[b] for b in s.encode())
-        return tuple(out)
+        ids = tuple(out)
+        if len(word) <= SHORT:
+            self.memo[word] = ids
+            self.memo_bytes += _ENTRY + 2 * len(word) + 8 * len(ids)
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         memo = self.memo
-        if len(memo) > MEMO_PARTS:
+        if self.memo_bytes > MEMO_BYTES:
             memo.clear()
+            self.memo_bytes = 0
         words = self.words(text)
         out = [memo.get(w) for w in words]
         if None in out:
             for i, ids in enumerate(out):
                 if ids is None:
                     word = words[i]
+                    # A long word that stands twice in a text is encoded twice; it is not kept.
                     out[i] = memo.get(word)
                     if out[i] is None:
-                        out[i] = memo[word] = self._encode_word(word)
+                        out[i] = self._encode_word(word)
                         self.unchecked.append((word, out[i]))
         return list(chain.from_iterable(out))
 
@@ -250,6 +266,26 @@ def _texts(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
         yield [t or "" for t in column.slice(at, rows).to_pylist()]
 
 
+def _encoded(vocab: Vocabulary, texts: list[str], check: str | None) -> list[list[int]]:
+    """The ids of some texts, checked as ``check`` says."""
+    vocab.unchecked.clear()
+    got = [vocab.encode(t) for t in texts]
+    if check == "words":
+        vocab.check_words()
+    elif check == "texts" and got != (said := vocab.library.encode(texts, num_threads=1)):
+        bad = next(t for t, a, b in zip(texts, got, said, strict=True) if a != b)
+        raise ValueError(f"ids differ from the library's: {bad[:200]!r}")
+    return got
+
+
+def _decoded(vocab: Vocabulary, rows: list[list[int]], check: bool) -> list[str]:
+    got = [vocab.decode(x) for x in rows]
+    if check and got != (said := vocab.library.decode(rows, num_threads=1)):
+        bad = next(x for x, a, b in zip(rows, got, said, strict=True) if a != b)
+        raise ValueError(f"the text differs from the library's for the ids {bad[:50]}")
+    return got
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: str | None = "words") -> DataFrame:
     """``df`` with the column ``ids``: the piece ids of each whole text."""
     schema = _with(df, ids, ArrayType(IntegerType(), False))
@@ -257,17 +293,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
-        vocab.unchecked.clear()
         for batch in batches:
             column, at = batch.column(text), 0
             for texts in _texts(column):
-                got = [vocab.encode(t) for t in texts]
-                if check == "words":
-                    vocab.check_words()
-                elif check == "texts" and got != (said := vocab.library.encode(texts, num_threads=1)):
-                    bad = next(t for t, a, b in zip(texts, got, said, strict=True) if a != b)
-                    raise ValueError(f"ids differ from the library's: {bad[:200]!r}")
-                vocab.unchecked.clear()
+                got = _encoded(vocab, texts, check)
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.list_(pa.int32()))], names=[*kept, ids])
@@ -286,19 +315,30 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = [x or [] for x in part.column(ids).to_pylist()]
-                got = [vocab.decode(x) for x in rows]
-                if check and got != (said := vocab.library.decode(rows)):
-                    bad = next(x for x, a, b in zip(rows, got, said, strict=True) if a != b)
-                    raise ValueError(f"the text differs from the library's for the ids {bad[:50]}")
+                got = _decoded(vocab, rows, check)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.string())], names=[*kept, text])
 
     return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, through both."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, checked,
+    decoded and checked in one pass."""
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    both = decode(encode(rows, model_path).drop("text"), model_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    schema = StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
+                         StructField("decoded_sha256", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model_path)
+        named = [str(i) for i in range(len(vocab.pieces))]
+        for batch in batches:
+            n, of_ids, of_text = [], [], []
+            for texts in _texts(batch.column("text")):
+                got = _encoded(vocab, texts, "words")
+                n += map(len, got)
+                of_ids += [sha256(",".join([named[i] for i in ids]).encode()).hexdigest() for ids in got]
+                of_text += [sha256(t.encode()).hexdigest() for t in _decoded(vocab, got, True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
+                                              pa.array(of_text, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
