@@ -11,18 +11,24 @@ one word each: 0.7 ratio + 0.2 substring + 0.1 prefix, else 0.5 words +
 0.3 ratio + 0.15 substring + 0.05 prefix; +0.1 when the raw stripped texts are
 equal but the cleaned ones are not; capped at 1.
 
-Distribution (M4).  The score has no exact q-gram filter (difflib ratios of
-0.6 arise from blocks of one or two characters), so candidate pairs are not
-guessed: the join is a *theta join partitioned as a grid* (the 1-Bucket-Theta
-scheme of Okcan & Riedewald, SIGMOD 2011), restricted by an exact length
-band.  Distinct texts only are scored; the dictionary is cut into chunks of at
-most ``dict_chunk`` rows per length band and the queries into
-salted query slices sized to a pair budget, so every task scores a bounded block, a hot
-length band or text cannot land in one task, and no pair row is ever
-materialised -- only matches >= threshold leave a task.  Inside a task a
-vectorised upper bound (lengths, word counts, character-count overlap) skips
-pairs that cannot reach the threshold before difflib runs.  Nothing is capped
-and no candidate is dropped: the result equals scoring every pair.
+Distribution (M4).  A ratio of 0.6 arises from blocks of one or two characters, so
+no gram or word must be shared and every length-compatible pair may match.  Both
+sides are reduced to distinct texts, prepared once (cleaned text, length) and
+staged.  Equal texts (cleaned, or raw once stripped, which earns the bonus) are
+found by equi-joins.  All others meet in a grid of cells: dictionary chunks within a
+length band, query slices by hash.  Chunks and slices are balanced, so with N cells
+the rows shuffled are 2 sqrt(Q W N), and N follows the cores until a cell would
+exceed ``CELL_ROWS`` texts a side or ``CELL_PAIRS`` pairs.
+
+A cell keeps an inverted index: word -> texts that hold it.  A query's words are
+compared with the distinct words of the cell, not with its texts; the index spreads
+each word's best bound over the texts.  Length and word bounds leave a short list,
+character counts a shorter one, then exact word ratios, and last the text's own
+ratio.  Where only the best ``top`` are asked for, candidates are taken in the order
+of their bounds until none can be among them.  Nothing is capped and no candidate
+is dropped: the result equals scoring every pair.
+
+M5 to M8 read one table of candidates each (``candidates``), planned once.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
 from tablewright.functions._util import py_strip
-from tablewright.session import checkpoint_root
+from tablewright.session import staged
 
 _WS = re.compile(r"\s+")
 
@@ -109,76 +115,77 @@ _NBUCKETS = 64
 
 
 def _char_counts(texts: Sequence[str]) -> np.ndarray:
+    """Counts of the characters by code modulo ``_NBUCKETS``; a minimum of two
+    such rows over-estimates what the texts share, never the reverse."""
     out = np.zeros((len(texts), _NBUCKETS), dtype=np.int32)
     for i, t in enumerate(texts):
         if t:
-            codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % _NBUCKETS
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % _NBUCKETS
             out[i] = np.bincount(codes, minlength=_NBUCKETS)
     return out
 
 
-def _overlap(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    out = np.zeros((ca.shape[0], cb.shape[0]), dtype=np.float64)
-    for b in range(_NBUCKETS):
-        out += np.minimum(ca[:, b][:, None], cb[:, b][None, :])
-    return out
-
-
-_WORD_BOUND_CELLS = 4_000_000
-
-
-def _word_bounds(q_words: list[list[str]], w_words: list[list[str]]) -> np.ndarray | None:
-    """Upper bound of the word component per pair: every query word's best
-    ratio is bounded by 2 * overlap / (|x| + |y|) over the candidate's words
-    (overlap from bucketed character counts, >= the true one), summed over the
-    query words and divided by the larger word count.  None when the
-    vocabulary matrix would be too large (the caller then uses 1)."""
-    vq = sorted({x for ws in q_words for x in ws})
-    vw = sorted({y for ws in w_words for y in ws})
-    if not vq or not vw or len(vq) * len(vw) > _WORD_BOUND_CELLS:
-        return None
-    iq = {x: i for i, x in enumerate(vq)}
-    iw = {y: i for i, y in enumerate(vw)}
-    lx = np.array([len(x) for x in vq], dtype=np.float64)[:, None]
-    ly = np.array([len(y) for y in vw], dtype=np.float64)[None, :]
-    u = np.minimum(1.0, 2 * _overlap(_char_counts(vq), _char_counts(vw)) / np.maximum(lx + ly, 1))
-    qmat = np.zeros((len(q_words), len(vq)), dtype=np.float64)
-    for i, ws in enumerate(q_words):
-        for x in ws:
-            qmat[i, iq[x]] += 1
-    num = np.zeros((len(q_words), len(w_words)), dtype=np.float64)
-    for j, ws in enumerate(w_words):
-        if ws:
-            num[:, j] = qmat @ u[:, [iw[y] for y in ws]].max(axis=1)
-    nq = np.array([len(ws) for ws in q_words], dtype=np.float64)[:, None]
-    nw = np.array([len(ws) for ws in w_words], dtype=np.float64)[None, :]
-    return num / np.maximum(np.maximum(nq, nw), 1)
-
-
-def _upper_bounds(q_clean: list[str], w_clean: list[str]) -> np.ndarray:
-    """Matrix of score upper bounds (bonus excluded).  Bucketed character counts
-    over-estimate the multiset overlap O, and difflib's matched characters,
-    the containment length and the common prefix are all <= O; the word
-    component is bounded per word pair the same way."""
-    lq = np.array([len(x) for x in q_clean], dtype=np.float64)[:, None]
-    lw = np.array([len(x) for x in w_clean], dtype=np.float64)[None, :]
-    q_words = [x.split() for x in q_clean]
-    w_words = [x.split() for x in w_clean]
-    nq = np.array([len(x) for x in q_words], dtype=np.float64)[:, None]
-    nw = np.array([len(x) for x in w_words], dtype=np.float64)[None, :]
-    overlap = _overlap(_char_counts(q_clean), _char_counts(w_clean))
-    short, long_ = np.minimum(lq, lw), np.maximum(lq, lw)
-    long_ = np.where(long_ == 0, 1, long_)
-    ratio = np.where(lq + lw > 0, 2 * overlap / np.maximum(lq + lw, 1), 0)
-    sub = np.where(overlap >= short, short / long_, 0)
-    pre = np.where(np.minimum(overlap, short) >= 3, np.minimum(overlap, short) / long_, 0)
-    single = (nq == 1) & (nw == 1)
-    words = _word_bounds(q_words, w_words)
-    if words is None:
-        words = np.minimum(1.0, nq / np.maximum(np.maximum(nq, nw), 1))
-    ub_single = 0.7 * ratio + 0.2 * sub + 0.1 * pre
-    ub_multi = 0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * pre
-    return np.where(single, ub_single, ub_multi)
+class _CellIndex:
+    """The dictionary texts of one cell: inverted words, lengths, character counts."""
+
+    _CACHE_BYTES = 64 << 20
+
+    def __init__(self, texts: list[str]) -> None:
+        self.words = [t.split() for t in texts]
+        self.length = np.array([len(t) for t in texts], dtype=np.float64)
+        self.n_words = np.array([len(w) for w in self.words], dtype=np.float64)
+        self.counts = _char_counts(texts)
+        vocabulary: dict[str, int] = {}
+        posting: list[tuple[int, int]] = []
+        for j, ws in enumerate(self.words):
+            posting += {(vocabulary.setdefault(w, len(vocabulary)), j) for w in ws}
+        pairs = np.array(sorted(posting, key=lambda p: p[1]), dtype=np.int64).reshape(-1, 2)
+        self.word_of, text_of = pairs[:, 0], pairs[:, 1]
+        #: Where the words of each text that has any begin.
+        self.with_words, self.begin = np.unique(text_of, return_index=True)
+        self.word_counts = _char_counts(list(vocabulary))
+        self.word_length = np.array([len(w) for w in vocabulary], dtype=np.float64)
+        self._best: dict[str, np.ndarray] = {}
+
+    def best_word(self, x: str) -> np.ndarray:
+        """Per text, an upper bound of the best ratio of ``x`` to one of its words."""
+        got = self._best.get(x)
+        if got is None:
+            got = np.zeros(len(self.words), dtype=np.float32)
+            if len(self.word_of):
+                shared = np.minimum(self.word_counts, _char_counts([x])).sum(axis=1)
+                bound = np.minimum(1.0, 2 * shared / (self.word_length + len(x))).astype(np.float32)
+                got[self.with_words] = np.maximum.reduceat(bound[self.word_of], self.begin)
+            if (len(self._best) + 1) * got.nbytes > self._CACHE_BYTES:
+                self._best.clear()
+            self._best[x] = got
+        return got
+
+    def candidates(self, q: str, q_words: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts whose score may reach ``threshold`` (bonus excluded), their bounds
+        of the score and of the ratio."""
+        lq, nq = len(q), len(q_words)
+        both = np.maximum(self.length + lq, 1)
+        ratio = 2 * np.minimum(self.length, lq) / both
+        # What follows holds as substring and prefix parts are at most the ratio's bound.
+        if nq:
+            words = sum((self.best_word(x) for x in q_words), np.zeros(len(self.words), dtype=np.float32)) / np.maximum(self.n_words, nq)
+        else:
+            words = np.zeros(len(self.words))
+        single = (self.n_words == 1) if nq == 1 else np.zeros(len(self.words), dtype=bool)
+        rough = np.where(single, ratio, 0.5 * words + 0.5 * ratio)
+        at = np.flatnonzero(rough >= threshold - 1e-6)
+        if not len(at):
+            return at, at, at
+        shared = np.minimum(self.counts[at], _char_counts([q])).sum(axis=1)
+        short, long_ = np.minimum(self.length[at], lq), np.maximum(np.maximum(self.length[at], lq), 1)
+        ratio = 2 * shared / both[at]
+        sub = np.where(shared >= short, short / long_, 0)
+        common = np.minimum(shared, short)
+        prefix = np.where(common >= 3, common / long_, 0)
+        bound = np.where(single[at], 0.7 * ratio + 0.2 * sub + 0.1 * prefix, 0.5 * words[at] + 0.3 * ratio + 0.15 * sub + 0.05 * prefix)
+        fit = bound >= threshold - 1e-6
+        return at[fit], bound[fit], ratio[fit]
 
 
 # ---------------------------------------------------------------- M4 distributed join
@@ -204,29 +211,19 @@ class _BlockScorer:
         return r
 
     def score(self, query: str, q: str, qw: list[str], candidate: str, w: str, ww: list[str],
-              matcher: SequenceMatcher) -> float:
+              matcher: SequenceMatcher, least: float = -1.0, most_ratio: float = 1.0) -> float:
+        """The score, or -1 as soon as it can't reach ``least``; ``most_ratio`` is
+        an upper bound of the ratio."""
         if not query:
             return 0.0
         if q == w:
             return 1.0
-        matcher.set_seq1(q)
-        ratio = matcher.ratio()
         if q in w:
             sub = len(q) / len(w)
         elif w in q:
             sub = len(w) / len(q)
         else:
             sub = 0.0
-        single = len(qw) == 1 and len(ww) == 1
-        if single:
-            words = ratio
-        else:
-            total = 0.0
-            wset = set(ww)
-            for x in qw:
-                total += 1.0 if x in wset else max((self.word_ratio(x, y) for y in ww), default=0.0)
-            denom = max(len(qw), len(ww))
-            words = total / denom if denom else 0.0
         shorter = min(len(q), len(w))
         prefix = 0.0
         if shorter >= 3:
@@ -236,51 +233,69 @@ class _BlockScorer:
             if n >= 3:
                 prefix = n / max(len(q), len(w))
         bonus = 0.1 if query.strip() == candidate.strip() else 0.0
-        if single:
-            total_score = 0.7 * ratio + 0.2 * sub + 0.1 * prefix + bonus
-        else:
-            total_score = 0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * prefix + bonus
-        return min(total_score, 1.0)
+        single = len(qw) == 1 and len(ww) == 1
+        words = 0.0
+        if not single:
+            total = 0.0
+            wset = set(ww)
+            for x in qw:
+                total += 1.0 if x in wset else max((self.word_ratio(x, y) for y in ww), default=0.0)
+            denom = max(len(qw), len(ww))
+            words = total / denom if denom else 0.0
+
+        def weighted(ratio: float) -> float:
+            if single:
+                return 0.7 * ratio + 0.2 * sub + 0.1 * prefix + bonus
+            return 0.5 * words + 0.3 * ratio + 0.15 * sub + 0.05 * prefix + bonus
+        if weighted(most_ratio) < least - 1e-6:
+            return -1.0
+        matcher.set_seq1(q)
+        return min(weighted(matcher.ratio()), 1.0)
 
 
-def _score_block(threshold: float):
+def _score_block(threshold: float, top: int | None = None):
+    """Score the pairs of one cell; ``top``: only those that may be among a
+    query's best ``top``."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["__side"] == 0]
+        qs = pdf[pdf["__side"] == 0]["__text"].tolist()
         ws = pdf[pdf["__side"] == 1]
-        if qs.empty or ws.empty:
+        w_raw, w_ord = ws["__text"].tolist(), ws["__order"].tolist()
+        if not qs or not w_raw:
             return _result([], [], [], [])
-        q_raw = qs["__text"].tolist()
-        w_raw = ws["__text"].tolist()
-        w_ord = ws["__order"].tolist()
-        q_clean = [_clean_query(x) for x in q_raw]
         w_clean = [x.lower() for x in w_raw]
-        q_words = [x.split() for x in q_clean]
-        q_strip = [x.strip() for x in q_raw]
-        ub = _upper_bounds(q_clean, w_clean)
-        scorer = _BlockScorer()
-        out_q, out_w, out_o, out_s = [], [], [], []
-        by_strip: dict[str, list[int]] = {}
-        by_clean: dict[str, list[int]] = {}
-        for i, (qs_, qc) in enumerate(zip(q_strip, q_clean)):
-            by_strip.setdefault(qs_, []).append(i)
-            by_clean.setdefault(qc, []).append(i)
+        index, scorer = _CellIndex(w_clean), _BlockScorer()
+        matchers: dict[int, SequenceMatcher] = {}
+        equal: dict[str, set[int]] = {}
         for j, w in enumerate(w_raw):
-            cand = set(np.nonzero(ub[:, j] >= threshold - 1e-12)[0].tolist())
-            cand.update(by_strip.get(w.strip(), ()))     # raw-equal pairs (case bonus)
-            cand.update(by_clean.get(w_clean[j], ()))    # cleaned-equal pairs score 1
-            if not cand:
-                continue
-            matcher = SequenceMatcher(None)
-            matcher.set_seq2(w_clean[j])
-            ww = w_clean[j].split()
-            for i in sorted(cand):
-                sc = scorer.score(q_raw[i], q_clean[i], q_words[i], w, w_clean[j], ww, matcher)
+            for k in {w.strip() + "\0", w_clean[j]}:
+                equal.setdefault(k, set()).add(j)
+        out: list[tuple[str, int, float]] = []
+        for raw in qs:
+            q = _clean_query(raw)
+            q_words = q.split()
+            at, bound, ratio = index.candidates(q, q_words, threshold)
+            todo = sorted(zip(bound.tolist(), at.tolist(), ratio.tolist()), reverse=True)
+            # Equal pairs first: their score is 1 or holds the bonus, which the bounds leave out.
+            same = equal.get(q, set()) | equal.get(raw.strip() + "\0", set())
+            todo = [(2.0, j, 1.0) for j in same] + [x for x in todo if x[1] not in same]
+            found: list[tuple[float, int]] = []
+            least = threshold
+            for most, j, r in todo:
+                if most < least - 1e-6:
+                    break
+                matcher = matchers.get(j)
+                if matcher is None:
+                    if len(matchers) >= 4096:
+                        matchers.clear()
+                    matcher = matchers[j] = SequenceMatcher(None)
+                    matcher.set_seq2(w_clean[j])
+                sc = scorer.score(raw, q, q_words, w_raw[j], w_clean[j], index.words[j], matcher, least, r)
                 if sc >= threshold:
-                    out_q.append(q_raw[i])
-                    out_w.append(w)
-                    out_o.append(int(w_ord[j]))
-                    out_s.append(float(sc))
-        return _result(out_q, out_w, out_o, out_s)
+                    found.append((sc, j))
+                    if top and sc > least and len(found) >= top:
+                        least = max(least, sorted((x for x, _ in found), reverse=True)[top - 1])
+            out += [(raw, j, sc) for sc, j in found if sc >= least]
+        return _result([o[0] for o in out], [w_raw[o[1]] for o in out], [int(w_ord[o[1]]) for o in out], [o[2] for o in out])
     return run
 
 
@@ -289,93 +304,125 @@ def _result(q: list, w: list, o: list, sc: list) -> pd.DataFrame:
                          "match_order": pd.Series(o, dtype="int64"), "score": pd.Series(sc, dtype="float64")})
 
 
+#: Texts a side and pairs that a cell holds at most.
+CELL_ROWS = 50_000
+CELL_PAIRS = 200_000_000
+_SIDE = "__text string, __order long, __side int, __key string, __strip string, __len int"
+
+
+def _prepared(texts: DataFrame) -> DataFrame:
+    """(__text, __order, __side) with what the score compares, computed once by the score's own rules."""
+    def run(batches):
+        for pdf in batches:
+            clean = [t.lower() if side else _clean_query(t) for t, side in zip(pdf["__text"], pdf["__side"])]
+            yield pd.DataFrame({"__text": pdf["__text"], "__order": pdf["__order"], "__side": pdf["__side"], "__key": clean,
+                                "__strip": [t.strip() for t in pdf["__text"]], "__len": np.array([len(c) for c in clean], dtype=np.int32)})
+    return texts.mapInPandas(run, _SIDE)
+
+
+def _equal_pairs(q: DataFrame, w: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose cleaned texts or stripped raw texts are equal, scored."""
+    def run(batches):
+        for pdf in batches:
+            score = [fuzzy_score(a, b) for a, b in zip(pdf["__q"], pdf["match"])]
+            yield _result(pdf["__q"].tolist(), pdf["match"].tolist(), pdf["match_order"].tolist(), score)
+    qs = q.select(F.col("__text").alias("__q"), F.col("__key").alias("__k"), F.col("__strip").alias("__s"))
+    ws = w.select(F.col("__text").alias("match"), F.col("__order").alias("match_order"), F.col("__key").alias("__wk"), F.col("__strip").alias("__ws"))
+    cols = ["__q", "match", "match_order"]
+    same = qs.join(ws, F.col("__k") == F.col("__wk")).select(*cols, F.lit(1.0).alias("score"))
+    bonus = qs.join(ws, (F.col("__s") == F.col("__ws")) & (F.col("__k") != F.col("__wk"))).select(*cols).mapInPandas(run, _MATCH_SCHEMA)
+    return same.unionByName(bonus.where(F.col("score") >= threshold))
+
+
+def _grid(n_query: int, n_dict: int, cores: int) -> tuple[int, int]:
+    """(slices of the queries, rows of a dictionary chunk): cells for the cores,
+    more where a cell would be too large, chunks and slices balanced so that the
+    rows sent, queries x chunks + dictionary x slices, are fewest."""
+    pairs = max(1, n_query * n_dict)
+    cells = max(1, min(4 * cores, pairs // 20_000), math.ceil(pairs / CELL_PAIRS))
+    slices = max(1, min(n_query, round(math.sqrt(cells * n_query / max(1, n_dict)))), math.ceil(n_query / CELL_ROWS))
+    chunks = max(1, min(n_dict, math.ceil(cells / slices)), math.ceil(n_dict / CELL_ROWS))
+    return slices, max(1, math.ceil(n_dict / chunks))
+
+
+def candidates(texts: DataFrame, text_col: str, dictionary: DataFrame, dict_col: str, threshold: float,
+               dict_order: str | None = None, top: int | None = None, dict_chunk: int | None = None,
+               query_slices: int | None = None) -> DataFrame:
+    """The table (__q, match, match_order, score) of all pairs of distinct texts
+    that score ``threshold`` or more.  With ``top``, a text with an equal one
+    keeps its equal ones only, and others at least their best ``top``."""
+    spark = texts.sparkSession
+    q = (texts.select(F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("__order"))
+         .where(F.col("__text").isNotNull() & (F.col("__text") != "")).distinct())
+    order = F.col(dict_order) if dict_order else F.lit(0)
+    w = (dictionary.select(F.col(dict_col).alias("__text"), order.cast("long").alias("__order"))
+         .where(F.col("__text").isNotNull()).groupBy("__text").agg(F.min("__order").alias("__order")))
+    both = staged(_prepared(q.withColumn("__side", F.lit(0)).unionByName(w.withColumn("__side", F.lit(1)))), "fuzzy-texts")
+    both = both.withColumn("__band", F.floor(F.log(F.greatest("__len", F.lit(1)).cast("double")) / F.lit(math.log(_BAND_BASE))).cast("int"))
+    # Rows by side and length band, under two hundred numbers.
+    sizes = both.groupBy("__side", "__band").agg(F.count(F.lit(1)).alias("n")).collect()
+    per_band = {r["__band"]: r["n"] for r in sizes if r["__side"] == 1}
+    n_query = sum(r["n"] for r in sizes if r["__side"] == 0)
+    q, w = (both.where(F.col("__side") == i) for i in (0, 1))
+    equal = _equal_pairs(q.drop("__band"), w, threshold)
+    if not per_band or not n_query:
+        return equal
+    if top:
+        q = q.join(w.select(F.col("__key").alias("__known")), F.col("__key") == F.col("__known"), "left_anti")
+    q = q.drop("__band")
+    cores = spark.sparkContext.defaultParallelism
+    slices, rows = _grid(n_query, sum(per_band.values()), cores)
+    slices, rows = query_slices or slices, dict_chunk or rows
+    plan = spark.createDataFrame([(b, math.ceil(n / rows)) for b, n in per_band.items()], "__b int, __chunks int")
+    w = w.join(F.broadcast(plan), F.col("__band") == F.col("__b")).withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.col("__chunks")).cast("int"))
+    # A query goes to the bands whose lengths can reach the threshold (equal pairs are found above).
+    rho = min_length_ratio(threshold)
+    low, high = min(per_band), max(per_band)
+    at = lambda length: F.floor(F.log(F.greatest(length, F.lit(1.0))) / F.lit(math.log(_BAND_BASE))).cast("int")
+    first = at(F.floor(F.col("__len") * rho).cast("double")) if rho > 0 else F.lit(low)
+    last = at(F.ceil(F.col("__len") / rho).cast("double")) if rho > 0 else F.lit(high)
+    bands = F.sequence(F.greatest(first, F.lit(low)), F.least(last, F.lit(high)))
+    q = q.withColumn("__slice", F.pmod(F.xxhash64("__text"), F.lit(slices)).cast("int"))
+    q = q.withColumn("__band", F.explode(F.when((first <= high) & (last >= low), bands).otherwise(F.array().cast("array<int>"))))
+    cell = ["__band", "__chunk", "__slice"]
+    cols = [*cell, "__text", "__order", "__side"]
+    q_side = q.join(F.broadcast(plan), F.col("__band") == F.col("__b")).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    w_side = w.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # An explicit partition count: cells are small in bytes but heavy in CPU, so
+    # they must not be coalesced into a few tasks.
+    cells = q_side.select(*cols).unionByName(w_side.select(*cols)).repartition(max(cores, slices * sum(math.ceil(n / rows) for n in per_band.values())), *cell)
+    scored = cells.groupBy(*cell).applyInPandas(_score_block(threshold, top), _MATCH_SCHEMA)
+    return scored.unionByName(equal).dropDuplicates(["__q", "match"])
+
+
 def fuzzy_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str,
                   threshold: float = 0.6, right_order: str | None = None,
-                  dict_chunk: int = 500, pair_budget: int = 100_000) -> DataFrame:
+                  dict_chunk: int | None = None, query_slices: int | None = None) -> DataFrame:
     """M4 (all matches): one row per (left row, dictionary text) whose score is
     >= ``threshold``: left columns + ``match``, ``match_order`` (first position
     of that text in the dictionary order) and ``score``.  Exact, see module doc."""
-    log_base = math.log(_BAND_BASE)
+    scored = candidates(left, left_text, right, right_text, threshold, right_order, None, dict_chunk, query_slices)
+    return left.join(scored, left[left_text] == scored["__q"], "inner").drop("__q")
 
-    def band_of(length: Column) -> Column:
-        return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(log_base)).cast("int")
 
-    # Distinct texts only: duplicates are scored once, then joined back.
-    q = (left.select(F.col(left_text).alias("__text")).where(F.col("__text").isNotNull() & (F.col("__text") != ""))
-         .distinct())
-    order = F.col(right_order) if right_order else F.lit(0)
-    w = (right.select(F.col(right_text).alias("__text"), order.cast("long").alias("__order"))
-         .where(F.col("__text").isNotNull()).groupBy("__text").agg(F.min("__order").alias("__order")))
-    w = w.withColumn("__band", band_of(F.length(F.lower("__text"))))
-    # Chunks per band: a small aggregate (one row per band), then hash-salting.
-    per_band = w.groupBy("__band").agg(F.count(F.lit(1)).alias("__n"))
-    w = w.join(per_band, "__band").withColumn(
-        "__nchunks", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(dict_chunk))).cast("int"))
-    w = w.withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.col("__nchunks")).cast("int"))
-    # Sizes for the grid, from two small aggregates: distinct queries, and the
-    # dictionary's text count and band range (bands are log-lengths, < 100).
-    sizes = (q.select(F.lit(0).alias("__side"), F.lit(None).cast("int").alias("__band"), F.lit(1).alias("__n"))
-             .unionByName(per_band.select(F.lit(1).alias("__side"), "__band", "__n"))
-             .groupBy("__side").agg(F.sum("__n").alias("n"), F.min("__band").alias("lo"),
-                                    F.max("__band").alias("hi"))
-             .collect())                                   # one job, at most two rows
-    by_side = {r["__side"]: r for r in sizes}
-    n_query = int(by_side[0]["n"]) if 0 in by_side else 0
-    wstats = by_side.get(1) or {"n": 0, "lo": None, "hi": None}
-    n_dict = min(wstats["n"] or 0, dict_chunk)
-    parallelism = left.sparkSession.sparkContext.defaultParallelism
-    # Query slices: enough that one task scores about ``pair_budget`` pairs,
-    # at least one per core, never slices of fewer than ~50 texts.
-    q_slices = max(math.ceil(n_query * max(n_dict, 1) / pair_budget), parallelism)
-    q_slices = max(1, min(q_slices, math.ceil(n_query / 50)))
-    # Band from threshold - 0.1: the +0.1 case bonus must not lift a pair that
-    # the length band would not route to the same block.
-    rho = min_length_ratio(threshold - 0.1)
-    lims = wstats
-    if lims["lo"] is None:
-        return left.where(F.lit(False)).select(*left.columns, F.lit(None).cast("string").alias("match"),
-                    F.lit(None).cast("long").alias("match_order"), F.lit(None).cast("double").alias("score"))
-    b_lo, b_hi = int(lims["lo"]), int(lims["hi"])
-    # the query's cleaned length exactly as the score sees it (Python strip of
-    # all Unicode whitespace, runs collapsed to one space)
-    qlen = F.length(F.regexp_replace(F.regexp_replace(F.lower("__text"), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
-    lo = band_of(F.floor(qlen * F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_lo)
-    hi = band_of(F.ceil(qlen / F.lit(rho)).cast("int")) if rho > 0 else F.lit(b_hi)
-    lo, hi = F.greatest(lo, F.lit(b_lo)), F.least(hi, F.lit(b_hi))
-    q = q.withColumn("__slice", F.pmod(F.xxhash64("__text"), F.lit(q_slices)).cast("int"))
-    # Band join as an equi-join: each query lists the (at most ~60) compatible
-    # length bands, then joins the per-band chunk counts on the band id.
-    q = q.withColumn("__band", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
-    bands = per_band.select("__band", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(dict_chunk))).cast("int")
-                            .alias("__nchunks"))
-    q_side = (q.join(bands, "__band")
-              .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__nchunks") - 1)))
-              .select("__band", "__chunk", "__slice", "__text", F.lit(0).cast("long").alias("__order"),
-                      F.lit(0).alias("__side")))
-    w_side = (w.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))))
-              .select("__band", "__chunk", "__slice", "__text", "__order", F.lit(1).alias("__side")))
-    # An explicit partition count: the grid is tiny in bytes but heavy in CPU,
-    # so AQE must not coalesce its blocks into a few tasks.
-    grid = q_side.unionByName(w_side).repartition(max(parallelism, q_slices * 2), "__band", "__chunk", "__slice")
-    scored = grid.groupBy("__band", "__chunk", "__slice").applyInPandas(_score_block(threshold), _MATCH_SCHEMA)
-    return left.join(scored, left[left_text] == scored["__q"], "inner").drop("__q")
+def _best(found: DataFrame) -> DataFrame:
+    """The best candidate of each text (ties by order, then by text), and how many there are."""
+    key = F.struct((-F.col("score")).alias("s"), F.col("match_order").isNull().alias("z"), F.col("match_order").alias("o"), F.col("match").alias("m"))
+    return found.groupBy("__q").agg(F.min(key).alias("__b"), F.count(F.lit(1)).alias("n_matches")).select(
+        "__q", F.col("__b.m").alias("match"), (-F.col("__b.s")).alias("score"), "n_matches")
 
 
 def fuzzy_best(left: DataFrame, left_text: str, right: DataFrame, right_text: str,
-               threshold: float = 0.6, right_order: str | None = None, **kw) -> DataFrame:
+               threshold: float = 0.6, right_order: str | None = None, count_matches: bool = True, **kw) -> DataFrame:
     """M4 (best match): per left row the highest score, ties -> first in
     dictionary order; rows without a match get NULL match and score 0.0.
-    The pick is a hash aggregate (``max_by``), combined map-side."""
-    m = fuzzy_matches(left.select(left_text).distinct(), left_text, right, right_text,
-                      threshold, right_order, **kw)
-    best = m.groupBy(left_text).agg(
-        F.max_by(F.struct("match", "score"), F.struct("score", -F.col("match_order"))).alias("__b"),
-        F.count(F.lit(1)).alias("n_matches"))
-    best = best.select(F.col(left_text).alias("__bt"), F.col("__b.match").alias("match"),
-                       F.col("__b.score").alias("score"), "n_matches")
-    out = left.join(best, left[left_text] == best["__bt"], "left").drop("__bt")
-    return out.withColumn("score", F.coalesce("score", F.lit(0.0))) \
-        .withColumn("n_matches", F.coalesce("n_matches", F.lit(0)).cast("long"))
+    ``count_matches=False`` leaves out ``n_matches``, and with it every candidate
+    that can't be the best."""
+    best = _best(candidates(left, left_text, right, right_text, threshold, right_order, None if count_matches else 1, **kw))
+    out = left.join(best, left[left_text] == best["__q"], "left").drop("__q").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if not count_matches:
+        return out.drop("n_matches")
+    return out.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)).cast("long"))
 
 
 # ---------------------------------------------------------------- M5
@@ -386,18 +433,11 @@ def resolve_names(mentions: DataFrame, text_col: str, dictionary: DataFrame, dic
     if it beats the second by more than 0.2 (scores rounded to 3 places);
     otherwise keep the mention with confidence 0.5; no match -> the mention with
     confidence 0.0.  Output: mention columns + ``resolved``, ``confidence``."""
-    m = fuzzy_matches(mentions.select(text_col).distinct(), text_col, dictionary, dict_col,
-                      threshold, dict_order, **kw)
-    # The matches feed two aggregates (best, then best of the rest): write them
-    # once to the shared checkpoint folder instead of scoring twice.
-    checkpoint_root(m.sparkSession)
-    m = m.checkpoint(eager=True)
-    # Ties go by the order, then by the text, so an order is not needed (S3).
-    key = F.struct((-F.col("score")).alias("s"), F.col("match_order").isNull().alias("z"), F.col("match_order").alias("o"), F.col("match").alias("m"))
-    best = m.groupBy(text_col).agg(F.min(key).alias("__b"), F.count(F.lit(1)).alias("__n"))
-    best = best.select(F.col(text_col).alias("__t"), F.col("__b.m").alias("match"), (-F.col("__b.s")).alias("__s1"), "__n")
+    # Two readers, the best and the best of the rest: written once instead of scored twice.
+    m = staged(candidates(mentions, text_col, dictionary, dict_col, threshold, dict_order, top=2, **kw), "fuzzy-matches")
+    best = _best(m).select(F.col("__q").alias("__t"), "match", F.col("score").alias("__s1"), F.col("n_matches").alias("__n"))
     # Second best: best among the matches with other texts (another partial aggregate).
-    rest = m.join(best.select("__t", F.col("match").alias("__m1")), (m[text_col] == F.col("__t")) & (m["match"] != F.col("__m1")), "inner")
+    rest = m.join(best.select("__t", F.col("match").alias("__m1")), (m["__q"] == F.col("__t")) & (m["match"] != F.col("__m1")), "inner")
     second = rest.groupBy("__t").agg(F.max("score").alias("__s2"))
     top = best.join(second, "__t", "left")
     r1, r2 = F.round("__s1", 3), F.round("__s2", 3)
@@ -483,7 +523,7 @@ def glossary_match(mentions: DataFrame, text_col: str, glossary: DataFrame, db_c
         text_col, F.col("__f").alias("actual_column"), F.lit(None).cast("string").alias("matched_glossary_term"),
         F.lit("direct_glossary").alias("match_type"), F.lit(1.0).alias("confidence"))
     rest = joined.where(F.col("__hit").isNull()).select(text_col, "__low")
-    best = fuzzy_best(rest, "__low", g.select("__d", "__o"), "__d", 0.4, "__o", **kw).where(F.col("match").isNotNull())
+    best = fuzzy_best(rest, "__low", g.select("__d", "__o"), "__d", 0.4, "__o", count_matches=False, **kw).where(F.col("match").isNotNull())
     best = best.join(g.select(F.col("__d").alias("__gd"), F.col("__f")), F.col("match") == F.col("__gd"))
     fuzzy = best.select(text_col, F.col("__f").alias("actual_column"), F.col("match").alias("matched_glossary_term"),
                         F.lit("fuzzy_glossary").alias("match_type"), F.col("score").alias("confidence"))
@@ -498,7 +538,7 @@ def segment_match(mentions: DataFrame, text_col: str, segments: DataFrame, curre
     """M8: best segment name >= 0.3 for each mention; its target tables, and
     when there are several, only those starting with the current ``t_<n>``
     prefix (if any do).  Unmatched mentions keep their text and no table."""
-    best = fuzzy_best(mentions.select(text_col).distinct(), text_col, segments, name_col, 0.3, order_col, **kw)
+    best = fuzzy_best(mentions.select(text_col).distinct(), text_col, segments, name_col, 0.3, order_col, count_matches=False, **kw)
     best = best.select(text_col, F.col("match").alias("matched_segment"))
     tabs = segments.select(F.col(name_col).alias("__s"), F.col(table_col).alias("table_name")).distinct()
     j = best.join(tabs, F.col("matched_segment") == F.col("__s"), "left").drop("__s")

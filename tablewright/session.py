@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session needs for correct results (UTC wall-clock timestamps,
 # ANSI on so bad casts surface unless an operator asks for try_* semantics) and
@@ -65,6 +66,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what several plans use
+    is computed once, and a lost executor costs the tasks that run."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -37,7 +37,7 @@ def test_score_values():
 def test_matches_equal_brute_force(spark, threshold):
     left = spark.createDataFrame([(i, q) for i, q in enumerate(QUERIES)], "id int, q string")
     right = spark.createDataFrame([(o, w) for o, w in enumerate(DICT)], "o int, w string")
-    got = fuzzy.fuzzy_matches(left, "q", right, "w", threshold, "o", dict_chunk=3, pair_budget=10)
+    got = fuzzy.fuzzy_matches(left, "q", right, "w", threshold, "o", dict_chunk=3, query_slices=4)
     got = {(r.q, r.match): (r.score, r.match_order) for r in got.collect()}
     exp = brute(QUERIES, DICT, threshold)
     assert set(got) == set(exp)
@@ -174,3 +174,48 @@ def test_score_equals_written_out_formula():
     for q in texts:
         for w in texts[:60] + texts[-5:]:
             assert abs(fuzzy.fuzzy_score(q, w) - _formula(q, w)) < 1e-12, (q, w)
+
+
+def _random_texts(seed, n):
+    import random
+    rnd = random.Random(seed)
+    words = ["plant", "plan", "material", "materal", "group", "grp", "customer", "Master", "data", "dat", "x", "BUT", "é"]
+    return [" " * rnd.randint(0, 1) + "  ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85])
+def test_best_without_counts_is_the_best(spark, threshold):
+    """Equal texts and bounds end the search early; the best stays the best, ties in order."""
+    qs, ws = list(dict.fromkeys(_random_texts(3, 60))), list(dict.fromkeys(_random_texts(4, 50)))
+    left = spark.createDataFrame([(q,) for q in qs], "q string")
+    right = spark.createDataFrame(list(enumerate(ws)), "o int, w string")
+    exp = {}
+    for q in qs:
+        found = sorted((-fuzzy.fuzzy_score(q, w), o, w) for o, w in enumerate(ws) if fuzzy.fuzzy_score(q, w) >= threshold)
+        exp[q] = (found[0][2], -found[0][0]) if found else (None, 0.0)
+    for kw in ({}, {"dict_chunk": 7, "query_slices": 3}):
+        got = fuzzy.fuzzy_best(left, "q", right, "w", threshold, "o", count_matches=False, **kw)
+        assert {r.q: (r.match, r.score) for r in got.collect()} == exp
+    # M5 needs the second best as well.
+    two = fuzzy.resolve_names(left, "q", right, "w", threshold, "o").collect()
+    for r in two:
+        found = sorted(((fuzzy.fuzzy_score(r.q, w), -o) for o, w in enumerate(ws) if fuzzy.fuzzy_score(r.q, w) >= threshold), reverse=True)
+        if not found:
+            assert (r.resolved, r.confidence) == (r.q, 0.0)
+        elif found[0][0] >= 0.9 or len(found) == 1:
+            assert (r.resolved, r.confidence) == (ws[-found[0][1]], found[0][0])
+        elif round(found[0][0], 3) - round(found[1][0], 3) > 0.2001:
+            assert r.resolved == ws[-found[0][1]]
+        elif round(found[0][0], 3) - round(found[1][0], 3) < 0.1999:
+            assert (r.resolved, r.confidence) == (r.q, 0.5)
+
+
+def test_grid_sends_few_rows():
+    """Rows sent grow with the square root of the pairs until cells are full."""
+    for n_query, n_dict in ((10, 10), (1_000, 1_000_000), (1_000_000, 1_000), (1_000_000, 1_000_000)):
+        slices, rows = fuzzy._grid(n_query, n_dict, 64)
+        chunks = -(-n_dict // rows)
+        sent = n_query * chunks + n_dict * slices
+        assert slices * chunks >= 1 and rows <= fuzzy.CELL_ROWS and n_query / slices <= fuzzy.CELL_ROWS
+        assert n_query * n_dict / (slices * chunks) <= 2 * fuzzy.CELL_PAIRS
+        assert sent <= 3 * (n_query * n_dict * slices * chunks) ** 0.5 + n_query + n_dict
