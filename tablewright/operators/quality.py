@@ -179,14 +179,17 @@ def missing_mandatory(target: DataFrame, meta: DataFrame) -> DataFrame:
     return mand.join(filled, "field", "left_anti")
 
 
-def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def profile(df: DataFrame, exact_distinct: bool = True, quantiles: Sequence[float] = ()) -> DataFrame:
     """One row per column: type, rows, nulls, distinct, min, max and (for
-    numbers) mean/stddev.  Two single-pass aggregates -- plain statistics and
-    distinct counts (exact, or HyperLogLog++ with ``exact_distinct=False``) --
-    kept apart because mixing distinct and plain aggregates makes Spark expand
-    every row once per distinct column *with* all the plain inputs; their
-    one-row results are reshaped to per-column rows and merged by a tiny
-    aggregate (no join)."""
+    numbers) mean/stddev; with ``quantiles``, numbers also get ``quantiles``, an
+    array in that order.
+
+    Plain statistics and sketches are one aggregate that is combined in each task
+    (HyperLogLog++ and quantile summaries merge).  ``exact_distinct`` counts
+    exactly instead: every column is unpivoted to (position, value hash of 128 bits),
+    duplicates go in each task, and one shuffle counts what is left; rows are not
+    expanded once a column with all inputs, as mixed distinct aggregates would.
+    Otherwise distinct counts are off by ``DISTINCT_ERROR`` (standard deviation)."""
     fields = df.schema.fields
     plain = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
@@ -198,21 +201,40 @@ def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
                   (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"__mx{i}"),
                   (F.avg(c) if numeric else F.lit(None).cast("double")).alias(f"__avg{i}"),
                   (F.stddev_samp(c) if numeric else F.lit(None).cast("double")).alias(f"__sd{i}")]
+        if quantiles:
+            plain.append((F.percentile_approx(c.cast("double"), list(quantiles)) if numeric else F.lit(None).cast("array<double>")).alias(f"__q{i}"))
+        if not exact_distinct:
+            plain.append(F.approx_count_distinct(c, DISTINCT_ERROR).alias(f"__d{i}"))
     stats = df.agg(*plain).select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                  F.lit(f.dataType.simpleString()).alias("type"), F.col("__rows").alias("rows"),
-                 (F.col("__rows") - F.col(f"__nn{i}")).alias("nulls"), F.lit(None).cast("long").alias("distinct"),
+                 (F.col("__rows") - F.col(f"__nn{i}")).alias("nulls"),
+                 (F.lit(None) if exact_distinct else F.col(f"__d{i}")).cast("long").alias("distinct"),
                  F.col(f"__mn{i}").alias("min"), F.col(f"__mx{i}").alias("max"),
-                 F.col(f"__avg{i}").alias("mean"), F.col(f"__sd{i}").alias("stddev"))
+                 F.col(f"__avg{i}").alias("mean"), F.col(f"__sd{i}").alias("stddev"),
+                 *([F.col(f"__q{i}").alias("quantiles")] if quantiles else []))
         for i, f in enumerate(fields)])).alias("p")).select("p.*")
-    dist_fn = F.count_distinct if exact_distinct else F.approx_count_distinct
-    dist = df.agg(*[dist_fn(F.col(f"`{f.name}`")).alias(f"__d{i}") for i, f in enumerate(fields)])
-    dist = dist.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.col(f"__d{i}").cast("long").alias("distinct"))
-        for i in range(len(fields))])).alias("p")).select("p.*")
-    merged = stats.unionByName(dist, allowMissingColumns=True)
-    keep = ["column", "type", "rows", "nulls", "distinct", "min", "max", "mean", "stddev"]
-    return merged.groupBy("position").agg(*[F.max(k).alias(k) for k in keep])
+    if not exact_distinct:
+        return stats
+    values = F.array(*[F.struct(F.lit(i).alias("position"), _digest(F.col(f"`{f.name}`")).alias("v")) for i, f in enumerate(fields)])
+    dist = (df.select(F.inline(values)).where(F.col("v").isNotNull()).distinct()
+            .groupBy("position").agg(F.count(F.lit(1)).alias("distinct")))
+    none = stats.select("position", F.lit(0).cast("long").alias("distinct"))  # columns without a value
+    merged = stats.unionByName(dist.unionByName(none), allowMissingColumns=True)
+    keep = ["column", "type", "rows", "nulls", "distinct", "min", "max", "mean", "stddev", *(["quantiles"] if quantiles else [])]
+    first = lambda k: F.first(k, ignorenulls=True) if k == "quantiles" else F.max(k)
+    return merged.groupBy("position").agg(*[first(k).alias(k) for k in keep])
+
+
+#: Relative standard deviation of approximate distinct counts.
+DISTINCT_ERROR = 0.02
+
+
+def _digest(c: Column) -> Column:
+    """A value as text of fixed length, so that wide values are not shuffled;
+    equal values of a column have equal digests, and two others meet with a
+    chance of 2^-128.  NULL stays NULL."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
 
 
 def find_relationships(tables: Mapping[str, DataFrame], min_cover: float = 1.0,
@@ -220,31 +242,69 @@ def find_relationships(tables: Mapping[str, DataFrame], min_cover: float = 1.0,
     """Column pairs (child table.col -> parent table.col) whose distinct
     non-NULL child values are contained in the parent's values at least
     ``min_cover`` (1.0 = inclusion dependency).  Candidate pairs are columns of
-    the same type in different tables (or the given ``pairs``); each is a
-    distinct + left-semi join, so nothing is collected."""
+    the same type in different tables, or the given ``pairs``.
+
+    All pairs are found at once by inverted values: each table is read once and
+    unpivoted to (type, value, bit of the column), and each value's bits are joined,
+    in every task first, so no value is hot.  That is the set of the columns that
+    hold it; equal sets are counted, and pairs come from the few distinct sets.  One
+    shuffle of distinct values, whatever the number of pairs."""
+    spark = next(iter(tables.values())).sparkSession
+    cols = [(t, f.name, f.dataType.simpleString()) for t, d in tables.items() for f in d.schema.fields
+            if isinstance(f.dataType, (NumericType, StringType)) and f.dataType.typeName() not in ("float", "double")]
+    known = {(t, c): i for i, (t, c, _) in enumerate(cols)}
     if pairs is None:
-        cols = [(t, f.name, f.dataType.simpleString()) for t, d in tables.items() for f in d.schema.fields
-                if isinstance(f.dataType, (NumericType, StringType)) and f.dataType.typeName() not in ("float", "double")]
         pairs = [(a, ac, b, bc) for a, ac, at in cols for b, bc, bt in cols if a != b and at == bt]
-    spark = next(iter(tables.values())).sparkSession
-    parts = []
-    for a, ac, b, bc in pairs:
-        child = tables[a].select(F.col(ac).alias("v")).where(F.col("v").isNotNull()).distinct()
-        parent = (tables[b].select(F.col(bc).alias("p")).where(F.col("p").isNotNull()).distinct()
-                  .withColumn("__hit", F.lit(1)))
-        # distinct child values left-joined to distinct parent values: one
-        # equi-join and one aggregate give both counts.
-        cov = child.join(parent, F.col("v") == F.col("p"), "left").agg(
-            F.count(F.lit(1)).alias("child_distinct"), F.count("__hit").alias("covered"))
-        parts.append(cov.select(F.lit(a).alias("child_table"), F.lit(ac).alias("child_column"),
-                                F.lit(b).alias("parent_table"), F.lit(bc).alias("parent_column"),
-                                "child_distinct", "covered"))
-    if not parts:
-        return spark.createDataFrame([], "child_table string, child_column string, parent_table string, "
-                                         "parent_column string, child_distinct long, covered long, cover double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumn("cover", F.when(F.col("child_distinct") > 0,
-                                         F.col("covered") / F.col("child_distinct")).otherwise(F.lit(0.0)))
-    return out.where((F.col("child_distinct") > 0) & (F.col("cover") >= F.lit(min_cover)))
+        kinds = [kind for _, _, kind in cols]
+    else:
+        # Pairs that the caller names are compared as text where their types differ.
+        for t, c in {x for a, ac, b, bc in pairs for x in ((a, ac), (b, bc))}:
+            if (t, c) not in known:
+                known[t, c] = len(cols)
+                cols.append((t, c, tables[t].schema[c].dataType.simpleString()))
+        apart = {x for a, ac, b, bc in pairs if cols[known[a, ac]][2] != cols[known[b, bc]][2] for x in ((a, ac), (b, bc))}
+        group = _groups([((a, ac), (b, bc)) for a, ac, b, bc in pairs])
+        kinds = [("string" if any(y in apart for y in group.get((t, c), ())) else kind) for t, c, kind in cols]
+    used = {known[x] for a, ac, b, bc in pairs for x in ((a, ac), (b, bc))}
+    schema = "child_table string, child_column string, parent_table string, parent_column string, child_distinct long, covered long, cover double"
+    if not used:
+        return spark.createDataFrame([], schema)
+    words = [f"m{w}" for w in range(1 + max(used) // _BITS)]
+    values = None
+    for t, d in tables.items():
+        mine = [i for i in sorted(used) if cols[i][0] == t]
+        if not mine:
+            continue
+        rows = d.select(F.inline(F.array(*[F.struct(
+            F.lit(kinds[i]).alias("kind"), F.col(f"`{cols[i][1]}`").cast("string").alias("v"),
+            *(F.lit(1 << i % _BITS if w == i // _BITS else 0).cast("long").alias(m) for w, m in enumerate(words))) for i in mine])))
+        rows = rows.where(F.col("v").isNotNull())
+        values = rows if values is None else values.unionByName(rows)
+    sets = (values.groupBy("kind", "v").agg(*(F.bit_or(m).alias(m) for m in words))
+            .groupBy(*words).agg(F.count(F.lit(1)).alias("n")))
+
+    def holds(i: Column) -> Column:
+        word = F.element_at(F.array(*words), F.floor(i / _BITS).cast("int") + 1)
+        return F.get(F.lit([1 << x for x in range(_BITS)]), i % _BITS).bitwiseAND(word) != 0
+    wanted = spark.createDataFrame([(known[a, ac], known[b, bc], a, ac, b, bc) for a, ac, b, bc in pairs],
+                                   "c int, p int, child_table string, child_column string, parent_table string, parent_column string")
+    # The catalogue's pairs, not the data: bounded by the square of the columns.
+    held = sets.select(F.explode(F.filter(F.lit(sorted(used)), holds)).alias("c"), *words, "n").join(F.broadcast(wanted), "c")
+    out = held.groupBy("child_table", "child_column", "parent_table", "parent_column").agg(
+        F.sum("n").alias("child_distinct"), F.sum(F.when(holds(F.col("p")), F.col("n")).otherwise(0)).alias("covered"))
+    out = out.withColumn("cover", F.col("covered") / F.col("child_distinct"))
+    return out.where(F.col("cover") >= F.lit(min_cover))
+
+
+#: Columns that one 64-bit set holds.
+_BITS = 62
+
+
+def _groups(links: Sequence[tuple]) -> dict:
+    """Node -> all nodes of its connected group (the caller's column pairs)."""
+    group: dict = {}
+    for a, b in links:
+        both = group.get(a, {a}) | group.get(b, {b})
+        for x in both:
+            group[x] = both
+    return group

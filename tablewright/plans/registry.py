@@ -503,30 +503,26 @@ def q_validate(spark, d):
     return quality.validate(T(spark, d, "lineitem"), rules, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
 
 
-@register("find_relationships", """
-SELECT * FROM (
-  SELECT 'lineitem' AS child_table, 'l_orderkey' AS child_column, 'orders' AS parent_table,
-         'o_orderkey' AS parent_column, count(*) AS child_distinct,
-         count(*) FILTER (WHERE v IN (SELECT o_orderkey FROM orders)) AS covered
-  FROM (SELECT DISTINCT l_orderkey AS v FROM lineitem WHERE l_orderkey IS NOT NULL)
-  UNION ALL
-  SELECT 'orders', 'o_custkey', 'customer', 'c_custkey', count(*),
-         count(*) FILTER (WHERE v IN (SELECT c_custkey FROM customer))
-  FROM (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL)
-  UNION ALL
-  SELECT 'customer', 'c_custkey', 'orders', 'o_custkey', count(*),
-         count(*) FILTER (WHERE v IN (SELECT o_custkey FROM orders))
-  FROM (SELECT DISTINCT c_custkey AS v FROM customer WHERE c_custkey IS NOT NULL)
-) t(child_table, child_column, parent_table, parent_column, child_distinct, covered)
-  , LATERAL (SELECT CASE WHEN child_distinct > 0 THEN covered / child_distinct ELSE 0.0 END AS cover)
-WHERE cover >= 0.5
-""")
+def _cover_sql(columns: list[tuple[str, str]], min_cover: float) -> str:
+    """Every pair of columns of different tables, each by a distinct list and a semi join."""
+    parts = [f"""SELECT '{a}' AS child_table, '{ac}' AS child_column, '{b}' AS parent_table, '{bc}' AS parent_column, count(*) AS child_distinct,
+  count(*) FILTER (WHERE v IN (SELECT {bc} FROM {b})) AS covered FROM (SELECT DISTINCT {ac} AS v FROM {a} WHERE {ac} IS NOT NULL)"""
+             for a, ac in columns for b, bc in columns if a != b]
+    return f"""SELECT *, covered / child_distinct AS cover FROM ({" UNION ALL ".join(parts)})
+WHERE child_distinct > 0 AND covered / child_distinct >= {min_cover}"""
+
+
+#: The columns of five tables by type: all pairs within a list are compared.
+_TEXTS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"),
+          ("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("nation", "n_name")]
+_INTS = [("lineitem", "l_linenumber"), ("customer", "c_nationkey"), ("part", "p_size"), ("nation", "n_nationkey"), ("nation", "n_regionkey")]
+_LONGS = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"),
+          ("customer", "c_custkey"), ("part", "p_partkey")]
+
+
+@register("find_relationships", " UNION ALL ".join(f"SELECT * FROM ({_cover_sql(c, 0.5)})" for c in (_TEXTS, _INTS, _LONGS)))
 def q_relationships(spark, d):
-    tables = {"lineitem": T(spark, d, "lineitem"), "orders": T(spark, d, "orders"),
-              "customer": T(spark, d, "customer")}
-    pairs = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-             ("customer", "c_custkey", "orders", "o_custkey")]
-    return quality.find_relationships(tables, 0.5, pairs)
+    return quality.find_relationships({t: T(spark, d, t) for t in ("orders", "lineitem", "customer", "part", "nation")}, 0.5)
 
 
 @register("profile_orders", """

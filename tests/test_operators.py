@@ -305,3 +305,39 @@ def test_blank_and_null_string_keys(spark):
     assert got == {"": "blank", None: None, "A": "a"}
     upd = {r.k: r.v for r in mutate.update_from(t.withColumn("v", F.lit("old")), src, "k", {"v": "v"}).collect()}
     assert upd == {"": "blank", None: "old", "A": "a"}
+
+
+def test_relationships_equal_joins(spark):
+    """Inverted values against distinct lists and semi joins, with NULLs, a hot
+    value, columns of other types, more columns than one set holds, and covers on
+    both sides of the threshold."""
+    many = spark.createDataFrame([tuple([i % 7] * 70)  for i in range(20)], ", ".join(f"x{i} int" for i in range(70)))
+    a = spark.createDataFrame([(1, "1", 5), (2, "b", 5), (None, None, 5), (9, "c", None)] + [(1, "1", 6)] * 50, "k int, s string, v long")
+    b = spark.createDataFrame([(1, "b"), (2, "c"), (3, "1"), (4, None)], "k int, s string")
+    empty = spark.createDataFrame([], "k int")
+    tables = {"a": a, "b": b, "many": many, "empty": empty}
+    values = {(t, f.name): (f.dataType.simpleString(), {r[0] for r in d.select(f.name).collect()} - {None}) for t, d in tables.items() for f in d.schema.fields}
+    for cover in (0.3, 0.66, 0.67, 1.0):
+        got = {tuple(r)[:6] for r in quality.find_relationships(tables, cover).collect()}
+        exp = {(*x, *y, len(vx), len(vx & vy)) for x, (tx, vx) in values.items() for y, (ty, vy) in values.items()
+               if x[0] != y[0] and tx == ty and vx and len(vx & vy) / len(vx) >= cover}
+        assert got == exp and exp
+    pairs = [("a", "k", "b", "k"), ("a", "s", "b", "k"), ("empty", "k", "a", "k")]
+    got = {tuple(r)[:6] for r in quality.find_relationships(tables, 0.1, pairs).collect()}
+    assert got == {("a", "k", "b", "k", 3, 2), ("a", "s", "b", "k", 3, 1)}
+    plan = quality.find_relationships(tables, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(kind") == 1
+
+
+def test_profile_plans_and_errors(spark):
+    rows = spark.range(0, 20000).select((F.col("id") % 5000).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("b"),
+                                        F.lit(None).cast("string").alias("none"), F.array(F.col("id") % 3).alias("list"))
+    exact = {r.column: r for r in quality.profile(rows, quantiles=(0.0, 0.5, 1.0)).collect()}
+    assert [exact[c].distinct for c in ("a", "b", "none", "list")] == [5000, 10000, 0, 3]
+    assert exact["a"].quantiles == [0.0, 2499.0, 4999.0] and exact["b"].quantiles is None
+    about = quality.profile(rows, exact_distinct=False)
+    for r in about.collect():
+        assert abs(r.distinct - exact[r.column].distinct) <= 4 * quality.DISTINCT_ERROR * exact[r.column].distinct
+        assert (r.rows, r.nulls, r.min, r.max) == (20000, exact[r.column].nulls, exact[r.column].min, exact[r.column].max)
+    for df in (about, quality.profile(rows)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
