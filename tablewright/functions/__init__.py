@@ -14,7 +14,7 @@ from tablewright.functions.dates import (
     prev_month_end, system_date, weekday_number, readable_date, strftime_to_spark,
 )
 from tablewright.functions.jsons import json_extract_value, is_valid_json
-from tablewright.functions.checks import is_numeric, is_email, is_phone, py_float
+from tablewright.functions.checks import count_tokens, is_numeric, is_email, is_phone, py_float
 from tablewright.functions.register import register_sql_functions
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -63,20 +63,65 @@ def _has_separators(fmt: str) -> bool:
 
 def _compact_to_date(t: Column) -> Column:
     """``YYYYMMDD`` text -> DATE via an ISO string and ``try_cast`` (invalid
-    dates such as 20230230 give NULL).  Much cheaper than a pattern parser
+    dates such as 20230230 and the year 0 give NULL).  Much cheaper than a pattern parser
     that fails by exception on every bad row."""
     iso = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 7, 2))
-    return F.when(t.rlike(r"^[0-9]{8}$"), iso.try_cast("date"))
+    return F.when(t.rlike(r"^(?!0000)[0-9]{8}$"), iso.try_cast("date"))
+
+
+# What ``strptime`` reads for a numeric code; alternatives in order, the first that fits is taken.
+_FIELDS = {"Y": r"(?!0000)\d\d\d\d", "m": "1[0-2]|0[1-9]|[1-9]", "d": r"3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9]", "H": r"2[0-3]|[0-1]\d|\d",
+           "M": r"[0-5]\d|\d", "S": r"6[0-1]|[0-5]\d|\d", "f": "[0-9]{1,6}"}
+# Fields that a format lacks.
+_MISSING = {"Y": "1900", "m": "1", "d": "1", "H": "0", "M": "0", "S": "0", "f": "0"}
+
+
+def _numeric_fields(fmt: str) -> tuple[str, list[str]] | None:
+    """(pattern with a group a field, field codes) of a format of numeric fields,
+    each at most once; None for any other."""
+    out, codes = "", []
+    for code, literal in re.findall(r"(?s)%(.)|([^%]+)", fmt):
+        if code in _FIELDS and code not in codes:
+            codes.append(code)
+            out += f"({_FIELDS[code]})"
+        elif code == "%":
+            out += "%"
+        elif code:
+            return None
+        else:
+            out += "".join(r"\s+" if x.isspace() else re.escape(x) for x in re.split(r"(\s+)", literal) if x)
+    return out, codes
+
+
+def _variable_width(t: Column, fmt: str) -> Column | None:
+    """Text -> timestamp as ``strptime`` reads it: a field takes one digit where
+    two don't fit, and what is left over makes the text unparsable (the atomic group
+    is not read another way to use up a rest).  The fields are put in ISO order, and
+    the cast checks the date."""
+    found = _numeric_fields(fmt)
+    if found is None:
+        return None
+    pattern, codes = found
+    field = {c: f"${codes.index(c) + 1}" if c in codes else x for c, x in _MISSING.items()}
+    whole = rf"(?i)\A(?>{pattern})\z"
+    iso = F.regexp_replace(t, whole, "{Y}-{m}-{d}T{H}:{M}:{S}.{f}".format(**field))
+    return F.when(t.rlike(whole), F.replace(iso, F.lit(" "), F.lit("")).try_cast("timestamp"))
 
 
 def parse_text_ts(s: Any, fmt: str) -> Column:
     """Text -> timestamp by a strftime format; unparsable -> NULL.  The two
-    common date layouts use the cast path, others Spark's pattern parser."""
+    common date layouts use the cast path where the text has full width; formats
+    of numeric fields are read field by field, others by Spark's pattern parser."""
     t = text(s)
     if fmt == "%Y%m%d":
-        return _compact_to_date(t).cast("timestamp")
+        return F.when(t.rlike("^[0-9]{8}$"), _compact_to_date(t).cast("timestamp")).when(
+            t.rlike(r"\A\d{4}[\d ]{2,4}\z"), _variable_width(t, fmt))
     if fmt == "%Y-%m-%d":
-        return F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date")).cast("timestamp")
+        return F.when(t.rlike(r"^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date").cast("timestamp")).when(
+            t.rlike(r"\A\d{4}-\d{1,2}- \d\z"), _variable_width(t, fmt))
+    numeric = _variable_width(t, fmt)
+    if numeric is not None:
+        return numeric
     strict = F.try_to_timestamp(t, F.lit(strftime_to_spark(fmt)))
     if _has_separators(fmt):
         return F.coalesce(strict, F.try_to_timestamp(t, F.lit(strftime_to_spark(fmt, loose=True))))

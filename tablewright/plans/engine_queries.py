@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import joins, metadata, mutate, quality
 from tablewright.plans import requests as rq, runs
-from tablewright.plans.lineage import lineage
+from tablewright.plans.lineage import lineage, lineage_counts
 from tablewright.plans.registry import ORACLE, QUERIES, T, empty, register
 from tablewright.plans.steps import ColumnLineage, Step
 from tablewright.session import checkpoint_root
@@ -183,19 +183,24 @@ def q_step_log(spark, d):
     return runs.find_step(log, "s1", "step 2").select("transformation_id", "seq", "query_type", "rows")
 
 
-@register("step_lineage", """
-SELECT * FROM (VALUES ('bring', 1, 'cust', 'customer', 'c_custkey', false), ('bring', 1, 'nation', 'customer', 'c_nationkey', false),
+@register("step_lineage", f"""
+WITH t AS ({_RUN_SQL}), l AS (SELECT * FROM (VALUES ('bring', 1, 'cust', 'customer', 'c_custkey', false), ('bring', 1, 'nation', 'customer', 'c_nationkey', false),
   ('name', 2, 'nation_name', 'nation', 'n_name', false), ('flag', 3, 'flag', NULL, NULL, true))
-  AS l(step_name, step_index, target_column, source_table, source_column, transformation_applied)
-WHERE source_table IS NULL OR (SELECT count(*) FROM customer) > 0
+  AS l(step_name, step_index, target_column, source_table, source_column, transformation_applied))
+SELECT l.*, CASE target_column WHEN 'cust' THEN (SELECT count(cust) FROM t) WHEN 'nation' THEN (SELECT count(nation) FROM t)
+              WHEN 'nation_name' THEN (SELECT count(nation_name) FROM t) ELSE (SELECT count(flag) FROM t) END AS filled,
+       CASE source_column WHEN 'c_custkey' THEN (SELECT count(c_custkey) FROM customer) WHEN 'c_nationkey' THEN (SELECT count(c_nationkey) FROM customer)
+              WHEN 'n_name' THEN (SELECT count(n_name) FROM nation) END AS source_filled
+FROM l
 """)
 def q_lineage(spark, d):
-    out = lineage(spark, _steps(), "target")
-    known = joins.semi_exists(out, T(spark, d, "customer").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-                              .select(F.explode(F.array(F.lit("customer"), F.lit("nation"))).alias("t")), ("source_table", "t"))
-    out = known.unionByName(out.where("source_table IS NULL"))
-    step, index = out.columns[1], out.columns[2]
-    return out.select(F.col(step).alias("step_name"), F.col(index).alias("step_index"), "target_column", "source_table", "source_column", "transformation_applied")
+    # The declared lineage, with what the run filled of what its sources hold.
+    target, sources = _target(spark), _sources(spark, d)
+    for step in _steps():
+        target = step.apply(target, sources)
+    out = lineage_counts(lineage(spark, _steps(), "target"), target, sources)
+    return out.select(F.col("step").alias("step_name"), "step_index", "target_column", "source_table", "source_column", "transformation_applied",
+                      "filled", "source_filled")
 
 
 # ====================================================================== mappings, keys, updates

@@ -27,6 +27,25 @@ def lineage(spark: SparkSession, steps: Sequence[Step], target_table: str, sessi
     return spark.createDataFrame(rows, LINEAGE_SCHEMA)
 
 
+def lineage_counts(rows: DataFrame, target: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Lineage rows with what the tables hold: ``filled`` (non-NULL values of the
+    target column) and ``source_filled`` (of its source column; NULL for a
+    constant).  One aggregate a table; a table's counts are one row a column."""
+    def filled(df: DataFrame, table: str | None) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(table).cast("string").alias("__t"), F.lit(c).alias("__c"), F.col(f"n{i}").alias("__n"))
+                                                for i, c in enumerate(df.columns)])))
+    of_target = filled(target, None).select(F.col("__c").alias("__tc"), F.col("__n").alias("filled"))
+    out = rows.join(of_target, F.col("target_column") == F.col("__tc"), "left").drop("__tc")
+    known = None
+    for name, df in sources.items():
+        known = filled(df, name) if known is None else known.unionByName(filled(df, name))
+    if known is None:
+        return out.withColumn("source_filled", F.lit(None).cast("long"))
+    known = known.withColumnRenamed("__n", "source_filled")
+    return out.join(known, (F.col("source_table") == F.col("__t")) & (F.col("source_column") == F.col("__c")), "left").drop("__t", "__c")
+
+
 def pre_post_report(target: DataFrame, sources: Mapping[str, DataFrame], columns: Sequence[ColumnLineage],
                     key: str, source_keys: Mapping[str, str] | None = None) -> DataFrame:
     """``primary_key`` then, per lineage column, ``<col>_source`` and

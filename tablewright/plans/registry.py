@@ -686,7 +686,8 @@ SELECT o_orderkey,
        CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS f5,
        CASE WHEN length(o_orderkey::VARCHAR) >= 10 THEN o_orderkey::VARCHAR
             ELSE lpad(o_orderkey::VARCHAR, 10, '0') END AS f6,
-       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%d %B %Y') END AS f7
+       CASE WHEN o_orderpriority = '5-LOW' THEN '20230230' ELSE strftime(o_orderdate, '%d %B %Y') END AS f7,
+       year(o_orderdate) || '-11-0' || (1 + o_orderkey % 9) AS f8, '0' || (1 + o_orderkey % 9) || '.01.' || year(o_orderdate) AS f9
 FROM orders
 """)
 def q_dates(spark, d):
@@ -698,7 +699,10 @@ def q_dates(spark, d):
                     fn.yyyymmdd_to_iso("dt").alias("f4"),
                     fn.convert_sap_date("dt", "DD.MM.YYYY").alias("f5"),
                     fn.leading_zeros("o_orderkey", 10).alias("f6"),
-                    fn.format_date("dt", "%Y%m%d", "%d %B %Y").alias("f7"))
+                    fn.format_date("dt", "%Y%m%d", "%d %B %Y").alias("f7"),
+                    # One digit too few: November or January and a day of one digit.
+                    fn.format_date(F.concat(F.year("o_orderdate"), F.lit("11"), 1 + F.col("o_orderkey") % 9)).alias("f8"),
+                    fn.convert_sap_date(F.concat(F.year("o_orderdate"), F.lit("01"), 1 + F.col("o_orderkey") % 9), "DD.MM.YYYY").alias("f9"))
 
 
 @register("json_funcs", """
@@ -732,10 +736,8 @@ SELECT doc_id,
 FROM t GROUP BY doc_id
 """)
 def q_text_checks(spark, d):
-    # Whole texts; the tokens are counted inside their row, so nothing is shuffled.
-    docs = T(spark, d, "documents").select("doc_id", F.split("text", r"[ \t\n\r]+").alias("toks"))
-    n = lambda test: F.size(F.filter("toks", lambda t: F.coalesce(test(t), F.lit(False)))).cast("long")
-    return docs.select("doc_id", n(fn.is_email).alias("emails"), n(fn.is_phone).alias("phones"), n(fn.is_numeric).alias("numerics"))
+    # Whole texts; the tokens are counted inside their text, so nothing is split or shuffled.
+    return T(spark, d, "documents").select("doc_id", *(fn.count_tokens("text", kind).alias(f"{kind}s") for kind in ("email", "phone", "numeric")))
 
 
 @register("sqlite_builtins", r"""

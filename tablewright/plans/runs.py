@@ -8,6 +8,7 @@ being read are never overwritten."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,15 +86,62 @@ def apply_step(step: Step, target: DataFrame, src: DataFrame | None,
 
 # ---------------------------------------------------------------- R9 / R10 run log
 
+def _claim(spark: SparkSession, log_path: str, session_id: str) -> tuple[int, str]:
+    """The next sequence number of a session, taken by create-if-absent, and its file."""
+    prev = _read_or_none(spark, log_path)
+    last = None if prev is None else prev.where(F.col("session_id") == session_id).agg(F.max("seq")).first()[0]
+    n = (last or 0) + 1
+    folder = f"{log_path.rstrip('/')}-claims/{hashlib.sha256(session_id.encode()).hexdigest()[:32]}"
+    while True:
+        if _create_absent(spark, f"{folder}/{n}"):
+            return n, f"{folder}/{n}"
+        n += 1
+
+
+def _create_absent(spark: SparkSession, path: str) -> bool:
+    """Create a file; False if it exists.  Hadoop's own file systems decide that in
+    one step; its wrapper of local files looks first, so there the system does."""
+    p, fs = _hadoop_path(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            fs.create(p, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as exc:
+        if "FileAlreadyExists" not in exc.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def _publish(rows: DataFrame, staging: str, folder: str) -> None:
+    """Write rows apart, then move the finished file into ``folder``: readers and
+    other writers never meet a half-written file."""
+    spark = rows.sparkSession
+    rows.coalesce(1).write.parquet(staging)
+    source, fs = _hadoop_path(spark, staging)
+    target, _ = _hadoop_path(spark, folder)
+    fs.mkdirs(target)
+    for status in fs.listStatus(source):
+        name = status.getPath().getName()
+        if name.startswith("part-") and not fs.rename(status.getPath(), _hadoop_path(spark, f"{folder}/{name}")[0]):
+            raise OSError(f"{name} could not be moved to {folder}")
+    fs.delete(source, True)
+
+
 def log_step(spark: SparkSession, log_path: str, session_id: str, step: Step, target_table: str,
              rows: int | None = None, is_multi_step: bool = False, steps_completed: int = 0) -> DataFrame:
-    """Append one history row with id ``t_<n>`` (n = rows logged for the
-    session + 1) to the run log table (parquet, append)."""
-    prev = _read_or_none(spark, log_path)
-    n = 0 if prev is None else prev.where(F.col("session_id") == session_id).count()
-    row = [(session_id, f"t_{n + 1}", n + 1, _now(), step.description or step.name, step.statement,
+    """Append one history row with id ``t_<n>`` to the run log table (parquet,
+    append).  The number is claimed by creating a file of that name beside the log,
+    which succeeds for one writer only, so writers at the same time get different
+    numbers; one that fails after its claim leaves a gap."""
+    n, claim = _claim(spark, log_path, session_id)
+    row = [(session_id, f"t_{n}", n, _now(), step.description or step.name, step.statement,
             list(step.source_tables), target_table, list(step.fields), rows, is_multi_step, steps_completed)]
-    spark.createDataFrame(row, LOG_SCHEMA).write.mode("append").parquet(log_path)
+    _publish(spark.createDataFrame(row, LOG_SCHEMA), f"{claim}-rows", log_path.rstrip("/"))
     return spark.read.parquet(log_path)
 
 

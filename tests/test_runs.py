@@ -203,3 +203,17 @@ def test_load_tables_and_read_json(spark, scratch):
     p = write_json(t["region"], os.path.join(scratch, "region_json"))
     back = read_json(spark, p, t["region"].schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, t["region"].collect()))
+
+
+def test_writers_at_once_get_different_numbers(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tablewright.plans import runs
+    from tablewright.plans.steps import Step
+    path = os.path.join(scratch, "log")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: runs.log_step(spark, path, "s", Step(f"step {i}", lambda t, s: t), "t"), range(8)))
+    runs.log_step(spark, path, "other", Step("x", lambda t, s: t), "t")
+    seqs = [r.seq for r in spark.read.parquet(path).where("session_id = 's'").collect()]
+    assert sorted(seqs) == list(range(1, 9))
+    assert [r.transformation_id for r in spark.read.parquet(path).where("session_id = 'other'").collect()] == ["t_1"]
