@@ -44,4 +44,5 @@ def test_only_fuzzy_uses_python(spark):
 
 
 FUZZY = ("fuzzy_part_names", "resolve_part_names", "glossary_part_brands", "two_pass_part_columns",
-         "segment_match_nations")
+         "segment_match_nations", "match_customer_names", "resolve_customer_names", "two_pass_customer_columns",
+         "glossary_customer_names", "segment_customer_names")
