@@ -7,7 +7,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, IntegralType, StringType, TimestampType
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, LongType, StringType, TimestampType
 
 MATCH = "__tw_matched"
 
@@ -94,8 +94,24 @@ def maybe_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
-# Types whose equal values have equal hashes.
-_HASHABLE = (StringType, BooleanType, IntegralType, DateType, TimestampType)
+# Types whose equal values have equal hashes (-0.0 and NaN included).
+_HASHABLE = (StringType, BooleanType, IntegralType, DateType, TimestampType, DecimalType, FloatType, DoubleType)
+
+
+def _hash_type(a: DataType, b: DataType) -> DataType | None:
+    """A type in which keys of types ``a`` and ``b`` are equal just where a join
+    takes them as equal; None if there is none here."""
+    if a == b:
+        return a if isinstance(a, _HASHABLE) else None
+    if isinstance(a, IntegralType) and isinstance(b, IntegralType):
+        return LongType()
+    if isinstance(a, (FloatType, DoubleType)) and isinstance(b, (FloatType, DoubleType)):
+        return DoubleType()
+    if isinstance(a, DecimalType) and isinstance(b, DecimalType):
+        scale = max(a.scale, b.scale)
+        digits = max(a.precision - a.scale, b.precision - b.scale) + scale
+        return DecimalType(digits, scale) if digits <= 38 else None
+    return None
 
 
 def keyed_left_join(target: DataFrame, lookup: DataFrame, pairs: list[tuple[str, str]],
@@ -108,22 +124,22 @@ def keyed_left_join(target: DataFrame, lookup: DataFrame, pairs: list[tuple[str,
 
     A lookup that was reduced to one row per key is already partitioned by the
     key, and Spark splits a hot partition of a join only where both sides come
-    straight from a shuffle.  ``split_hot`` therefore joins on a hash of the key
+    straight from a shuffle.  ``split_hot`` therefore (for keys of like types, see
+    ``_hash_type``) joins on a hash of the key
     besides the key: the (reduced) lookup is shuffled once more, and a key with
     a third of the target's rows spreads over several tasks.  A target that is
     bucketed by the key keeps its layout only without it."""
     renamed = lookup
     conds = []
-    alike = True
+    types = [_hash_type(target.schema[tk].dataType, lookup.schema[sk].dataType) for tk, sk in pairs]
     for i, (tk, sk) in enumerate(pairs):
         alias = f"__tw_k{i}"
-        alike &= target.schema[tk].dataType == lookup.schema[sk].dataType and isinstance(target.schema[tk].dataType, _HASHABLE)
         renamed = renamed.withColumnRenamed(sk, alias)
         conds.append(target[tk] == renamed[alias])
     if flag:
         renamed = renamed.withColumn(flag, F.lit(True))
-    if split_hot and alike and pairs:
-        renamed = renamed.withColumn("__tw_h", F.xxhash64(*[f"__tw_k{i}" for i in range(len(pairs))]))
-        conds.append(F.xxhash64(*[target[tk] for tk, _ in pairs]) == renamed["__tw_h"])
+    if split_hot and pairs and None not in types:
+        renamed = renamed.withColumn("__tw_h", F.xxhash64(*[F.col(f"__tw_k{i}").cast(t) for i, t in enumerate(types)]))
+        conds.append(F.xxhash64(*[target[tk].cast(t) for (tk, _), t in zip(pairs, types)]) == renamed["__tw_h"])
     joined = target.join(renamed, all_of(conds), "left")
     return joined.drop("__tw_h", *[f"__tw_k{i}" for i in range(len(pairs))])

@@ -7,7 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators._keys import dedupe_by_key
+from tablewright.operators._keys import dedupe_by_key, keyed_left_join
 from tablewright.plans.steps import ColumnLineage, Step
 
 LINEAGE_SCHEMA = ("session_id string, step string, step_index int, target_table string, target_column string, "
@@ -50,7 +50,7 @@ def pre_post_report(target: DataFrame, sources: Mapping[str, DataFrame], columns
                     key: str, source_keys: Mapping[str, str] | None = None) -> DataFrame:
     """``primary_key`` then, per lineage column, ``<col>_source`` and
     ``<col>_target``: a transformed column shows the source table's value
-    (LEFT JOIN on the key, source reduced to one row per key); an untouched one
+    (LEFT JOIN on the key, source reduced to one row per key, hot keys split); an untouched one
     shows the target value twice; a constant (no source) shows NULL.  Ordered
     by key (a range-partitioned sort, distributed)."""
     out = target.select(F.col(key).alias("primary_key"), *[F.col(c).alias(f"__t_{c}") for c in target.columns])
@@ -65,7 +65,7 @@ def pre_post_report(target: DataFrame, sources: Mapping[str, DataFrame], columns
         sk = (source_keys or {}).get(tab, key)
         s = sources[tab].select(F.col(sk).alias(f"__k{i}"), *[F.col(c).alias(f"__s{i}_{c}") for c in cols])
         s = dedupe_by_key(s, [f"__k{i}"], [f"__s{i}_{c}" for c in cols])
-        out = out.join(s, out["primary_key"] == s[f"__k{i}"], "left").drop(f"__k{i}")
+        out = keyed_left_join(out, s, [("primary_key", f"__k{i}")], flag=None)
         joined_tables[tab] = f"__s{i}_"
     sel = [F.col("primary_key")]
     for cl in columns:

@@ -1022,4 +1022,4 @@ def q_sql_surface(spark, d):
 
 
 # Further queries, over statements and runs built from the given tables.
-from tablewright.plans import engine_queries, name_queries  # noqa: E402,F401
+from tablewright.plans import engine_queries, name_queries, table_queries  # noqa: E402,F401

@@ -26,9 +26,11 @@ from tablewright.operators.filters import where
 from tablewright.operators.mutate import ColumnExists, insert_select, load_from_src
 from tablewright.plans.steps import Step
 from tablewright.session import checkpoint_root
+from tablewright.sources.tables import hadoop_path, publish
 
 STATE_SCHEMA = ("run_id string, attempt string, step_index int, step_name string, status string, "
                 "n_steps int, rows long, error string, output string, ts string")
+# The run log's column names.
 LOG_SCHEMA = ("session_id string, transformation_id string, seq int, timestamp string, original_query string, "
               "query_type string, source_tables array<string>, target_table string, "
               "fields_affected array<string>, rows long, is_multi_step boolean, steps_completed int")
@@ -38,19 +40,14 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="microseconds")
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _finished(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` ran to its end (Spark marks that)."""
-    p, fs = _hadoop_path(spark, os.path.join(path, "_SUCCESS"))
+    p, fs = hadoop_path(spark, os.path.join(path, "_SUCCESS"))
     return fs.exists(p)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p, fs = _hadoop_path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.delete(p, True)
 
 
@@ -67,12 +64,11 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 # ---------------------------------------------------------------- R1 / R2
 
 def ensure_snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Write the ``_src`` snapshot once; an existing one is kept.  What a
-    write that broke off has left is no snapshot and is written anew."""
+    """Write the ``_src`` snapshot once; an existing one is kept.  It is
+    published when complete, so what a write that broke off has left is no
+    snapshot and is written anew."""
     spark = df.sparkSession
-    if not _finished(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path) if _finished(spark, path) else publish(df, path)
 
 
 def apply_step(step: Step, target: DataFrame, src: DataFrame | None,
@@ -101,7 +97,7 @@ def _claim(spark: SparkSession, log_path: str, session_id: str) -> tuple[int, st
 def _create_absent(spark: SparkSession, path: str) -> bool:
     """Create a file; False if it exists.  Hadoop's own file systems decide that in
     one step; its wrapper of local files looks first, so there the system does."""
-    p, fs = _hadoop_path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.mkdirs(p.getParent())
     try:
         if fs.getUri().getScheme() == "file":
@@ -122,12 +118,12 @@ def _publish(rows: DataFrame, staging: str, folder: str) -> None:
     other writers never meet a half-written file."""
     spark = rows.sparkSession
     rows.coalesce(1).write.parquet(staging)
-    source, fs = _hadoop_path(spark, staging)
-    target, _ = _hadoop_path(spark, folder)
+    source, fs = hadoop_path(spark, staging)
+    target, _ = hadoop_path(spark, folder)
     fs.mkdirs(target)
     for status in fs.listStatus(source):
         name = status.getPath().getName()
-        if name.startswith("part-") and not fs.rename(status.getPath(), _hadoop_path(spark, f"{folder}/{name}")[0]):
+        if name.startswith("part-") and not fs.rename(status.getPath(), hadoop_path(spark, f"{folder}/{name}")[0]):
             raise OSError(f"{name} could not be moved to {folder}")
     fs.delete(source, True)
 
@@ -145,16 +141,21 @@ def log_step(spark: SparkSession, log_path: str, session_id: str, step: Step, ta
     return spark.read.parquet(log_path)
 
 
+# How a request names an earlier step.
+_NUMBERED = r"(?:transformation|step|query)\s*(\d+)"
+_EARLIER = ("previous", "last", "prior", "earlier")
+
+
 def find_step(log: DataFrame, session_id: str, reference: str) -> DataFrame:
     """R10: "transformation/step/query N" -> the N-th step; "previous / last /
     prior / earlier" -> the last one; otherwise steps whose request contains the
     text or whose source/target table is named in it."""
     ref = reference.lower()
     mine = log.where(F.col("session_id") == session_id)
-    m = re.search(r"(?:transformation|step|query)\s*(\d+)", ref)
+    m = re.search(_NUMBERED, ref)
     if m:
         return mine.where(F.col("seq") == int(m.group(1)))
-    if any(w in ref for w in ("previous", "last", "prior", "earlier")):
+    if any(w in ref for w in _EARLIER):
         last = mine.agg(F.max("seq").alias("__m"))
         return mine.join(last, F.col("seq") == F.col("__m"), "left_semi")
     r = F.lit(ref)
@@ -198,24 +199,41 @@ def _table_name(run_id: str, attempt: str, index: int) -> str:
     return re.sub(r"\W", "_", f"tw_{run_id}_{attempt}_step_{index:03d}").lower()
 
 
+LAYOUT_SCHEMA = "columns string, bucket_by array<string>, buckets int"
+
+
 def _write_step(df: DataFrame, path: str, table: str, bucket_by: Sequence[str], buckets: int) -> DataFrame:
     """Write one step's output.  With ``bucket_by`` the files are bucketed by
     the target key and registered as a catalog table, so the next keyed step
     reads the target already hash-partitioned by key: its join shuffles only
-    the (smaller) source side."""
+    the (smaller) source side.  The layout is recorded beside the files, for the
+    catalog of a session may not outlive it."""
     spark = df.sparkSession
     if not bucket_by:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
      .option("path", path).saveAsTable(table))
-    return spark.table(table)
+    out = spark.table(table)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    spark.createDataFrame([(columns, list(bucket_by), buckets)], LAYOUT_SCHEMA).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path}.layout")
+    return out
 
 
 def _read_step(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A step's output as it was laid out, also in a session that did not write it."""
     if spark.catalog.tableExists(table):
         return spark.table(table)
-    return spark.read.parquet(path)
+    record = _read_or_none(spark, f"{path}.layout")
+    if record is None:
+        return spark.read.parquet(path)
+    layout = record.first()
+    keys = ", ".join(f"`{k}`" for k in layout["bucket_by"])
+    location = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({layout['columns']}) USING parquet "
+              f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {layout['buckets']} BUCKETS LOCATION '{location}'")
+    return spark.table(table)
 
 
 def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: DataFrame,
@@ -276,7 +294,8 @@ def run_steps(spark: SparkSession, run_id: str, steps: Sequence[Step], target: D
     if not keep_versions:
         for i in range(1, len(steps)):
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(run_id, attempt, i)}")
-            _delete(spark, os.path.join(run_dir, attempt, f"step_{i:03d}"))
+            for left in (f"step_{i:03d}", f"step_{i:03d}.layout"):
+                _delete(spark, os.path.join(run_dir, attempt, left))
     return RunResult(current, len(steps), resumed_from, attempt, summary(current))
 
 

@@ -103,13 +103,18 @@ def _largest_share(spark, df):
     return "skew=true" in plan, max(rows) / sum(rows)
 
 
-@pytest.mark.parametrize("name", ["lookup", "update_from", "add_fields", "tiered_lookup", "fill_null", "unique", "exists_in"])
+@pytest.mark.parametrize("name", ["lookup", "lookup_by_int", "pre_post_report", "update_from", "add_fields", "tiered_lookup", "fill_null", "unique", "exists_in"])
 def test_hot_key_spreads_over_tasks(spark, hot_parquet, forced_skew, name):
     from tablewright.operators import conditional as cond, joins
+    from tablewright.plans.lineage import pre_post_report
+    from tablewright.plans.steps import ColumnLineage
     look = spark.range(5000).select(F.col("id").alias("lk"), F.concat(F.lit("n"), F.col("id")).alias("name"))
     look = look.unionByName(look)
     make = {
         "lookup": lambda: mutate.lookup(hot_parquet, look, ("k", "lk"), "name", "name"),
+        "lookup_by_int": lambda: mutate.lookup(hot_parquet, look.withColumn("lk", F.col("lk").cast("int")), ("k", "lk"), "name", "name"),
+        "pre_post_report": lambda: pre_post_report(hot_parquet.select("k", F.col("s").alias("name")), {"look": look.withColumnRenamed("lk", "k")},
+                                                   [ColumnLineage("name", "look", "name", "lookup")], "k"),
         "update_from": lambda: mutate.update_from(hot_parquet, look, ("k", "lk"), {"s": "name"}),
         "add_fields": lambda: joins.add_fields(hot_parquet, look, "k", "lk", ["name"]),
         "tiered_lookup": lambda: cond.tiered_lookup(hot_parquet, "k", [(look, "lk", "name")], "d"),
@@ -118,4 +123,4 @@ def test_hot_key_spreads_over_tasks(spark, hot_parquet, forced_skew, name):
         "exists_in": lambda: quality.validate(hot_parquet, [quality.Rule("k", "exists_in", {"reference_table": look, "reference_field": "lk"})], ["id", "pad"]),
     }[name]
     split, share = _largest_share(spark, make())
-    assert split and share < 0.3, (split, share)
+    assert split and (share < 0.3 or name == "pre_post_report"), (split, share)  # the report is sorted by key after its join
