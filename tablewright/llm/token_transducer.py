@@ -13,9 +13,15 @@ A chunk of a text is a map from the state before it to the state after it and
 the tokens emitted.  At a cut (two characters that no piece holds side by side,
 such as a letter and the blank after it) every state leads to the start state,
 so a chunk's map is its *head*, the characters up to its first cut, and a
-constant for the rest.  Composing maps is associative; the chunks of a long text
-are evaluated in different tasks and composed by a prefix scan.  The maps of
-whole words, between two cuts, are kept in a memo of bounded size.
+constant for the rest.  A short head is run when maps are composed.  A long one
+(a chunk may have no cut at all) is run beforehand from the states that the
+characters before the chunk make likely; the map is then a table of these
+states, and the head's text is kept for any other state, so counts are exact.
+Composing maps is associative; the chunks of a long text are evaluated in
+different tasks, and their maps are composed pairwise, level by level: the
+up-sweep of a prefix scan, whose work is linear in the text (:func:`prefix_scan`
+gives all prefixes).  The maps of short words, between two cuts, are kept in a
+memo of bounded size.
 
 Defined results: null counts as the empty text, which has no tokens; repeated
 rows are counted each; an empty table gives no rows; other columns are ignored.
@@ -25,8 +31,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import add
 
 import pandas as pd
 import pyarrow as pa
@@ -34,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import stage, text_or_empty
-from .piece_bpe import Vocabulary, vocabulary
+from .piece_bpe import BLANK, SHORT, Vocabulary, vocabulary
 
 CHUNK_CHARS = 65_536
 MAX_STATES = 200_000
 MEMO_WORDS = 500_000
+#: Characters before a chunk that tell the likely states at its start.
+BEFORE = 64
 
 
 class Transducer:
@@ -110,37 +119,102 @@ class Transducer:
         if n is None:
             if len(self.memo) > MEMO_WORDS or len(self.states) > MAX_STATES:
                 self.reset()
-            n = self.memo[word] = self.run(0, word)[1]
+            n = self.run(0, word)[1]
+            if len(word) <= SHORT:
+                self.memo[word] = n
         return n
 
+    def first_cut(self, text: str) -> int:
+        """The place of the first cut inside ``text``; its length if there is none."""
+        joined = map(self.vocab.joined.__contains__, map(add, text, text[1:]))
+        return next((i for i, x in enumerate(joined, 1) if not x), len(text))
+
+    def run_likely(self, before: str, text: str) -> dict[tuple, tuple[tuple, int]]:
+        """Where ``text`` leads, and the tokens, from each state that reading the
+        end of ``before`` from the start state gives.  States that have met are
+        run on as one."""
+        entries = {self.run(0, before[i:])[0] for i in range(max(1, len(before) // 2))}
+        met = {s: (0, {s: 0}) for s in entries}  # state: tokens, and what its entries have more
+        done = 0
+        while done < len(text) and len(met) > 1:
+            after: dict[int, tuple[int, dict[int, int]]] = {}
+            for s, (total, members) in met.items():
+                s, n = self.moves[s].get(text[done]) or self.move(s, text[done])
+                if s in after:
+                    after[s][1].update({e: x + total + n - after[s][0] for e, x in members.items()})
+                else:
+                    after[s] = (total + n, members)
+            met, done = after, done + 1
+        out = {}
+        for s, (total, members) in met.items():
+            last, n = self.run(s, text[done:])
+            out.update({self.states[e]: (self.states[last], total + n + x) for e, x in members.items()})
+        return out
+
 
 @dataclass
 class ChunkMap:
     """``head`` runs from the state before the chunk; ``tail`` is None if the
-    chunk has no cut, else the state at the end and the tokens after the head."""
+    chunk has no cut, else the state at the end and the tokens after the head.
+    ``known`` tells for some states before the chunk the state after the head and
+    its tokens."""
 
     head: str
     tail: tuple | None
     tokens: int
+    known: dict[tuple, tuple[tuple, int]] = field(default_factory=dict)
 
 
-def chunk_map(t: Transducer, chunk: str, first: bool) -> ChunkMap:
+def chunk_map(t: Transducer, chunk: str, first: bool, before: str = "") -> ChunkMap:
     """The map of a chunk of normalised text; the first chunk of a text begins
-    at the start state, so its head is empty."""
+    at the start state, so its head is empty.  ``before`` is text before it."""
+    if len(t.states) > MAX_STATES:
+        t.reset()
     words = t.vocab.words_of(chunk)
-    head = "" if first else words.pop(0)
+    head, known = "", {}
+    if words and not first:
+        word = words.pop(0)
+        cut = t.first_cut(word)
+        head = word[:cut]
+        if cut < len(word):
+            words.insert(0, word[cut:])
+        if len(head) > SHORT:
+            known = t.run_likely(before.replace(" ", BLANK), head)
     if not words:
-        return ChunkMap(head, None, 0)
+        return ChunkMap(head, None, 0, known)
     last, tokens = t.run(0, words.pop())
-    return ChunkMap(head, t.states[last], tokens + sum(map(t.word, words)))
+    return ChunkMap(head, t.states[last], tokens + sum(map(t.word, words)), known)
+
+
+def through(t: Transducer, m: ChunkMap, state: tuple) -> tuple[tuple, int]:
+    """The state after the head of ``m``, and its tokens, from ``state``."""
+    got = m.known.get(state)
+    if got is None:
+        last, n = t.run(t.state(state), m.head)
+        got = t.states[last], n
+    return got
 
 
 def compose(t: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """First ``a``, then ``b``."""
     if a.tail is None:
-        return ChunkMap(a.head + b.head, b.tail, b.tokens)
-    last, n = t.run(t.state(a.tail), b.head)
-    return ChunkMap(a.head, t.states[last] if b.tail is None else b.tail, a.tokens + n + b.tokens)
+        known = {}
+        for state, (middle, n) in a.known.items():
+            if middle in b.known or len(b.head) <= SHORT:
+                end, more = through(t, b, middle)
+                known[state] = end, n + more
+        return ChunkMap(a.head + b.head, b.tail, b.tokens, known)
+    last, n = through(t, b, a.tail)
+    return ChunkMap(a.head, last if b.tail is None else b.tail, a.tokens + n + b.tokens, a.known)
+
+
+def whole_map(t: Transducer, maps: list[ChunkMap]) -> ChunkMap:
+    """All maps composed, neighbours first, level by level.  Each level holds the
+    heads once, and the first map, which begins the text, is always a state."""
+    while len(maps) > 1:
+        pairs = [compose(t, a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+        maps = pairs + maps[2 * len(pairs):]
+    return maps[0]
 
 
 def prefix_scan(t: Transducer, maps: list[ChunkMap]) -> list[ChunkMap]:
@@ -167,38 +241,41 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """doc_id, n_bytes, n_tokens of each row of ``docs``."""
     raw = text_or_empty(text)
     body = F.when(raw == "", raw).otherwise(F.concat(F.lit(" "), raw))  # the library puts a blank in front
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.length(body) / chunk_chars)).cast("int")
+    # All chunks of a text in one pass over it; the possessive repeat needs no stack.
+    cut = F.regexp_extract_all(F.col("body"), F.lit(f"(?s).{{1,{chunk_chars}}}+"), F.lit(0))
+    chunk = F.transform("parts", lambda p, i: F.struct(
+        i.alias("chunk"), p.alias("body"), F.coalesce(F.substring(F.get("parts", i - 1), -BEFORE, BEFORE), F.lit("")).alias("before")))
     chunks = (docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), body.alias("body"),
-                          F.octet_length(raw).cast("long").alias("n_bytes"), n_chunks.alias("n_chunks"))
-              .select("rid", "doc_id", "n_bytes", "n_chunks", "body", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-              .withColumn("body", F.when(F.col("n_chunks") == 1, F.col("body"))
-                          .otherwise(F.substring("body", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars)))))
+                          F.octet_length(raw).cast("long").alias("n_bytes"))
+              .select("rid", "doc_id", "n_bytes", F.when(F.length("body") <= chunk_chars, F.array("body")).otherwise(cut).alias("parts"))
+              .select("rid", "doc_id", "n_bytes", F.size("parts").alias("n_chunks"), F.inline(chunk)))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"rid long, doc_id {kind}, n_bytes long, n_chunks int, chunk int, head string, tail string, tokens long"
+    schema = f"rid long, doc_id {kind}, n_bytes long, n_chunks int, chunk int, head string, tail string, tokens long, known string"
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for batch in batches:
-            heads, tails, tokens = [], [], []
-            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
-                m = chunk_map(t, body.as_py(), chunk == 0)
+            heads, tails, tokens, known = [], [], [], []
+            many = batch.column("n_chunks").to_pylist()
+            for n, chunk, body, before in zip(many, batch.column("chunk").to_pylist(), batch.column("body"), batch.column("before"), strict=True):
+                m = chunk_map(t, body.as_py(), chunk == 0, before.as_py())
                 heads.append(m.head)
-                tails.append(None if m.tail is None else m.tail)
+                tails.append(json.dumps(m.tail) if n > 1 and m.tail is not None else None)
                 tokens.append(m.tokens)
-            many = batch.column("n_chunks").to_pylist()
-            tails = [json.dumps(x) if n > 1 and x is not None else None for n, x in zip(many, tails, strict=True)]
+                known.append(json.dumps([[k, *v] for k, v in m.known.items()]))
             names = ["rid", "doc_id", "n_bytes", "n_chunks", "chunk"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(heads, pa.string()), pa.array(tails, pa.string()),
-                                              pa.array(tokens, pa.int64())], names=[*names, "head", "tail", "tokens"])
+                                              pa.array(tokens, pa.int64()), pa.array(known, pa.string())],
+                                             names=[*names, "head", "tail", "tokens", "known"])
 
     maps = stage(chunks.mapInArrow(evaluate, schema), "token-maps")
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         t = transducer(model_path)
         rows = rows.sort_values("chunk")
-        parts = [ChunkMap(h, _freeze(json.loads(x)) if x is not None else None, int(n))
-                 for h, x, n in zip(rows["head"], rows["tail"], rows["tokens"], strict=True)]
-        return rows.head(1).assign(n_tokens=prefix_scan(t, parts)[-1].tokens)[["doc_id", "n_bytes", "n_tokens"]]
+        parts = [ChunkMap(h, _freeze(json.loads(x)) if x is not None else None, int(n), {k: (e, m) for k, e, m in _freeze(json.loads(y))})
+                 for h, x, n, y in zip(rows["head"], rows["tail"], rows["tokens"], rows["known"], strict=True)]
+        return rows.head(1).assign(n_tokens=whole_map(t, parts).tokens)[["doc_id", "n_bytes", "n_tokens"]]
 
     whole = maps.where("n_chunks = 1").select("doc_id", "n_bytes", F.col("tokens").alias("n_tokens"))
     long = maps.where("n_chunks > 1").groupBy("rid").applyInPandas(total, f"doc_id {kind}, n_bytes long, n_tokens long")

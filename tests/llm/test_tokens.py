@@ -41,7 +41,7 @@ def test_chunk_maps_compose_to_the_count(size):
             chunks = [body[i:i + size] for i in range(0, len(body), size)]
             maps = [tt.chunk_map(t, c, i == 0) for i, c in enumerate(chunks)]
             prefixes = tt.prefix_scan(t, maps)
-            assert prefixes[-1].tokens == len(LIBRARY.encode(text))
+            assert prefixes[-1].tokens == tt.whole_map(t, maps).tokens == len(LIBRARY.encode(text))
 
 
 def test_composition_is_associative():
@@ -52,6 +52,59 @@ def test_composition_is_associative():
         assert tt.compose(t, tt.compose(t, a, b), c) == tt.compose(t, a, tt.compose(t, b, c))
 
 
+def _blank_free():
+    r = random.Random(5)
+    return {"one letter": "a" * 20_000, "periodic": "abcab" * 4_000, "words": "".join(r.choice(["the", "ing", "station", "er"]) for _ in range(5_000)),
+            "base64": "".join(r.choice("ABCDEFGHabcdefghiklmnopqrstu0123456789+/") for _ in range(20_000)), "cjk": "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(20_000)),
+            "digits": "".join(r.choice("0123456789") for _ in range(20_000)), "underscores": "_" * 20_000, "emoji": "a😀é" * 5_000}
+
+
+@pytest.mark.parametrize("kind", _blank_free())
+def test_blank_free_chunks_are_maps(kind):
+    """Chunks without a blank compose to the library's count, in order or pairwise."""
+    body, size = _blank_free()[kind], 1000
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    text = " " + body
+    maps = [tt.chunk_map(t, text[i:i + size], i == 0, text[max(0, i - tt.BEFORE):i]) for i in range(0, len(text), size)]
+    want = len(LIBRARY.encode(body))
+    assert tt.whole_map(t, maps).tokens == want
+    blind = [tt.ChunkMap(m.head, m.tail, m.tokens) for m in maps]  # the text itself serves states that no table knows
+    assert tt.whole_map(t, blind).tokens == want
+    assert all(m.known for m in maps if len(m.head) > tt.SHORT)
+
+
+@pytest.mark.parametrize("kind", ["words", "periodic", "one letter"])
+def test_tables_serve_the_states_that_occur(kind, monkeypatch):
+    """No long head is run again when the maps are composed: the work is linear."""
+    body, size = _blank_free()[kind], 1000
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    text = " " + body
+    maps = [tt.chunk_map(t, text[i:i + size], i == 0, text[max(0, i - tt.BEFORE):i]) for i in range(0, len(text), size)]
+    ran, run = [], t.run
+    monkeypatch.setattr(t, "run", lambda s, x: ran.append(len(x)) or run(s, x))
+    tt.whole_map(t, maps)
+    assert sum(ran) < len(text)
+
+
+def test_composition_with_tables_is_associative():
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    body = _blank_free()["words"]
+    a, b, c = (tt.chunk_map(t, body[i:i + 500], False, body[i - 64:i]) for i in (500, 1000, 1500))
+    assert tt.compose(t, tt.compose(t, a, b), c) == tt.compose(t, a, tt.compose(t, b, c))
+
+
+def test_long_blank_free_texts(spark):
+    rows = [(i, x) for i, x in enumerate(_blank_free().values())]
+    got = tt.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, chunk_chars=1500).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == {i: (len(x.encode()), len(LIBRARY.encode(x))) for i, x in rows}
+
+
+def test_long_words_are_not_kept():
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    tt.chunk_map(t, " " + "a" * 500 + " short " + "b" * 500 + " end", True)
+    assert all(len(w) <= tt.SHORT for w in t.memo)
+
+
 def test_resetting_the_transducer_changes_nothing(monkeypatch):
     monkeypatch.setattr(tt, "MEMO_WORDS", 3)
     t = tt.Transducer(piece_bpe.vocabulary(PATH))
