@@ -44,6 +44,8 @@ from ._prefix import bucket_count, running_start
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
 _DRAWS = 4096
+#: Slots that one task deals, so that tasks follow the slots, not the few bytes of their ranges.
+_TASK_SLOTS = 16_384
 _ROUNDS = 24
 
 
@@ -113,16 +115,16 @@ def _plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
 
 
 def _slots(plan: DataFrame, block: int, shard_blocks: int, seed: int) -> DataFrame:
-    total = plan.agg(F.coalesce(F.sum("n_slots"), F.lit(0)).alias("m"))
-    shards = F.greatest(F.lit(1), _ceil_div(F.col("m"), shard_blocks))
+    m = plan.agg(F.coalesce(F.sum("n_slots"), F.lit(0)).alias("m")).first()["m"]
+    n_shards, tasks = max(1, -(-m // shard_blocks)), max(1, -(-m // _TASK_SLOTS))
     # Draws, in ranges, so that no row of a large source becomes many rows in one task.
     ranges = plan.select("sid", "n_slots", F.explode(F.sequence(F.lit(0), F.expr(f"(n_slots - 1) div {_DRAWS}"))).alias("part"))
-    draws = (ranges.repartition("sid", "part").crossJoin(F.broadcast(total.select(shards.alias("n_shards"))))
-             .select("sid", "n_shards", F.explode(F.sequence(F.col("part") * _DRAWS, F.least("n_slots", (F.col("part") + 1) * _DRAWS) - 1)).alias("draw")))
-    counts = (draws.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "draw"), F.col("n_shards")))
+    draws = (ranges.repartition(tasks, "sid", "part")
+             .select("sid", F.explode(F.sequence(F.col("part") * _DRAWS, F.least("n_slots", (F.col("part") + 1) * _DRAWS) - 1)).alias("draw")))
+    counts = (draws.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "draw"), F.lit(n_shards).cast("long")))
               .groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n")))
     first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
-    numbered = (counts.withColumn("first", first).repartition("sid", "shard")
+    numbered = (counts.withColumn("first", first).repartition(tasks, "sid", "shard")
                 .select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")))
     n, j, short_at = F.col("n_blocks"), F.col("j"), F.col("short_at")
     placed = (numbered.join(plan.drop("source"), "sid")
