@@ -324,4 +324,7 @@ def q_missing_mandatory(spark, d):
     return quality.missing_mandatory(target, fields)
 
 
+# Queries that use the helpers above.
+from tablewright.plans import table_queries  # noqa: E402,F401
+
 __all__ = ["ORACLE", "QUERIES"]
