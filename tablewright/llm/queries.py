@@ -12,6 +12,8 @@ from ._io import table
 #: The vocabulary of the token queries; a parameter of the operators.
 MODEL = "piece_bpe_32k.model"
 CONTEXT_TOKENS = 4096
+#: The setting that names the surrogates' key; where it is unset the query's key is its name, and its surrogates are no secret.
+SURROGATE_KEY = "spark.tablewright.surrogates.key"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def op4_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), key=spark.conf.get(SURROGATE_KEY, "op5"))
 
 
 def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ share (an address in small letters, the digits of a number); the canonical form
 gets a surrogate of the same kind from a keyed hash, and every mention is
 rewritten with the surrogate in the mention's own format (case, separators,
 country code).  So equal entities stay equal and different ones different, in
-all documents, and without the key the originals can't be told.
+all documents.  The key is the caller's; there is no default.
 
 Kinds: e-mail address (top level kept), telephone number (separated, with country
 code or of ten digits; country code kept, area and exchange begin with 2-9), IPv4
@@ -14,14 +14,19 @@ valid and a wrong one wrong), social security number, access key (prefix kept),
 secret after ``password=``, ``Token: "`` and the like, 40-digit hexadecimal token,
 given names of a list, capitalised or in capitals, which get a name of the same
 gender and script, and other names (``surname``) by context: after a title, after a
-greeting, or after a listed given name.  What is not found is listed in the README.
+greeting, or after a listed given name.  Those get vowels for vowels and consonants
+for consonants of their script, so they can be spoken.  A listed given name that is a
+part of an e-mail address's local part becomes there what it becomes in the text.
+What is not found is listed in the README.
 
 Collisions: a surrogate must differ from the other surrogates of its kind and
 from every canonical form in the data; where it does not, the entity with the
-smallest canonical form keeps it and the others draw again.  Names are permuted
-inside their list, which needs no check.  A format that is used up grows: letters
+smallest canonical form keeps it and the others draw again.  Each list of names is
+put into a keyed order and each name becomes the next one there: no name stays, no
+two become one, so no check is needed, and a known pair tells no other pair.  A
+format that is used up grows: letters
 of other scripts become letters at once, in secrets punctuation does from the third
-draw on, and keyed digits are added, one more for each further draw.
+draw on, and keyed digits (surnames: letters) are added, one more for each further draw.
 
 Native: DataFrame operations only.  Only documents with entities, and the table
 of distinct entities, are shuffled; an entity in very many documents is one row
@@ -34,6 +39,9 @@ table gives no rows; other columns are ignored.  Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +54,8 @@ NAMES = {
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Екатерина Татьяна Ирина".split(),
     ("cyrillic", "m"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай".split(),
 }
+# Vowels and consonants by script, as far as they are common in names.
+SOUNDS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь")}
 _LISTED = [n for names in NAMES.values() for n in names]
 _GIVEN = "|".join([*_LISTED, *(n.upper() for n in _LISTED)])
 _SECRET_BEFORE = r"(?i:\b(?:password|passwd|secret|token)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)"
@@ -64,14 +74,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
     "access_key": r"(?=A)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": rf"(?<=[=:\s\"'])(?<=[=:][ \t]{{0,4}}[\"']?)(?<={_SECRET_BEFORE})[^\s\"'&,;]{{6,}}",
+    # A single word without quotes after a colon and a blank is prose.
+    "secret": rf"(?<=[=:\s\"'])(?<=[=:][ \t]{{0,4}}[\"']?)(?<={_SECRET_BEFORE})(?!(?<=:[ \t]{{1,4}})\p{{L}}\p{{Ll}}++[.!?)]*+(?:[\s\"'&,;]|$))[^\s\"'&,;]{{6,}}",
     "hex_token": r"(?=[0-9a-fA-F])\b[0-9a-fA-F]{40}\b",
     "phone": rf"(?=[+(\d])(?<![\w+])(?:{_PHONE})(?!\w)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?=[3-6])(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\w-])",
     "ipv4": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "name": rf"(?=[A-ZА-Я])(?<![\p{{L}}\p{{N}}_])(?:{_GIVEN})(?![\p{{L}}\p{{N}}_])",
-    "surname": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLES})\.?|{_GREETINGS}|{_GIVEN}) )(?!(?i:{_NO_NAMES})(?![\p{{L}}\p{{N}}_]))"
+    # After a greeting, a word that goes on in small letters is none ("Dear Python users").
+    "surname": rf"(?=\p{{Lu}})(?<= )(?!(?<=(?<![\p{{L}}\p{{N}}_])(?:{_GREETINGS}) )\p{{Lu}}[\p{{L}}'’]+ \p{{Ll}})(?<=(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLES})\.?|{_GREETINGS}|{_GIVEN}) )(?!(?i:{_NO_NAMES})(?![\p{{L}}\p{{N}}_]))"
                r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*(?![\p{L}\p{N}_])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -100,7 +112,7 @@ def _canonical(kind: Column, mention: Column) -> Column:
     abroad = (kind == "phone") & mention.startswith("+") & ~_digits(mention).startswith("1")
     return (F.when(abroad, F.concat(F.lit("+"), _digits(mention)))
             .when(kind.isin("email", "hex_token"), F.lower(mention)).when(kind == "phone", F.right(_digits(mention), F.lit(10)))
-            .when(kind.isin("name", "surname"), F.concat(F.left(mention, F.lit(1)), F.lower(F.substring(mention, 2, 1 << 20))))
+            .when(kind.isin("name", "surname"), F.concat(F.left(mention, F.lit(1)), F.lower(F.substring(mention, F.lit(2), F.length(mention)))))
             .when(kind.isin("ssn", "card"), _digits(mention)).otherwise(mention))
 
 
@@ -133,13 +145,25 @@ def _other_class(c: Column, i: Column) -> Column:
             .when(letter, F.chr(97 + n % 26)).otherwise(c))
 
 
+def _by_sound(c: Column, i: Column) -> Column:
+    """A vowel for a vowel and a consonant for a consonant, small or capital, of the
+    same script; other scripts give Latin letters, other characters stay."""
+    n, out, low = _number(i), F.when(c.rlike(r"[^\p{L}\p{N}\p{M}]"), c), F.lower(c)
+    for letters in (*SOUNDS["cyrillic"], *SOUNDS["latin"]):
+        drawn = F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
+        out = out.when(F.lit(letters).contains(low), F.when(c == low, drawn).otherwise(F.upper(drawn)))
+    return out.otherwise(_other_class(c, i))
+
+
 def _added(key: str) -> Column:
     """Keyed digits, one more for each failed draw: a format that is used up grows.
-    Kinds of a fixed length get them later and after an ``x``."""
+    Kinds of a fixed length get them later and after an ``x``; surnames get letters."""
     free = F.col("kind").isin("secret", "surname", "email")
     digits = F.translate(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("added"), "kind", "canonical", F.col("draw").cast("string")).cast("binary"), 256), "abcdef", "012345")
     n = F.greatest(F.col("draw") - F.when(free, 2).otherwise(7), F.lit(0))
-    return F.when(n > 0, F.concat(F.when(free, "").otherwise("x"), F.substring(digits, F.lit(1), n))).otherwise("")
+    more = F.substring(digits, F.lit(1), n)
+    spoken = F.when(F.col("canonical").rlike("[А-Яа-я]"), F.translate(more, "0123456789", "ановилерис")).otherwise(F.translate(more, "0123456789", "anovileris"))
+    return F.when(n > 0, F.when(F.col("kind") == "surname", spoken).when(free, more).otherwise(F.concat(F.lit("x"), more))).otherwise("")
 
 
 def _chars(x: Column) -> Column:
@@ -152,16 +176,27 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10
 
 
-def _permuted_name(key: str) -> Column:
-    out = F.col("canonical")
-    for (script, gender), names in NAMES.items():
-        shift = 1 + F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender)), F.lit(len(names) - 1))
-        there = F.array(*map(F.lit, names))
-        at = F.array_position(there, F.col("canonical"))
-        out = F.when(at > 0, F.element_at(there, (F.pmod(at - 1 + shift, F.lit(len(names))) + 1).cast("int"))).otherwise(out)
+def name_pairs(key: str) -> dict[str, str]:
+    """The surrogate of each listed name: the next one in a keyed order of its list."""
+    out = {}
+    for names in NAMES.values():
+        order = sorted(names, key=lambda name: hmac.digest(key.encode(), f"name {name}".encode(), hashlib.sha256))
+        out.update(zip(order, order[1:] + order[:1], strict=True))
     return out
 
 
+def _lookup(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
+def _local_part(key: str, local: Column, drawn: Column) -> Column:
+    """The drawn local part of an address with its listed names as in the text.
+    Drawn characters keep their class, so both sides split at the same places."""
+    pairs = _lookup({a.lower(): b.lower() for a, b in name_pairs(key).items()})
+    edge = r"(?=[._%+-])|(?<=[._%+-])"
+    return F.array_join(F.zip_with(F.split(local, edge), F.split(drawn, edge), lambda a, b: F.coalesce(F.try_element_at(pairs, a), b)), "")
+
+
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Add ``surrogate`` to (kind, canonical, draw)."""
     c, kind = F.col("canonical"), F.col("kind")
@@ -169,7 +204,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     tail = F.length(F.substring_index(c, ".", -1)) + 1
     address = F.array_join(F.transform(_chars(F.left(c, F.length(c) - tail)), _by_class), "")
     added = _added(key)
-    email = F.concat(F.substring_index(address, "@", 1), added, F.lit("@"), F.substring_index(address, "@", -1), F.right(c, tail))
+    local = _local_part(key, F.substring_index(c, "@", 1), F.substring_index(address, "@", 1))
+    spoken = F.array_join(F.transform(_chars(c), _by_sound), "")
+    email = F.concat(local, added, F.lit("@"), F.substring_index(address, "@", -1), F.right(c, tail))
     code = F.length(F.regexp_extract(c, rf"^\+(?:{_COUNTRY})", 0))
     abroad = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i < code, x).when((i == code) & (x != "0"), F.chr(49 + _number(i) % 9)).otherwise(_by_class(x, i))), "")
     phone = F.array_join(F.transform(_chars(c), lambda x, i: F.when(i.isin(0, 3), F.chr(50 + _number(i) % 8)).otherwise(_by_class(x, i))), "")
@@ -182,7 +219,8 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     return (entities.withColumn("__stream", _stream(key, F.length(c)))
             .withColumn("surrogate", F.when(kind == "email", email).when((kind == "phone") & c.startswith("+"), abroad).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ipv4", ipv4)
                         .when(kind == "card", F.concat(middle, check)).when(kind == "access_key", access)
-                        .when((kind == "hex_token") | ((kind == "secret") & c.rlike("^[0-9a-f]+$")), hexa).when(kind == "name", _permuted_name(key)).otherwise(any_class))
+                        .when((kind == "hex_token") | ((kind == "secret") & c.rlike("^[0-9a-f]+$")), hexa).when(kind == "name", F.try_element_at(_lookup(name_pairs(key)), c))
+                        .when(kind == "surname", spoken).otherwise(any_class))
             .withColumn("surrogate", F.when(kind.isin("email", "name"), F.col("surrogate")).otherwise(F.concat("surrogate", added)))
             .drop("__stream"))
 
@@ -219,10 +257,11 @@ def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
     cased = F.array_join(F.zip_with(_chars(mention), _chars(surrogate), lambda m, s: F.when(m.between("A", "Z"), F.upper(s)).otherwise(s)), "")
     capitals = (F.upper(mention) == mention) & (F.lower(mention) != mention)
     return (F.when(kind.isin("phone", "ssn", "card"), filled).when(kind.isin("hex_token", "name", "surname") & capitals, F.upper(surrogate))
-            .when(kind.isin("email", "hex_token"), cased).otherwise(surrogate))
+            .when((kind == "email") & capitals, F.upper(surrogate)).when((kind == "email") & (F.length(mention) != F.length(surrogate)), surrogate)
+            .when(kind.isin("email", "hex_token", "surname"), cased).otherwise(surrogate))
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text with surrogates, n_entities and
     kinds (the kind of each mention, in their order)."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"),

@@ -197,7 +197,7 @@ def luhn(s):
 
 def test_surrogates_keep_type_format_and_coreference(spark):
     docs = spark.createDataFrame([(1, TEXT), (2, "again ANN.LEE@EXAMPLE.COM 612 555 4887"), (3, "nothing here")], "doc_id long, text string")
-    got = {r.doc_id: r for r in sg.replace_entities(docs).collect()}
+    got = {r.doc_id: r for r in sg.replace_entities(docs, "k").collect()}
     out = got[1].text
     assert got[3].text == "nothing here" and got[3].n_entities == 0
     shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", t)))
@@ -220,7 +220,7 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     women, men = re.search(r"; (\w+) и (\w+)\.", out).groups()
     assert women in sg.NAMES["cyrillic", "f"] and men in sg.NAMES["cyrillic", "m"]
     other = sg.replace_entities(docs, key="another").where("doc_id = 1").first().text
-    assert other != out and sg.replace_entities(docs).where("doc_id = 1").first().text == out
+    assert other != out and sg.replace_entities(docs, "k").where("doc_id = 1").first().text == out
 
 
 HEX = "9233A8ECF7C5B09FE5949719B6B82B0123456789"
@@ -236,7 +236,7 @@ SPELLINGS = [
 
 def test_surrogates_of_other_spellings(spark):
     docs = spark.createDataFrame([(i, x[0]) for i, x in enumerate(SPELLINGS)], "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: r for r in sg.replace_entities(docs).collect()}
+    got = {r.doc_id: r for r in sg.replace_entities(docs, "k").collect()}
     for i, (text, original, kind) in enumerate(SPELLINGS):
         row = got[i]
         assert original not in row.text and kind in row.kinds and (len(row.text) == len(text) or "name" in row.kinds), text
@@ -244,9 +244,41 @@ def test_surrogates_of_other_spellings(spark):
         assert row.text.startswith(text.split(original)[0]) or kind == "surname", text
 
 
+def test_names_are_permuted_each(spark):
+    pairs = sg.name_pairs("k")
+    for names in sg.NAMES.values():
+        assert sorted(pairs[n] for n in names) == sorted(names) and all(pairs[n] != n for n in names)
+        # no rotation of the list: the distances between a name and its surrogate differ
+        assert len({(names.index(pairs[n]) - names.index(n)) % len(names) for n in names}) > 2
+    assert pairs != sg.name_pairs("another")
+    texts = ["Mary met Jennifer and MARY", "mary.whittaker@example.com or JENNIFER+X@EXAMPLE.COM", "Иван и Елена"]
+    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[0] == f"{pairs['Mary']} met {pairs['Jennifer']} and {pairs['Mary'].upper()}" and got[2] == f"{pairs['Иван']} и {pairs['Елена']}"
+    assert got[1].startswith(pairs["Mary"].lower() + ".") and f" or {pairs['Jennifer'].upper()}+" in got[1]
+
+
+def test_surnames_can_be_spoken(spark):
+    texts = ["Dr. Whittaker", "Mrs O'Neil-Marsh", "Анна Каренина", "Dr. Müller"]
+    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    sound = lambda t: re.sub("[аеёиоуыэюя]", "а", re.sub("[бвгджзйклмнпрстфхцчшщъь]", "б", re.sub("[aeiou]", "a", re.sub("[bcdfghj-np-tv-z]", "b", t))))
+    for text, out in zip(texts[:3], got[:3], strict=True):
+        a, b = text.partition(" ")[2], out.partition(" ")[2]
+        assert a != b and sound(a.lower()) == sound(b.lower()) and [c.isupper() for c in a] == [c.isupper() for c in b]
+    assert re.fullmatch("Dr. [A-Z][a-z]{5}", got[3])
+
+
+def test_prose_is_left_alone(spark):
+    texts = ["Dear Python users", "the secret: information is free.", "Token: economy!", "Hello Brave new", "password: (see below)"]
+    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[:4] == texts[:4]
+    texts = ["secret: informa7ion", "secret=information", 'secret: "information"', "Dear Whittaker how", "secret: InForMation"]
+    got = [r.n_entities for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got == [1, 1, 1, 0, 1]
+
+
 def test_surrogates_keep_spellings_together(spark):
     texts = [f"a {HEX} b {HEX.lower()} c", "Dr. Whittaker MARY WHITTAKER Mary", "+44 20 7946 0958 and +442079460958", "Hello World, Dear Sir, the Dr. The Mary And"]
-    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in sg.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert got[0].split()[1] == got[0].split()[3].upper() and got[0].split()[3].islower()
     assert got[1].split()[1].upper() == got[1].split()[3] and got[1].split()[2] == got[1].split()[4].upper()
     assert re.sub(r"\D", "", got[2].split(" and ")[0]) == re.sub(r"\D", "", got[2].split(" and ")[1]) and got[2].startswith("+44 ")
@@ -256,7 +288,7 @@ def test_surrogates_keep_spellings_together(spark):
 def test_surrogates_where_the_format_is_used_up(spark):
     secrets = ["********", "密码密码密码", "ÀÉÎÕÜà", "ПАРОЛЬ", "!!??!!??"]
     docs = spark.createDataFrame([(i, f"password={x}") for i, x in enumerate(secrets)], "doc_id long, text string")
-    got = {r.doc_id: r for r in sg.replace_entities(docs).collect()}
+    got = {r.doc_id: r for r in sg.replace_entities(docs, "k").collect()}
     for i, x in enumerate(secrets):
         assert got[i].n_entities == 1 and got[i].text.startswith("password=") and not set(got[i].text[9:]) & set(x) - set("ПАРОЛЬ")
     assert len({r.text for r in got.values()}) == len(secrets)
@@ -284,10 +316,10 @@ def test_colliding_surrogates_are_drawn_again(spark):
 
 def test_surrogate_edges(spark):
     docs = edge_docs(spark)
-    got = sg.replace_entities(docs).collect()
+    got = sg.replace_entities(docs, "k").collect()
     key = lambda x: tuple(map(str, x))
     assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted([(i, t) for i, t, *_ in edge_rows()], key=key)
-    assert sg.replace_entities(empty_docs(spark)).count() == 0
+    assert sg.replace_entities(empty_docs(spark), "k").count() == 0
     hot = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "mail a.bee@mail.example.com now").otherwise("x").alias("text"))
-    texts = {r.text for r in sg.replace_entities(hot).collect()}
+    texts = {r.text for r in sg.replace_entities(hot, "k").collect()}
     assert len(texts) == 2 and "x" in texts
