@@ -86,7 +86,8 @@ PATTERNS = {
     "surname": rf"(?=\p{{Lu}})(?<= )(?!(?<=(?<![\p{{L}}\p{{N}}_])(?:{_GREETINGS}) )\p{{Lu}}[\p{{L}}'’]+ \p{{Ll}})(?<=(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLES})\.?|{_GREETINGS}|{_GIVEN}) )(?!(?i:{_NO_NAMES})(?![\p{{L}}\p{{N}}_]))"
                r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*(?![\p{L}\p{N}_])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity begins after a letter or digit or with a blank, so one test passes over the places inside words.
+ANY = r"(?=\S)(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 _MAX_DRAWS = 64
 _BEFORE = 24  # characters of the text before a mention that tell a secret from a name
 
