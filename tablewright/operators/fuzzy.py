@@ -307,6 +307,8 @@ def _result(q: list, w: list, o: list, sc: list) -> pd.DataFrame:
 #: Texts a side and pairs that a cell holds at most.
 CELL_ROWS = 50_000
 CELL_PAIRS = 200_000_000
+#: Rows that a task sends to cells, about 300 bytes of its shuffle memory each.
+SENT_ROWS = 1_000_000
 _SIDE = "__text string, __order long, __side int, __key string, __strip string, __len int"
 
 
@@ -345,6 +347,13 @@ def _grid(n_query: int, n_dict: int, cores: int) -> tuple[int, int]:
     return slices, max(1, math.ceil(n_dict / chunks))
 
 
+def _dealt(side: DataFrame, n: int, times: int) -> DataFrame:
+    """``side``, of ``n`` rows that are each to be sent ``times`` times, over so
+    many tasks that none sends more than about ``SENT_ROWS``."""
+    tasks = math.ceil(n * times / SENT_ROWS)
+    return side.repartition(tasks, F.xxhash64("__text")) if times > 1 and tasks > 1 else side
+
+
 def candidates(texts: DataFrame, text_col: str, dictionary: DataFrame, dict_col: str, threshold: float,
                dict_order: str | None = None, top: int | None = None, dict_chunk: int | None = None,
                query_slices: int | None = None) -> DataFrame:
@@ -362,16 +371,20 @@ def candidates(texts: DataFrame, text_col: str, dictionary: DataFrame, dict_col:
     # Rows by side and length band, under two hundred numbers.
     sizes = both.groupBy("__side", "__band").agg(F.count(F.lit(1)).alias("n")).collect()
     per_band = {r["__band"]: r["n"] for r in sizes if r["__side"] == 1}
-    n_query = sum(r["n"] for r in sizes if r["__side"] == 0)
+    n_query, n_dict = sum(r["n"] for r in sizes if r["__side"] == 0), sum(per_band.values())
     q, w = (both.where(F.col("__side") == i) for i in (0, 1))
     equal = _equal_pairs(q.drop("__band"), w, threshold)
     if not per_band or not n_query:
         return equal
-    if top:
-        q = q.join(w.select(F.col("__key").alias("__known")), F.col("__key") == F.col("__known"), "left_anti")
     q = q.drop("__band")
+    if top:
+        # The grid is laid out for the queries that are left: each slice of them is sent the whole dictionary.
+        q = staged(q.join(w.select(F.col("__key").alias("__known")), F.col("__key") == F.col("__known"), "left_anti"), "fuzzy-left")
+        n_query = q.count()
+        if not n_query:
+            return equal
     cores = spark.sparkContext.defaultParallelism
-    slices, rows = _grid(n_query, sum(per_band.values()), cores)
+    slices, rows = _grid(n_query, n_dict, cores)
     slices, rows = query_slices or slices, dict_chunk or rows
     plan = spark.createDataFrame([(b, math.ceil(n / rows)) for b, n in per_band.items()], "__b int, __chunks int")
     w = w.join(F.broadcast(plan), F.col("__band") == F.col("__b")).withColumn("__chunk", F.pmod(F.xxhash64("__text"), F.col("__chunks")).cast("int"))
@@ -386,11 +399,12 @@ def candidates(texts: DataFrame, text_col: str, dictionary: DataFrame, dict_col:
     q = q.withColumn("__band", F.explode(F.when((first <= high) & (last >= low), bands).otherwise(F.array().cast("array<int>"))))
     cell = ["__band", "__chunk", "__slice"]
     cols = [*cell, "__text", "__order", "__side"]
-    q_side = q.join(F.broadcast(plan), F.col("__band") == F.col("__b")).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
-    w_side = w.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    chunks = sum(math.ceil(n / rows) for n in per_band.values())
+    q_side = _dealt(q, n_query, chunks).join(F.broadcast(plan), F.col("__band") == F.col("__b")).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    w_side = _dealt(w, n_dict, slices).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     # An explicit partition count: cells are small in bytes but heavy in CPU, so
     # they must not be coalesced into a few tasks.
-    cells = q_side.select(*cols).unionByName(w_side.select(*cols)).repartition(max(cores, slices * sum(math.ceil(n / rows) for n in per_band.values())), *cell)
+    cells = q_side.select(*cols).unionByName(w_side.select(*cols)).repartition(max(cores, slices * chunks), *cell)
     scored = cells.groupBy(*cell).applyInPandas(_score_block(threshold, top), _MATCH_SCHEMA)
     return scored.unionByName(equal).dropDuplicates(["__q", "match"])
 

@@ -219,3 +219,31 @@ def test_grid_sends_few_rows():
         assert slices * chunks >= 1 and rows <= fuzzy.CELL_ROWS and n_query / slices <= fuzzy.CELL_ROWS
         assert n_query * n_dict / (slices * chunks) <= 2 * fuzzy.CELL_PAIRS
         assert sent <= 3 * (n_query * n_dict * slices * chunks) ** 0.5 + n_query + n_dict
+
+
+@pytest.mark.parametrize("left", [0, 3])
+def test_grid_follows_the_queries_without_an_equal_text(spark, monkeypatch, left):
+    """Queries with an equal text need no cell, so the dictionary is not sent for them."""
+    names = [f"name {i:04d}" for i in range(400)]
+    odd = ["nam 0007", "name 12", "~~~~"][:left]
+    laid, grid = [], fuzzy._grid
+    monkeypatch.setattr(fuzzy, "_grid", lambda n, m, cores: (laid.append((n, m)), grid(n, m, cores))[1])
+    q = spark.createDataFrame([(x,) for x in [n.upper() for n in names] + odd], "q string")
+    d = spark.createDataFrame(list(enumerate(names)), "o int, w string")
+    got = fuzzy.fuzzy_best(q, "q", d, "w", 0.6, "o", count_matches=False).collect()
+    assert laid == ([(left, len(names))] if left else [])
+    exp = {n.upper(): (n, 1.0) for n in names}
+    for x in odd:
+        score, o = max((fuzzy.fuzzy_score(x, w), -o) for o, w in enumerate(names))
+        exp[x] = (names[-o], score) if score >= 0.6 else (None, 0.0)
+    assert {r.q: (r.match, r.score) for r in got} == exp
+
+
+def test_rows_sent_to_cells_are_dealt_to_tasks(spark, monkeypatch):
+    """Small tasks send the same rows: the result equals scoring every pair."""
+    monkeypatch.setattr(fuzzy, "SENT_ROWS", 40)
+    q = spark.createDataFrame([(x,) for x in QUERIES], "q string")
+    d = spark.createDataFrame(list(enumerate(DICT)), "o int, w string")
+    got = fuzzy.fuzzy_matches(q, "q", d, "w", 0.3, "o", dict_chunk=2, query_slices=3).collect()
+    assert {(r.q, r.match): (r.score, r.match_order) for r in got} == brute(QUERIES, DICT, 0.3)
+    assert fuzzy._dealt(q.select(F.col("q").alias("__text")), 16, 10).rdd.getNumPartitions() == 4
