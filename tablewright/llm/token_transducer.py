@@ -21,7 +21,8 @@ Composing maps is associative; the chunks of a long text are evaluated in
 different tasks, and their maps are composed pairwise, level by level: the
 up-sweep of a prefix scan, whose work is linear in the text (:func:`prefix_scan`
 gives all prefixes).  The maps of short words, between two cuts, are kept in a
-memo of bounded size.
+memo of bounded size, which outlives the states: these are compiled anew when
+there are too many.  The last character of a word needs no state after it.
 
 Defined results: null counts as the empty text, which has no tokens; repeated
 rows are counted each; an empty table gives no rows; other columns are ignored.
@@ -44,7 +45,8 @@ from ._io import stage, text_or_empty
 from .piece_bpe import BLANK, SHORT, Vocabulary, vocabulary
 
 CHUNK_CHARS = 65_536
-MAX_STATES = 200_000
+#: States, and last characters of words whose tokens are known.
+MAX_STATES = 300_000
 MEMO_WORDS = 500_000
 #: Characters before a chunk that tell the likely states at its start.
 BEFORE = 64
@@ -59,6 +61,7 @@ class Transducer:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.begins = {p[:i] for p in vocab.rank for i in range(1, len(p))}
+        self.memo: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -66,7 +69,7 @@ class Transducer:
         self.states: list[tuple[str, tuple[tuple[int, str, int], ...]]] = [("", ((0, "", 0),))]
         self.index = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
-        self.memo: dict[str, int] = {}
+        self.ends: dict[tuple[int, str], int] = {}
 
     def fits(self, left: str, right: str) -> bool:
         """Whether (left, right), or right alone after a cut, is an encoding."""
@@ -86,6 +89,25 @@ class Transducer:
             self.moves.append({})
         return i
 
+    def read(self, window: str, cuts: tuple[tuple[int, str, int], ...], c: str) -> tuple[str, int]:
+        """The last piece after ``c`` and the tokens emitted."""
+        end, rank = len(window), self.vocab.rank
+        return next((piece, before + self.weight(piece)) for at, left, before in cuts
+                    if ((piece := window[at:] + c) in rank or at == end) and self.fits(left, piece))
+
+    def end(self, s: int, c: str) -> int:
+        """The tokens that ``c`` emits, where the state after it is not asked for."""
+        got = self.moves[s].get(c)
+        if got is not None:
+            return got[1]
+        n = self.ends.get((s, c))
+        if n is None:
+            window, cuts = self.states[s]
+            if window and window[-1] + c not in self.vocab.joined:
+                window, cuts = self.states[0]  # a cut: as from the start
+            n = self.ends[s, c] = self.read(window, cuts, c)[1]
+        return n
+
     def move(self, s: int, c: str) -> tuple[int, int]:
         """The state after ``c`` and the tokens emitted; compiles the transition."""
         got = self.moves[s].get(c)
@@ -95,12 +117,10 @@ class Transducer:
         if window and window[-1] + c not in self.vocab.joined:
             got = self.move(0, c)  # a cut: as from the start
         else:
-            end = len(window)
-            last, emitted = next((piece, before + self.weight(piece)) for at, left, before in cuts
-                                 if ((piece := window[at:] + c) in self.vocab.rank or at == end) and self.fits(left, piece))
+            last, emitted = self.read(window, cuts, c)
             grown = window + c
             kept = [(at, left, before - emitted) for at, left, before in cuts if grown[at:] in self.begins]
-            shift = min([at for at, *_ in kept], default=end)
+            shift = min([at for at, *_ in kept], default=len(window))
             kept = [(at - shift, left, before) for at, left, before in kept]
             got = self.state((grown[shift:], (*kept, (len(grown) - shift, last, 0)))), emitted
         self.moves[s][c] = got
@@ -117,13 +137,23 @@ class Transducer:
         """The tokens of a word between two cuts."""
         n = self.memo.get(word)
         if n is None:
-            if len(self.memo) > MEMO_WORDS or len(self.states) > MAX_STATES:
+            if len(self.states) + len(self.ends) > MAX_STATES:
                 self.reset()
-            n = self.run(0, word)[1]
+            s, n = self.run(0, word[:-1])
+            n += self.end(s, word[-1])
             if len(word) <= SHORT:
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
                 self.memo[word] = n
         return n
 
+    def words(self, words: list[str]) -> int:
+        """The tokens of words between cuts."""
+        got = list(map(self.memo.get, words))
+        if None in got:
+            return sum([self.word(w) if n is None else n for w, n in zip(words, got, strict=True)])
+        return sum(got)
+
     def first_cut(self, text: str) -> int:
         """The place of the first cut inside ``text``; its length if there is none."""
         joined = map(self.vocab.joined.__contains__, map(add, text, text[1:]))
@@ -183,7 +213,7 @@ def chunk_map(t: Transducer, chunk: str, first: bool, before: str = "") -> Chunk
     if not words:
         return ChunkMap(head, None, 0, known)
     last, tokens = t.run(0, words.pop())
-    return ChunkMap(head, t.states[last], tokens + sum(map(t.word, words)), known)
+    return ChunkMap(head, t.states[last], tokens + t.words(words), known)
 
 
 def through(t: Transducer, m: ChunkMap, state: tuple) -> tuple[tuple, int]:
