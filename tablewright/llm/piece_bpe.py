@@ -9,10 +9,13 @@ that end up in no piece become byte pieces.
 No piece holds two neighbouring characters that occur in none, so such a place is
 a cut that no merge crosses, and the parts between cuts are encoded alone.  A
 blank after another character is such a cut in vocabularies that mark word
-starts.  Words of at most ``SHORT`` characters that return are looked up in a memo,
-which is emptied when its estimated size reaches ``MEMO_BYTES``.
+starts, and where no piece holds a letter beside another character, so is the
+border of a run of letters.  Words of at most ``SHORT`` characters are split into
+runs there; runs that return are looked up in a memo, which is emptied when its
+estimated size reaches ``MEMO_BYTES``.  So a word takes one entry, whatever marks
+stand around it.
 
-In each Arrow batch the words that are new to the memo are encoded by the
+In each Arrow batch the words with a run that is new to the memo are encoded by the
 sentencepiece library too, and a difference stops the job; as no merge crosses a
 cut, a text's ids are its words' ids.  ``check="texts"`` compares all whole texts
 instead, ``check=None`` nothing.  Decoding compares every decoded text with the
@@ -27,6 +30,7 @@ replaced.  Texts of any length are taken whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -41,11 +45,16 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 BLANK = "▁"
 SHORT = 64
-MEMO_BYTES = 240_000_000
+MEMO_BYTES = 100_000_000
 #: Bytes of a memo entry besides its characters and ids: key, tuple and slot.
 _ENTRY = 250
 _NEVER = 1 << 60
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
+#: Digits and what else ``\w`` matches that is no letter.
+_NUMBERS = r"\d_²³¹¼-¾⁰-₟"
+_LETTER = re.compile(rf"[^\W{_NUMBERS}]")
+#: Blanks and the letters, or the other characters, that follow; any string is a row of these.
+_RUN = re.compile(rf"{BLANK}*(?:[^\W{_NUMBERS}]+|(?:[^\w{BLANK}]|[{_NUMBERS}])+)|{BLANK}+")
 
 
 class Vocabulary:
@@ -85,6 +94,9 @@ class Vocabulary:
         self.joined = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}
         #: Whether a blank after another character is a cut; else words are not split.
         self.words_apart = not any(a != BLANK and b == BLANK for a, b in self.joined)
+        #: Whether a letter beside another character but a blank is a cut too.
+        self.letters_apart = self.words_apart and not any(
+            a != BLANK and bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in self.joined)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.memo_bytes = 0
         self.unchecked: list[tuple[str, tuple[int, ...]]] = []
@@ -146,19 +158,34 @@ class Vocabulary:
         cuts = [0, *(i for i, x in enumerate(map(joined, map(add, text, text[1:])), 1) if not x), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _pieces(self, part: str) -> list[int]:
         out: list[int] = []
-        for part in [word] if len(word) <= SHORT else self.parts(word):
-            for s in self.merge(part):
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.byte_ids[b] for b in s.encode())
-        ids = tuple(out)
-        if len(word) <= SHORT:
-            self.memo[word] = ids
-            self.memo_bytes += _ENTRY + 2 * len(word) + 8 * len(ids)
+        for s in self.merge(part):
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids[b] for b in s.encode())
+        return out
+
+    def _encode_word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word, by its runs, which are kept; a word with a new run is to be checked."""
+        if len(word) > SHORT:
+            ids = tuple(chain.from_iterable(map(self._pieces, self.parts(word))))
+            self.unchecked.append((word, ids))
+            return ids
+        memo, new = self.memo, False
+        found: list[tuple[int, ...]] = []
+        for run in self.runs_of(word):
+            ids = memo.get(run)
+            if ids is None:
+                new = True
+                ids = memo[run] = tuple(self._pieces(run))
+                self.memo_bytes += _ENTRY + 2 * len(run) + 8 * len(ids)
+            found.append(ids)
+        ids = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+        if new:
+            self.unchecked.append((word, ids))
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -178,7 +205,6 @@ class Vocabulary:
                     out[i] = memo.get(word)
                     if out[i] is None:
                         out[i] = self._encode_word(word)
-                        self.unchecked.append((word, out[i]))
         return list(chain.from_iterable(out))
 
     def check_words(self) -> None:
@@ -208,6 +234,12 @@ class Vocabulary:
                 blanks = 0
         return [*out, BLANK * blanks] if blanks else out
 
+    def runs_of(self, text: str) -> list[str]:
+        """As ``words_of``, split before and after letters too where these are cuts."""
+        if not self.letters_apart:
+            return self.words_of(text)
+        return _RUN.findall(text.replace(" ", BLANK))
+
     def decode(self, ids: list[int]) -> str:
         shown = self.shown
         out = [shown[i] for i in ids]

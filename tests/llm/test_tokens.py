@@ -150,3 +150,50 @@ def test_decoded_texts_are_checked(spark, monkeypatch):
 def test_other_vocabularies_are_refused(tmp_path):
     with pytest.raises(Exception):
         piece_bpe.Vocabulary(str(tmp_path / "none.model"))
+
+
+def test_words_counted_are_kept_when_states_are_compiled_anew():
+    """Counts don't depend on states, so a reset costs no second reading of known words."""
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    words = [w for text in _texts() for w in t.vocab.words_of(" " + text) if text]
+    counts = [t.word(w) for w in words]
+    t.reset()
+    short = [w for w in words if len(w) <= tt.SHORT]
+    assert t.words(short) == sum(n for w, n in zip(words, counts, strict=True) if len(w) <= tt.SHORT)
+    assert len(t.states) == 1  # nothing was read again
+
+
+def test_last_characters_need_no_state(monkeypatch):
+    """What a character emits is the same with and without the state after it."""
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    for text in _texts():
+        s = 0
+        for c in text:
+            n = t.end(s, c)
+            s, emitted = t.move(s, c)
+            assert n == emitted
+    t = tt.Transducer(piece_bpe.vocabulary(PATH))
+    t.word("\u2581abcdefg")
+    assert len(t.states) <= 8  # the start, and one for each character but the last
+    monkeypatch.setattr(tt, "MAX_STATES", 5)
+    assert [t.words(t.vocab.words_of(" " + x)) for x in _texts() if x] == [len(LIBRARY.encode(x)) for x in _texts() if x]
+    assert len(t.ends) <= 5 + tt.SHORT
+
+
+def test_memo_holds_runs_once():
+    """Words that differ by the marks around them share one entry, which checks them too."""
+    v = piece_bpe.Vocabulary(PATH)
+    text = "word word, word. word! word; (word) 12word"
+    assert v.letters_apart and "".join(v.runs_of(" " + text)) == "\u2581" + text.replace(" ", "\u2581")
+    assert v.encode(text) == LIBRARY.encode(text)
+    assert {"\u2581word", "word"} <= set(v.memo) and "\u2581word," not in v.memo
+    v.check_words()
+    assert all(v.encode(x) == LIBRARY.encode(x) and "".join(v.runs_of(x)) == x.replace(" ", "\u2581") for x in _texts())
+
+
+def test_a_wrong_run_stops_the_job():
+    v = piece_bpe.Vocabulary(PATH)
+    v.ids = {**v.ids, ",": v.ids["."]}
+    v.encode("word,")
+    with pytest.raises(ValueError, match="differ"):
+        v.check_words()
