@@ -10,12 +10,16 @@ No piece holds two neighbouring characters that occur in none, so such a place i
 a cut that no merge crosses, and the parts between cuts are encoded alone.  A
 blank after another character is such a cut in vocabularies that mark word
 starts, and where no piece holds a letter beside another character, so is the
-border of a run of letters.  Words of at most ``SHORT`` characters are split into
-runs there; runs that return are looked up in a memo, which is emptied when its
+border of a run of letters.  Texts are split into runs there; runs of at most
+``SHORT`` characters that return are looked up in a memo, which is emptied when its
 estimated size reaches ``MEMO_BYTES``.  So a word takes one entry, whatever marks
 stand around it.
 
-In each Arrow batch the words with a run that is new to the memo are encoded by the
+Texts are taken in groups of about ``GROUP`` characters.  A run that returns in a
+group is looked up once, and the runs that are new to the memo share one agenda, an
+array in which each round finds and merges the first pair of every run.
+
+In each group the words with a run that is new to the memo are encoded by the
 sentencepiece library too, and a difference stops the job; as no merge crosses a
 cut, a text's ids are its words' ids.  ``check="texts"`` compares all whole texts
 instead, ``check=None`` nothing.  Decoding compares every decoded text with the
@@ -30,14 +34,17 @@ replaced.  Texts of any length are taken whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +53,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 BLANK = "▁"
 SHORT = 64
 MEMO_BYTES = 100_000_000
-#: Bytes of a memo entry besides its characters and ids: key, tuple and slot.
-_ENTRY = 250
+#: Characters of the texts that are encoded together; a longer text is a group alone.
+GROUP = 300_000
+#: Bytes of a memo entry besides its characters and ids: key, packed ids and slot.
+_ENTRY = 210
 _NEVER = 1 << 60
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Digits and what else ``\w`` matches that is no letter.
@@ -97,9 +106,10 @@ class Vocabulary:
         #: Whether a letter beside another character but a blank is a cut too.
         self.letters_apart = self.words_apart and not any(
             a != BLANK and bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in self.joined)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Ids are packed as 32-bit numbers: less memory than tuples, and nothing that the garbage collector walks.
+        self.memo: dict[str, bytes] = {}
         self.memo_bytes = 0
-        self.unchecked: list[tuple[str, tuple[int, ...]]] = []
+        self.unchecked: list[tuple[str, list[int]]] = []
 
     def merge(self, text: str) -> list[str]:
         """The symbols that stay after all merges of the agenda."""
@@ -150,6 +160,68 @@ class Vocabulary:
                     heappush(agenda, r << low | h << place | len(right))
         return [s for s in symbols if s]
 
+    @cached_property
+    def _symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols as numbers, the piece id plus 1 where they have one: the number of
+        each character (0 if it is in no piece), the ordered keys ``left << 32 | right``
+        of the pairs that join, and rank and number of what they join to (the last row
+        is of no pair)."""
+        number = {p: i + 1 for p, i in self.ids.items()}
+        for c in sorted({c for p in self.rank for c in p} - number.keys()):
+            number[c] = len(self.pieces) + len(number) + 1
+        chars = np.zeros(0x110000, np.int64)
+        for c, i in number.items():
+            if len(c) == 1:
+                chars[ord(c)] = i
+        pairs = sorted((number[p[:i]] << 32 | number[p[i:]], r, number[p]) for p, r in self.rank.items()
+                       for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        rows = np.array([*pairs, (_NEVER, _NEVER, 0)], np.int64)
+        return chars, rows[:, 0].copy(), rows[:, 1:].copy()
+
+    def _pieces_of_all(self, runs: list[str]) -> list[bytes]:
+        """The ids of each run, packed: the agenda of all runs is one array, which holds rank
+        and place of each symbol joined with the next, or ``_NEVER``."""
+        if not runs:
+            return []
+        chars, keys, joins = self._symbols
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        ends = np.cumsum(lengths)
+        n = int(ends[-1])
+        place = n.bit_length()
+        # Place n stands for "no symbol" at both ends of a run.
+        symbols = np.append(chars[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)], 0)
+        after, prior = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = prior[ends - lengths] = n
+        agenda, joined = np.full(n + 1, _NEVER), np.zeros(n + 1, np.int64)
+
+        def enter(left: np.ndarray, right: np.ndarray) -> None:
+            key = symbols[left] << 32 | symbols[right]
+            at = np.searchsorted(keys, key)
+            at[keys[at] != key] = len(keys) - 1
+            rank, joined[left] = joins[at].T
+            agenda[left] = np.where(rank == _NEVER, _NEVER, rank << place | left)
+
+        enter(np.arange(n), after[:n])
+        first = ends - lengths
+        while len(first):
+            # A run that is done has no entries, so the one before it may reach over it.
+            best = np.minimum.reduceat(agenda, first)
+            first, best = first[best != _NEVER], best[best != _NEVER]
+            i = best & ((1 << place) - 1)
+            j, h = after[i], prior[i]
+            k = after[j]
+            symbols[i], symbols[j], agenda[j] = joined[i], -1, _NEVER
+            after[i], prior[k] = k, i
+            enter(np.concatenate([i, h]), np.concatenate([k, i]))
+        stay = np.flatnonzero(symbols[:n] >= 0)
+        cuts = np.searchsorted(stay, ends).tolist()
+        ids = symbols[stay]
+        # Runs with a character that is no piece are left to the spelling in bytes.
+        spelt = set(np.searchsorted(ends, stay[(ids == 0) | (ids > len(self.pieces))], "right").tolist())
+        ids = (ids - 1).astype(np.int32).tobytes()
+        return [_packed(self._pieces(run)) if x in spelt else ids[4 * a:4 * b]
+                for x, (run, a, b) in enumerate(zip(runs, [0, *cuts], cuts, strict=False))]
+
     def parts(self, text: str) -> list[str]:
         """The text split at all cuts."""
         joined = self.joined.__contains__
@@ -168,51 +240,58 @@ class Vocabulary:
                 out.extend(self.byte_ids[b] for b in s.encode())
         return out
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
-        """The ids of a word, by its runs, which are kept; a word with a new run is to be checked."""
-        if len(word) > SHORT:
-            ids = tuple(chain.from_iterable(map(self._pieces, self.parts(word))))
-            self.unchecked.append((word, ids))
-            return ids
-        memo, new = self.memo, False
-        found: list[tuple[int, ...]] = []
-        for run in self.runs_of(word):
-            ids = memo.get(run)
-            if ids is None:
-                new = True
-                ids = memo[run] = tuple(self._pieces(run))
-                self.memo_bytes += _ENTRY + 2 * len(run) + 8 * len(ids)
-            found.append(ids)
-        ids = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
-        if new:
-            self.unchecked.append((word, ids))
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+    def _encode_runs(self, runs: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of distinct runs, packed, and the places of those that are new to the memo."""
         memo = self.memo
+        out = list(map(memo.get, runs))
+        new = [x for x, ids in enumerate(out) if ids is None]
+        for x in new:
+            if len(runs[x]) > SHORT:
+                out[x] = _packed(list(chain.from_iterable(map(self._pieces, self.parts(runs[x])))))
+        short = [x for x in new if out[x] is None]
+        for x, ids in zip(short, self._pieces_of_all([runs[x] for x in short]), strict=True):
+            out[x] = ids
+            if self.memo_bytes <= MEMO_BYTES:  # else it is emptied before the next group
+                memo[runs[x]] = ids
+                self.memo_bytes += _ENTRY + 2 * len(runs[x]) + len(ids)
+        return out, new
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text of a group; words with a new run are to be checked."""
         if self.memo_bytes > MEMO_BYTES:
-            memo.clear()
+            self.memo.clear()
             self.memo_bytes = 0
-        words = self.words(text)
-        out = [memo.get(w) for w in words]
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    word = words[i]
-                    # A long word that stands twice in a text is encoded twice; it is not kept.
-                    out[i] = memo.get(word)
-                    if out[i] is None:
-                        out[i] = self._encode_word(word)
-        return list(chain.from_iterable(out))
+        split = [self.runs_of(" " + t) if t else [] for t in texts]
+        every = list(chain.from_iterable(split))
+        coded = pa.array(every, pa.large_string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        runs = [every[x] for x in first.tolist()]
+        ids, new = self._encode_runs(runs)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        # The ids of the runs in the texts' order: each run's stand at its place in ``flat``.
+        many = length[which]
+        ends = np.append(0, np.cumsum(many))
+        flat = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(length) - length)[which] - ends[:-1], many)]
+        if new:
+            starts = np.append(np.flatnonzero(np.array([r[0] == BLANK for r in runs])[which]), len(which))
+            at = np.unique(np.searchsorted(starts, first[new], "right"))
+            cuts = np.stack([starts[at - 1], starts[at], ends[starts[at - 1]], ends[starts[at]]], axis=1).tolist()
+            self.unchecked += [("".join(every[a:b]), flat[c:d].tolist()) for a, b, c, d in cuts]
+        cuts = ends[np.cumsum([0, *map(len, split)])].tolist()
+        return [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def check_words(self) -> None:
         """Compare the words encoded since the last call with the library, which
         puts a blank in front of each itself (so not a blank alone)."""
         new, self.unchecked = [x for x in self.unchecked if len(x[0]) > 1], []
         for (word, ids), said in zip(new, self.library.encode([w[1:] for w, _ in new], num_threads=1), strict=True):
-            if ids != tuple(said):
+            if ids != said:
                 raise ValueError(f"ids differ from the library's: {word[:200]!r}")
 
     def words(self, text: str) -> list[str]:
@@ -264,6 +343,10 @@ class Vocabulary:
         return [*out, _utf8(run)] if run else out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def _utf8(run: bytes) -> str:
     """Bytes as text; each byte that belongs to no character becomes U+FFFD."""
     try:
@@ -294,14 +377,38 @@ def _with(df: DataFrame, name: str, kind) -> StructType:
 
 
 def _texts(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
-    for at in range(0, len(column), rows):
-        yield [t or "" for t in column.slice(at, rows).to_pylist()]
+    """The texts in groups of at most ``rows``, and of about ``GROUP`` characters."""
+    group: list[str] = []
+    size = 0
+    for value in column:
+        text = value.as_py() or ""
+        if group and (len(group) == rows or size + len(text) > GROUP):
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """No cycles arise in a group; the search for them would walk the memo and the
+    group's lists again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
+@_no_collection()
 def _encoded(vocab: Vocabulary, texts: list[str], check: str | None) -> list[list[int]]:
     """The ids of some texts, checked as ``check`` says."""
     vocab.unchecked.clear()
-    got = [vocab.encode(t) for t in texts]
+    got = vocab.encode_all(texts)
     if check == "words":
         vocab.check_words()
     elif check == "texts" and got != (said := vocab.library.encode(texts, num_threads=1)):
@@ -310,6 +417,7 @@ def _encoded(vocab: Vocabulary, texts: list[str], check: str | None) -> list[lis
     return got
 
 
+@_no_collection()
 def _decoded(vocab: Vocabulary, rows: list[list[int]], check: bool) -> list[str]:
     got = [vocab.decode(x) for x in rows]
     if check and got != (said := vocab.library.decode(rows, num_threads=1)):

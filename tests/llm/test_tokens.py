@@ -197,3 +197,53 @@ def test_a_wrong_run_stops_the_job():
     v.encode("word,")
     with pytest.raises(ValueError, match="differ"):
         v.check_words()
+
+
+def _runs():
+    r = random.Random(6)
+    return sorted({"".join(r.choice("▁abethe, 日😀é\n0_.") for _ in range(r.randint(1, 64))).replace(" ", "") or "a" for _ in range(800)})
+
+
+def test_the_shared_agenda_is_each_runs_agenda():
+    """Runs new to the memo are merged together, with the result of the agenda of each alone."""
+    v = piece_bpe.Vocabulary(PATH)
+    runs = _runs()
+    assert [list(memoryview(x).cast("i")) for x in v._pieces_of_all(runs)] == [v._pieces(x) for x in runs]
+
+
+def test_new_runs_are_not_merged_one_by_one(monkeypatch):
+    v = piece_bpe.Vocabulary(PATH)
+    alone, merge = [], v.merge
+    monkeypatch.setattr(v, "merge", lambda x: alone.append(x) or merge(x))
+    text = " ".join(x + y for x in ("station", "winter", "gardenly", "Ofther") for y in ("", ",", "s", "ness!", "\n"))
+    assert v.encode(text) == LIBRARY.encode(text)
+    assert set(alone) <= {"\n"}  # only what holds a character that is no piece
+
+
+@pytest.mark.parametrize("limit", [0, 2000])
+def test_a_full_memo_changes_nothing(limit, monkeypatch):
+    """The memo takes no entry past its size, also inside a group, and a group's ids don't need it."""
+    monkeypatch.setattr(piece_bpe, "MEMO_BYTES", limit)
+    v = piece_bpe.Vocabulary(PATH)
+    texts = [*_texts(), "", *_texts()[::-1]]
+    for at in range(0, len(texts), 300):
+        assert v.encode_all(texts[at:at + 300]) == LIBRARY.encode(texts[at:at + 300])
+        assert v.memo_bytes <= limit + 1000
+        v.check_words()
+    assert v.encode_all([]) == [] and v.encode_all(["", ""]) == [[], []]
+
+
+def test_groups_are_bounded_by_characters(monkeypatch):
+    """Long texts are not encoded together with many others."""
+    monkeypatch.setattr(piece_bpe, "GROUP", 10)
+    texts = ["abc", None, "defghi", "j" * 30, "", "klm", "n" * 9]
+    assert list(piece_bpe._texts(pa.array(texts))) == [["abc", "", "defghi"], ["j" * 30], ["", "klm"], ["n" * 9]]
+    assert list(piece_bpe._texts(pa.array(["a"] * 5), rows=2)) == [["a", "a"], ["a", "a"], ["a"]]
+    assert list(piece_bpe._texts(pa.array([], pa.string()))) == []
+
+
+def test_each_new_run_is_checked_in_its_word():
+    v = piece_bpe.Vocabulary(PATH)
+    v.encode_all(["one two, one", "", "two! three_4 two!  "])
+    assert sorted(w for w, _ in v.unchecked) == sorted(["▁one", "▁two,", "▁two!", "▁three_4", "▁▁"])
+    v.check_words()
