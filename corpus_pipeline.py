@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.  All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Python workers outlive a stage, so stages with
+Python take small Arrow batches, and what a worker remembers goes with its task or stage.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import group_join, mixing, ordinal_quality, piece_bpe, stream_dedup
-from tablewright.llm._io import stage, table
+from tablewright.llm._io import small_batches, stage, table
 from tablewright.llm.queries import MODEL, rating
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with even odds or more of being better than junk stay."""
+    small_batches(spark)
     model = ordinal_quality.train(docs, table(spark, sf_dir, "labels"), rating(), grades=3)
     return ordinal_quality.accept(docs, model, select_grade=1, threshold=0.5)
 
@@ -30,6 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their five-word shingles
     the one with the smallest doc_id stays."""
+    small_batches(spark)
     return group_join.representatives(docs, words=5, num=80, den=100)
 
 
@@ -41,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, as counts and digests, and the decoded text's digest."""
+    small_batches(spark)
     return piece_bpe.digests(docs, public_tokenizers.path(MODEL))
 
 

@@ -27,12 +27,12 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         # Staged, so that the join below has two plain inputs and a hub's partition can be split.
-        smallest = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-min")
+        smallest = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-min", 2 * before[0])
         large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = stage(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+                      .union(least.select("u", F.col("m").alias("v"))).distinct(), "links", 2 * before[0])
         now = _checksum(edges)
         if now == before:
             break

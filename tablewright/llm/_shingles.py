@@ -44,7 +44,7 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((total[ends] - total[starts]) * _power(_BACK, len(a) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str | None], words: int, batch_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int, batch_bytes: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each text its set of shingles of so many words, sorted, as signed
     64-bit numbers; a text with fewer words has its whole sequence as one, a text
     without words, or null, the empty set."""

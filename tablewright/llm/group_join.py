@@ -208,12 +208,13 @@ def open_block(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 def _candidates(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(members, queries): the classes of each group that is opened, and the
     classes that are sent there; both with lead, part, digest, n."""
+    rows = classes.count()
     tokens = classes.select("cid", F.explode("first").alias("token"))  # narrow: there is a row for each first token
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     tokens = stage(tokens.join(shared, "token"), "join-tokens")
     active = classes.select("cid", "digest", "n", "lead").join(tokens.select("cid").distinct(), "cid")
     parts = active.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-    grouped = stage(active.join(parts, "lead").select("cid", "digest", "n", "lead", F.pmod(F.xxhash64("digest"), "parts").alias("part")), "join-groups")
+    grouped = stage(active.join(parts, "lead").select("cid", "digest", "n", "lead", F.pmod(F.xxhash64("digest"), "parts").alias("part")), "join-groups", rows)
     tokens = tokens.join(grouped, "cid")
     matrix = (tokens.groupBy("token", F.col("lead").alias("to_lead"), F.col("part").alias("to_part"))
               .agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
@@ -224,7 +225,7 @@ def _candidates(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, Data
             .select("digest", "n", F.col("to_lead").alias("lead"), F.col("to_part").alias("part")).distinct())
     queries = stage(sent, "join-queries")
     members = grouped.join(queries.select("lead", "part").distinct(), ["lead", "part"], "left_semi")
-    return stage(members.select("lead", "part", "digest", "n"), "join-members"), queries
+    return stage(members.select("lead", "part", "digest", "n"), "join-members", rows), queries
 
 
 def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -
     key = ["lead", "part", "block"]
     left = stage(rows.join(classes.select("digest", "n", "bits"), "digest").groupBy(*key).applyInPandas(
         lambda x: sift_block(x, num, den), "lead long, part long, block int, digest binary, member boolean, query boolean"), "join-left")
-    needed = stage(left.select("digest").distinct().join(classes.select("digest", "rep"), "digest"), "join-needed")
+    needed = stage(left.select("digest").distinct().join(classes.select("digest", "rep"), "digest"), "join-needed", classes.count())
     sets = stage(_sets(_texts_of(docs, needed), words), "join-sets")
     return left.join(sets, "digest").groupBy(*key).applyInPandas(lambda x: open_block(x, num, den), "a binary, b binary")
 
@@ -262,14 +263,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     features = stage(_features(rows, words, num, den, _counts(rows, words), kind), "join-features")
-    known = features.where("n > 0")
+    known, n_rows = features.where("n > 0"), features.count()
     classes = stage(known.groupBy("digest").agg(F.first(F.xxhash64("digest")).alias("cid"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"),
-                                                F.first("first").alias("first"), F.first("bits").alias("bits")), "join-classes")
+                                                F.first("first").alias("first"), F.first("bits").alias("bits")), "join-classes", n_rows)
     of = components(links(rows, classes, words, num, den), "a", "b")
     reps = classes.select("digest", "rep").join(of, F.col("digest") == F.col("node"), "left")
-    reps = stage(reps.select("digest", "rep", F.coalesce("component", "digest").alias("component")), "join-components")
+    reps = stage(reps.select("digest", "rep", F.coalesce("component", "digest").alias("component")), "join-components", n_rows)
     smallest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    smallest = stage(reps.join(smallest, "component").select("digest", "component_id"), "join-ids")
+    smallest = stage(reps.join(smallest, "component").select("digest", "component_id"), "join-ids", n_rows)
     return (features.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(smallest, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 

@@ -35,7 +35,9 @@ from ._sample import labelled_sample
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 9
 SAMPLE_PER_GRADE = 1_500
 SAMPLE_CHARS = 20_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Longer words are not remembered.
+SHORT = 64
 _WORDS = re.compile(r"\S+")
 _PAIRS_AT = WORD_BUCKETS + SHAPE_BUCKETS
 _REPEAT_AT = _PAIRS_AT + SHAPE_BUCKETS * SHAPE_BUCKETS
@@ -63,11 +65,18 @@ class OrdinalModel:
 
     weights: np.ndarray
     thresholds: np.ndarray
-    memo: dict[str, tuple[int, int]] = field(default_factory=dict, repr=False)
+    #: Of a word, its bucket and its shape's as one number: a third of a pair's memory.
+    memo: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
+    def _code(self, word: str) -> int:
+        code = _bucket(word.lower(), WORD_BUCKETS) * SHAPE_BUCKETS + _bucket(shape(word), SHAPE_BUCKETS)
+        if len(word) <= SHORT:
+            self.memo[word] = code
+        return code
+
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and their relative frequencies."""
         memo, words = self.memo, _WORDS.findall(text)
@@ -75,13 +84,10 @@ class OrdinalModel:
             return np.zeros(0, dtype=int), np.zeros(0)
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = (_bucket(w.lower(), WORD_BUCKETS), _bucket(shape(w), SHAPE_BUCKETS))
-        pair = np.array([memo[w] for w in words])
-        shapes = pair[:, 1]
+        codes = np.array([memo[w] if w in memo else self._code(w) for w in words])
+        shapes = codes % SHAPE_BUCKETS
         repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        numbers = np.concatenate([pair[:, 0], WORD_BUCKETS + shapes, _PAIRS_AT + shapes[:-1] * SHAPE_BUCKETS + shapes[1:], [_REPEAT_AT]])
+        numbers = np.concatenate([codes // SHAPE_BUCKETS, WORD_BUCKETS + shapes, _PAIRS_AT + shapes[:-1] * SHAPE_BUCKETS + shapes[1:], [_REPEAT_AT]])
         shares = np.full(len(numbers), 1 / len(words))
         shares[-1] *= repeats
         return numbers, shares

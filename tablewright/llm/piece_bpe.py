@@ -12,7 +12,8 @@ blank after another character is such a cut in vocabularies that mark word
 starts, and where no piece holds a letter beside another character, so is the
 border of a run of letters.  Texts are split into runs there; runs of at most
 ``SHORT`` characters that return are looked up in a memo, which is emptied when its
-estimated size reaches ``MEMO_BYTES``.  So a word takes one entry, whatever marks
+estimated size reaches ``MEMO_BYTES``, and when its task ends, as Python workers
+outlive a task and a query.  So a word takes one entry, whatever marks
 stand around it.
 
 Texts are taken in groups of about ``GROUP`` characters.  A run that returns in a
@@ -52,7 +53,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 BLANK = "▁"
 SHORT = 64
-MEMO_BYTES = 100_000_000
+MEMO_BYTES = 40_000_000
 #: Characters of the texts that are encoded together; a longer text is a group alone.
 GROUP = 300_000
 #: Bytes of a memo entry besides its characters and ids: key, packed ids and slot.
@@ -259,8 +260,7 @@ class Vocabulary:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text of a group; words with a new run are to be checked."""
         if self.memo_bytes > MEMO_BYTES:
-            self.memo.clear()
-            self.memo_bytes = 0
+            self.forget()
         split = [self.runs_of(" " + t) if t else [] for t in texts]
         every = list(chain.from_iterable(split))
         coded = pa.array(every, pa.large_string()).dictionary_encode()
@@ -283,6 +283,10 @@ class Vocabulary:
         cuts = ends[np.cumsum([0, *map(len, split)])].tolist()
         return [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.memo_bytes = 0
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
@@ -372,6 +376,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@contextmanager
+def _for_task(path: str) -> Iterator[Vocabulary]:
+    """The vocabulary, without what a task remembers when that ends."""
+    vocab = vocabulary(path)
+    try:
+        yield vocab
+    finally:
+        vocab.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def _with(df: DataFrame, name: str, kind) -> StructType:
     return StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [StructField(name, kind)])
 
@@ -432,14 +447,14 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
-        for batch in batches:
-            column, at = batch.column(text), 0
-            for texts in _texts(column):
-                got = _encoded(vocab, texts, check)
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.list_(pa.int32()))], names=[*kept, ids])
+        with _for_task(model_path) as vocab:
+            for batch in batches:
+                column, at = batch.column(text), 0
+                for texts in _texts(column):
+                    got = _encoded(vocab, texts, check)
+                    part = batch.slice(at, len(texts))
+                    at += len(texts)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(got, pa.list_(pa.int32()))], names=[*kept, ids])
 
     return df.mapInArrow(run, schema)
 
@@ -469,16 +484,16 @@ def digests(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "te
                          StructField("decoded_sha256", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
-        named = [str(i) for i in range(len(vocab.pieces))]
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for texts in _texts(batch.column("text")):
-                got = _encoded(vocab, texts, "words")
-                n += map(len, got)
-                of_ids += [sha256(",".join([named[i] for i in ids]).encode()).hexdigest() for ids in got]
-                of_text += [sha256(t.encode()).hexdigest() for t in _decoded(vocab, got, True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
-                                              pa.array(of_text, pa.string())], names=schema.names)
+        with _for_task(model_path) as vocab:
+            named = [str(i) for i in range(len(vocab.pieces))]
+            for batch in batches:
+                n, of_ids, of_text = [], [], []
+                for texts in _texts(batch.column("text")):
+                    got = _encoded(vocab, texts, "words")
+                    n += map(len, got)
+                    of_ids += [sha256(",".join([named[i] for i in ids]).encode()).hexdigest() for ids in got]
+                    of_text += [sha256(t.encode()).hexdigest() for t in _decoded(vocab, got, True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
+                                                  pa.array(of_text, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

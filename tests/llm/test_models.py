@@ -106,3 +106,16 @@ def test_quality_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.accepted for r in got)
     empty = oq.train(empty_docs(spark), labels(spark, []), queries.rating(), 3)
     assert oq.grade(empty_docs(spark), empty).count() == 0 and oq.accept(empty_docs(spark), empty).count() == 0
+
+
+def test_ordinal_memo_is_small():
+    """A word is remembered as one number, a long one not at all, and the features are those of each word alone."""
+    model = oq.OrdinalModel(np.zeros(oq.N_FEATURES), np.zeros(2))
+    words = ["Word", "word,", "x" * 65, "Word", "9" * 70_000, "a1B", "é" * 64]
+    for _ in range(2):
+        numbers, shares = model.features(" ".join(words))
+        shapes = [oq._bucket(oq.shape(w), oq.SHAPE_BUCKETS) for w in words]
+        assert numbers[:len(words)].tolist() == [oq._bucket(w.lower(), oq.WORD_BUCKETS) for w in words]
+        assert numbers[len(words):2 * len(words)].tolist() == [oq.WORD_BUCKETS + s for s in shapes]
+        assert len(numbers) == len(shares) == 3 * len(words)
+    assert set(model.memo) == {"Word", "word,", "a1B", "é" * 64} and {type(x) for x in model.memo.values()} == {int}

@@ -323,3 +323,24 @@ def test_surrogate_edges(spark):
     hot = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "mail a.bee@mail.example.com now").otherwise("x").alias("text"))
     texts = {r.text for r in sg.replace_entities(hot, "k").collect()}
     assert len(texts) == 2 and "x" in texts
+
+
+def test_few_rows_go_to_few_files(spark, monkeypatch):
+    """Shuffle partitions that hold next to nothing are no files of their own, with the same components."""
+    from tablewright.llm import _components, _io
+    said = []
+    plain = _io.stage
+    monkeypatch.setattr(_components, "stage", lambda df, name, *rows: said.append((name, plain(df, name, *rows))) or said[-1][1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+        got = _components.components(chain, "a", "b").collect()
+        assert sorted(tuple(r) for r in got) == [(i, 0) for i in range(301)]
+        assert len(said) > 3 and all(len(df.inputFiles()) == 1 for _, df in said[1:])
+        monkeypatch.setattr(_io, "FILE_ROWS", 100)
+        assert 1 < len(plain(chain.repartition(40), "many", 300).inputFiles()) <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

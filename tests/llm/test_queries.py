@@ -2,7 +2,9 @@
 
 import os
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -53,3 +55,24 @@ def test_pipeline_on_an_empty_table(spark, scratch):
         rows.write.parquet(os.path.join(scratch, f"{name}.parquet"))
     assert corpus_pipeline.run(spark, scratch).count() == 0
     assert labels(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "encode"])
+def test_pipeline_sends_small_batches(spark, name):
+    """Stages with Python take Arrow batches of a few MB, whatever Spark's limit of 10,000 rows makes of them."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "64m")
+    try:
+        stages = dict(corpus_pipeline.STAGES)
+        stages[name](spark, spark.read.parquet(f"{SF_SMALL}/documents.parquet"), SF_SMALL)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+        rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 1000).alias("text"))
+        got = rows.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r["size"] for r in got) < 5_000_000
+    finally:
+        spark.conf.set(limit, before)

@@ -247,3 +247,17 @@ def test_each_new_run_is_checked_in_its_word():
     v.encode_all(["one two, one", "", "two! three_4 two!  "])
     assert sorted(w for w, _ in v.unchecked) == sorted(["▁one", "▁two,", "▁two!", "▁three_4", "▁▁"])
     v.check_words()
+
+
+def test_workers_forget_a_tasks_memo(spark):
+    """Python workers outlive a query; they don't keep its memo meanwhile."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(_texts())], "doc_id long, text string").repartition(8)
+    assert piece_bpe.digests(rows, PATH).count() == piece_bpe.encode(rows, PATH).count() == rows.count()
+    piece_bpe.digests(rows, PATH).collect()
+
+    def left(batches):
+        for _ in batches:
+            vocab = piece_bpe.vocabulary(PATH)
+            yield pa.RecordBatch.from_arrays([pa.array([len(vocab.memo)]), pa.array([vocab.memo_bytes])], names=["n", "size"])
+
+    assert {tuple(r) for r in spark.range(8).repartition(8, "id").mapInArrow(left, "n long, size long").collect()} == {(0, 0)}
